@@ -23,30 +23,35 @@ SAMPLE, SAMPLE_PER_SHARD = 65_536, 256
 LEAF = 256
 
 
-def simhash64(text: str | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Unsigned fingerprint of the word n-grams (repeats included) of an ASCII-lower-cased text; no words: 0."""
+def simhash64(text: str | None, n: int = SHINGLE_WORDS, seed: int = SEED, distinct: bool = False) -> tuple[int, int]:
+    """(unsigned fingerprint, number of shingles) of the word n-grams of an ASCII-lower-cased text.
+
+    Shingles count as often as they occur, or once with ``distinct``. No words: (0, 0).
+    """
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return 0, 0
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     last = ends[n - 1 :] if len(words) > n else ends[-1:]
     first = np.concatenate([[0], ends[: len(last) - 1] + 1])
     digest = xxhash.xxh64_intdigest
-    ones, total = np.zeros(64, dtype=np.int64), len(last)
-    for k in range(0, total, 1 << 16):
-        h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist())), dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+    h = np.fromiter((digest(joined[s:e], seed) for s, e in zip(first.tolist(), last.tolist())), dtype=np.uint64, count=len(last))
+    h = np.unique(h) if distinct else h
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big"), len(h)
 
 
-def fingerprint_column(text: Column) -> Column:
-    """Fingerprint as a signed long, from an Arrow-batched UDF."""
+def fingerprint_column(text: Column, n: int = SHINGLE_WORDS, distinct: bool = False) -> Column:
+    """Struct of the fingerprint as a signed long and the number of shingles, from an Arrow-batched UDF."""
 
-    @F.pandas_udf("long")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((simhash64(t) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64))
+    @F.pandas_udf("fp long, shingles long")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        found = [simhash64(t, n, SEED, distinct) for t in texts]
+        return pd.DataFrame({"fp": np.array([x for x, _ in found], dtype=np.uint64).view(np.int64), "shingles": np.array([y for _, y in found], dtype=np.int64)})
 
-    return fingerprints(text)
+    return prints(text)
 
 
 # --- the tree ------------------------------------------------------------------------------------
@@ -56,52 +61,65 @@ def _distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ to)
 
 
-def _vantage(points: np.ndarray) -> tuple[np.uint64, int, np.ndarray] | None:
-    """The candidate whose cut at the median distance leaves fewest points in the overlap; None if none cuts.
+def _cut(points: np.ndarray, sizes: np.ndarray, radius: int, slack: float | None) -> tuple[int, float] | None:
+    """(vantage point, distance of the cut) or (-1, size of the cut); None if no cut leaves a quarter on each side.
 
-    Points at a distance up to the cut are inside.
+    With ``slack`` a cut by size comes first, as long as it leaves most points on one side only. Else it is the
+    vantage point and distance that leave fewest points in the overlap.
     """
+    if slack is not None and len(sizes):
+        at = float(np.median(sizes))
+        inside, both = int((sizes <= at).sum()), int((np.abs(sizes - at) <= slack).sum())
+        if min(inside, len(sizes) - inside) * 4 >= len(sizes) and both * 2 <= len(sizes):
+            return -1, at
     best = None
     for v in points[:: max(1, len(points) // 8)][:8]:
         d = _distances(points, v)
-        cut = int(np.median(d))
-        for c in (cut - 1, cut):
+        middle = int(np.median(d))
+        for c in (middle - 1, middle):
             inside = int((d <= c).sum())
             if min(inside, len(points) - inside) * 4 >= len(points):
-                near = int((np.abs(d.astype(np.int16) - c) <= RADIUS).sum())
+                near = int((np.abs(d.astype(np.int16) - c) <= radius).sum())
                 if best is None or near < best[0]:
-                    best = (near, v, c, d)
+                    best = (near, int(v), c)
     return best and best[1:]
 
 
-def fit_tree(sample: np.ndarray, depth: int) -> list[tuple]:
-    """Nodes (vantage, cut, inner, outer), children before parents; a negative child -1-s is shard s.
+def _sides(points: np.ndarray, sizes: np.ndarray, cut: tuple[int, float], radius: int, slack: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each point: is it inside, and may neighbours of it be inside or outside (by the triangle inequality)?"""
+    v, c = cut
+    at, reach = (sizes, slack) if v < 0 else (_distances(points, np.uint64(v)).astype(np.int16), radius)
+    return at <= c, at - reach <= c, at + reach > c
+
+
+def fit_tree(sample: np.ndarray, sizes: np.ndarray, depth: int, radius: int, slack: float | None = None) -> list[tuple]:
+    """Nodes (cut, inner, outer), children before parents; a negative child -1-s is shard s.
 
     Shards are numbered from left to right. The last node is the root; no node means one shard.
     """
     nodes: list[tuple] = []
     shards = 0
 
-    def grow(points: np.ndarray, left: int) -> int:
+    def grow(points: np.ndarray, sizes: np.ndarray, left: int) -> int:
         nonlocal shards
-        found = _vantage(points) if left and len(points) >= 8 else None
-        if not found:
+        cut = _cut(points, sizes, radius, slack) if left and len(points) >= 8 else None
+        if not cut:
             shards += 1
             return -shards
-        v, cut, d = found
-        inner, outer = grow(points[d <= cut], left - 1), grow(points[d > cut], left - 1)
-        nodes.append((int(v), cut, inner, outer))
+        own, _, _ = _sides(points, sizes, cut, radius, slack)
+        inner, outer = grow(points[own], sizes[own], left - 1), grow(points[~own], sizes[~own], left - 1)
+        nodes.append((cut, inner, outer))
         return len(nodes) - 1
 
-    grow(sample, depth)
+    grow(sample, sizes, depth)
     return nodes
 
 
-def route(points: np.ndarray, nodes: list[tuple], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def route(points: np.ndarray, sizes: np.ndarray, nodes: list[tuple], radius: int, slack: float | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each shard: the numbers of the points to send there and if it is their home.
 
     A point lies in one home. It also queries each shard that the triangle inequality leaves possible for
-    neighbours within ``radius``; only shards after its home, since the other of a pair visits the earlier.
+    its neighbours; only shards after its home, since the other of a pair visits the earlier.
     """
     stack = [(len(nodes) - 1 if nodes else -1, np.arange(len(points)), np.ones(len(points), dtype=bool))]
     while stack:
@@ -111,13 +129,11 @@ def route(points: np.ndarray, nodes: list[tuple], radius: int) -> Iterator[tuple
         if at < 0:
             yield -1 - at, rows, home
             continue
-        v, cut, inner, outer = nodes[at]
-        d = _distances(points[rows], np.uint64(v))
-        # a query that left its home's side on the right cannot come back: it is only sent rightwards
-        goes_in = np.where(home, d <= cut, d <= cut + radius)
-        goes_out = d + np.int16(radius) > cut
+        cut, inner, outer = nodes[at]
+        own, may_in, may_out = _sides(points[rows], sizes[rows], cut, radius, slack)
+        goes_in = np.where(home, own, may_in)
         stack.append((inner, rows[goes_in], home[goes_in]))
-        stack.append((outer, rows[goes_out], (home & (d > cut))[goes_out]))
+        stack.append((outer, rows[may_out], (home & ~own)[may_out]))
 
 
 class Forest:
@@ -141,119 +157,129 @@ class Forest:
                 self.edges.append((x, y))
 
 
-def _leaf_classes(points: np.ndarray, radius: int) -> np.ndarray:
-    """A label for each point of a leaf; points that are linked within the leaf share it."""
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
-    label = np.arange(len(points))
+def _leaf_classes(near: np.ndarray) -> np.ndarray:
+    """A label for each point of a leaf, given who is near whom; points that are linked within the leaf share it."""
+    label = np.arange(len(near))
     while True:
-        least = np.where(near, label[None, :], len(points)).min(axis=1)
+        least = np.where(near, label[None, :], len(near)).min(axis=1)
         least = least[least]
         if (least == label).all():
             return label
         label = least
 
 
-def link_shard(home: np.ndarray, query: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges (as numbers into home followed by query) that span all links of home with home and query.
+def link_shard(points: np.ndarray, sizes: np.ndarray, homes: int, radius: int = RADIUS, slack: float | None = None) -> list[tuple[int, int]]:
+    """Edges (pairs of row numbers) that span all links of the first ``homes`` points with all points.
 
-    A tree over home prunes branches by the triangle inequality. In a leaf a query gets one edge for each
-    class of linked home points, so a dense group gives no edge for each of its pairs.
+    A tree over the home points prunes branches by the triangle inequality. In a leaf a query gets one edge for
+    each class of linked home points, so a dense group gives no edge for each of its pairs.
     """
-    points = np.concatenate([home, query])
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        close = np.bitwise_count(points[a][:, None] ^ points[b][None, :]) <= radius
+        return close if slack is None else close & (np.abs(sizes[a][:, None] - sizes[b][None, :]) <= slack)
+
     forest = Forest(len(points))
-    stack = [(np.arange(len(home)), np.arange(len(points)))]
+    stack = [(np.arange(homes), np.arange(len(points)))]
     while stack:
         own, ask = stack.pop()
         if not len(own) or not len(ask):
             continue
-        found = _vantage(points[own][:: max(1, len(own) // 512)]) if len(own) > LEAF else None
-        if found:
-            v, cut, _ = found
-            d, q = _distances(points[own], v), _distances(points[ask], v)
-            stack.append((own[d <= cut], ask[q <= cut + radius]))
-            stack.append((own[d > cut], ask[q + np.int16(radius) > cut]))
-            continue
+        few = own[:: max(1, len(own) // 512)]
+        cut = _cut(points[few], sizes[few], radius, slack) if len(own) > LEAF else None
+        if cut:
+            inside, _, _ = _sides(points[own], sizes[own], cut, radius, slack)
+            _, may_in, may_out = _sides(points[ask], sizes[ask], cut, radius, slack)
+            if cut[0] < 0 or 8 * (may_in.sum() + may_out.sum()) <= 15 * len(ask) or len(own) > 4 * LEAF:
+                stack += [(own[inside], ask[may_in]), (own[~inside], ask[may_out])]
+                continue
         for k in range(0, len(own), 4 * LEAF):
             part = own[k : k + 4 * LEAF]
-            label = _leaf_classes(points[part], radius)
+            label = _leaf_classes(near(part, part))
             order = np.argsort(label, kind="stable")
             part, label = part[order], label[order]
             begins = np.flatnonzero(np.diff(label, prepend=-1))
-            inside = np.repeat(part[begins], np.diff([*begins, len(part)]))
-            forest.join(np.stack([inside, part], axis=1)[inside != part])
-            for j in range(0, len(ask), 4096):
-                some = ask[j : j + 4096]
-                near = np.bitwise_count(points[some][:, None] ^ points[part][None, :]) <= radius
-                rows, classes = np.nonzero(np.logical_or.reduceat(near, begins, axis=1))
-                forest.join(np.stack([some[rows], part[begins[classes]]], axis=1))
+            leader = np.repeat(part[begins], np.diff([*begins, len(part)]))
+            forest.join(np.stack([leader, part], axis=1)[leader != part])
+            for j in range(0, len(ask), 1024):
+                some = ask[j : j + 1024]
+                rows, columns = np.nonzero(near(some, part))
+                if len(rows):
+                    classes = np.searchsorted(begins, columns, side="right") - 1
+                    pair = np.unique(np.stack([some[rows], part[begins[classes]]], axis=1), axis=0)
+                    forest.join(pair[pair[:, 0] != pair[:, 1]])
     return forest.edges
 
 
 # --- the operator --------------------------------------------------------------------------------
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (key, fp) for every row of ``docs``, written to the shared folder."""
-    return materialize(docs.select(doc_key().alias("key"), fingerprint_column(F.col("text")).alias("fp")), "simhash")
-
-
-def link_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between ids whose classes (id, fp) have fingerprints within ``radius`` bits.
+def link_classes(classes: DataFrame, radius: int = RADIUS, slack: float | None = None) -> DataFrame:
+    """Edges (a, b) between ids whose classes (id, fp, size) have fingerprints within ``radius`` bits.
 
-    The edges span every component of such links; no link is lost and copies give none.
+    With ``slack`` their sizes must differ by it at most. The edges span every component of such links; no
+    link is lost and copies give none.
     """
     n = classes.count()
     depth = 0 if n < SPREAD_FROM else max(SPREAD_DEPTH, int(np.ceil(np.log2(n / SHARD_ROWS))))
-    size = min(SAMPLE, SAMPLE_PER_SHARD << depth)
-    every = max(1, n // size)
-    sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").limit(2 * size).toPandas()["fp"] if depth else pd.Series([], dtype="int64")
-    nodes = fit_tree(np.sort(sample.to_numpy(dtype=np.int64)).view(np.uint64), depth)
+    wanted = min(SAMPLE, SAMPLE_PER_SHARD << depth) if depth else 0
+    some = F.pmod(F.xxhash64("fp"), F.lit(max(1, n // max(1, wanted)))) == 0
+    sample = classes.where(some).select("fp", "size").limit(2 * wanted).toPandas().sort_values(["fp", "size"])
+    nodes = fit_tree(sample["fp"].to_numpy(dtype=np.int64).view(np.uint64), sample["size"].to_numpy(dtype=np.float64), depth, radius, slack)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 10_000):
-                part = pdf.iloc[at : at + 10_000]
-                ids, fps = part["id"].to_numpy(), part["fp"].to_numpy()
-                for shard, rows, home in route(fps.view(np.uint64), nodes, radius):
-                    yield pd.DataFrame({"shard": shard, "id": ids[rows], "fp": fps[rows], "home": home})
+            ids, fps, sizes = pdf["id"].to_numpy(), pdf["fp"].to_numpy(), pdf["size"].to_numpy()
+            for shard, rows, home in route(fps.view(np.uint64), sizes, nodes, radius, slack):
+                yield pd.DataFrame({"shard": shard, "id": ids[rows], "fp": fps[rows], "size": sizes[rows], "home": home})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home", "fp"], ascending=[False, True])
-        ids, own = pdf["id"].to_numpy(), int(pdf["home"].sum())
-        fps = pdf["fp"].to_numpy().view(np.uint64)
-        edges = link_shard(fps[:own], fps[own:], radius)
+        ids = pdf["id"].to_numpy()
+        edges = link_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), int(pdf["home"].sum()), radius, slack)
         a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    sent = classes.mapInPandas(send, "shard int, id long, fp long, home boolean")
+    sent = classes.mapInPandas(send, "shard int, id long, fp long, size double, home boolean")
     return sent.groupBy("shard").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE_WORDS, distinct: bool = False, similarity: float | None = None) -> DataFrame:
     """Rows (key, fp, component) for every row of ``docs`` (doc_id, text).
 
     Fingerprints within ``radius`` bits are linked; ``component`` is the smallest key reachable. Equal
     fingerprints are grouped first, so a group of copies of any size is one point of the tree, and a table
     of ids is all that is shuffled. Texts without words have fingerprint zero and are linked like others.
     Rows that repeat a doc_id keep their own fingerprint each; such rows may tie their components together.
+
+    With ``similarity`` texts whose numbers of shingles lie further apart than this ratio are not linked:
+    sets of such sizes cannot have that Jaccard similarity, and the tree prunes by size too.
     """
-    prints = fingerprints(docs)
-    classes = materialize(prints.groupBy("fp").agg(F.min("key").alias("id")), "classes")
-    found = connected_components(link_classes(classes, radius), "a", "b")
-    owned = classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return prints.join(owned, "fp").select("key", "fp", "component")
+    slack = None if similarity is None else float(np.log(1 / similarity)) + 1e-9
+    size = F.lit(0.0) if slack is None else F.log(F.greatest("p.shingles", F.lit(1)).cast("double"))
+    texts = docs.select(doc_key().alias("key"), fingerprint_column(F.col("text"), n, distinct).alias("p"))
+    prints = materialize(texts.select("key", "p.fp", size.alias("size")), "simhash")
+    classes = materialize(prints.groupBy("fp", "size").agg(F.min("key").alias("id")), "classes")
+    found = connected_components(link_classes(classes, radius, slack), "a", "b")
+    owned = classes.join(found, classes.id == found.node, "left").select("fp", "size", F.coalesce("component", "id").alias("component"))
+    return prints.join(owned, ["fp", "size"]).select("key", "fp", "component")
 
 
 def hex_fingerprint(c: str) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+#: For whole near copies: sets of word pairs, whose fingerprints differ by COPY_RADIUS bits or fewer for nearly
+#: all pairs of texts with a Jaccard similarity of five-word shingles of COPY_SIMILARITY or more.
+COPY_WORDS, COPY_RADIUS, COPY_SIMILARITY = 2, 8, 0.8
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
 
     Rows that repeat this doc_id stay out but for one (the least text). All columns are kept.
     """
-    found = near_duplicates(docs, radius)
+    found = near_duplicates(docs, radius, n, True, similarity)
     gone = found.where("key != component").select(F.col("key").alias("_cw_key")).distinct()
     rest = docs.withColumn("_cw_key", doc_key()).join(gone, "_cw_key", "left_anti")
     if not found.groupBy("key").count().where("count > 1").isEmpty():

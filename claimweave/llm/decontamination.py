@@ -208,19 +208,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns, in one pass for each index."""
     for index in build_indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for texts in batches:
-                ok = np.ones(len(texts), dtype=bool)
-                ok[[f[0] for f in shared.value.search(texts.tolist())]] = False
-                yield pd.Series(ok)
-
+        clean = _clean_udf(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.withColumn("_cw_clean", clean(F.col("text"))).where("_cw_clean").drop("_cw_clean")
     return docs
 
 
+def _clean_udf(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            ok = np.ones(len(texts), dtype=bool)
+            ok[[f[0] for f in shared.value.search(texts.tolist())]] = False
+            yield pd.Series(ok)
+
+    return clean
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a test item that it holds."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

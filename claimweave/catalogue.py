@@ -1,12 +1,368 @@
-"""All registered queries and the SQL of those that SQL can express."""
+"""All registered queries and the SQL of those that SQL can express. Each runs over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import hashing, idents, safety, scores, text, urls
+from .operators import dedupe, evidence, metrics, store
+from .sources.search import table
+from .streaming import limits
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _in(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+# SQL of the URL functions
+_DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
+_TIER = (
+    "CASE "
+    + " ".join(f"WHEN {' OR '.join(f"d = '{n}' OR ends_with(d, '.{n}')" for n in names.split())} THEN {t}" for t, names in urls.TIERS.items())
+    + " "
+    + " ".join(f"WHEN regexp_matches(d, '{h}') THEN {t}" for t, h in urls.HINTS)
+    + f" ELSE {urls.OTHER_TIER} END"
+)
+_KEPT = f"array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?i:{'|'.join(urls.TRACKING)})'))), '&')"
+_CANONICAL = f"CASE WHEN {_DOMAIN} <> '' THEN 'https://' || {_DOMAIN} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END END"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", "url", urls.canonical_url(url).alias("canonical"), urls.domain_of(url).alias("domain"))
+
+
+@query(f"SELECT page_id, {_CANONICAL} AS canonical, {_DOMAIN} AS domain FROM pages")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", "canonical", "domain")
+
+
+@query(f"SELECT page_id, d AS domain, {_TIER} AS tier FROM (SELECT page_id, {_DOMAIN} AS d FROM pages)")
+def domain_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", "domain", urls.domain_tier(F.col("domain")).alias("tier"))
+
+
+@query(f"""
+SELECT canonical, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_CANONICAL} AS canonical FROM pages) GROUP BY canonical""")
+def url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).groupBy("canonical").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT page_id, d AS domain, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY page_id) = 1 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS independence
+FROM (SELECT page_id, {_DOMAIN} AS d FROM pages)""")
+def domain_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.independence(_pages(spark, sf_dir), ["domain"], "page_id").select("page_id", "domain", "independence")
+
+
+_SCORED = f"""
+WITH p AS (SELECT page_id, {_DOMAIN} AS d FROM pages),
+t AS (SELECT page_id, d, {_TIER} AS tier, CASE WHEN row_number() OVER (PARTITION BY d ORDER BY page_id) = 1 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END AS ind FROM p),
+s AS (SELECT d, tier, (CASE tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.35::DOUBLE END) * 0.2::DOUBLE + ind * 0.1::DOUBLE AS q FROM t)
+SELECT d AS domain, min(tier) AS tier, count(*) AS n_pages, floor(max(q) * 10000 + 0.5) / 10000 AS best FROM s GROUP BY d"""
+
+
+@query(_SCORED)
+def scored_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages scored by domain: address, tier, independence and the share of the quality that follows from these."""
+    ranked = dedupe.independence(_pages(spark, sf_dir).withColumn("tier", urls.domain_tier(F.col("domain"))), ["domain"], "page_id")
+    quality = scores.total_quality(authority=urls.authority(F.col("tier")), independence=F.col("independence"))
+    return ranked.withColumn("q", quality).groupBy("domain").agg(F.min("tier").alias("tier"), F.count("*").alias("n_pages"), scores.half_up(F.max("q"), 4).alias("best"))
+
+
+flagship = scored_domains
+
+_NORM = rf"trim(regexp_replace(regexp_replace(translate(lower(translate(text, '{text.MARKED}', '{text.PLAIN}')), '‘’', ''''''), '[^a-z0-9+\-.''/ ]', ' ', 'g'), ' +', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, length({_NORM}) AS n_norm, sha256({_NORM}) AS norm_sha256 FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    norm = text.normalize_match(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(norm).alias("n_norm"), F.sha2(norm, 256).alias("norm_sha256"))
+
+
+@query(f"SELECT sha256({_NORM}) AS text_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_match(F.col("text")), 256).alias("text_hash"))
+    return hashed.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+_SEG = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;•|])[ \t\r\n]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(regexp_replace(s, '[\t\n\f\r\v ]+', ' ', 'g'), ' ')), lambda s: s <> '')"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, {_SEG} AS segs FROM documents)
+SELECT doc_id, len(segs)::INT AS n_segments, len(list_filter(segs, lambda s: length(s) BETWEEN 12 AND 1200))::INT AS n_admissible,
+       coalesce(list_max(list_transform(segs, lambda s: length(s))), 0)::INT AS longest FROM s""")
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = table(spark, sf_dir, "documents").select("doc_id", text.split_segments(F.col("text")).alias("segs"))
+    return segs.select("doc_id", F.size("segs").alias("n_segments"), F.size(F.filter("segs", lambda s: text.admissible(s))).alias("n_admissible"), F.coalesce(F.array_max(F.transform("segs", lambda s: F.length(s))), F.lit(0)).alias("longest"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[\t\n\f\r\v ]+'), lambda w: w <> ''))::INT AS n_words FROM documents")
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE text ILIKE '%the%' OR role ILIKE '%assist%'")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where(F.col("text").ilike("%the%") | F.col("role").ilike("%assist%")).select("conv_id", "turn")
+
+
+def _injection_sql() -> str:
+    clean, steps, n = "coalesce(text, '')", [], []
+    steps.append(f"s0 AS (SELECT doc_id, {clean} AS t FROM documents)")
+    for k, (_, severity, pattern) in enumerate(safety.INSTRUCTIONS):
+        carried = "".join(f", c{j}" for j in range(k))
+        steps.append(f"s{k + 1} AS (SELECT doc_id{carried}, len(regexp_extract_all(t, '{pattern}')) AS c{k}, regexp_replace(t, '{pattern}', '{safety.MARKER}', 'g') AS t FROM s{k})")
+        n.append(f"c{k} * {2 if severity == 'high' else 1}")
+    return f"WITH {', '.join(steps)} SELECT doc_id, ({' + '.join(n)})::INT AS risk, sha256(t) AS clean_sha256 FROM s{len(safety.INSTRUCTIONS)}"
+
+
+@query(_injection_sql())
+def injection_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", safety.neutralise(F.col("text")).alias("f"))
+    return found.select("doc_id", "f.risk", F.sha2("f.clean", 256).alias("clean_sha256"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality::DOUBLE, 0.4::DOUBLE) AS source_quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def left_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("question_id"), F.col("doc_id").alias("source_id"))
+    sources = table(spark, sf_dir, "labels").select(F.lit(0).alias("question_id"), F.col("doc_id").alias("source_id"), F.col("quality").cast("double").alias("quality"))
+    return evidence.with_quality(claims, sources).select("doc_id", "source_quality")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("""
+SELECT d.source, count(*) FILTER (l.toxic = 0) AS n_support, count(*) FILTER (l.toxic = 1) AS n_oppose
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
+HAVING count(*) FILTER (l.toxic = 0) > 0 AND count(*) FILTER (l.toxic = 1) > 0""")
+def conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return evidence.conflicts(joined.groupBy("source").agg(F.count_if(F.col("toxic") == 0).alias("n_support"), F.count_if(F.col("toxic") == 1).alias("n_oppose")))
+
+
+@query("""
+SELECT user_id, event_type, count(*) AS n, floor(avg(value) * 10000 + 0.5) / 10000 AS avg_value, max(value) AS max_value, min_by(event_id, (ts, event_id)) AS first_event
+FROM events GROUP BY user_id, event_type""")
+def cluster_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), scores.half_up(F.avg("value"), 4).alias("avg_value"), F.max("value").alias("max_value"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"))
+
+
+def _event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as claims: purchases support, errors oppose, views specify; the source is the part number k of props."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = table(spark, sf_dir, "events").where("event_type in ('purchase', 'error', 'view')")
+    return events.select(
+        F.col("user_id").alias("question_id"), F.when(F.col("event_type") == "purchase", "compatible").when(F.col("event_type") == "error", "not_compatible").otherwise("spec_only").alias("claim"),
+        F.least(F.lit(1.0), F.floor("value") / 64).alias("strength"), ((k % 8) / 8).alias("source_quality"), (k % 5).alias("source_domain"), (k % 2 == 0).alias("exact"), (k % 7 == 0).alias("part_number_matched"),
+    )
+
+
+_TOTALS = """
+WITH c AS (
+  SELECT user_id, CASE event_type WHEN 'purchase' THEN 's' WHEN 'error' THEN 'o' ELSE 'x' END AS kind, least(1.0::DOUBLE, floor(value) / 64::DOUBLE) AS strength,
+         (json_extract_string(props, '$.k')::INT) AS k FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+f AS (SELECT *, (k % 8)::DOUBLE / 8 AS q, k % 5 AS dom, k % 2 = 0 AS exact FROM c),
+g AS (
+  SELECT user_id, count(*) FILTER (exact AND kind = 's') AS n_s, count(*) FILTER (exact AND kind = 'o') AS n_o, count(*) FILTER (exact AND kind = 'x') AS n_x, count(*) FILTER (NOT exact AND kind = 's') AS n_sib,
+    coalesce(sum(strength * (0.5 + 0.5 * q)) FILTER (exact AND kind = 's'), 0)::DOUBLE AS w_s, coalesce(sum(strength * (0.5 + 0.5 * q)) FILTER (exact AND kind = 'o'), 0)::DOUBLE AS w_o,
+    coalesce(sum(strength) FILTER (exact AND kind = 's'), 0)::DOUBLE AS s_s, coalesce(sum(strength) FILTER (exact AND kind = 'o'), 0)::DOUBLE AS s_o,
+    count(DISTINCT dom) FILTER (exact AND kind = 's') AS d_s, count(DISTINCT dom) FILTER (exact AND kind = 'o') AS d_o,
+    coalesce(max(strength) FILTER (exact AND kind = 's'), 0)::DOUBLE AS b_s, coalesce(max(strength) FILTER (exact AND kind = 'o'), 0)::DOUBLE AS b_o,
+    coalesce(avg(q) FILTER (exact AND kind = 's'), 0)::DOUBLE AS q, count(DISTINCT dom) FILTER (q >= 0.6) AS good, bool_or(k % 7 = 0) AS num, bool_or(exact) AS ex
+  FROM f GROUP BY user_id),
+v AS (
+  SELECT *, CASE WHEN n_s + n_o + n_x + n_sib = 0 THEN 'insufficient_evidence'
+    WHEN w_o > 1.15 * w_s AND d_o >= 1 AND b_o >= 0.55 AND d_s = 0 THEN 'not_compatible'
+    WHEN n_s > 0 AND n_o > 0 THEN 'uncertain'
+    WHEN n_o > 0 THEN CASE WHEN b_o >= 0.55 THEN 'not_compatible' ELSE 'uncertain' END
+    WHEN n_s = 0 AND n_sib > 0 THEN 'uncertain'
+    WHEN n_s = 0 THEN CASE WHEN n_x > 0 THEN 'uncertain' ELSE 'insufficient_evidence' END
+    WHEN d_s >= 3 AND q >= 0.6 AND b_s >= 0.6 THEN 'compatible'
+    WHEN d_s >= 2 AND q >= 0.5 THEN 'likely_compatible'
+    WHEN b_s >= 0.6 THEN 'likely_compatible' ELSE 'uncertain' END AS verdict FROM g),
+r AS (
+  SELECT *, floor(least(1.0, greatest(0.0, q * 0.24 + least(1.0, d_s / 3) * 0.22 + CASE WHEN s_s + s_o > 0 THEN s_s / (s_s + s_o) ELSE 0 END * 0.20
+      + (CASE WHEN num THEN 0.2::DOUBLE ELSE 0 END) * 0.12 + CASE WHEN num THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN good >= 2 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN ex THEN 0.04::DOUBLE ELSE 0 END
+      - least(0.25::DOUBLE, CASE WHEN n_s > 0 AND n_o > 0 THEN 1 ELSE 0 END * 0.12::DOUBLE)
+      - CASE WHEN n_s + n_o = 0 THEN 0.35::DOUBLE WHEN n_s + n_o = 1 THEN 0.12::DOUBLE ELSE 0 END
+      - CASE WHEN d_s = 1 THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN NOT ex AND n_s + n_o > 0 THEN 0.12::DOUBLE ELSE 0 END)) * 100 + 0.5)::INT AS raw FROM v)
+"""
+
+
+@query(_TOTALS + "SELECT user_id AS question_id, n_s AS n_support, n_o AS n_oppose, d_s AS d_support, d_o AS d_oppose, verdict FROM v")
+def verdict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("question_id", "n_support", "n_oppose", "d_support", "d_oppose", "verdict")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = evidence.side_totals(_event_claims(spark, sf_dir))
+    both = ((F.col("n_support") > 0) & (F.col("n_oppose") > 0)).cast("int")
+    return evidence.judge(totals.withColumn("coverage", F.lit(0.0)).withColumn("n_conflicts", both).withColumn("n_risks", F.lit(0)))
+
+
+@query(
+    _TOTALS
+    + """, h AS (SELECT *, n_s > 0 AS sup, n_o > 0 AS opp, verdict IN ('compatible', 'likely_compatible') AS strong FROM r),
+l AS (SELECT *, CASE WHEN verdict = 'not_compatible' THEN 'NOT_COMPATIBLE' WHEN verdict = 'insufficient_evidence' THEN 'UNKNOWN'
+    WHEN sup AND opp THEN CASE WHEN raw >= 55 THEN 'POSSIBLE' ELSE 'UNKNOWN' END WHEN NOT sup THEN CASE WHEN raw >= 35 THEN 'POSSIBLE' ELSE 'UNKNOWN' END
+    WHEN strong AND d_s >= 4 AND raw >= 85 AND good >= 2 AND NOT opp THEN 'CONFIRMED' WHEN strong AND d_s >= 3 AND raw >= 72 THEN 'HIGH_CONFIDENCE'
+    WHEN raw >= 55 THEN 'LIKELY' WHEN raw >= 35 THEN 'POSSIBLE' ELSE 'UNKNOWN' END AS lv,
+  CASE WHEN verdict = 'not_compatible' THEN greatest(raw, 60) WHEN verdict = 'insufficient_evidence' THEN least(raw, 18) WHEN sup AND opp THEN least(raw, 58) WHEN NOT sup THEN least(raw, 40) ELSE raw END AS held FROM h),
+m AS (SELECT *, CASE WHEN strong AND sup AND NOT opp AND lv = 'UNKNOWN' THEN 'POSSIBLE' ELSE lv END AS lv2 FROM l)
+SELECT user_id AS question_id, (CASE WHEN strong AND sup AND NOT opp AND lv2 = 'LIKELY' THEN greatest(held, 55) WHEN strong AND sup AND NOT opp AND lv2 = 'POSSIBLE' THEN greatest(held, 35) ELSE held END)::INT AS score,
+  CASE WHEN lv2 IN ('CONFIRMED', 'HIGH_CONFIDENCE') AND NOT ex THEN 'LIKELY' ELSE lv2 END AS level FROM m"""
+)
+def confidence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("question_id", "score", "level")
+
+
+@query("SELECT * FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 15)")
+def popular_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.popular(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, floor(100.0 * count(*) / sum(count(*)) OVER () + 0.5)::BIGINT AS percent FROM orders GROUP BY o_orderpriority")
+def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.distribution(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, floor(coalesce(sum(value) FILTER (event_type = 'click'), 0) * 100 + 0.5) / 100 AS sum_click,
+       count(*) FILTER (event_type = 'purchase') AS n_purchase, floor(coalesce(sum(value) FILTER (event_type = 'purchase'), 0) * 100 + 0.5) / 100 AS sum_purchase FROM events GROUP BY user_id""")
+def usage_filtered_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.filtered_sums(table(spark, sf_dir, "events"), "user_id", "event_type", "value", ("click", "purchase"))
+    return found.withColumn("sum_click", scores.half_up(F.col("sum_click"))).withColumn("sum_purchase", scores.half_up(F.col("sum_purchase")))
+
+
+@query("""
+SELECT error_key, count(*) AS n, max(ts) AS last_seen FROM (
+  SELECT user_id::VARCHAR AS error_key, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 500)
+GROUP BY error_key ORDER BY n DESC, error_key LIMIT 10""")
+def error_groups_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return metrics.latest_errors(errors, F.col("user_id").cast("string"), "ts", "event_id")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+r AS (
+  SELECT user_id, event_id, n, [ms] AS times, true AS allowed FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN len(list_filter(r.times, lambda t: e.ms - t < 86400000)) < 2 THEN list_append(list_filter(r.times, lambda t: e.ms - t < 86400000), e.ms) ELSE list_filter(r.times, lambda t: e.ms - t < 86400000) END,
+         len(list_filter(r.times, lambda t: e.ms - t < 86400000)) < 2
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, allowed FROM r""")
+def rate_limit_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 2, limits.DAY_MS)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+r AS (
+  SELECT user_id, event_id, n, ms + 86400000 AS expires, false AS hit FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN e.ms <= r.expires THEN r.expires ELSE e.ms + 86400000 END, e.ms <= r.expires FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, count(*) FILTER (hit) AS hits, count(*) AS n, (count(*) FILTER (hit))::DOUBLE / count(*) AS hit_rate FROM r GROUP BY user_id""")
+def hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    hits = limits.cache_hits(events, "user_id", "ts", "event_id", limits.DAY_MS)
+    return store.count_hits(events.select("user_id", "event_id").join(hits, "event_id"), "user_id", "hit")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate, l_shipdate)::INT AS days
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY""")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows within a range of their key's row: an equi-join with the range as a condition, never a nested loop."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    within = (lines.l_orderkey == orders.o_orderkey) & lines.l_shipdate.between(orders.o_orderdate, orders.o_orderdate + F.expr("INTERVAL 30 DAY"))
+    return lines.join(orders, within).select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").alias("days"))
+
+
+ALIASES = ("ring", "widget", "bolt", "gear", "gizmo", "small", "red", "blue", "hot", "red widget", "small ring", "hot gear")
+_BY_LENGTH = sorted(ALIASES, key=len, reverse=True)
+
+
+@query(f"SELECT p_partkey, list_filter([{_in(_BY_LENGTH)}], lambda a: contains(p_name, a))[1] AS alias FROM part")
+def longest_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", idents.longest_alias(F.col("p_name"), ALIASES).alias("alias"))
+
+
+@query("""
+SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first_turn)::INT AS ref
+FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn FROM conversations)""")
+def ref_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.citation_numbers(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "role", "turn").select("conv_id", "turn", "ref")
+
+
+@query("""
+SELECT conv_id, turn FROM (SELECT conv_id, turn, max((text LIKE '%?%' OR length(text) < 200)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM conversations) WHERE near = 1""")
+def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.col("text").contains("?") | (F.length("text") < 200)
+    return dedupe.with_neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", hit).select("conv_id", "turn")
+
+
+@query("""
+SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1""")
+def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes by (user, type): the first half of the time is stored, the rest is merged in."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    half = F.to_timestamp(F.lit("2024-01-16 00:00:00"))
+    keys = ["user_id", "event_type"]
+    old, new = (store.latest_by_key(events.where(c), keys, "ts", "event_id") for c in (F.col("ts") < half, F.col("ts") >= half))
+    return store.upsert(old, new, keys, ["ts", "event_id", "value"]).select(*keys, "event_id", "value")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders) WHERE nth BETWEEN 4 AND 8""")
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.page(table(spark, sf_dir, "orders"), ["o_custkey"], 5, 3, F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "nth")
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("body")).select("page_id", F.sha2("body", 256).alias("text_sha256"), text.word_count(F.col("body")).alias("n_words"))
+
+
+@query(f"SELECT page_id, sha256('{{\"kind\":\"source\",\"url\":\"' || {_CANONICAL} || '\"}}') AS source_key FROM pages")
+def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", hashing.source_key(F.col("canonical")).alias("source_key"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension beyond the reference."""
+    return limits.tumbling_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, nth""")
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension beyond the reference."""
+    return limits.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+
+

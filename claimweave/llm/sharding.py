@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import doc_key, key_to_id, materialize, whole_text
 
 #: Groups that one task differences at a time, composites that it leaves, small groups that it passes on whole.
-BUCKET, COMPOSITES, FILLERS = 2_048, 32, 16
+BUCKET, COMPOSITES, FILLERS = 4_096, 256, 64
 #: Items of the last differencing, which the driver does; the bound does not grow with the data.
 LAST = 16_384
 #: Rows of a block of slots.
@@ -79,7 +79,7 @@ def _compose(items: DataFrame, heavy: float, level: int) -> DataFrame:
 def balance(groups: DataFrame, n_shards: int) -> DataFrame:
     """Rows (item, shard) for the groups (item string, unique; weight long), near equal in weight by shard.
 
-    Each level replaces about 2048 groups by 48, all in tasks of bounded size; the last LAST items or fewer
+    Each level replaces about 4096 groups by 320, all in tasks of bounded size; the last LAST items or fewer
     are differenced on the driver. A group heavier than a 64th of a shard is never merged before that, and
     there are at most 64 x n_shards of these.
     """

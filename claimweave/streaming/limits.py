@@ -68,8 +68,12 @@ def cache_hits(df: DataFrame, key: str, ts: str, tie: str, ttl_ms: int) -> DataF
     return _scan(df, key, ts, tie, "hit", cache_step(ttl_ms))
 
 
-def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int, window_ms: int) -> DataFrame:
-    """Streaming twin of :func:`rate_limited`: state is the allowed times of a key and goes after a silent window."""
+def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int, window_ms: int, evict: bool = False) -> DataFrame:
+    """Streaming twin of :func:`rate_limited`: state is the allowed times of a key.
+
+    With ``evict`` a key's state goes after a silent window of processing time; such a query always has work
+    to do, so it suits continuous running only.
+    """
 
     def update(k, batches, state):
         if state.hasTimedOut:
@@ -82,11 +86,12 @@ def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: i
             times, flag = step(times, ms)
             flags.append(flag)
         state.update((list(times),))
-        state.setTimeoutDuration(window_ms)
+        if evict:
+            state.setTimeoutDuration(window_ms)
         yield pd.DataFrame({"id": rows["id"], "allowed": flags})
 
     rows = events.select(F.col(key).cast("string").alias("k"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(tie).cast("long").alias("id"))
-    return rows.groupBy("k").applyInPandasWithState(update, "id long, allowed boolean", "times array<long>", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("k").applyInPandasWithState(update, "id long, allowed boolean", "times array<long>", "append", "ProcessingTimeTimeout" if evict else "NoTimeout")
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: str, width: str, late: str | None = None) -> DataFrame:

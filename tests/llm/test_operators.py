@@ -1,0 +1,268 @@
+"""Edge cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claimweave.llm import cws, decontamination, licenses, linededup, mixing, pii, queries, sharding, simhash, toxicity, urlfilter
+from claimweave.llm.components import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key int, shard int, _nth int"
+LONG = "word " * 60_000 + "end"
+
+
+def docs_of(spark, texts, ids=None, sources=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", (sources or ["s"] * len(texts))[k], 0, 1, 2, 3, 4) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, a repeated row, a repeated id, a null id, white space, other scripts and a long text."""
+    texts = [None, "", "a b c d e f", "a b c d e f", "a b c d e f", "other words on this line", " \t\n ", "日本語 текст", LONG, "no id"]
+    ids = [0, 1, 2, 3, 3, 3, 4, 5, 6, None]
+    sources = [None, "b", "a", "a", "a", "é", "b", "a", "b", None]
+    return docs_of(spark, texts, ids, sources).repartition(3)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_sql(spark, oracle, rows_of, sf, name):
+    assert rows_of(queries.QUERIES[name](spark, sf)) == oracle(queries.SQL[name])
+
+
+def test_empty_tables_and_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(0, 1), (None, 1), (2, None)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f"), (None, "x y"), (2, None), (3, "")], "item_id long, text string")
+    runs = {
+        "op1": lambda d: licenses.scan_licenses(d), "op2": lambda d: sharding.shard_documents(d), "op3": lambda d: cws.fingerprint_documents(d),
+        "op4": lambda d: toxicity.score_documents(d, labels), "op5": lambda d: linededup.dedup_lines(d), "op6": lambda d: decontamination.find_items(d, bench),
+        "op7": lambda d: mixing.mix_sources(d), "op9": lambda d: simhash.near_duplicates(d), "op10": lambda d: pii.replace_pii(d, b"k"),
+    }
+    for name, run in runs.items():
+        assert run(odd.limit(0)).count() == 0, name
+        if name not in ("op1", "op6"):
+            assert run(odd).count() == 10, name
+    assert {(r.key, r.item_id) for r in decontamination.find_items(odd, bench).collect()} == {(2, 1), (3, 1)}
+    assert licenses.scan_licenses(odd).count() == 0
+    assert decontamination.find_items(odd, bench.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    texts = ["before " * 90 + t + " after" * 70 for t in licenses.TEMPLATES.values()] + ["Released under the MIT", "RELEASED, under the mit license!"]
+    found = {(r.key, r.license) for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert {(k, n) for k, n in enumerate(licenses.TEMPLATES)} <= found
+    assert (len(texts) - 1, "mit-line") in found and not any(k == len(texts) - 2 for k, _ in found)
+    assert 1 - (1 - 0.5) ** licenses.bands_for(0.5) >= licenses.RECALL
+
+
+def test_sharding(spark):
+    rng = random.Random(1)
+    texts = [("x" * rng.randint(0, 900)) + str(k % 700) for k in range(900)] + ["hot copy" * 5] * 300 + [None, ""]
+    rows = sharding.shard_documents(docs_of(spark, texts)).collect()
+    size, slots, shard_of = Counter(), {}, {}
+    for r in rows:
+        size[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        text = texts[r.key] or ""
+        assert r.size == len(text.encode()) + 1 and r.text_crc32 == zlib.crc32(text.encode())
+        assert shard_of.setdefault(text, r.shard) == r.shard
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) < 100
+    parts = sharding.karmarkar_karp([8, 7, 6, 5, 4], 2)
+    assert sorted(sum(w for w, p in zip([8, 7, 6, 5, 4], parts) if p == k) for k in (0, 1)) == [14, 16]
+
+
+def test_sharding_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LAST", 1_000)
+    groups = spark.createDataFrame([(str(k), 10_000_000 if k == 0 else 1 + k % 977) for k in range(5_000)], "item string, weight long")
+    placed = sharding.balance(groups, 8).join(groups, "item")
+    sums = sorted(r.s for r in placed.groupBy("shard").agg(F.sum("weight").alias("s")).collect())
+    assert placed.count() == 5_000 and sums[-1] == 10_000_000 and sums[-2] - sums[0] < 0.02 * sums[0]
+
+
+def test_fingerprints_are_unbiased_and_edits_exact(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words, 50)) for _ in range(60)] + ["", None, "é" * 7]
+    rows = {r.key: r for r in cws.fingerprint_documents(docs_of(spark, texts), 64).collect()}
+    errors = []
+    for k, t in enumerate(texts):
+        t, nxt = t or "", texts[(k + 1) % len(texts)] or ""
+        m = len(t) // 4
+        edited = t[: len(t) - m] + nxt[:m]
+        assert rows[k].n_chars == len(t) and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = Counter(t.split()) or Counter([""]), Counter(edited.split()) or Counter([""])
+        errors.append(rows[k].near_edited - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
+    assert rows[60].fp == rows[61].fp and rows[60].near_next == 1.0 and rows[61].near_next == 0.0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "ero", "il", "umi", "ota")]
+    texts, toxic = [], []
+    for k in range(600):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 80))]
+        if k % 4 == 0:
+            words.insert(rng.randint(0, len(words)), rng.choice(["idjot", "idjots", "superidjot"]))
+        texts.append(" ".join(words))
+        toxic.append(int(k % 4 == 0))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = toxicity.score_documents(docs, labels).select("doc_id", "held_out", "score", "predicted").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    out = [r for r in rows if r.held_out]
+    assert np.mean([r.predicted == toxic[r.doc_id] for r in out]) > 0.97
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()} == {r.doc_id for r in rows if not r.predicted}
+
+
+def test_line_dedup_of_repeats(spark):
+    texts = ["Shared line here\nown a", "x\n  SHARED line HERE \nshared line here", "short\nshort", "short\nshort", None]
+    rows = {r.key: r for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [(rows[k].n_lines, rows[k].n_dropped, rows[k].kept) for k in range(5)] == [(2, 0, texts[0]), (3, 2, "x"), (2, 0, texts[2]), (2, 0, texts[3]), (1, 0, "")]
+
+
+def test_decontamination_equals_brute_force(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = {(r.key, r.item_id) for r in decontamination.find_items(docs, bench).collect()}
+    items = [decontamination.split_item(r.item_id, r.text) for r in bench.collect()]
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        h = decontamination._tokens(r.text)[1]
+        grams, words = decontamination.shingles(h), set(h.tolist())
+        want |= {(r.doc_id, i.item_id) for i in items if len(i.question & grams) / len(i.question) >= 0.8 and len(i.answer & words) / len(i.answer) >= 0.8}
+    assert got == want and want
+    clean = decontamination.drop_contaminated(docs, bench)
+    assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - {k for k, _ in want}
+
+
+def test_mixing_targets(spark):
+    assert mixing.source_targets({"a": 100, "b": 10, None: 0}) == {"a": 80.0, "b": 30.0, None: 0.0}
+    rng = random.Random(2)
+    docs = docs_of(spark, ["w " * rng.randint(0, 40) for _ in range(800)], sources=[rng.choice(["x", "y", "z", None]) for _ in range(800)])
+    rows = mixing.mix_sources(docs).toPandas()
+    totals = rows.groupby(["target", "source_size"])["taken"].sum()
+    assert all(abs(t - n) <= 40 for (t, _), n in totals.items()) and (rows["taken"] <= 3 * rows["size"]).all()
+    again = mixing.mix_sources(docs.repartition(5)).toPandas()
+    assert rows.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
+    assert mixing.mixed_rows(docs).select(mixing.word_count(F.col("text")).alias("n")).agg(F.sum("n")).first()[0] == rows["taken"].sum()
+
+
+def test_url_aliases(spark):
+    def page(k, url, target=None, tag="canonical"):
+        link = "" if target is None else f'<LINK rel="canonical" href="{target}">' if tag == "canonical" else f"<meta http-equiv='refresh' content='0; url={target}'>"
+        return (k, url, f"<html><head>{link}</head></html>", 1, "x")
+
+    pages = [
+        page(0, "http://a.net/x"), page(1, "https://b.io/1?q", "http://a.net/x#f"), page(2, "http://c.io/2", "http://b.io/1", "refresh"), page(3, "http://example.net/en/y"),
+        page(4, "http://d.io/3", "http://example.net/en/y"), page(5, "http://d.io/3?z", "http://a.net/q"), page(6, None), page(7, "plain"), page(8, "HTTP://Sub.Example.COM/de/?a"), page(9, "http://e.io/3"),
+        page(9, "http://e.io/3"),
+    ]
+    rows = urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string, host int, verdict string")).collect()
+    found = {r.page_id: (r.rule, r.verdict) for r in rows}
+    assert len(rows) == 11 and found == {
+        0: ("net/", "block"), 1: (None, "block"), 2: (None, "block"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"),
+        8: ("example.com/de/", "block"), 9: (None, "allow"),
+    }
+    assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_components_of_paths_hubs_and_loops(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert found == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(50)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("slack", [None, 0.3])
+def test_vantage_point_links_equal_brute_force(slack):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    flips = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3).astype(np.uint64)) for b in base[:300]]
+    dense = [base[0] ^ (np.uint64(1) << np.uint64(k)) for k in range(64)]
+    points = np.unique(np.concatenate([base, np.array(flips + dense, dtype=np.uint64), [np.uint64(0)]]))
+    rng.shuffle(points)
+    sizes = rng.random(len(points))
+    nodes = simhash.fit_tree(points[:500], sizes[:500], 4, 4, slack)
+    up = list(range(len(points)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    homes = np.zeros(len(points), dtype=int)
+    for _, rows, home in simhash.route(points, sizes, nodes, 4, slack):
+        homes[rows[home]] += 1
+        rows = np.concatenate([rows[home], rows[~home]])
+        for a, b in simhash.link_shard(points[rows], sizes[rows], int(home.sum()), 4, slack):
+            up[find(rows[b])] = find(rows[a])
+    assert (homes == 1).all()
+    near = (np.bitwise_count(points[:, None] ^ points[None, :]) <= 4) & (True if slack is None else np.abs(sizes[:, None] - sizes[None, :]) <= slack)
+    label = np.arange(len(points))
+    while True:
+        least = np.where(near, label[None, :], len(points)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    got = np.array([find(k) for k in range(len(points))])
+    assert all(len(set(label[got == g])) == 1 for g in set(got)) and len(set(got)) == len(set(label))
+
+
+def test_simhash_by_definition():
+    import xxhash
+
+    text = "The quick  Brown\tfox jumps over the lazy dog the quick brown fox"
+    w = text.lower().split()
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]), 42) for k in range(len(w) - 3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.simhash64(text) == (want, len(h))
+    assert simhash.simhash64(None) == simhash.simhash64(" \n") == (0, 0)
+    assert simhash.simhash64("one Two")[0] == xxhash.xxh64_intdigest("one two", 42)
+
+
+def test_one_copy_stays(spark):
+    rng = random.Random(4)
+    text = " ".join(str(rng.random()) for _ in range(300))
+    near = text.rsplit(" ", 1)[0] + " changed"
+    docs = docs_of(spark, [text, near, text, "an unrelated text of its own", text], [5, 9, 7, 8, 5])
+    kept = simhash.keep_one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 8] and len(kept[0]) == len(docs.columns)
+
+
+def test_pii(spark):
+    text = 'Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, +1 (017) 555-7713; card 4111 1111 1111 1111, 4111111111111111; 10.0.0.1; token = "ab12cd34ef56ab12cd34". Frau Meier met Herr Otto Klein; Г-н Иванов.'
+    other = "bob@mail.example.com and +1 (017) 555-7713"
+    rows = {r.key: r for r in pii.replace_pii(docs_of(spark, [text, other, "clean text", None]), b"k").collect()}
+    clean = rows[0].clean
+    kinds = [e[2].split(":")[0] for e in pii.find_entities(text)]
+    assert Counter(kinds) == Counter(email=2, phone=1, card=2, ip=1, secret=1, name=3) and rows[0].n_entities == 10
+    assert not any(v in clean for v in ("Lee", "555-7713", "4111", "ab12cd34", "Meier", "Klein", "Иванов"))
+    after = pii.find_entities(clean)
+    assert [e[2] for e in after] == [e[2] for e in pii.find_entities(text)]
+    assert len({e[3] for e in after if e[2] == "email"}) == 1 and len({e[3] for e in after if e[2] == "card"}) == 1 and pii.luhn(next(e[3] for e in after if e[2] == "card"))
+    phone = next(clean[s:e] for s, e, k, _ in after if k == "phone")
+    assert phone in rows[1].clean and rows[1].n_entities == 2 and rows[2].clean == "clean text" and rows[3].clean is None
+    assert pii.replace_pii(docs_of(spark, [text]), b"another").first().clean != clean
+
+
+def test_pii_collisions_are_drawn_again(spark):
+    names = [f"{a}{b}" for a in "BCDFGH" for b in ("ak", "el", "ir", "on", "ut", "am", "es", "ol")]
+    docs = docs_of(spark, [f"Herr {n} said so." for n in names])
+    rows = pii.replace_pii(docs, b"k").collect()
+    assert len({r.clean for r in rows}) == len(names)
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = corpus_pipeline.run(spark, sf).toPandas()
+    assert set(rows["doc_id"]) <= {r.doc_id for r in docs.select("doc_id").collect()} and len(rows) > 0
+    sizes = rows.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() < 100
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "mixing", "sharding"]

@@ -69,8 +69,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-
-
 # --- words of many texts at once, without a Python object per word ------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -132,6 +130,21 @@ def text_blocks(texts: list[bytes], limit: int = WordTable.BLOCK):
         yield first, len(texts)
 
 
+def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
+    """Hash of each run of n word hashes; fewer words give one of all."""
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    out = words[: len(words) - n + 1].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, n):
+            out = out * np.uint64(0x100000001B3) + words[k : len(words) - n + 1 + k]
+    return mix64(out)
+
+
 #: ASCII letters, digits and every byte of a non-ASCII character are word bytes.
 PLAIN_WORDS = np.zeros(256, dtype=bool)
 PLAIN_WORDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Every byte but ASCII white space.
+UNSPACED = np.ones(256, dtype=bool)
+UNSPACED[[0x20, *range(0x09, 0x0E)]] = False

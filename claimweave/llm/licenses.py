@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import PLAIN_WORDS, WordTable, doc_key, key_to_id, mix64, text_blocks
+from .common import PLAIN_WORDS, WordTable, doc_key, key_to_id, mix64, shingle_hashes, text_blocks
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -39,18 +39,6 @@ def bands_for(similarity: float, recall: float = RECALL) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity)))
 
 
-def shingle_hashes(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
-    """Hash of each run of n word hashes; fewer words give one of all."""
-    if not len(words):
-        return words
-    n = min(n, len(words))
-    out = words[: len(words) - n + 1].copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, n):
-            out = out * np.uint64(0x100000001B3) + words[k : len(words) - n + 1 + k]
-    return mix64(out)
-
-
 class TemplateIndex:
     """MinHash bands of templates, or of their pieces, by scale."""
 

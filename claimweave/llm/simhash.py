@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_to_id, materialize, whole_text
+from .common import UNSPACED, WordTable, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, whole_text
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
@@ -21,6 +21,8 @@ SPREAD_FROM, SPREAD_DEPTH = 8_192, 5
 #: The distributed tree is fitted on a bounded sample (never more than SAMPLE fingerprints); all are indexed.
 SAMPLE, SAMPLE_PER_SHARD = 65_536, 256
 LEAF = 256
+#: Sketches of the check that can follow: one byte for each of BINS bins of the hashes of CHECK_WORDS-word shingles.
+BINS, CHECK_WORDS = 256, 5
 
 
 def simhash64(text: str | None, n: int = SHINGLE_WORDS, seed: int = SEED, distinct: bool = False) -> tuple[int, int]:
@@ -54,6 +56,45 @@ def fingerprint_column(text: Column, n: int = SHINGLE_WORDS, distinct: bool = Fa
     return prints(text)
 
 
+def sketch_texts(texts: list[str | None], n: int = CHECK_WORDS) -> np.ndarray:
+    """One-permutation MinHash sketches (a row of BINS bytes each) of the word n-grams of ASCII-lower-cased texts.
+
+    A bin has the least hash that falls into it, as a byte from 1 on, or 0 if none does.
+    """
+    encoded = [(t or "").encode().lower() for t in texts]
+    out = np.zeros((len(texts), BINS), dtype=np.uint8)
+    none = np.uint64(2**64 - 1)
+    for first, last in text_blocks(encoded):
+        table = WordTable(encoded[first:last], UNSPACED)
+        grams, owner = [], []
+        if len(table.hash) >= n:
+            h = shingle_hashes(table.hash, n)
+            inside = table.text[: len(h)] == table.text[n - 1 :]
+            grams.append(h[inside]), owner.append(table.text[: len(h)][inside])
+        for k in np.flatnonzero((table.counts > 0) & (table.counts < n)):
+            grams.append(shingle_hashes(table.hash[table.first[k] : table.first[k + 1]], n)), owner.append(np.array([k]))
+        least = np.full((last - first) * BINS, none)
+        for h, k in zip(grams, owner):
+            np.minimum.at(least, k * BINS + (h % np.uint64(BINS)).astype(np.int64), h)
+        marks = np.where(least == none, 0, 1 + (mix64(least) >> np.uint64(32)) % np.uint64(255))
+        out[first:last] = marks.reshape(-1, BINS)
+    return out
+
+
+def sketch_column(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def sketches(texts: pd.Series) -> pd.Series:
+        return pd.Series([s.tobytes() for s in sketch_texts(texts.tolist())], dtype=object)
+
+    return sketches(text)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches, row by row: equal bins by bins that either fills; two empty ones: 1."""
+    empty = np.count_nonzero((x | y) == 0, axis=1)
+    return np.where(empty == BINS, 1.0, (np.count_nonzero(x == y, axis=1) - empty) / np.maximum(1, BINS - empty))
+
+
 # --- the tree ------------------------------------------------------------------------------------
 
 
@@ -168,16 +209,25 @@ def _leaf_classes(near: np.ndarray) -> np.ndarray:
         label = least
 
 
-def link_shard(points: np.ndarray, sizes: np.ndarray, homes: int, radius: int = RADIUS, slack: float | None = None) -> list[tuple[int, int]]:
+def link_shard(points: np.ndarray, sizes: np.ndarray, homes: int, radius: int = RADIUS, slack: float | None = None, sketches: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
     """Edges (pairs of row numbers) that span all links of the first ``homes`` points with all points.
 
     A tree over the home points prunes branches by the triangle inequality. In a leaf a query gets one edge for
-    each class of linked home points, so a dense group gives no edge for each of its pairs.
+    each class of linked home points, so a dense group gives no edge for each of its pairs. With ``sketches``
+    points are linked only if these are alike by ``least``.
     """
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         close = np.bitwise_count(points[a][:, None] ^ points[b][None, :]) <= radius
-        return close if slack is None else close & (np.abs(sizes[a][:, None] - sizes[b][None, :]) <= slack)
+        if slack is not None:
+            close &= np.abs(sizes[a][:, None] - sizes[b][None, :]) <= slack
+        if sketches is not None:
+            rows, columns = np.nonzero(close)
+            for k in range(0, len(rows), 1 << 13):
+                r, c = rows[k : k + (1 << 13)], columns[k : k + (1 << 13)]
+                apart = alike(sketches[a[r]], sketches[b[c]]) < least
+                close[r[apart], c[apart]] = False
+        return close
 
     forest = Forest(len(points))
     stack = [(np.arange(homes), np.arange(len(points)))]
@@ -214,10 +264,11 @@ def link_shard(points: np.ndarray, sizes: np.ndarray, homes: int, radius: int =
 # --- the operator --------------------------------------------------------------------------------
 
 
-def link_classes(classes: DataFrame, radius: int = RADIUS, slack: float | None = None) -> DataFrame:
-    """Edges (a, b) between ids whose classes (id, fp, size) have fingerprints within ``radius`` bits.
+def link_classes(classes: DataFrame, radius: int = RADIUS, slack: float | None = None, least: float = 0.0) -> DataFrame:
+    """Edges (a, b) between ids whose classes (id, fp, size, sketch) have fingerprints within ``radius`` bits.
 
-    With ``slack`` their sizes must differ by it at most. The edges span every component of such links; no
+    With ``slack`` their sizes must differ by it at most, with ``least`` over 0 their sketches must be as much
+    alike. The edges span every component of such links; no
     link is lost and copies give none.
     """
     n = classes.count()
@@ -229,22 +280,23 @@ def link_classes(classes: DataFrame, radius: int = RADIUS, slack: float | None =
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, fps, sizes = pdf["id"].to_numpy(), pdf["fp"].to_numpy(), pdf["size"].to_numpy()
+            ids, fps, sizes, sketches = pdf["id"].to_numpy(), pdf["fp"].to_numpy(), pdf["size"].to_numpy(), pdf["sketch"].to_numpy()
             for shard, rows, home in route(fps.view(np.uint64), sizes, nodes, radius, slack):
-                yield pd.DataFrame({"shard": shard, "id": ids[rows], "fp": fps[rows], "size": sizes[rows], "home": home})
+                yield pd.DataFrame({"shard": shard, "id": ids[rows], "fp": fps[rows], "size": sizes[rows], "sketch": sketches[rows], "home": home})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home", "fp"], ascending=[False, True])
         ids = pdf["id"].to_numpy()
-        edges = link_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), int(pdf["home"].sum()), radius, slack)
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, BINS) if least else None
+        edges = link_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["size"].to_numpy(), int(pdf["home"].sum()), radius, slack, sketches, least)
         a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    sent = classes.mapInPandas(send, "shard int, id long, fp long, size double, home boolean")
+    sent = classes.mapInPandas(send, "shard int, id long, fp long, size double, sketch binary, home boolean")
     return sent.groupBy("shard").applyInPandas(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE_WORDS, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE_WORDS, distinct: bool = False, similarity: float | None = None, least: float = 0.0) -> DataFrame:
     """Rows (key, fp, component) for every row of ``docs`` (doc_id, text).
 
     Fingerprints within ``radius`` bits are linked; ``component`` is the smallest key reachable. Equal
@@ -253,16 +305,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE_WORD
     Rows that repeat a doc_id keep their own fingerprint each; such rows may tie their components together.
 
     With ``similarity`` texts whose numbers of shingles lie further apart than this ratio are not linked:
-    sets of such sizes cannot have that Jaccard similarity, and the tree prunes by size too.
+    sets of such sizes cannot have that Jaccard similarity, and the tree prunes by size too. With ``least`` texts
+    are linked only if the sketches of their five-word shingles are alike by it.
     """
     slack = None if similarity is None else float(np.log(1 / similarity)) + 1e-9
     size = F.lit(0.0) if slack is None else F.log(F.greatest("p.shingles", F.lit(1)).cast("double"))
-    texts = docs.select(doc_key().alias("key"), fingerprint_column(F.col("text"), n, distinct).alias("p"))
-    prints = materialize(texts.select("key", "p.fp", size.alias("size")), "simhash")
-    classes = materialize(prints.groupBy("fp", "size").agg(F.min("key").alias("id")), "classes")
-    found = connected_components(link_classes(classes, radius, slack), "a", "b")
-    owned = classes.join(found, classes.id == found.node, "left").select("fp", "size", F.coalesce("component", "id").alias("component"))
-    return prints.join(owned, ["fp", "size"]).select("key", "fp", "component")
+    sketch = sketch_column(F.col("text")) if least else F.lit(b"")
+    texts = docs.select(doc_key().alias("key"), fingerprint_column(F.col("text"), n, distinct).alias("p"), sketch.alias("sketch"))
+    prints = materialize(texts.select("key", "p.fp", size.alias("size"), "sketch", F.xxhash64("sketch").alias("print")), "simhash")
+    # a row of a class goes by the hash of its sketch; only one sketch of the class is shuffled on
+    same = ["fp", "size", "print"]
+    classes = materialize(prints.groupBy(*same).agg(F.min("key").alias("id"), F.min("sketch").alias("sketch")), "classes")
+    found = connected_components(link_classes(classes.drop("print"), radius, slack, least), "a", "b")
+    owned = classes.join(found, classes.id == found.node, "left").select(*same, F.coalesce("component", "id").alias("component"))
+    return prints.join(owned, same).select("key", "fp", "component")
 
 
 def hex_fingerprint(c: str) -> Column:
@@ -272,6 +328,9 @@ def hex_fingerprint(c: str) -> Column:
 #: For whole near copies: sets of word pairs, whose fingerprints differ by COPY_RADIUS bits or fewer for nearly
 #: all pairs of texts with a Jaccard similarity of five-word shingles of COPY_SIMILARITY or more.
 COPY_WORDS, COPY_RADIUS, COPY_SIMILARITY = 2, 8, 0.8
+#: A link must also hold in the sketches of the five-word shingles. Their standard error at a similarity of 0.8 is
+#: at most 0.025 (less for texts of few shingles), so the bound stands a little below.
+COPY_ALIKE = 0.77
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
@@ -279,7 +338,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_W
 
     Rows that repeat this doc_id stay out but for one (the least text). All columns are kept.
     """
-    found = near_duplicates(docs, radius, n, True, similarity)
+    found = near_duplicates(docs, radius, n, True, similarity, COPY_ALIKE)
     gone = found.where("key != component").select(F.col("key").alias("_cw_key")).distinct()
     rest = docs.withColumn("_cw_key", doc_key()).join(gone, "_cw_key", "left_anti")
     if not found.groupBy("key").count().where("count > 1").isEmpty():

@@ -234,6 +234,28 @@ def test_one_copy_stays(spark):
     assert sorted(r.doc_id for r in kept) == [5, 8] and len(kept[0]) == len(docs.columns)
 
 
+def test_sketches_estimate_five_word_similarity():
+    rng = random.Random(6)
+    words = [str(rng.random()) for _ in range(3_000)]
+    sets = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))}
+    for n, edits in ((3_000, 20), (3_000, 60), (300, 8), (12, 1), (3, 0), (3, 1)):
+        a = words[:n]
+        b = [f"new{k}" if k in set(rng.sample(range(n), edits)) else w for k, w in enumerate(a)] if edits else list(a)
+        x, y = simhash.sketch_texts([" ".join(a), " ".join(b).upper()])
+        true = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        assert abs(simhash.alike(x[None], y[None])[0] - true) < 0.1
+    none = simhash.sketch_texts([None, " \n"])
+    assert (none == 0).all() and simhash.alike(none[:1], none[1:])[0] == 1.0
+
+
+def test_texts_that_share_words_but_not_shingles_stay(spark):
+    rng = random.Random(8)
+    text = [rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randint(0, 30)) for _ in range(400)]
+    other = [w if k % 9 else f"other{k}" for k, w in enumerate(text)]
+    kept = simhash.keep_one_of_each(docs_of(spark, [" ".join(text), " ".join(other), " ".join(text[:-1]) + " end"])).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1]
+
+
 def test_pii(spark):
     text = 'Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, +1 (017) 555-7713; card 4111 1111 1111 1111, 4111111111111111; 10.0.0.1; token = "ab12cd34ef56ab12cd34". Frau Meier met Herr Otto Klein; Г-н Иванов.'
     other = "bob@mail.example.com and +1 (017) 555-7713"

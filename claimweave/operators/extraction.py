@@ -11,7 +11,7 @@ from ..functions.safety import MARKER
 from ..functions.scores import claim_strength, strength_level
 from ..functions.text import admissible, normalize_match, split_segments
 
-_CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,category:string,part_raw:string,inherited:boolean>>"
+_CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,category:string,part_raw:string,inherited:boolean,named:boolean>>"
 
 
 def _about(segment: Column) -> Column:
@@ -51,7 +51,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
         category = F.when(follows, held["category"]).otherwise(F.coalesce(x["category"], held["category"], F.col("category")))
         part = F.when(follows, held["part_raw"]).otherwise(F.coalesce(x["phrase"], held["part_raw"], F.col("part")))
         weight = F.when(follows, F.lit(0.7)).otherwise(F.coalesce(x["said"]["weight"], F.lit(0.35)))
-        claim = F.struct(F.size(held["claims"]).alias("ordinal"), x["segment"].alias("segment"), kind.alias("claim"), weight.alias("weight"), category.alias("category"), part.alias("part_raw"), follows.alias("inherited"))
+        claim = F.struct(F.size(held["claims"]).alias("ordinal"), x["segment"].alias("segment"), kind.alias("claim"), weight.alias("weight"), category.alias("category"), part.alias("part_raw"), follows.alias("inherited"), (has_part | follows).alias("named"))
         return F.struct(
             F.when(own, kind).otherwise(held["kind"]).alias("kind"), F.when(own, category).otherwise(held["category"]).alias("category"), F.when(own, part).otherwise(held["part_raw"]).alias("part_raw"),
             F.when(own | follows, F.concat(held["claims"], F.array(claim).cast(_CLAIM))).otherwise(held["claims"]).alias("claims"),
@@ -64,7 +64,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     found = rows.withColumn("model_numbers", model_numbers(F.col("segment"))).withColumn("variant_markers", variant_markers(F.col("segment"))).withColumn("attributes", attributes(F.col("segment")))
     exact = F.col("inherited") | F.arrays_overlap(F.transform("model_numbers", lambda m: F.regexp_replace(F.upper(m), "-", "")), "_asked")
     numbers = part_numbers(F.col("segment"))
-    strength = claim_strength(F.col("weight"), F.coalesce(exact, F.lit(False)), F.size("model_numbers") > 0, ~F.col("inherited") & (F.size(numbers) > 0), F.lit(True), F.lit(True), ~F.col("inherited") & (F.size("attributes") > 0), F.col("claim"))
+    strength = claim_strength(F.col("weight"), F.coalesce(exact, F.lit(False)), F.size("model_numbers") > 0, ~F.col("inherited") & (F.size(numbers) > 0), F.lit(True), F.col("named"), ~F.col("inherited") & (F.size("attributes") > 0), F.col("claim"))
     return found.select(
         "question_id", "source_id", "ordinal", "claim", F.substring("segment", 1, 320).alias("evidence_text"), "category", "part_raw", "model_numbers", "variant_markers", "attributes", "inherited",
         F.coalesce(F.get(numbers, F.lit(0)), "part_number").alias("part_number"), strength.alias("strength"), strength_level(strength).alias("evidence_strength"),

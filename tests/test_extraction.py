@@ -19,6 +19,7 @@ def test_claims_and_carried_context(spark):
     rows = found.collect()
     assert [(r.source_id, r.claim, r.inherited) for r in rows] == [("s0", "compatible", False), ("s0", "compatible", True), ("s0", "not_compatible", False)]
     assert rows[1].model_numbers == ["SM-A155F", "SM-A156B"] and {r.part_raw for r in rows} == {"battery"} and {r.category for r in rows} == {"battery"}
+    assert rows[2].strength == pytest.approx(0.42 * 0.95 + 0.10)  # the part is carried over
     assert rows[0].strength == pytest.approx(0.42 * 0.95 + 0.18) and rows[1].strength == pytest.approx(0.42 * 0.7 + 0.22 + 0.18)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import hashing, idents, safety, scores, text, urls
-from .operators import dedupe, evidence, metrics, store
+from .functions import devices, hashing, idents, quality, safety, scores, text, urls
+from .operators import dedupe, evidence, extraction, metrics, sourcing, store
 from .sources.search import table
 from .streaming import limits
 
@@ -366,3 +366,92 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
 
 
+
+
+# A question on the generated words of documents, for the operators that need one
+_ASKED = {"device": "Thor Inti X12", "part": "erre tion", "part_number": "BY-NC", "part_category": "thre", "model_numbers": ["Ertionha", "TH-12"]}
+_DEVICE, _PART = ["thor", "inti", "x12"], ["erre", "tion"]
+_MODELS = [m.lower() for m in _ASKED["model_numbers"]]
+_TERMS = [*_DEVICE, *_PART, *_MODELS, "by-nc"]
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    fields = [F.array(*[F.lit(m) for m in v]).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in _ASKED.items()]
+    return spark.range(1).select(F.lit(1).alias("question_id"), *fields)
+
+
+def _some(haystack: str, words: list[str], fold: str = "OR") -> str:
+    return "(" + f" {fold} ".join(f"contains({haystack}, '{w}')" for w in words) + ")"
+
+
+def _quality_sql() -> str:
+    yes, no = ("|".join(p).replace("'", "''") for p in (quality.SUPPORTS, quality.OPPOSES))
+    d, p = _some("s", [*_DEVICE, *_MODELS]), _some("s", [*_PART, "by-nc"])
+    need = max(2, -(-len(_TERMS) * 7 // 10))
+    hits = " + ".join(f"contains(seen, '{w}')::INT" for w in _TERMS)
+    page, device, part = "' ' || lower(t)", _DEVICE, _PART
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(chr(10) || coalesce(lang, '') || chr(10) || left(coalesce(text, ''), {quality.LOOKED_AT})) AS seen FROM documents),
+j AS (SELECT doc_id, t, seen, list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace('. ' || t, '([.!?;:])[ \t\r\n]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: length(s) BETWEEN 12 AND 400), lambda s: lower(s)) AS ss FROM d),
+k AS (SELECT doc_id, t, seen, list_transform(ss, lambda s: CASE WHEN regexp_matches(s, '{yes}') AND {d} AND {p} THEN 1.0 WHEN (regexp_matches(s, '{yes}') OR regexp_matches(s, '{no}')) AND ({d} OR {p}) THEN 0.6 WHEN {d} AND {p} THEN 0.45 WHEN {d} OR {p} THEN 0.2 ELSE 0.0 END::DOUBLE) AS v FROM j),
+q AS (SELECT doc_id, least(1.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, ({hits})::DOUBLE / {need}) + CASE WHEN {_some("seen", _MODELS)} THEN 0.2::DOUBLE ELSE 0 END) + CASE WHEN contains(seen, 'by-nc') THEN 0.1::DOUBLE ELSE 0 END) AS relevance,
+  CASE WHEN coalesce(list_max(v), 0) = 0 THEN 0.1::DOUBLE ELSE list_max(v) END AS directness, coalesce(list_max(v) = 1, false) AS explicit,
+  CASE WHEN {_some(page, _MODELS)} THEN 1.0 WHEN {_some(page, device, "AND")} THEN 0.65 WHEN {_some(page, device)} THEN 0.4 ELSE 0.0 END::DOUBLE AS model,
+  CASE WHEN {_some(page, ["by-nc"])} THEN 1.0 WHEN {_some(page, part, "AND")} THEN 0.75 WHEN {_some(page, [*part, "thre"])} THEN 0.45 ELSE 0.1 END::DOUBLE AS part FROM k)
+SELECT doc_id, relevance, directness, explicit, model, part,
+  floor((relevance * 0.18::DOUBLE + directness * 0.18::DOUBLE + model * 0.12::DOUBLE + part * 0.12::DOUBLE + explicit::INT * 0.05::DOUBLE) * 10000 + 0.5) / 10000 AS share FROM q"""
+
+
+@query(_quality_sql())
+def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored as sources of one question; ``share`` is their part of the total that texts decide."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("question_id"), F.lit("").alias("title"), F.col("lang").alias("snippet"), "text")
+    scored = sourcing.text_scores(sources, _asked(spark))
+    parts = {n: F.col(n) for n in ("relevance", "directness", "model", "part")}
+    return scored.select("doc_id", *parts, "explicit", scores.half_up(scores.total_quality(**parts, depth=F.col("explicit").cast("double")), 4).alias("share"))
+
+
+_NAMED = sorted(((a, b) for b, _, names in devices.BRANDS for a in names), key=lambda n: -len(n[0]))
+
+
+@query(f"""
+SELECT p_partkey, list_filter([{", ".join(f"{{'a': '{a.strip()}', 'b': '{b}'}}" for a, b in _NAMED)}], lambda n: contains(' ' || p_name, ' ' || n.a))[1].b AS brand FROM part""")
+def part_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by the beginnings of words in part names."""
+    return table(spark, sf_dir, "part").select("p_partkey", devices.brand_of(F.col("p_name"))["brand"].alias("brand"))
+
+
+@query("""
+SELECT p_partkey, 'Samsung Galaxy A' || p_size AS phrase, 'samsung a' || p_size || ' 5g' AS family_key, 'samsung a' || p_size || '|5g' AS variant_key,
+  CASE WHEN p_size % 2 = 0 THEN 'GH82-' || lpad(p_partkey::VARCHAR, 6, '0') || 'A' END AS nearby FROM part""")
+def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices, keys and part numbers near a claim, read from sentences made of the part table."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("Samsung Galaxy A%d display for sale.", "p_size").alias("said"), F.format_string("samsung galaxy a%d 5g", "p_size").alias("name"), "p_size")
+    far = F.when(F.col("p_size") % 2 == 0, 100).otherwise(400)
+    page = F.concat("said", F.substring(F.lit(" " * 400), F.lit(1), far), F.format_string(" gh82-%06da", "p_partkey"))
+    key = devices.family_key(F.col("name"), F.lit("samsung"))
+    return p.select(
+        "p_partkey", devices.device_phrase(F.col("said")).alias("phrase"), key.alias("family_key"), devices.variant_key(key, idents.variant_markers(F.col("name"))).alias("variant_key"),
+        idents.number_near(idents.placed_numbers(page), F.lit(1), F.length("said")).alias("nearby"),
+    )
+
+
+def _document_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as the pages of one question, and the claims they make on it."""
+    pages = table(spark, sf_dir, "documents").select(F.lit(1).alias("question_id"), F.col("doc_id").cast("string").alias("source_id"), "text")
+    words = lambda w: F.array(*[F.lit(x) for x in w])
+    targets = _asked(spark).select("question_id", words(_DEVICE).alias("device_terms"), words(["x12"]).alias("device_cores"), words(_PART).alias("part_terms"), "part", "part_number", F.col("part_category").alias("category"), "model_numbers")
+    return pages, extraction.extract_claims(pages, targets)
+
+
+@query()
+def claim_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of all documents; each document's segments are folded in order within its row."""
+    return _document_claims(spark, sf_dir)[1].select("source_id", "ordinal", "claim", "part_raw", "inherited", scores.half_up(F.col("strength"), 4).alias("strength"))
+
+
+@query()
+def checklist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, claims = _document_claims(spark, sf_dir)
+    items = spark.createDataFrame([("thre", "connector", ["that", "v"]), ("thre", "voltage", ["no such words"]), ("thre", "device_model", [])], "category string, check_id string, indicators array<string>")
+    return extraction.run_checklists(_asked(spark).select("question_id", F.col("part_category").alias("category")), items, extraction.claim_context(claims, pages))

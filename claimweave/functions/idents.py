@@ -27,6 +27,25 @@ def part_numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PART_NUMBER), F.lit(0)))
 
 
+#: Part numbers as they are looked for around a claim (fixed values).
+NEAR_NUMBER = r"(?i:\bGH\d{2}-\d{4,6}[A-Z]\b)|(?i:\bEB-[A-Z0-9-]{4,14}\b)|\b(?:BN|BP|BM)\d{1,2}[A-Z0-9]?\b|(?i:\b821-\d{4,5}-[A-Z0-9]{1,3}\b)"
+
+
+def placed_numbers(text: Column) -> Column:
+    """Array of structs (value, at): part numbers in capitals with the place, from 1, of their first character."""
+    gaps, found = F.split(text, NEAR_NUMBER, -1), F.regexp_extract_all(text, F.lit(NEAR_NUMBER), F.lit(0))
+    lengths = lambda a: F.transform(a, lambda x: F.length(x))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
+    at = lambda k: total(F.slice(lengths(gaps), F.lit(1), k + 1)) + total(F.slice(lengths(found), F.lit(1), k)) + 1
+    return F.transform(found, lambda v, k: F.struct(F.upper(v).alias("value"), at(k).alias("at")))
+
+
+def number_near(numbers: Column, at: Column, length: Column, reach: int = 360) -> Column:
+    """First of ``placed_numbers`` that begins within ``reach`` characters of a passage; null if none or no place."""
+    near = F.filter(numbers, lambda n: (n["at"] >= at - reach) & (n["at"] <= at + length + reach))
+    return F.when(at > 0, F.get(near, F.lit(0))["value"])
+
+
 def variant_markers(text: Column) -> Column:
     """Markers of a text; ``pro max`` counts as one, ``max`` leaves out ``plus``."""
     tokens = F.split(normalize_match(text), " ")

@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.claims import BRAND_MENTION, any_in, attributes, canonical_part, claim_match
-from ..functions.idents import model_numbers, part_numbers, variant_markers
+from ..functions.idents import model_numbers, number_near, part_numbers, placed_numbers, variant_markers
 from ..functions.safety import MARKER
 from ..functions.scores import claim_strength, strength_level
 from ..functions.text import admissible, normalize_match, split_segments
 
-_CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,category:string,part_raw:string,inherited:boolean,named:boolean>>"
+_CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,category:string,part_raw:string,inherited:boolean,named:boolean,nearby:string>>"
 
 
-def _about(segment: Column) -> Column:
+def _places(text: Column, segments: Column) -> Column:
+    """Array of structs (segment, at): where each segment begins, looked for after the one before; 0 if changed by cleaning."""
+    def step(held: Column, segment: Column) -> Column:
+        at = F.position(segment, text, held["next"])
+        place = F.array(F.struct(segment.alias("segment"), at.alias("at")))
+        return F.struct(F.when(at > 0, at + F.length(segment)).otherwise(held["next"]).alias("next"), F.concat(held["places"], place).alias("places"))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<segment:string,at:int>>").alias("places"))
+    return F.aggregate(segments, start, step, lambda held: held["places"])
+
+
+def _about(place: Column) -> Column:
     """What a segment says, before the context of earlier segments counts."""
+    segment = place["segment"]
     norm = normalize_match(segment)
     models = model_numbers(segment)
     families = F.exists(models, lambda m: any_in(F.lower(m), F.col("device_cores")))
@@ -26,6 +38,7 @@ def _about(segment: Column) -> Column:
     return F.struct(
         segment.alias("segment"), claim_match(segment).alias("said"), device.alias("device"), (device | families | unasked).alias("device_side"),
         any_in(norm, F.col("part_terms")).alias("part"), number.alias("number"), listed.alias("listed"), canonical_part(segment)["category"].alias("category"),
+        number_near(F.col("_numbers"), place["at"], F.length(segment)).alias("nearby"),
         F.get(F.filter(F.array_sort(F.transform("part_terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: norm.contains(s["t"]))["t"], F.lit(0)).alias("phrase"),
     )
 
@@ -41,7 +54,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """
     joined = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).join(targets, "question_id")
     segments = F.filter(split_segments(F.col("text")), lambda s: admissible(s) & ~s.contains(MARKER))
-    told = joined.withColumn("_about", F.transform(segments, _about))
+    told = joined.withColumn("_numbers", placed_numbers(F.col("text"))).withColumn("_about", F.transform(_places(F.col("text"), segments), _about))
 
     def step(held: Column, x: Column) -> Column:
         has_part = x["part"] | x["number"]
@@ -51,7 +64,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
         category = F.when(follows, held["category"]).otherwise(F.coalesce(x["category"], held["category"], F.col("category")))
         part = F.when(follows, held["part_raw"]).otherwise(F.coalesce(x["phrase"], held["part_raw"], F.col("part")))
         weight = F.when(follows, F.lit(0.7)).otherwise(F.coalesce(x["said"]["weight"], F.lit(0.35)))
-        claim = F.struct(F.size(held["claims"]).alias("ordinal"), x["segment"].alias("segment"), kind.alias("claim"), weight.alias("weight"), category.alias("category"), part.alias("part_raw"), follows.alias("inherited"), (has_part | follows).alias("named"))
+        claim = F.struct(F.size(held["claims"]).alias("ordinal"), x["segment"].alias("segment"), kind.alias("claim"), weight.alias("weight"), category.alias("category"), part.alias("part_raw"), follows.alias("inherited"), (has_part | follows).alias("named"), x["nearby"].alias("nearby"))
         return F.struct(
             F.when(own, kind).otherwise(held["kind"]).alias("kind"), F.when(own, category).otherwise(held["category"]).alias("category"), F.when(own, part).otherwise(held["part_raw"]).alias("part_raw"),
             F.when(own | follows, F.concat(held["claims"], F.array(claim).cast(_CLAIM))).otherwise(held["claims"]).alias("claims"),
@@ -67,7 +80,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     strength = claim_strength(F.col("weight"), F.coalesce(exact, F.lit(False)), F.size("model_numbers") > 0, ~F.col("inherited") & (F.size(numbers) > 0), F.lit(True), F.col("named"), ~F.col("inherited") & (F.size("attributes") > 0), F.col("claim"))
     return found.select(
         "question_id", "source_id", "ordinal", "claim", F.substring("segment", 1, 320).alias("evidence_text"), "category", "part_raw", "model_numbers", "variant_markers", "attributes", "inherited",
-        F.coalesce(F.get(numbers, F.lit(0)), "part_number").alias("part_number"), strength.alias("strength"), strength_level(strength).alias("evidence_strength"),
+        F.coalesce(F.get(numbers, F.lit(0)), "nearby", "part_number").alias("part_number"), strength.alias("strength"), strength_level(strength).alias("evidence_strength"),
     )
 
 

@@ -15,21 +15,23 @@ _CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,cat
 
 
 def _places(text: Column, segments: Column) -> Column:
-    """Array of structs (segment, at): where each segment begins, looked for after the one before; 0 if changed by cleaning."""
+    """Array of structs (segment, norm, models, nearby): segments, normalised, with their models and the part number around.
+
+    Each is looked for after the one before. A segment that cleaning changed has no place. The numbers of a text are the fold's start, so they are found once.
+    """
+
     def step(held: Column, segment: Column) -> Column:
         at = F.position(segment, text, held["next"])
-        place = F.array(F.struct(segment.alias("segment"), at.alias("at")))
-        return F.struct(F.when(at > 0, at + F.length(segment)).otherwise(held["next"]).alias("next"), F.concat(held["places"], place).alias("places"))
+        place = F.array(F.struct(segment.alias("segment"), normalize_match(segment).alias("norm"), model_numbers(segment).alias("models"), number_near(held["numbers"], at, F.length(segment)).alias("nearby")))
+        return F.struct(F.when(at > 0, at + F.length(segment)).otherwise(held["next"]).alias("next"), held["numbers"].alias("numbers"), F.concat(held["places"], place).alias("places"))
 
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<segment:string,at:int>>").alias("places"))
+    start = F.struct(F.lit(1).alias("next"), placed_numbers(text).alias("numbers"), F.array().cast("array<struct<segment:string,norm:string,models:array<string>,nearby:string>>").alias("places"))
     return F.aggregate(segments, start, step, lambda held: held["places"])
 
 
 def _about(place: Column) -> Column:
     """What a segment says, before the context of earlier segments counts."""
-    segment = place["segment"]
-    norm = normalize_match(segment)
-    models = model_numbers(segment)
+    segment, norm, models = place["segment"], place["norm"], place["models"]
     families = F.exists(models, lambda m: any_in(F.lower(m), F.col("device_cores")))
     device = any_in(norm, F.col("device_terms"))
     unasked = (F.size("device_terms") == 0) & ((F.size(models) > 0) | segment.rlike(BRAND_MENTION))
@@ -38,7 +40,7 @@ def _about(place: Column) -> Column:
     return F.struct(
         segment.alias("segment"), claim_match(segment).alias("said"), device.alias("device"), (device | families | unasked).alias("device_side"),
         any_in(norm, F.col("part_terms")).alias("part"), number.alias("number"), listed.alias("listed"), canonical_part(segment)["category"].alias("category"),
-        number_near(F.col("_numbers"), place["at"], F.length(segment)).alias("nearby"),
+        place["nearby"].alias("nearby"),
         F.get(F.filter(F.array_sort(F.transform("part_terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: norm.contains(s["t"]))["t"], F.lit(0)).alias("phrase"),
     )
 
@@ -54,7 +56,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """
     joined = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).join(targets, "question_id")
     segments = F.filter(split_segments(F.col("text")), lambda s: admissible(s) & ~s.contains(MARKER))
-    told = joined.withColumn("_numbers", placed_numbers(F.col("text"))).withColumn("_about", F.transform(_places(F.col("text"), segments), _about))
+    told = joined.withColumn("_about", F.transform(_places(F.col("text"), segments), _about))
 
     def step(held: Column, x: Column) -> Column:
         has_part = x["part"] | x["number"]

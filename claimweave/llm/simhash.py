@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import UNSPACED, WordTable, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, whole_text
 from .components import connected_components
+from .nearcopies import banded, link_groups, set_column, verified_pairs
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: A shard of the distributed tree holds about so many fingerprints at most; their own tree is in its task.
@@ -325,20 +326,41 @@ def hex_fingerprint(c: str) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-#: For whole near copies: sets of word pairs, whose fingerprints differ by COPY_RADIUS bits or fewer for nearly
-#: all pairs of texts with a Jaccard similarity of five-word shingles of COPY_SIMILARITY or more.
+#: Near copies have a Jaccard similarity of five-word shingles of COPY_SIMILARITY or more. The trees search the
+#: fingerprints of the sets of word pairs within COPY_RADIUS bits, which misses many such pairs; the MinHash bands of
+#: ``nearcopies`` miss one in 5,000 at most. Every link is verified by the exact sets.
 COPY_WORDS, COPY_RADIUS, COPY_SIMILARITY = 2, 8, 0.8
-#: A link must also hold in the sketches of the five-word shingles. Their standard error at a similarity of 0.8 is
-#: at most 0.025 (less for texts of few shingles), so the bound stands a little below.
+#: Pairs of the trees go to the exact check only if their sketches are alike by this. Their standard error at a
+#: similarity of 0.8 is at most 0.025 (less for texts of few shingles), so the bound stands a little below.
 COPY_ALIKE = 0.77
 
 
+def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
+    """Rows (key, component) for every row of ``docs`` (doc_id, text); ``component`` is the smallest key reachable.
+
+    Links are the pairs of texts whose five-word shingles have this exact Jaccard similarity, as far as bands or
+    trees retrieve them. Texts of equal shingle sets are one class, and texts without words are alike. Rows that
+    repeat a doc_id may tie their components together.
+    """
+    text = F.col("text")
+    found = docs.select(doc_key().alias("key"), fingerprint_column(text, n, True).alias("p"), sketch_column(text).alias("sketch"), set_column(text).alias("s"))
+    prints = materialize(found.select("key", "p.fp", "sketch", "s.print", "s.n", "s.bands"), "copies")
+    same = ["print", "n"]
+    classes = materialize(prints.groupBy(*same).agg(F.min("key").alias("id"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "classes")
+    sized = classes.select("id", "fp", F.log(F.greatest("n", F.lit(1)).cast("double")).alias("size"), "sketch")
+    pairs = link_classes(sized, radius, float(np.log(1 / similarity)) + 1e-9, COPY_ALIKE).where("a != b")
+    links = link_groups(banded(classes), docs, similarity).unionByName(verified_pairs(pairs, docs, similarity))
+    joined = connected_components(links, "a", "b")
+    owned = classes.join(joined, classes.id == joined.node, "left").select(*same, F.coalesce("component", "id").alias("component"))
+    return prints.select("key", *same).join(owned, same).select("key", "component")
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays.
 
     Rows that repeat this doc_id stay out but for one (the least text). All columns are kept.
     """
-    found = near_duplicates(docs, radius, n, True, similarity, COPY_ALIKE)
+    found = near_copies(docs, radius, n, similarity)
     gone = found.where("key != component").select(F.col("key").alias("_cw_key")).distinct()
     rest = docs.withColumn("_cw_key", doc_key()).join(gone, "_cw_key", "left_anti")
     if not found.groupBy("key").count().where("count > 1").isEmpty():

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import cws, decontamination, licenses, linededup, mixing, pii, queries, sharding, simhash, toxicity, urlfilter
+from claimweave.llm import cws, decontamination, licenses, linededup, mixing, nearcopies, pii, queries, sharding, simhash, toxicity, urlfilter
 from claimweave.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key int, shard int, _nth int"
@@ -256,6 +256,34 @@ def test_texts_that_share_words_but_not_shingles_stay(spark):
     assert sorted(r.doc_id for r in kept) == [0, 1]
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for _ in range(60):
+        text = [word() for _ in range(300)]
+        block = [word() for _ in range(rng.randint(30, 85))]
+        scattered = [word() if k in set(rng.sample(range(300), rng.randint(2, 9))) else w for k, w in enumerate(text)]
+        texts += [text, text + block, text[: rng.randint(230, 290)], scattered]
+    sets = [frozenset(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b) for k in range(0, len(texts), 4) for a in range(k, k + 4) for b in range(a + 1, k + 4) if like(a, b) >= 0.8]
+    up = list(range(len(texts)))
+    for _ in range(4):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    kept = simhash.keep_one_of_each(docs_of(spark, [" ".join(t) for t in texts])).collect()
+    assert len(pairs) > 100 and sorted(r.doc_id for r in kept) == sorted(set(up))
+
+
+def test_near_copies_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[: 60 - rng.randint(0, 5)] + [f"x{k}"]) for k in range(90)]
+    monkeypatch.setattr(nearcopies, "SLICE", 16)
+    assert {r.component for r in simhash.near_copies(docs_of(spark, texts)).collect()} == {0}
+
+
 def test_pii(spark):
     text = 'Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, +1 (017) 555-7713; card 4111 1111 1111 1111, 4111111111111111; 10.0.0.1; token = "ab12cd34ef56ab12cd34". Frau Meier met Herr Otto Klein; Г-н Иванов.'
     other = "bob@mail.example.com and +1 (017) 555-7713"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, doc_key, key_to_id, whole_text
 
 #: Samples of a fingerprint. The likeness of two has a standard error of at most 1 / (2 sqrt(SAMPLES)).
-SAMPLES = 16
+SAMPLES = 32
 #: Documents of a block are neighbours by doc_id: 2^BLOCK_BITS ids wide; blocks are numbered within coarse blocks.
 BLOCK_BITS, COARSE_BITS = 8, 16
 #: Terms that cannot be the sample of a document but with probability exp(-SURE) are skipped before any logarithm.

@@ -102,6 +102,18 @@ def test_fingerprints_are_unbiased_and_edits_exact(spark):
     assert rows[60].fp == rows[61].fp and rows[60].near_next == 1.0 and rows[61].near_next == 0.0
 
 
+def test_registered_samples_bound_the_error(spark):
+    assert 1 / (2 * cws.SAMPLES**0.5) < 0.09
+    words = [f"w{k}" for k in range(240)]
+    docs = docs_of(spark, [" ".join(words[k % 7 * 3 : k % 7 * 3 + 160] + [f"own{k}x{j}" for j in range(20)]) for k in range(40)])
+    rows = cws.fingerprint_documents(docs).collect()
+    assert {len(r.fp) for r in rows} == {cws.SAMPLES}
+    weights = [Counter(" ".join(words[k % 7 * 3 : k % 7 * 3 + 160] + [f"own{k}x{j}" for j in range(20)]).split()) for k in range(40)]
+    true = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    errors = [r.near_next - true(weights[r.key], weights[(r.key + 1) % 40]) for r in rows]
+    assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.1
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "ero", "il", "umi", "ota")]

@@ -39,7 +39,7 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def link_targets(html: Column) -> Column:
-    """Absolute targets of canonical links and meta refreshes, as an array of urls."""
+    """Targets of canonical links and meta refreshes as they are written, as an array."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
     canonical = F.transform(
         F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b")),
@@ -49,7 +49,33 @@ def link_targets(html: Column) -> Column:
         F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b")),
         lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1),
     )
-    return F.filter(F.concat(canonical, refresh), lambda u: u.contains("://"))
+    return F.filter(F.concat(canonical, refresh), lambda u: u != "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """``target`` as an absolute url, seen from the page ``url``; null for other schemes and where the page has no host.
+
+    Only a leading scheme makes a target absolute; it stays as it is. Of a relative one the query goes.
+    """
+    target = F.trim(target)
+    base, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(url_path(url), r"(?s)^(.*)/", 1), F.lit("/"))
+    inner = F.when(path == "", url_path(url)).when(path.startswith("/"), without_dots(path)).otherwise(without_dots(F.concat(folder, path)))
+    return (
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(base == "", F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+        .when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(base, inner))
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -59,7 +85,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def alias_links(links: DataFrame) -> DataFrame:
-    """Edges (a, b) of a table (url, target); urls without ``://`` have no alias and give none."""
+    """Edges (a, b) of a table (url, target); targets are resolved, and urls without ``://`` have no alias and give none."""
+    links = links.select("url", resolve(F.col("url"), F.col("target")).alias("target"))
     alias = lambda c: F.concat(url_host(F.col(c)), url_path(F.col(c)))
     return links.select(alias("url").alias("a"), alias("target").alias("b")).where("a != '' and b != '' and a != b")
 

@@ -184,6 +184,23 @@ def test_url_aliases(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_targets_are_resolved(spark):
+    page = "https://A.com/x/y/page?q=1"
+    cases = {
+        "/en/x": "https://A.com/en/x", "../y": "https://A.com/x/y", "z": "https://A.com/x/y/z", "./": "https://A.com/x/y/", "//b.org/fr/x": "https://b.org/fr/x",
+        "/go?u=http://b/": "https://A.com/go", "http://c.net/": "http://c.net/", "#top": "https://A.com/x/y/page", "mailto:a@b.net": None, "../../../../r/./s/..": "https://A.com/r/",
+    }
+    rows = spark.createDataFrame([(page, t) for t in cases], "url string, target string").select("target", urlfilter.resolve(F.col("url"), F.col("target")).alias("y")).collect()
+    assert {r.target: r.y for r in rows} == cases
+    refresh = "<meta http-equiv='refresh' content='0; url={}'>"
+    pages = [
+        (1, "https://www.example.com/a", "<link rel='canonical' href='/de/a'>"), (2, "https://m.example.edu/b", refresh.format("//bad.net/c")),
+        (3, "https://shop.example.com/de2/x/", refresh.format("../../de/y")), (4, "https://ok.edu/d", refresh.format("/go?u=http://bad.net/c")), (5, "http://root.net/", None),
+    ]
+    found = urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block"}
+
+
 def test_components_of_paths_hubs_and_loops(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

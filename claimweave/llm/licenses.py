@@ -98,8 +98,10 @@ class TemplateIndex:
                     best = (from_ + int(where[0]), from_ + int(where[-1]) + 1, share)
             if best:
                 out.append((self.names[k], *best))
-        # of templates that are alike, the one that fits a place best stays
-        return [m for m in out if not any(m[1] < o[2] and o[1] < m[2] and o[3] > m[3] for o in out)]
+        # a match within another one's span goes if that has more of its shingles there, or as many and fits better
+        size = dict(zip(self.names, map(len, self.sets)))
+        weight = lambda m: (round(m[3] * size[m[0]]), m[3])
+        return [m for m in out if not any(o[1] <= m[1] and m[2] <= o[2] and weight(o) > weight(m) for o in out)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     Words are compared without case and ASCII punctuation. A template counts if CONTAINMENT of its five-word
     shingles are in the region around a window that shares a MinHash band; one row for each document and
-    template, for its best place. Where two templates overlap, the one with the larger containment stays. Whole texts are scanned. Null, empty and clean texts give no row; rows that
+    template, for its best place. Of a match within the span of another the one with more shingles of its template stays. Whole texts are scanned. Null, empty and clean texts give no row; rows that
     repeat are scanned each. The templates are a short list of the configuration.
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)

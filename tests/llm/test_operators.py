@@ -60,6 +60,13 @@ def test_licenses(spark):
     assert 1 - (1 - 0.5) ** licenses.bands_for(0.5) >= licenses.RECALL
 
 
+def test_an_edited_notice_is_not_lost_to_its_own_line(spark):
+    edited = licenses.TEMPLATES["apache-2.0"].replace("http:", "https:")
+    texts = [edited, f"Own words before. {licenses.TEMPLATES['mit-line']} Some more own words here. {edited}", licenses.TEMPLATES["gpl-3-line"]]
+    found = Counter((r.key, r.license) for r in licenses.scan_licenses(docs_of(spark, texts)).collect())
+    assert found == Counter({(0, "apache-2.0"): 1, (1, "mit-line"): 1, (1, "apache-2.0"): 1, (2, "gpl-3-line"): 1})
+
+
 def test_sharding(spark):
     rng = random.Random(1)
     texts = [("x" * rng.randint(0, 900)) + str(k % 700) for k in range(900)] + ["hot copy" * 5] * 300 + [None, ""]

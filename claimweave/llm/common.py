@@ -4,7 +4,8 @@ Rules that hold for every operator of this subpackage unless its docstring says
 
 * a null text is an empty text;
 * a null ``doc_id`` is one document that sorts before all others (its key is the smallest long);
-* only the named input columns are read, so extra columns cannot clash with internal ones;
+* only the named input columns are read, so extra columns cannot clash with internal ones; operators that return
+  all columns take internal names that the table does not have;
 * an empty table gives an empty result with the full schema.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,25 +24,37 @@ NULL_KEY = -(2**63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Tables of this session that :func:`materialize` has written and :func:`release` has not deleted.
+_written: list[DataFrame] = []
+
+
 def workspace(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, the checkpoint folder of the Spark context is used; a local master, which has no other
+    machines, gets one. Elsewhere that is an error: a folder of one machine would lose tables.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="claimweave-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back, which cuts the lineage.
 
-    Later reads survive the loss of any executor, and non-deterministic row orders are fixed.
+    Later reads survive the loss of any executor, and non-deterministic row orders are fixed. The table stays
+    until :func:`release`, or the end of a :func:`scratch` block around it.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._claimweave_path = path
+    _written.append(out)
     return out
 
 
@@ -51,9 +65,28 @@ def release(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written[:] = [t for t in _written if t is not df]
+
+
+@contextmanager
+def scratch(*keep: DataFrame):
+    """Delete the tables written within the block at its end, but those put into the list that it yields."""
+    before, kept = list(_written), list(keep)
+    yield kept
+    for table in [t for t in _written if not any(t is k for k in [*before, *kept])]:
+        release(table)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def doc_key(name: str = "doc_id") -> Column:
+    """The id as a long, null as NULL_KEY (an id that is NULL_KEY itself counts as null)."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_KEY))
 
 

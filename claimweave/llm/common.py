@@ -90,6 +90,21 @@ def doc_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_KEY))
 
 
+def text_tie(name: str = "text") -> Column:
+    """MD5 of a text (null like empty): tells rows of one doc_id apart."""
+    return F.md5(whole_text(name))
+
+
+def distinct_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each different (key, tie, text) of ``docs`` once. ``rows`` has key and tie of all rows, so only repeated ones are grouped."""
+    texts = docs.select(doc_key().alias("key"), text_tie().alias("tie"), whole_text().alias("text"))
+    repeated = rows.groupBy("key", "tie").agg(F.count("*").alias("n")).where("n > 1").select("key", "tie")
+    if repeated.isEmpty():
+        return texts
+    once = texts.join(repeated, ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.min("text").alias("text"))
+    return texts.join(repeated, ["key", "tie"], "left_anti").unionByName(once)
+
+
 def key_to_id(key: str) -> Column:
     return F.when(F.col(key) != NULL_KEY, F.col(key))
 

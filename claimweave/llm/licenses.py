@@ -49,6 +49,8 @@ class TemplateIndex:
         # a piece fills more than a quarter of its scale's window, so the window's similarity is over 1/5
         self.seeds = mix64(np.arange(1, bands_for(1 / 5) + 1, dtype=np.uint64))
         for k, name in enumerate(self.names):
+            if len(templates[name].split()) < SHINGLE:
+                raise ValueError(f"a template has {SHINGLE} words at least: {name}")
             h = shingle_hashes(WordTable([templates[name].lower().encode()], PLAIN_WORDS).hash)
             self.sets.append(np.unique(h))
             self.lengths.append(len(h))
@@ -110,7 +112,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     Words are compared without case and ASCII punctuation. A template counts if CONTAINMENT of its five-word
     shingles are in the region around a window that shares a MinHash band; one row for each document and
     template, for its best place. Of a match within the span of another the one with more shingles of its template stays. Whole texts are scanned. Null, empty and clean texts give no row; rows that
-    repeat are scanned each. The templates are a short list of the configuration.
+    repeat are scanned each. The templates are a short list of the configuration, of five words each at least (fewer are an error).
     """
     index = TemplateIndex(TEMPLATES if templates is None else templates)
 
@@ -123,8 +125,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 table = WordTable(encoded[first:last], PLAIN_WORDS)
                 hashes = shingle_hashes(table.hash)
                 hit = np.unique(table.text[index.marks(hashes)])
-                short = np.flatnonzero(table.counts < SHINGLE) if len(hit) or min(index.lengths, default=0) == 1 else []
-                for text in sorted({*hit.tolist(), *np.asarray(short).tolist()}):
+                for text in hit.tolist():
                     own = shingle_hashes(table.hash[table.first[text] : table.first[text + 1]])
                     for name, start, end, share in index.scan(own):
                         rows.append((keys[first + text], name, start, end - 1 + SHINGLE, share))

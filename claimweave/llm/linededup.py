@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, key_to_id
+from .common import doc_key, key_to_id, materialize
 
 WHITE = b" \t\n\v\f\r"
 MIN_CHARS, MIN_DOCS = 10, 2
@@ -24,29 +24,36 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows (key, line): the different line keys of each row of ``docs``."""
+    """Rows (key, tie, line): the different line keys of each row of ``docs``; ``tie`` tells texts of one doc_id apart."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, lines = [], []
-            for key, text in zip(pdf["key"], pdf["text"]):
+            keys, ties, lines = [], [], []
+            for key, tie, text in zip(pdf["key"], pdf["tie"], pdf["text"]):
                 own = {line_key(x, min_chars) for x in (text or "").encode().split(b"\n")} - {None}
                 keys += [key] * len(own)
+                ties += [tie] * len(own)
                 lines += own
-            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "line": pd.Series(lines, dtype=object)})
+            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "tie": pd.Series(ties, dtype="int64"), "line": pd.Series(lines, dtype=object)})
 
-    return docs.select(doc_key().alias("key"), "text").mapInPandas(explode, "key long, line binary")
+    return _texts(docs).mapInPandas(explode, "key long, tie long, line binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(doc_key().alias("key"), F.xxhash64("text").alias("tie"), "text")
 
 
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (key, lines): for each document that loses lines, the keys of these lines.
+    """Rows (key, tie, lines): for each text that loses lines, the keys of these lines.
 
-    Counts are of different documents. A hot line is counted by partial aggregates, and the join that brings
-    the counts back splits its rows, since the other side has one row for each line.
+    Lines are exploded and written once. Counts are of different documents. A hot line is counted by partial aggregates, and the join that brings
+    the counts back splits its rows, since the other side has one row for each line. The array of a text has no more
+    lines than the text; the document of least doc_id (the null one, if there is any) keeps its lines.
     """
-    pairs = line_keys(docs, min_chars).distinct()
-    shared = pairs.groupBy("line").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") >= min_docs).select("line", "first")
-    return pairs.join(shared, "line").where("key != first").groupBy("key").agg(F.collect_list("line").alias("lines"))
+    pairs = materialize(line_keys(docs, min_chars).distinct(), "lines")
+    held = pairs.select("line", "key").distinct()
+    shared = held.groupBy("line").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") >= min_docs).select("line", "first")
+    return pairs.join(shared, "line").where("key != first").groupBy("key", "tie").agg(F.collect_list("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -72,8 +79,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             n, dropped, kept = zip(*out) if out else ((), (), ())
             yield pd.DataFrame({"key": pdf["key"], "n_lines": pd.Series(n, dtype="int64"), "n_dropped": pd.Series(dropped, dtype="int64"), "kept": pd.Series(kept, dtype=object)})
 
-    texts = docs.select(doc_key().alias("key"), "text")
-    joined = texts.join(shared_lines(docs, min_chars, min_docs), "key", "left")
+    joined = _texts(docs).join(shared_lines(docs, min_chars, min_docs), ["key", "tie"], "left")
     return joined.mapInPandas(drop, "key long, n_lines long, n_dropped long, kept string")
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, WordTable, doc_key, mix64, shingle_hashes, text_blocks
+from .common import UNSPACED, WordTable, mix64, shingle_hashes, text_blocks
 
 SHINGLE = 5
 #: Two sets of Jaccard similarity J share a band of ROWS minima with probability J^ROWS, whatever the edit is, so
@@ -97,23 +97,23 @@ def banded(classes: DataFrame) -> DataFrame:
     return placed.select("bucket", "id", "own", other.alias("other")).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
 
 
-def link_groups(groups: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that span the links within each group of :func:`banded`, by the exact sets of the texts of ``docs``."""
+def link_groups(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that span the links within each group of :func:`banded`, by the exact sets of ``texts`` (id, text)."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
         a, b = np.array(link_sets(shingle_sets(pdf["text"].tolist()), similarity), dtype=np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return groups.join(docs.select(doc_key().alias("id"), "text"), "id").groupBy("bucket", "i", "j").applyInPandas(link, "a long, b long")
+    return groups.join(texts, "id").groupBy("bucket", "i", "j").applyInPandas(link, "a long, b long")
 
 
-def verified_pairs(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose texts have this exact similarity."""
+def verified_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose ``texts`` (id, text) have this exact similarity."""
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([bool(link_sets(s, similarity)) for s in zip(shingle_sets(x.tolist()), shingle_sets(y.tolist()))], dtype=bool)
 
-    one, other = docs.select(doc_key().alias("a"), F.col("text").alias("x")), docs.select(doc_key().alias("b"), F.col("text").alias("y"))
+    one, other = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(one, "a").join(other, "b").where(similar("x", "y")).select("a", "b")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -13,19 +14,30 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, key_to_id, materialize
 
-#: Patterns by type, in order of precedence where two overlap (fixed values).
+_UP, _LOW = "A-ZÀ-ÖØ-ÞЁА-Я", "a-zß-öø-ÿёа-я"
+#: One capitalised word, or several joined by hyphens or apostrophes.
+_WORD = rf"[{_UP}][{_LOW}]++(?:[-'’][{_UP}][{_LOW}]++)*+"
+#: Patterns by type, in order of precedence where two overlap. All quantifiers that could meet long runs are possessive or
+#: bounded and start at the left edge of a run, so a text is read in linear time.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9À-ɏЀ-ӿ._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?i:\b(?:token|secret|password|passwd|api_?key))\s*[:=]\s*[\"']?([A-Za-z0-9+/_\-]{16,})"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ \-]?(?:\(\d{1,4}\)[ \-]?)?\d{2,4}(?:[ \-]?\d{2,4}){1,3}(?!\d)"),
+    ("email", r"(?<![A-Za-z0-9À-ɏЀ-ӿ._%+\-])[A-Za-z0-9À-ɏЀ-ӿ._%+\-]++@[A-Za-z0-9\-]{1,63}+(?:\.[A-Za-z0-9\-]{1,63}+){1,8}+(?![A-Za-z0-9\-])"),
+    ("secret", r"(?i:(?<![a-z0-9])(?:[a-z]{1,12}[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key))[\"']?\s{0,8}[:=]\s{0,8}[\"']?([A-Za-z0-9+/_.~!@#$%^&*\-]{8,256}+)"),
+    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]{0,4}\d)"),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]{6,39}+(?![\w:]))(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}"),
+    ("phone", r"(?<![\w+])(?:\+|00)(?=[1-9])\d{1,3}[ \-]?(?:\(\d{1,4}\)[ \-]?)?\d{1,4}(?:[ \-]\d{2,8}){1,4}(?!\d)|(?<![\w+])\+[1-9]\d{9,13}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])[2-9]\d{2}-[2-9]\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\d\-])"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("name", r"\b(?:Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Г-н|Г-жа)\.? ((?:[A-ZÀ-ÞЁА-Я][a-zß-ÿёа-я]+)(?: [A-ZÀ-ÞЁА-Я][a-zß-ÿёа-я]+)?)"),
 )
 _FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS]
-_FEMALE = re.compile(r"(?:Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа)\.? $")
-#: Given and family names of surrogates, by script and gender (fixed values).
+#: A text without any of these characters or words holds no entity of the type.
+_NEEDS = {"email": re.compile("@"), "secret": re.compile("(?i)token|secret|pass|pwd|api"), "ip": re.compile(r"\d\.\d"), "ipv6": re.compile(":[0-9A-Fa-f:]"), "phone": re.compile(r"[+0(\d-]\d{2}"), "card": re.compile(r"\d{4}"), "ssn": re.compile(r"\d-\d")}
+#: Titles before names, by gender ("" says nothing on it) (fixed values).
+TITLES = {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Г-жа": "f", "Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Г-н": "m", "Dr": "", "Prof": ""}
+_TITLED = re.compile(rf"(?<![\w-])({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?:(?:Dr|Prof)\.? )*((?:{_WORD} (?:[{_UP}]\. )?)?)({_WORD})")
+_GIVEN_BEFORE = re.compile(rf"({_WORD}) $")
+#: Calling codes of one and of two digits; all others have three (fixed values).
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Given and family names of surrogates, by script and gender; and syllables of further ones (fixed values).
 GIVEN = {
     ("latin", "f"): "Alba Berta Carla Dora Edda Flora Greta Hanna Ida Julia Klara Lena Mara Nora Olga Paula Rita Sara Tilda Vera".split(),
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Nils Otto Peter Ralf Simon Theo Viktor".split(),
@@ -33,11 +45,14 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел".split(),
 }
 FAMILY = {
-    ("latin", "f"): "Abel Brandt Conrad Daly Ebert Falk Garner Hale Ingram Jansen Keller Lorenz Marten Norden Osten Palmer Quast Reimer Sander Thorne".split(),
-    ("cyrillic", "f"): "Андреева Белова Волкова Громова Дроздова Ершова Жукова Зайцева".split(),
-    ("cyrillic", "m"): "Андреев Белов Волков Громов Дроздов Ершов Жуков Зайцев".split(),
+    "latin": "Abel Brandt Conrad Daly Ebert Falk Garner Hale Ingram Jansen Keller Lorenz Marten Norden Osten Palmer Quast Reimer Sander Thorne".split(),
+    "cyrillic": "Андреев Белов Волков Громов Дроздов Ершов Жуков Зайцев".split(),
 }
-FAMILY["latin", "m"] = FAMILY["latin", "f"]
+SYLLABLES = {"latin": ("b d f g h k l m n p r s t v".split(), "a e i o u".split(), ("l", "n", "r", "s", "")), "cyrillic": ("б в г д з к л м н п р с т".split(), "а е и о у".split(), ("л", "н", "р", "с", ""))}
+#: Ranges of addresses that stay among themselves, as (first octets, number of fixed octets); others are public (fixed values).
+LOCAL_NETS = (((10,), 1), ((127,), 1), ((192, 168), 2), ((169, 254), 2), *(((172, k), 2) for k in range(16, 32)))
+#: Rounds after which numbers of a small space may be real ones of the corpus, as long as they are distinct.
+STRICT_ROUNDS = 16
 
 
 def luhn(digits: str) -> bool:
@@ -46,32 +61,79 @@ def luhn(digits: str) -> bool:
     return (sum(odd) + sum(even)) % 10 == 0
 
 
+def _script(word: str) -> str:
+    return "cyrillic" if re.search("[А-яЁё]", word) else "latin"
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Given and family names: after titles, and wherever a text has a family name again that it has after a title.
+
+    A given name is an entity of its own, and so is a family name; one family name is one entity whatever
+    goes before it, so all forms of a person's name stay together. A Cyrillic family name has the gender of its ending.
+    """
+    known: dict[str, str] = {}
+    for m in _TITLED.finditer(text):
+        known[m[3]] = known.get(m[3]) or TITLES[m[1]] or "m"
+        if m[2]:
+            yield m.start(2), m.start(2) + len(m[2].split(" ")[0]), f"given:{_script(m[2])}:{TITLES[m[1]] or 'm'}", m[2].split(" ")[0]
+    if not known:
+        return
+    for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w-])", text):
+        script = _script(m[0])
+        gender = known[m[0]]
+        yield m.start(), m.end(), f"family:{script}" + (f":{'f' if m[0][-1] in 'ая' else 'm'}" if script == "cyrillic" else ""), m[0]
+        given = _GIVEN_BEFORE.search(text, max(0, m.start() - 40), m.start())
+        if given and given[1] not in TITLES and given[1] not in known and (given.start() == 0 or text[given.start() - 1] not in ".!?\n" and text[max(0, given.start() - 2)] not in ".!?\n"):
+            yield given.start(1), given.end(1), f"given:{_script(given[1])}:{gender}", given[1]
+
+
+def _value(kind: str, raw: str) -> str | None:
+    """What the same entity has in common wherever it occurs; None if this is none."""
+    if kind == "email":
+        local, _, domain = raw.rpartition("@")
+        return raw.lower() if re.search("[A-Za-z]{2}$", domain) and len(local) <= 256 else None
+    if kind in ("phone", "card", "ssn"):
+        digits = re.sub(r"\D", "", raw)
+        if kind == "phone":
+            return ("+" + digits if raw.startswith("+") else "+" + digits[2:] if raw.startswith("00") else digits) if len(digits) >= 8 else None
+        return digits
+    if kind == "ipv6":
+        try:
+            return str(ipaddress.IPv6Address(raw)) if len(re.findall("[0-9A-Fa-f]+", raw)) >= 3 else None
+        except ValueError:
+            return None
+    if kind == "secret":
+        return raw if len(raw) >= 16 or re.search(r"\d", raw) else None
+    return raw
+
+
 def find_entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of the entities of a whole text, in order and without overlap.
 
     The type of a name has its script and gender. The value is what the same entity has in common wherever it
-    occurs: e-mail addresses in lower case, numbers without separators.
+    occurs: e-mail addresses in lower case, numbers without separators, phone numbers with ``+`` where the country is known.
     """
+    if not text:
+        return []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for kind, finder in _FINDERS:
-        for m in finder.finditer(text or ""):
-            start, end = m.span(1) if kind in ("secret", "name") else m.span()
-            value = text[start:end]
-            if any(start < e and s < end for s, e in taken):
-                continue
-            if kind == "email":
-                value = value.lower()
-            elif kind in ("phone", "card", "ssn"):
-                value = re.sub(r"\D", "", value)
-            elif kind == "name":
-                script = "cyrillic" if re.search("[А-я]", value) else "latin"
-                kind_ = f"name:{script}:{'f' if _FEMALE.search(text[m.start() : start]) else 'm'}:{value.count(' ') + 1}"
-                found.append((start, end, kind_, value))
-                taken.append((start, end))
-                continue
+    taken = None
+
+    def add(start: int, end: int, kind: str, value: str) -> None:
+        nonlocal taken
+        taken = bytearray(len(text)) if taken is None else taken
+        if 1 not in taken[start:end]:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, value))
-            taken.append((start, end))
+
+    for kind, finder in _FINDERS:
+        if _NEEDS[kind].search(text):
+            for m in finder.finditer(text):
+                start, end = m.span(1) if kind == "secret" else m.span()
+                value = _value(kind, text[start:end])
+                if value is not None:
+                    add(start, end, kind, value)
+    for start, end, kind, value in _names(text):
+        add(start, end, kind, value)
     return sorted(found)
 
 
@@ -84,33 +146,63 @@ def _stream(key: bytes, kind: str, value: str, attempt: int):
         block += 1
 
 
+def country_code(number: str) -> str:
+    """The calling code of a number that starts with ``+``, with the ``+``; empty for others."""
+    if not number.startswith("+"):
+        return ""
+    return "+" + next((number[1 : 1 + n] for n in (1, 2) if number[1 : 1 + n] in CALLING_CODES), number[1:4])
+
+
+def _syllables(draw, script: str, n: int) -> str:
+    onset, vowel, coda = SYLLABLES[script]
+    return "".join(onset[next(draw) % len(onset)] + vowel[next(draw) % len(vowel)] + coda[next(draw) % len(coda)] for _ in range(n)).capitalize()
+
+
 def surrogate_value(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The value that stands for ``value``: of the same type, length and character classes.
 
-    Card numbers keep whether their check digit is right. Addresses keep the shape of the local part and get a
-    reserved domain. IP addresses stay valid. Names come from lists of their script and gender; after the
-    lists' names are used up (by attempt) a letter is added.
+    Card numbers keep whether their check digit is right, phone numbers their country and leading zeros. E-mail addresses keep the
+    shape of the local part and get a reserved domain. IP addresses stay valid, and local ones in their network.
+    Names come from lists of their script and gender; by attempt they are made of more and more syllables instead, so
+    names never run out.
     """
     draw = _stream(key, kind, value, attempt)
     if kind == "email":
         local = value.rpartition("@")[0]
-        return "".join(_same_class(c, next(draw)) for c in local) + f".{next(draw) % 10**6:06d}@example.org"
+        return "".join(_same_class(c, next(draw)) for c in local) + f".{next(draw) % 10 ** (6 + attempt // 4):0{6 + attempt // 4}d}@example.org"
     if kind == "ip":
-        return ".".join(str(1 + next(draw) % 254) for _ in range(4))
+        parts = [int(p) for p in value.split(".")]
+        keep = next((n for head, n in LOCAL_NETS if tuple(parts[:n]) == head), 0)
+        while True:
+            new = parts[:keep] + [next(draw) % 254 + 1 for _ in range(4 - keep)]
+            if keep or (new[0] < 224 and not any(tuple(new[:n]) == head for head, n in LOCAL_NETS)):
+                return ".".join(map(str, new))
+    if kind == "ipv6":
+        head, groups = (8, ["fe80"]) if value.startswith("fe80") else (8, ["fd00"]) if value[:2] in ("fc", "fd") else (8, ["2001", "db8"])
+        return str(ipaddress.IPv6Address(":".join(groups + [f"{next(draw) % 0xFFFF + 1:x}" for _ in range(head - len(groups))])))
     if kind in ("phone", "card", "ssn"):
-        keep = len(value) - 10 if kind == "phone" and len(value) > 10 else 0  # the country code
-        out = value[:keep] + "".join(str(next(draw) % 10) for _ in value[keep:])
+        head = country_code(value) if kind == "phone" else ""
+        rest = value[len(head) :]
+        zeros = len(rest) - len(rest.lstrip("0"))
+        out = head + rest[:zeros] + "".join(str(next(draw) % 9 + 1) if k == 0 else str(next(draw) % 10) for k in range(len(rest) - zeros))
         if kind == "card" and luhn(value):
             out = next(x for d in "0123456789" if luhn(x := out[:-1] + d))
         return out
     if kind == "secret":
         return "".join(_same_class(c, next(draw), hexa=re.fullmatch("[0-9a-fA-F]+", value) is not None) for c in value)
-    _, script, gender, words = kind.split(":")
-    given, family = GIVEN[script, gender], FAMILY[script, gender]
-    parts = [given[next(draw) % len(given)], family[next(draw) % len(family)]] if words == "2" else [family[next(draw) % len(family)]]
-    more = attempt // 4
-    letters = "абвгдежзиклмнопрст" if script == "cyrillic" else "abcdefghijklmnopqrstuvwxyz"
-    return " ".join(parts) + "".join(letters[next(draw) % len(letters)] for _ in range(more))
+    sort, script, *gender = kind.split(":")
+    woman = gender == ["f"]
+    if attempt < 4:
+        names = FAMILY[script] if sort == "family" else GIVEN[script, gender[0]]
+        name = names[next(draw) % len(names)]
+    else:
+        name = _syllables(draw, script, 2 + attempt // 4)
+        if script == "cyrillic" and sort == "family":
+            name += "ов"
+        elif sort == "given" and woman:
+            name = name.rstrip("lnrsлнрс") if name[-1] in "lnrsлнрс" else name
+            name = name[:-1] + ("а" if script == "cyrillic" else "a")
+    return name + "а" if script == "cyrillic" and sort == "family" and woman else name
 
 
 def _same_class(c: str, n: int, hexa: bool = False) -> str:
@@ -125,8 +217,9 @@ def _same_class(c: str, n: int, hexa: bool = False) -> str:
 def format_like(original: str, kind: str, value: str) -> str:
     """The surrogate value with the separators of this occurrence."""
     if kind in ("phone", "card", "ssn"):
-        digits = iter(value)
-        return re.sub(r"\d", lambda _: next(digits), original)
+        digits = iter(value.lstrip("+"))
+        lead = 2 if kind == "phone" and original.startswith("00") else 0
+        return original[:lead] + re.sub(r"\d", lambda _: next(digits), original[lead:])
     if kind == "email" and original.isupper():
         return value.upper()
     return value
@@ -144,33 +237,41 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """Rows (kind, value, surrogate) for the distinct entities (kind, value); no two of a type share a surrogate.
 
     Drawn again until none collides: of several entities with one surrogate the least value keeps it, and an
-    entity that got a real value of the corpus draws again. A round is one aggregate and one join.
+    entity that got a real value of the corpus draws again (numbers and addresses only STRICT_ROUNDS times: where
+    most of their space is in use, distinctness alone is asked). Names and e-mail addresses grow with the rounds, so there are always free
+    ones. A round is one aggregate and one join over what is still open and what is given.
     """
     family = F.substring_index("kind", ":", 1)
     done, open_ = None, entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
     real = materialize(open_.select(family.alias("family"), F.col("value").alias("surrogate")).distinct(), "entities")
-    for attempt in range(64):
+    attempt = 0
+    while True:
         drawn = open_.withColumn("surrogate", _surrogates(key)).withColumn("family", family)
         every = drawn if done is None else drawn.unionByName(done)
         owner = every.groupBy("family", "surrogate").agg(F.min(F.struct("attempt", "value", "kind")).alias("owner"))
         now = every.join(owner, ["family", "surrogate"]).join(real.withColumn("taken", F.lit(True)), ["family", "surrogate"], "left")
-        kept = (F.col("owner") == F.struct("attempt", "value", "kind")) & F.col("taken").isNull()
+        lenient = ~F.col("family").isin("given", "family", "email") & (F.col("attempt") >= STRICT_ROUNDS)
+        kept = (F.col("owner") == F.struct("attempt", "value", "kind")) & (F.col("taken").isNull() | lenient)
         marked = materialize(now.select("kind", "value", "attempt", "surrogate", "family", kept.alias("kept")), "surrogates")
-        done, open_ = marked.where("kept").drop("kept"), marked.where("not kept").select("kind", "value", F.lit(attempt + 1).alias("attempt"))
+        attempt += 1
+        done, open_ = marked.where("kept").drop("kept"), marked.where("not kept").select("kind", "value", F.lit(attempt).alias("attempt"))
         if open_.isEmpty():
             return done.select("kind", "value", "surrogate")
-    raise ValueError("no free surrogates are left: a list of names is too short for this corpus")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(doc_key().alias("key"), F.xxhash64("text").alias("tie"), "text")
 
 
 def entity_rows(docs: DataFrame) -> DataFrame:
-    """Rows (key, kind, value): the distinct entities of each row of ``docs``."""
+    """Rows (key, tie, kind, value): the distinct entities of each row of ``docs``; ``tie`` tells texts of one doc_id apart."""
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, kind, value) for k, t in zip(pdf["key"], pdf["text"]) for kind, value in sorted({e[2:] for e in find_entities(t)})]
-            yield pd.DataFrame(rows, columns=["key", "kind", "value"])
+            rows = [(k, tie, kind, value) for k, tie, t in zip(pdf["key"], pdf["tie"], pdf["text"]) for kind, value in sorted({e[2:] for e in find_entities(t)})]
+            yield pd.DataFrame(rows, columns=["key", "tie", "kind", "value"])
 
-    return docs.select(doc_key().alias("key"), "text").mapInPandas(detect, "key long, kind string, value string")
+    return _texts(docs).mapInPandas(detect, "key long, tie long, kind string, value string")
 
 
 def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
@@ -178,11 +279,11 @@ def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
 
     Every occurrence of an entity gets the same surrogate in all documents, in the format of the occurrence;
     another entity of its type never gets it. ``key`` is the secret. Texts without entities, null and empty
-    ones come back as they are. Rows that repeat a doc_id share the table of their replacements.
+    ones come back as they are. Rows that repeat a doc_id, or have none, are told apart by their texts.
     """
-    found = materialize(entity_rows(docs), "found")
+    found = materialize(entity_rows(docs).distinct(), "found")
     mapping = assign_surrogates(found, key)
-    own = found.join(mapping, ["kind", "value"]).groupBy("key").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("swap"))
+    own = found.join(mapping, ["kind", "value"]).groupBy("key", "tie").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("swap"))
 
     def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -200,7 +301,7 @@ def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
                 clean.append("".join(out) + (text or "")[at:] if seen else text), n.append(len(seen)), kinds.append(",".join(sorted(set(seen))))
             yield pd.DataFrame({"key": pdf["key"], "clean": pd.Series(clean, dtype=object), "n_entities": pd.Series(n, dtype="int64"), "kinds": pd.Series(kinds, dtype=object)})
 
-    return docs.select(doc_key().alias("key"), "text").join(own, "key", "left").mapInPandas(swap, "key long, clean string, n_entities long, kinds string")
+    return _texts(docs).join(own, ["key", "tie"], "left").mapInPandas(swap, "key long, clean string, n_entities long, kinds string")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

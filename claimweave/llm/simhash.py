@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, WordTable, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, whole_text
+from .common import UNSPACED, WordTable, distinct_texts, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, text_tie, unused
 from .components import connected_components
 from .nearcopies import banded, link_groups, set_column, verified_pairs
 
@@ -336,37 +336,51 @@ COPY_ALIKE = 0.77
 
 
 def near_copies(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """Rows (key, component) for every row of ``docs`` (doc_id, text); ``component`` is the smallest key reachable.
+    """Rows (key, tie, component, keeper) for every row of ``docs`` (doc_id, text).
 
     Links are the pairs of texts whose five-word shingles have this exact Jaccard similarity, as far as bands or
-    trees retrieve them. Texts of equal shingle sets are one class, and texts without words are alike. Rows that
-    repeat a doc_id may tie their components together.
+    trees retrieve them. A text's component follows from the text alone, so rows that repeat a doc_id, or have none, are
+    told apart by ``tie``, the MD5 of the text. Texts of equal shingle sets are one class, and texts without words are
+    alike. ``component`` is the smallest key of all texts reachable, ``keeper`` marks the row of least (key, tie).
     """
     text = F.col("text")
-    found = docs.select(doc_key().alias("key"), fingerprint_column(text, n, True).alias("p"), sketch_column(text).alias("sketch"), set_column(text).alias("s"))
-    prints = materialize(found.select("key", "p.fp", "sketch", "s.print", "s.n", "s.bands"), "copies")
+    found = docs.select(doc_key().alias("key"), text_tie().alias("tie"), fingerprint_column(text, n, True).alias("p"), sketch_column(text).alias("sketch"), set_column(text).alias("s"))
+    prints = materialize(found.select("key", "tie", "p.fp", "sketch", "s.print", "s.n", "s.bands"), "copies")
     same = ["print", "n"]
-    classes = materialize(prints.groupBy(*same).agg(F.min("key").alias("id"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "classes")
+    grouped = prints.groupBy(*same).agg(F.min(F.struct("key", "tie")).alias("rep"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands"))
+    classes = materialize(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     sized = classes.select("id", "fp", F.log(F.greatest("n", F.lit(1)).cast("double")).alias("size"), "sketch")
-    pairs = link_classes(sized, radius, float(np.log(1 / similarity)) + 1e-9, COPY_ALIKE).where("a != b")
-    links = link_groups(banded(classes), docs, similarity).unionByName(verified_pairs(pairs, docs, similarity))
+    pairs = materialize(link_classes(sized, radius, float(np.log(1 / similarity)) + 1e-9, COPY_ALIKE).where("a != b"), "pairs")
+    groups = materialize(banded(classes), "groups")
+    # only texts that have a candidate are read on
+    asked = groups.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = classes.join(asked, "id", "left_semi").select("id", "rep.key", "rep.tie")
+    texts = materialize(distinct_texts(docs, prints).join(wanted, ["key", "tie"]).select("id", "text"), "texts")
+    links = link_groups(groups, texts, similarity).unionByName(verified_pairs(pairs, texts, similarity))
     joined = connected_components(links, "a", "b")
-    owned = classes.join(joined, classes.id == joined.node, "left").select(*same, F.coalesce("component", "id").alias("component"))
-    return prints.select("key", *same).join(owned, same).select("key", "component")
+    placed = classes.join(joined, classes.id == joined.node, "left").select(*same, "rep", F.coalesce("component", "id").alias("_component"))
+    best = placed.groupBy("_component").agg(F.min("rep").alias("best"))
+    owned = placed.join(best, "_component").select(*same, "best")
+    return prints.select("key", "tie", *same).join(owned, same).select("key", "tie", F.col("best.key").alias("component"), (F.struct("key", "tie") == F.col("best")).alias("keeper"))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_WORDS, similarity: float = COPY_SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each component one row stays, that of the smallest doc_id.
 
-    Rows that repeat this doc_id stay out but for one (the least text). All columns are kept.
+    Of rows of this doc_id it is the one of the least MD5 of the text. Rows are told apart by doc_id and text, so
+    different texts under one doc_id or without any are documents of their own; only of rows with equal doc_id and equal
+    text an arbitrary one stays. All columns are kept.
     """
-    found = near_copies(docs, radius, n, similarity)
-    gone = found.where("key != component").select(F.col("key").alias("_cw_key")).distinct()
-    rest = docs.withColumn("_cw_key", doc_key()).join(gone, "_cw_key", "left_anti")
-    if not found.groupBy("key").count().where("count > 1").isEmpty():
-        order = Window.partitionBy("_cw_key").orderBy(F.sha2(whole_text(), 256))
-        rest = rest.withColumn("_cw_n", F.row_number().over(order)).where("_cw_n = 1").drop("_cw_n")
-    return rest.drop("_cw_key")
+    key, tie = unused(docs, "_cw_key"), unused(docs, "_cw_tie")
+    found = materialize(near_copies(docs, radius, n, similarity), "kept")
+    gone = found.where("not keeper").select(F.col("key").alias(key), F.col("tie").alias(tie)).distinct()
+    rest = docs.withColumns({key: doc_key(), tie: text_tie()}).join(gone, [key, tie], "left_anti")
+    repeated = found.where("keeper").groupBy(F.col("key").alias(key), F.col("tie").alias(tie)).agg(F.count("*").alias("n")).where("n > 1").select(key, tie)
+    if not repeated.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = rest.join(repeated, [key, tie], "left_semi").groupBy(key, tie).agg(F.first(row).alias("_row")).select("_row.*")
+        return rest.join(repeated, [key, tie], "left_anti").drop(key, tie).unionByName(one)
+    return rest.drop(key, tie)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

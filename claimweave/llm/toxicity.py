@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import mix64, text_blocks, unused
 
-#: Lengths of the n-grams, in UTF-8 bytes of the lower-cased text; their hashes have BITS bits.
+#: Lengths of the n-grams, in code points of the lower-cased text; their hashes have BITS bits.
 GRAMS, BITS = (3, 4, 5), 20
+#: Code points of one block of texts (or one text).
+BLOCK = 1 << 19
 #: The fit takes at most so many labelled documents of each class (those of the smallest hashes).
 SAMPLE_PER_CLASS = 1_500
 #: An n-gram of the fit occurs in at least MIN_DF of these documents; the FEATURES of largest weight of evidence stay.
@@ -20,25 +22,25 @@ MIN_DF, FEATURES = 4, 2_000
 #: Penalties and steps of the logistic regression.
 L1, L2, STEPS = 2e-4, 1e-6, 200
 THRESHOLD = 0.7
-#: Bytes that count as a boundary of words: everything ASCII but letters and digits.
-_SPACED = np.arange(256, dtype=np.uint64)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters that count as a boundary of words: everything ASCII but letters and digits.
+_SPACED = np.arange(128, dtype=np.uint32)
 _SPACED[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def _present(texts: list[str | None], of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text number, hashed n-gram) without repeats, of whole texts; only n-grams marked in ``of``."""
-    encoded = [b" " + (t or "").lower().encode() + b" " for t in texts]
+    encoded = [f" {(t or '').lower()} ".encode("utf-32-le") for t in texts]
     pairs = []
-    for first, last in text_blocks(encoded):
-        raw = _SPACED[np.frombuffer(b"".join(encoded[first:last]), dtype=np.uint8)]
-        limits = np.cumsum([len(t) for t in encoded[first:last]])
-        gram = raw.copy()
+    for first, last in text_blocks(encoded, 4 * BLOCK):
+        raw = np.frombuffer(b"".join(encoded[first:last]), dtype=np.uint32)
+        raw = np.where(raw < 128, _SPACED[np.minimum(raw, 127)], raw).astype(np.uint64)
+        limits = np.cumsum([len(t) // 4 for t in encoded[first:last]])
+        gram = raw + np.uint64(1)
         for n in range(2, max(GRAMS) + 1):
-            gram[: len(raw) - n + 1] |= raw[n - 1 :] << np.uint64(8 * (n - 1))
+            with np.errstate(over="ignore"):
+                gram = gram[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(1)
             if n in GRAMS:
-                with np.errstate(over="ignore"):
-                    bucket = ((gram * _ODD) >> np.uint64(64 - BITS)).astype(np.int64)
+                bucket = (mix64(gram) >> np.uint64(64 - BITS)).astype(np.int64)
                 at = np.arange(len(bucket)) if of is None else np.flatnonzero(of[bucket])
                 owner = np.searchsorted(limits, at, side="right")
                 whole = at + n <= limits[owner]
@@ -109,7 +111,8 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """Rows (doc_id, text, toxic): for each class the ``per_class`` labelled documents of the smallest id hashes.
 
-    Labels that are null or not 0 or 1 are left out; a document with different labels counts once for each.
+    Labels that are null or not 0 or 1 are left out; a document with different labels counts once for each. Of rows
+    that repeat a doc_id one of the least text counts, so the sample is bounded whatever repeats.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     usable = usable.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
@@ -117,7 +120,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     for c in (0, 1):
         some = usable.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(per_class).drop("h")
         chosen = some if chosen is None else chosen.unionByName(some)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -148,7 +152,7 @@ def toxicity_score(text: Column, model: tuple[np.ndarray, np.ndarray, float]) ->
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the columns held_out, score and predicted.
+    """``docs`` with the columns held_out, score and predicted, which replace columns of these names.
 
     The score depends on the text alone (null and empty texts have the intercept's score). Rows that repeat
     have equal scores.
@@ -159,8 +163,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, all columns."""
-    score = toxicity_score(F.col("text"), train(docs, labels))
-    return docs.withColumn("_cw_score", score).where(F.col("_cw_score") < THRESHOLD).drop("_cw_score")
+    score = unused(docs, "_cw_score")
+    return docs.withColumn(score, toxicity_score(F.col("text"), train(docs, labels))).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import cws, decontamination, licenses, linededup, mixing, nearcopies, pii, queries, sharding, simhash, toxicity, urlfilter
+from claimweave.llm import common, cws, decontamination, licenses, linededup, mixing, nearcopies, pii, queries, sharding, simhash, toxicity, urlfilter
 from claimweave.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key int, shard int, _nth int"
@@ -96,7 +97,7 @@ def test_fingerprints_are_unbiased_and_edits_exact(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(60)]
     texts = [" ".join(rng.choice(words, 50)) for _ in range(60)] + ["", None, "é" * 7]
-    rows = {r.key: r for r in cws.fingerprint_documents(docs_of(spark, texts), 64).collect()}
+    rows = {r.key: r for r in cws.fingerprint_documents(docs_of(spark, texts)).collect()}
     errors = []
     for k, t in enumerate(texts):
         t, nxt = t or "", texts[(k + 1) % len(texts)] or ""
@@ -105,12 +106,12 @@ def test_fingerprints_are_unbiased_and_edits_exact(spark):
         assert rows[k].n_chars == len(t) and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b = Counter(t.split()) or Counter([""]), Counter(edited.split()) or Counter([""])
         errors.append(rows[k].near_edited - sum((a & b).values()) / sum((a | b).values()))
-    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
     assert rows[60].fp == rows[61].fp and rows[60].near_next == 1.0 and rows[61].near_next == 0.0
 
 
 def test_registered_samples_bound_the_error(spark):
-    assert 1 / (2 * cws.SAMPLES**0.5) < 0.09
+    assert 1 / (2 * cws.SAMPLES**0.5) < 0.07
     words = [f"w{k}" for k in range(240)]
     docs = docs_of(spark, [" ".join(words[k % 7 * 3 : k % 7 * 3 + 160] + [f"own{k}x{j}" for j in range(20)]) for k in range(40)])
     rows = cws.fingerprint_documents(docs).collect()
@@ -118,7 +119,7 @@ def test_registered_samples_bound_the_error(spark):
     weights = [Counter(" ".join(words[k % 7 * 3 : k % 7 * 3 + 160] + [f"own{k}x{j}" for j in range(20)]).split()) for k in range(40)]
     true = lambda x, y: sum((x & y).values()) / sum((x | y).values())
     errors = [r.near_next - true(weights[r.key], weights[(r.key + 1) % 40]) for r in rows]
-    assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.1
+    assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.08
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -146,20 +147,54 @@ def test_line_dedup_of_repeats(spark):
     assert [(rows[k].n_lines, rows[k].n_dropped, rows[k].kept) for k in range(5)] == [(2, 0, texts[0]), (3, 2, "x"), (2, 0, texts[2]), (2, 0, texts[3]), (1, 0, "")]
 
 
-def test_decontamination_equals_brute_force(spark, sf):
-    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_decontamination_equals_brute_force(spark, scale):
+    """Brute force looks at every passage of every document for every item, without the index."""
+    folder = f"/root/testdata/sf{scale}"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     got = {(r.key, r.item_id) for r in decontamination.find_items(docs, bench).collect()}
     items = [decontamination.split_item(r.item_id, r.text) for r in bench.collect()]
     want = set()
     for r in docs.select("doc_id", "text").collect():
-        h = decontamination._tokens(r.text)[1]
-        grams, words = decontamination.shingles(h), set(h.tolist())
-        want |= {(r.doc_id, i.item_id) for i in items if len(i.question & grams) / len(i.question) >= 0.8 and len(i.answer & words) / len(i.answer) >= 0.8}
+        h = decontamination._hashes(r.text)
+        whole = set(h.tolist())
+        for i in items:
+            if len(whole.intersection(i.answer.tolist())) < 0.8 * len(i.answer):
+                continue
+            for at in range(0, len(h), decontamination.SEGMENT):
+                found = decontamination.shares(i, h[max(0, at - len(i.words)) : at + 2 * decontamination.SEGMENT + len(i.words)])
+                if found[0] >= 0.8 and found[1] >= 0.8:
+                    want.add((r.doc_id, i.item_id))
+                    break
     assert got == want and want
     clean = decontamination.drop_contaminated(docs, bench)
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - {k for k, _ in want}
 
 
+def test_index_parts_find_the_same_and_grow_with_the_text(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = {(r.key, r.item_id) for r in decontamination.find_items(docs, bench).collect()}
+    one = decontamination.build_indexes(bench).agg(F.sum("size")).first()[0]
+    monkeypatch.setattr(decontamination, "PART_BYTES", 4_000)
+    monkeypatch.setattr(decontamination, "PASS_BYTES", one)
+    assert {(r.key, r.item_id) for r in decontamination.find_items(docs, bench).collect()} == whole
+    assert one < 60 * bench.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+def test_block_max_wand_equals_full_scoring(spark):
+    rng = np.random.default_rng(2)
+    items = [decontamination.split_item(k, " ".join(f"t{x}" for x in rng.zipf(1.4, 40))) for k in range(90)]
+    parts = [p for i in items for p in decontamination.segments(i.words)]
+    terms, frequency = np.unique(np.concatenate([np.unique(p) for p in parts]), return_counts=True)
+    index = decontamination.BlockMaxIndex(items, terms, frequency.astype(float), len(parts), float(np.mean([len(p) for p in parts])))
+    for _ in range(60):
+        passage = np.unique(index.term_numbers(np.concatenate([parts[k] for k in rng.integers(0, len(parts), 2)])))
+        score = np.zeros(len(parts))
+        for t in passage:
+            score[index.segment[index.first[t] : index.first[t + 1]]] += index.impact[index.first[t] : index.first[t + 1]]
+        assert sorted(s for b in range(index.blocks) for s in index.wand(passage, b)) == np.flatnonzero(score >= decontamination.THRESHOLD - 1e-5).tolist()
+
+
 def test_mixing_targets(spark):
     assert mixing.source_targets({"a": 100, "b": 10, None: 0}) == {"a": 80.0, "b": 30.0, None: 0.0}
     rng = random.Random(2)
@@ -178,15 +213,15 @@ def test_url_aliases(spark):
         return (k, url, f"<html><head>{link}</head></html>", 1, "x")
 
     pages = [
-        page(0, "http://a.net/x"), page(1, "https://b.io/1?q", "http://a.net/x#f"), page(2, "http://c.io/2", "http://b.io/1", "refresh"), page(3, "http://example.net/en/y"),
+        page(0, "http://a.net/x"), page(1, "https://b.io/1?q", "http://a.net/x#f"), page(2, "http://c.io/2", "http://b.io/1?q", "refresh"), page(3, "http://example.net/en/y"),
         page(4, "http://d.io/3", "http://example.net/en/y"), page(5, "http://d.io/3?z", "http://a.net/q"), page(6, None), page(7, "plain"), page(8, "HTTP://Sub.Example.COM/de/?a"), page(9, "http://e.io/3"),
-        page(9, "http://e.io/3"),
+        page(9, "http://e.io/3"), page(10, "http://f.io/p?id=1&x=2", "http://a.net/z"), page(11, "http://f.io/p?id=2"), page(12, "http://g.io/", "http://f.io/p?id=1&amp;x=2"),
     ]
     rows = urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string, host int, verdict string")).collect()
     found = {r.page_id: (r.rule, r.verdict) for r in rows}
-    assert len(rows) == 11 and found == {
-        0: ("net/", "block"), 1: (None, "block"), 2: (None, "block"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"),
-        8: ("example.com/de/", "block"), 9: (None, "allow"),
+    assert len(rows) == 14 and found == {
+        0: ("net/", "block"), 1: (None, "block"), 2: (None, "block"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "allow"), 7: (None, "allow"),
+        8: ("example.com/de/", "block"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "allow"), 12: (None, "block"),
     }
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -195,7 +230,7 @@ def test_relative_targets_are_resolved(spark):
     page = "https://A.com/x/y/page?q=1"
     cases = {
         "/en/x": "https://A.com/en/x", "../y": "https://A.com/x/y", "z": "https://A.com/x/y/z", "./": "https://A.com/x/y/", "//b.org/fr/x": "https://b.org/fr/x",
-        "/go?u=http://b/": "https://A.com/go", "http://c.net/": "http://c.net/", "#top": "https://A.com/x/y/page", "mailto:a@b.net": None, "../../../../r/./s/..": "https://A.com/r/",
+        "/go?u=http://b/": "https://A.com/go?u=http://b/", "http://c.net/": "http://c.net/", "#top": "https://A.com/x/y/page?q=1", "mailto:a@b.net": None, "../../../../r/./s/..": "https://A.com/r/",
     }
     rows = spark.createDataFrame([(page, t) for t in cases], "url string, target string").select("target", urlfilter.resolve(F.col("url"), F.col("target")).alias("y")).collect()
     assert {r.target: r.y for r in rows} == cases
@@ -326,23 +361,151 @@ def test_pii(spark):
     rows = {r.key: r for r in pii.replace_pii(docs_of(spark, [text, other, "clean text", None]), b"k").collect()}
     clean = rows[0].clean
     kinds = [e[2].split(":")[0] for e in pii.find_entities(text)]
-    assert Counter(kinds) == Counter(email=2, phone=1, card=2, ip=1, secret=1, name=3) and rows[0].n_entities == 10
-    assert not any(v in clean for v in ("Lee", "555-7713", "4111", "ab12cd34", "Meier", "Klein", "Иванов"))
+    assert Counter(kinds) == Counter(email=2, phone=1, card=2, ip=1, secret=1, family=3, given=1) and rows[0].n_entities == 11
+    assert not any(v in clean for v in ("Lee", "555-7713", "4111", "ab12cd34", "Meier", "Klein", "Otto", "Иванов"))
     after = pii.find_entities(clean)
     assert [e[2] for e in after] == [e[2] for e in pii.find_entities(text)]
     assert len({e[3] for e in after if e[2] == "email"}) == 1 and len({e[3] for e in after if e[2] == "card"}) == 1 and pii.luhn(next(e[3] for e in after if e[2] == "card"))
     phone = next(clean[s:e] for s, e, k, _ in after if k == "phone")
-    assert phone in rows[1].clean and rows[1].n_entities == 2 and rows[2].clean == "clean text" and rows[3].clean is None
-    assert pii.replace_pii(docs_of(spark, [text]), b"another").first().clean != clean
+    assert phone in rows[1].clean and phone.startswith("+1 (0") and rows[1].n_entities == 2 and rows[2].clean == "clean text" and rows[3].clean is None
+    assert "10." in clean and pii.replace_pii(docs_of(spark, [text]), b"another").first().clean != clean
+
+
+def test_pii_forms():
+    kinds = lambda t: [e[2].split(":")[0] for e in pii.find_entities(t)]
+    for text, kind in {
+        "call (415) 555-0123": "phone", "call 415-555-0123": "phone", "call 0049 30 1234567": "phone", "+33 1 23 45 67 89": "phone", '{"password": "s3cr3t-x9"}': "secret", "at fe80::1:2:3 here": "ipv6",
+        "2001:db8:0:1:2:3:4:5": "ipv6", "Dr. Weber said": "family", "api_key=abcdef0123456789": "secret", "a.b@c.example.com.": "email", "SSN 078-05-1120": "ssn",
+    }.items():
+        assert kinds(text) == [kind], text
+    for text in ("at 12:30:45 today", "std::vector", "version 1.2.3.4.5", "password: please", "2024-01-02 and 1234-5678", "a@b", "token count", "Released under 4.0.", "pages 100-200-3000"):
+        assert kinds(text) == [], text
+    assert pii.country_code("+33123456789") == "+33" and pii.country_code("+3531234567") == "+353" and pii.country_code("017") == ""
+    assert pii.surrogate_value(b"k", "phone", "+33123456789").startswith("+33") and pii.surrogate_value(b"k", "ip", "192.168.0.1").startswith("192.168.")
+    public = [pii.surrogate_value(b"k", "ip", f"8.8.8.{k}") for k in range(200)]
+    assert not any(tuple(int(x) for x in p.split("."))[:n] == head for p in public for head, n in pii.LOCAL_NETS)
+
+
+def test_pii_keeps_coreference_and_distinctness(spark):
+    texts = [
+        "Herr Max Schmidt came. Later Schmidt left, and Max Schmidt slept. Frau Anna Berger stayed; Berger sang.", "Herr Schmidt wrote to Frau Berger and to Herr Klein.",
+        *[f"Mr {a}{b}ton met Mrs {b}{a.lower()}ley." for a in "BCDFGH" for b in ("Ak", "El", "Ir", "On", "Ut", "Am", "Es", "Ol")],
+    ]
+    texts = [t.replace("Ak", "ak").replace("El", "el").replace("Ir", "ir").replace("On", "on").replace("Ut", "ut").replace("Am", "am").replace("Es", "es").replace("Ol", "ol") for t in texts]
+    rows = {r.key: r.clean for r in pii.replace_pii(docs_of(spark, texts), b"k").collect()}
+    assert not any(n in rows[0] + rows[1] for n in ("Schmidt", "Berger", "Max", "Anna", "Klein"))
+    words = rows[0].replace(".", "").replace(";", "").replace(",", "").split()
+    given, family = words[1], words[2]
+    assert words[5] == family and words[8:10] == [given, family] and rows[1].split()[1] == family
+    anna = words[words.index("Frau") + 1 : words.index("Frau") + 3]
+    assert anna[0] in pii.GIVEN["latin", "f"] or len(anna[0]) > 3
+    assert words[words.index("Frau") + 4] == anna[1] and anna[1] in rows[1]
+    pairs = [(a[3], b[3]) for k, t in enumerate(texts) for a, b in zip(pii.find_entities(t), pii.find_entities(rows[k]))]
+    forward, back = {}, {}
+    for a, b in pairs:
+        assert forward.setdefault(a, b) == b and back.setdefault(b, a) == a and a != b
+
+
+def test_pii_reads_long_runs_in_linear_time():
+    for unit in ("a", "a1+/", "1", "1.", "a.b@", "12-", ":a", "Herr ", "password=", "Ab-", "+1 "):
+        began = time.time()
+        pii.find_entities(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 8, unit
 
 
 def test_pii_collisions_are_drawn_again(spark):
-    names = [f"{a}{b}" for a in "BCDFGH" for b in ("ak", "el", "ir", "on", "ut", "am", "es", "ol")]
+    names = [f"{a}{b}{c}" for a in "BCDFGH" for b in ("ak", "el", "ir", "on", "ut", "am", "es", "ol") for c in ("", "son", "ler", "mann")]
     docs = docs_of(spark, [f"Herr {n} said so." for n in names])
     rows = pii.replace_pii(docs, b"k").collect()
     assert len({r.clean for r in rows}) == len(names)
 
 
+def test_rows_without_or_with_repeated_ids_are_kept(spark):
+    rows = [(None, "alpha beta gamma delta epsilon one"), (None, "some quite other words stand here two"), (None, "and a third text of its own three"), (1, "text a of id one is this"), (2, "text a of id one is this"), (2, "text b of id two is that one"), (2, "text b of id two is that one")]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = simhash.keep_one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in {(i, t) for i, t in rows} - {(2, rows[3][1])})
+    near = cws.fingerprint_documents(docs).select("key", "n_chars", "near_next").collect()
+    assert len(near) == len(rows) and sum(r.near_next == 1.0 for r in near) == 2
+    lines = linededup.dedup_lines(docs_of(spark, ["a line of the null one", "a line of the null one\nother line here", "a line of the null one"], [None, None, 5])).collect()
+    assert sorted((r.n_lines, r.n_dropped) for r in lines) == [(1, 0), (1, 1), (2, 0)]
+
+
+STAGE_INPUTS = ["empty", "odd"]
+
+
+@pytest.mark.parametrize("given", STAGE_INPUTS)
+def test_stages_take_any_rows(spark, odd, sf, given):
+    """Nulls, empties, repeats, long texts and clashing columns: each stage returns rows of its input with its columns."""
+    docs = odd.limit(0) if given == "empty" else odd
+    docs = docs.withColumn("_cw_key", F.lit(1)).withColumn("_cw_score", F.lit(2)).withColumn("_cw_clean", F.lit(3)).withColumn("_cw_times", F.lit(4)).withColumn("_cw_source", F.lit("x"))
+    labels = spark.createDataFrame([(0, 1), (None, 1), (2, None), (4, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f"), (None, "x y"), (2, None)], "item_id long, text string")
+    n = docs.count()
+    for stage, least in ((lambda d: toxicity.drop_toxic(d, labels), 0), (simhash.keep_one_of_each, 5), (lambda d: decontamination.drop_contaminated(d, bench), 7), (mixing.mixed_rows, 0)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert (n == 0 and out.count() == 0) or out.count() >= least
+    assert sharding.sharding_result(docs).count() == n
+    pages = spark.createDataFrame([(None, None, None, 1), (1, "", "", 2), (2, "http://a.io/" + "x" * 100_000, "<html>" + "y" * 1_000_000, 3), (2, "http://a.io/", None, 4)], "page_id long, url string, html string, node int")
+    assert urlfilter.judge_urls(pages).count() == 4 and urlfilter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_licenses_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    got = {(r.key, r.license) for r in licenses.scan_licenses(docs).collect()}
+    want = set()
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    for r in docs.select("doc_id", "text").collect():
+        h = decontamination.shingle_hashes(decontamination._hashes(r.text))
+        for name, own in zip(index.names, index.sets):
+            if len(np.intersect1d(h, own)) >= licenses.CONTAINMENT * len(own):
+                want.add((r.doc_id, name))
+    assert want and got <= want and all(any(k == g and len(licenses.TEMPLATES[o]) >= len(licenses.TEMPLATES[n]) for g, o in got) for k, n in want - got)
+    rng, words = random.Random(9), [f"w{k}" for k in range(400)]
+    fuzzy = []
+    for _ in range(400):
+        notice = licenses.TEMPLATES["gpl-3-notice"].split()
+        for k in rng.sample(range(len(notice)), 2):
+            notice[k] = "changed"
+        fuzzy.append(" ".join(rng.choices(words, k=rng.randint(0, 200)) + notice + rng.choices(words, k=50)))
+    own = index.sets[index.names.index("gpl-3-notice")]
+    true = [np.isin(own, decontamination.shingle_hashes(decontamination._hashes(t))).mean() >= licenses.CONTAINMENT for t in fuzzy]
+    found = {r.key for r in licenses.scan_licenses(docs_of(spark, fuzzy)).collect()}
+    assert sum(true) > 100 and len(found) >= 0.98 * sum(true)
+    with pytest.raises(ValueError):
+        licenses.TemplateIndex({"short": "three words only"})
+
+
+def test_mix_is_near_its_targets(spark):
+    rows = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.03 for r in rows)
+
+
+def test_score_of_other_scripts(spark):
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in "бдгклмнпрст" for b in ("ан", "еро", "ил", "уми", "ота")]
+    texts = [" ".join([*(rng.choice(plain) for _ in range(rng.randint(5, 60))), *(["дурак"] if k % 3 == 0 else [])]) for k in range(450)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(450)], "doc_id long, toxic int")
+    rows = toxicity.score_documents(docs_of(spark, texts), labels).select("doc_id", "held_out", "predicted").collect()
+    assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in rows if r.held_out]) > 0.97
+
+
+def test_fit_is_bounded_when_a_labelled_id_repeats(spark):
+    docs = docs_of(spark, [f"text number {k}" for k in range(500)], [7] * 500)
+    assert toxicity.training_sample(docs, spark.createDataFrame([(7, 1)], "doc_id long, toxic int")).count() <= 1
+
+
+def test_scratch_deletes_what_it_made(spark):
+    with common.scratch() as kept:
+        gone = common.materialize(spark.range(3), "gone")
+        kept.append(common.materialize(spark.range(4), "stays"))
+    assert kept[0].count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._claimweave_path).count()
+    common.release(kept[0])
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm.common import materialize
+from claimweave.llm.common import materialize, release, scratch
 from claimweave.llm.decontamination import drop_contaminated
 from claimweave.llm.mixing import mixed_rows
 from claimweave.llm.sharding import sharding_result
@@ -47,8 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shards of ``documents``; each stage's rows are written to the shared folder and read again."""
+    """The shards of ``documents``; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote on its way is deleted when its rows are written, and its input when the next rows are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            kept.append(materialize(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)

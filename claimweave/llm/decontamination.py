@@ -22,7 +22,9 @@ THRESHOLD = 0.6
 #: Verification: shares of the question's shingles of SHINGLE words, and of the answer's words.
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.8, 0.8
 #: Segments of a block of the postings. Bytes of item text in a part of the index, and of index in one pass over the documents.
-BLOCK, PART_BYTES, PASS_BYTES = 16, 1 << 20, 128 << 20
+BLOCK, PART_BYTES, PASS_BYTES = 4, 1 << 20, 128 << 20
+#: Score bounds (of a passage on a block) that are held at a time.
+CELLS = 1 << 22
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -84,18 +86,18 @@ class BlockMaxIndex:
         order = np.lexsort((segment, at))
         self.segment, self.impact, at = segment[order].astype(np.int32), impact[order].astype(np.float32), at[order].astype(np.int64)
         self.first = np.searchsorted(at, np.arange(len(self.terms) + 1))
-        cell = at * (-(-len(parts) // BLOCK) + 1) + self.segment // BLOCK
+        self.blocks = -(-len(parts) // BLOCK)
+        cell = at * self.blocks + self.segment // BLOCK
         begins = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.zeros(0, dtype=np.int64)
+        self.cell, self.cell_first = cell[begins], np.append(begins, len(cell))
         self.block, self.block_max = (self.segment[begins] // BLOCK).astype(np.int32), np.maximum.reduceat(self.impact, begins) if len(begins) else self.impact
         self.block_first = np.searchsorted(at[begins], np.arange(len(self.terms) + 1))
-        self.blocks = -(-len(parts) // BLOCK)
-        # terms of many segments weigh little: they only lower the score that the others must reach (by block)
+        # terms of many segments weigh little, and a passage repeats them: their share of a bound is capped by the most that a segment of the block has of them
         self.frequent = frequency > max(4, n // 12)
         common = np.zeros(len(parts))
         held = self.frequent[at] if len(at) else np.zeros(0, dtype=bool)
         np.add.at(common, self.segment[held], self.impact[held])
-        slack = np.maximum.reduceat(common, np.arange(0, len(parts), BLOCK)) if len(parts) else common
-        self.must = np.maximum(THRESHOLD - slack, 1e-6) - 1e-5
+        self.slack = np.maximum.reduceat(common, np.arange(0, len(parts), BLOCK)) if len(parts) else common
         # a table by the hash's leading bits says which term a word can be
         self.bits = max(8, int(np.ceil(np.log2(len(self.terms) + 1))) + 4)
         self.maybe = np.zeros(1 << self.bits, dtype=bool)
@@ -117,15 +119,13 @@ class BlockMaxIndex:
         threshold; no segment before its own can. If the first cursor stands there too, the segment is scored in full,
         else the cursors before the pivot move up to it.
         """
+        wanted = terms * self.blocks + block
+        at = np.searchsorted(self.cell, wanted)
+        at = at[self.cell[np.minimum(at, len(self.cell) - 1)] == wanted]
         cursors = []
-        for t in terms.tolist():
-            blocks = self.block[self.block_first[t] : self.block_first[t + 1]]
-            k = int(np.searchsorted(blocks, block))
-            if k < len(blocks) and blocks[k] == block:
-                some = self.segment[self.first[t] : self.first[t + 1]]
-                lo, hi = np.searchsorted(some, [block * BLOCK, (block + 1) * BLOCK])
-                at = self.first[t]
-                cursors.append([int(some[lo]), 0, some[lo:hi].tolist(), self.impact[at + lo : at + hi].tolist(), float(self.block_max[self.block_first[t] + k])])
+        for lo, hi, most in zip(self.cell_first[at].tolist(), self.cell_first[at + 1].tolist(), self.block_max[at].tolist()):
+            own = self.segment[lo:hi].tolist()
+            cursors.append([own[0], 0, own, self.impact[lo:hi].tolist(), most])
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -161,20 +161,21 @@ class BlockMaxIndex:
         base = np.concatenate([[0], np.cumsum(chunks)])
         chunk = base[table.text] + table.position // SEGMENT
         known = np.flatnonzero(term >= 0)
-        rare = known[~self.frequent[term[known]]]
-        t = term[rare]
+        pair = np.unique(chunk[known] * len(self.terms) + term[known])
+        at_chunk, t = pair // len(self.terms), pair % len(self.terms)
         fan = self.block_first[t + 1] - self.block_first[t]
         post = np.repeat(self.block_first[t] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) + np.arange(fan.sum()) if len(t) else np.zeros(0, dtype=np.int64)
-        # bounds are kept only for the cells (chunk, block) that some term touches
-        cell, where = np.unique(np.repeat(chunk[rare], fan) * self.blocks + self.block[post], return_inverse=True)
-        bound = np.bincount(where, weights=self.block_max[post], minlength=len(cell))
-        pair = np.unique(np.concatenate([cell, cell - self.blocks]))
-        total = np.zeros(len(pair))
-        for shift in (0, self.blocks):
-            at = np.searchsorted(cell, pair + shift)
-            hit = (at < len(cell)) & (cell[np.minimum(at, max(0, len(cell) - 1))] == pair + shift) if len(cell) else np.zeros(len(pair), dtype=bool)
-            total[hit] += bound[at[hit]]
-        opened = pair[(pair >= 0) & (total >= self.must[pair % self.blocks])] if len(pair) else pair
+        at_chunk, common = np.repeat(at_chunk, fan), np.repeat(self.frequent[t], fan)
+        # bounds of runs of passages at a time, so that they take CELLS numbers at most (or those of one passage)
+        slab, opened = max(1, CELLS // self.blocks), []
+        for low in range(0, int(base[-1]), slab):
+            some = slice(*np.searchsorted(at_chunk, [low, low + slab + 1]))
+            cell = (at_chunk[some] - low) * self.blocks + self.block[post[some]]
+            most, size = self.block_max[post[some]], (min(slab, int(base[-1]) - low) + 1) * self.blocks
+            rare, often = (np.bincount(cell[c], weights=most[c], minlength=size).reshape(-1, self.blocks) for c in (~common[some], common[some]))
+            rows, columns = np.nonzero(rare[:-1] + rare[1:] + np.minimum(often[:-1] + often[1:], self.slack) >= THRESHOLD - 1e-5)
+            opened.append((rows + low) * self.blocks + columns)
+        opened = np.concatenate(opened)
         out = set()
         starts = np.searchsorted(chunk, np.arange(base[-1] + 3))
         text_of = np.repeat(np.arange(len(chunks)), chunks)

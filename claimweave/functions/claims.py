@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import parts
+
 #: Wordings by which pages state that a part fits: (kind, weight, pattern) (fixed values).
 CLAIM_PATTERNS = (
     ("not_compatible", 0.95, r"(?i)\b(not compatible|incompatible|will not fit|won't fit|does not fit|doesn't fit|not interchangeable|cannot be used|can't be used|may damage)\b"),
@@ -56,8 +58,8 @@ PART_NAMES = (
     (r"(?i)\bnfc\b", "NFC component", "nfc"),
     (r"(?i)\bwireless charging\b|\bqi coil\b|\bcharging coil\b", "wireless charging coil", "wireless_charging"),
 )
-#: Names that show that a text is about a device.
-BRAND_MENTION = r"(?i)\b(samsung|apple|iphone|xiaomi|redmi|oppo|vivo|realme|oneplus|huawei|honor|motorola|nokia|tecno|infinix|pixel)\b"
+#: Names that show that a text is about a device (fixed values).
+BRAND_MENTION = r"(?i)\b(?:samsung|apple|iphone|galaxy|redmi|xiaomi|poco|huawei|honor|oppo|vivo|oneplus|realme|motorola|moto|nokia|sony|google|pixel|tecno|infinix|itel|tcl|asus|lenovo|nothing phone)"
 
 
 def claim_match(segment: Column) -> Column:
@@ -81,7 +83,15 @@ def canonical_part(term: Column) -> Column:
     for pattern, name, category in PART_NAMES:
         named = F.struct(F.lit(name).alias("canonical"), F.lit(category).alias("category"))
         out = F.when(term.rlike(pattern), named) if out is None else out.when(term.rlike(pattern), named)
-    return out.otherwise(F.struct(F.trim(term).alias("canonical"), F.lit(None).cast("string").alias("category")))
+    named = parts.part_mention(term)
+    own = F.struct(F.lower(parts.label(named["category"])).alias("canonical"), named["category"].alias("category"))
+    return out.when(named.isNotNull(), own).otherwise(F.struct(F.trim(term).alias("canonical"), F.lit(None).cast("string").alias("category")))
+
+
+def claim_kind(value: Column) -> Column:
+    """The kind that a model's wording means."""
+    v = F.lower(F.coalesce(value, F.lit("")))
+    return F.when(v.contains("not") | (v == "incompatible"), "not_compatible").when(v.isin("compatible", "fits"), "compatible").when(v.isin("spec_only", "specification"), "spec_only").otherwise("unclear")
 
 
 def any_in(text: Column, terms: Column) -> Column:

@@ -62,6 +62,11 @@ _MAKERS = "samsung|apple|iphone|galaxy|redmi|xiaomi|poco|huawei|honor|oppo|vivo|
 LONGEST_NAME = 5
 
 
+def bind(x: Column, f) -> Column:
+    """``f(x)`` with x worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _names() -> list[tuple[str, str, str]]:
     """(name, brand, label): longer names first (a space at the end counts), of equal ones the first brand's."""
     named = [(a, b, label) for b, label, aliases in BRANDS for a in aliases]
@@ -72,8 +77,8 @@ def brand_of(text: Column) -> Column:
     """Struct (brand, label) of the longest brand name that a word of the text begins with; else null."""
     padded = F.concat(F.lit(" "), normalize_match(text))
     known = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("brand"), F.lit(label).alias("label")) for a, b, label in _names()])
-    hit = F.get(F.filter(known, lambda n: padded.contains(F.concat(F.lit(" "), n["name"]))), F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(hit["brand"].alias("brand"), hit["label"].alias("label")))
+    hit = bind(padded, lambda t: F.get(F.filter(known, lambda n: t.contains(F.concat(F.lit(" "), n["name"]))), F.lit(0)))
+    return bind(hit, lambda h: F.when(h.isNotNull(), F.struct(h["brand"].alias("brand"), h["label"].alias("label"))))
 
 
 def brand_of_models(models: Column) -> Column:
@@ -91,21 +96,22 @@ def _until(tokens: Column, ends: tuple[str, ...], bare: str = "") -> Column:
     """The first five tokens at most, up to a word (not the first) that ends a name."""
     word = lambda t: F.regexp_replace(F.lower(t), bare, "") if bare else t
     end = F.array_position(F.transform(tokens, lambda t, k: (k > 0) & word(t).isin(*ends)), F.lit(True))
-    return F.slice(tokens, F.lit(1), F.when(end > 0, F.least(end - 1, F.lit(LONGEST_NAME))).otherwise(F.lit(LONGEST_NAME)).cast("int"))
+    return bind(end, lambda e: F.slice(tokens, F.lit(1), F.when(e > 0, F.least(e - 1, F.lit(LONGEST_NAME))).otherwise(F.lit(LONGEST_NAME)).cast("int")))
 
 
 def device_phrase(segment: Column) -> Column:
     """The device that a segment of a page names, as written: a maker's name and what follows it; null if none."""
     found = collapse_whitespace(F.regexp_extract(segment, r"(?i)\b((?:" + _MAKERS + r")[a-z0-9+.\- ]{0,32})", 1))
-    name = F.substring(F.regexp_replace(F.array_join(_until(F.split(found, " "), PHRASE_ENDS, "[^a-z0-9+]"), " "), "[,.;:]+$", ""), 1, 60)
-    return F.when(name != "", name)
+    name = lambda words: F.nullif(F.substring(F.regexp_replace(F.array_join(_until(words, PHRASE_ENDS, "[^a-z0-9+]"), " "), "[,.;:]+$", ""), 1, 60), F.lit(""))
+    return bind(F.split(found, " "), name)
 
 
 def family_key(name: Column, brand: Column) -> Column:
     """Normalised name without words that all devices of a maker have, led by the brand."""
     key = F.trim(F.regexp_replace(F.regexp_replace(normalize_match(name), r"\b(galaxy|phone|smartphone|mobile)\b", " "), " +", " "))
     maker = F.coalesce(brand, brand_of(name)["brand"])
-    return F.when(maker.isNotNull() & (key != "") & ~key.startswith(maker), F.concat_ws(" ", maker, key)).otherwise(key)
+    led = lambda b: F.when(b["maker"].isNotNull() & (b["key"] != "") & ~b["key"].startswith(b["maker"]), F.concat_ws(" ", b["maker"], b["key"])).otherwise(b["key"])
+    return bind(F.struct(key.alias("key"), maker.alias("maker")), led)
 
 
 def base_key(key: Column) -> Column:
@@ -129,15 +135,17 @@ def _title(name: Column, label: Column) -> Column:
     return F.when(label.isNull() | F.contains(F.lower(title), F.lower(label)), title).otherwise(F.concat_ws(" ", label, title))
 
 
-def device_mention(text: Column, models: Column) -> Column:
+def device_mention(text: Column, models: Column, norm: Column | None = None, brand: Column | None = None) -> Column:
     """Struct (brand, label, raw, family, family_key) of the device a question names; null if it names none.
 
+    ``norm`` and ``brand`` are the normalised text and its brand, where these are columns already.
+
     The name starts at the longest name of the brand, or, without one, at the first word that looks like a model
     (a bare number only after a product line's name); without a name the first model number stands for it.
     """
-    words = F.split(normalize_match(text), " ")
-    brand = brand_of(text)
-    padded = F.concat(F.lit(" "), normalize_match(text), F.lit(" "))
+    norm = normalize_match(text) if norm is None else norm
+    brand = brand_of(text) if brand is None else brand
+    words, padded = F.split(norm, " "), F.concat(F.lit(" "), norm, F.lit(" "))
     names = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(a).alias("name")) for b, _, aliases in BRANDS for a in dict.fromkeys((b, *(x.strip() for x in aliases)))])
     own = F.filter(names, lambda n: (n["brand"] == brand["brand"]) & padded.contains(F.concat(F.lit(" "), n["name"], F.lit(" "))))
     word_at = lambda n: F.length(F.regexp_replace(F.substring(padded, F.lit(1), F.position(F.concat(F.lit(" "), n, F.lit(" ")), padded).cast("int")), "[^ ]", ""))
@@ -146,15 +154,18 @@ def device_mention(text: Column, models: Column) -> Column:
     number = r"^(?:bn|eb|gh|bp|bs)-?\d|^\d{3}-\d{4}"
     like = F.transform(words, lambda t, k: ~t.rlike(number) & (t.rlike(r"^[a-z]{1,3}\d{1,4}[a-z]{0,2}$") | (t.rlike(r"^\d{1,2}$") & after(k))))
     modelled = F.array_position(like, F.lit(True)).cast("int")
-    led = F.when(modelled > 1, F.when(F.get(words, modelled - 2).isin(*PREFIXES), modelled - 1).otherwise(modelled)).when(modelled == 1, F.lit(1))
-    at = F.coalesce(start, led)
-    name = F.when(at.isNotNull(), F.array_join(_until(F.slice(words, at, F.size(words)), NAME_ENDS), " "))
+    led = lambda m: F.when(m > 1, F.when(F.get(words, m - 2).isin(*PREFIXES), m - 1).otherwise(m)).when(m == 1, F.lit(1))
     first = F.get(models, F.lit(0))
-    found = F.when(name != "", name)
-    return F.when(
-        found.isNotNull() | first.isNotNull() | brand.isNotNull(),
-        F.struct(
-            brand["brand"].alias("brand"), brand["label"].alias("label"), F.coalesce(found, first, F.lit("")).alias("raw"),
-            F.when(found.isNotNull(), _title(found, brand["label"])).otherwise(first).alias("family"), family_key(F.coalesce(found, first), brand["brand"]).alias("family_key"),
-        ),
-    )
+
+    def made(name: Column) -> Column:
+        found = F.when(name != "", name)
+        return F.when(
+            found.isNotNull() | first.isNotNull() | brand.isNotNull(),
+            F.struct(
+                brand["brand"].alias("brand"), brand["label"].alias("label"), F.coalesce(found, first, F.lit("")).alias("raw"),
+                F.when(found.isNotNull(), _title(found, brand["label"])).otherwise(first).alias("family"), family_key(F.coalesce(found, first), brand["brand"]).alias("family_key"),
+            ),
+        )
+
+    named = lambda at: F.when(at.isNotNull(), F.array_join(_until(F.slice(words, at, F.size(words)), NAME_ENDS), " "))
+    return bind(bind(F.coalesce(start, bind(modelled, led)), named), made)

@@ -7,24 +7,116 @@ from pyspark.sql import functions as F
 
 from .text import normalize_match
 
-#: Model codes (SKU) and part numbers as vendors write them (fixed values).
-SKU = r"\b(?:SM-[A-Z]\d{3}[A-Z0-9]{0,3}|A\d{4}|XT\d{4}(?:-\d{1,2})?|CPH\d{4}|RMX\d{4}|TA-\d{4}|[A-Z]{2,4}-[A-Z]{0,2}\d{2,4}[A-Z]?)\b"
-PART_NUMBER = r"\b(?:GH\d{2}-\d{5}[A-Z]|EB-[A-Z]{2}\d{3}[A-Z]{0,3}|BN[0-9A-Z]{2}|\d{3}-\d{5})\b"
-#: Words that set variants of a device apart (fixed values).
-MARKERS = ("3g", "4g", "5g", "lte", "pro", "max", "plus", "ultra", "lite", "mini", "fe", "se", "neo", "prime", "edge")
+#: Model codes (SKU) as makers write them: (brand, pattern), most specific first (fixed values).
+SKUS = (
+    ("samsung", r"(?i)\bSM-[A-Z]\d{2,4}[A-Z0-9]{0,7}\b"),
+    ("samsung", r"(?i)\bGT-[A-Z]\d{3,4}[A-Z0-9]{0,4}\b"),
+    ("apple", r"\bA(?:1[0-9]{3}|2[0-9]{3}|3[0-9]{3})\b"),
+    ("xiaomi", r"\b(?:M|2)\d{7,9}[A-Z]{1,4}\b"),
+    ("realme", r"(?i)\bRMX\d{4,6}\b"),
+    ("oppo", r"(?i)\bCPH\d{3,5}\b"),
+    ("vivo", r"\bV(?:19|20|21|22|23|24|25|27|29)\d{2}[A-Z]?\b"),
+    ("oneplus", r"\b(?:NE|IN|LE|AC|KB|GM)\d{4}\b"),
+    ("motorola", r"(?i)\bXT\d{4,5}(?:-\d{1,2})?\b"),
+    ("nokia", r"(?i)\bTA-\d{3,4}\b"),
+    ("huawei", r"\b(?:ANE|MAR|VOG|ELE|JNY|CLT|EVA|LON|WAS|FIG|PCT|DUB|PAR|YAL|CET|NOH|ANA|LYA)[A-Z0-9-]{1,8}\b"),
+    ("google", r"\b(?:G|GL|GU|GA|GV|GD|GH|GK|GR)\d{3,4}[A-Z]{0,3}\b"),
+)
+#: Model codes of any brand, and the prefixes they must have (fixed values).
+ANY_SKU, ANY_SKU_PREFIX = r"(?i)\b[a-z]{2}-[a-z]\d{3}[a-z0-9]{0,6}\b", r"(?i)^(sm|gt|xt|ta|rmx|cph)-"
+#: Shapes of numbers that are printed on parts (fixed values).
+PART_NUMBERS = (
+    r"(?i)\bGH\d{2}-\d{4,6}[A-Z]\b",
+    r"(?i)\bEB-[A-Z]{1,3}\d{2,4}[A-Z0-9]{0,8}\b",
+    r"\b(?:BN|BP|BM)\d{1,2}[A-Z0-9]?\b",
+    r"(?i)\bB[PS]-[A-Z0-9]{4,12}\b",
+    r"(?i)\b821-\d{4,5}-[A-Z0-9]{1,3}\b",
+    r"\b\d{3}-\d{4,5}-[A-Z]\b",
+    r"\b[A-Z]{3}\d{3,4}[A-Z]?\b",
+    r"\b\d{4}-\d{4}-[A-Z0-9]\b",
+)
+#: Beginnings by which such numbers are device codes instead (fixed value).
+DEVICE_PREFIX = r"(?i)^(SM|GT|RMX|CPH|XT|TA|NE|IN|LE|AC|KB|GM)[-\d]"
+#: Marks that set variants of a device apart: (key, label, pattern) (fixed values).
+VARIANTS = (
+    ("5g", "5G", r"(?i)\b5\s?g\b|5g\b"),
+    ("4g", "4G", r"(?i)\b4\s?g\b|lte\b"),
+    ("3g", "3G", r"(?i)\b3\s?g\b|hspa\b"),
+    ("pro", "Pro", r"(?i)\bpro\b"),
+    ("pro-max", "Pro Max", r"(?i)\bpro\s?max\b"),
+    ("max", "Max", r"(?i)\bmax\b"),
+    ("ultra", "Ultra", r"(?i)\bultra\b"),
+    ("plus", "Plus", r"(?i)\bplus\b|\+"),
+    ("mini", "mini", r"(?i)\bmini\b"),
+    ("se", "SE", r"(?i)\bse\b"),
+    ("fe", "FE", r"(?i)\bfe\b"),
+    ("neo", "Neo", r"(?i)\bneo\b"),
+    ("lite", "Lite", r"(?i)\blite\b"),
+    ("xr", "XR", r"(?i)\bxr\b"),
+    ("xs", "XS", r"(?i)\bxs\b"),
+    ("dual-sim", "Dual SIM", r"(?i)\bdual\s?sim\b|\bds\b|\bdual\b"),
+    ("single-sim", "Single SIM", r"(?i)\bsingle\s?sim\b|\bss\b"),
+    ("global", "Global", r"(?i)\bglobal\b|\binternational\b|\bintl\b"),
+    ("us", "US", r"(?i)\bus\s(?:version|model)\b|\busa\b"),
+    ("eu", "EU", r"(?i)\beu\s(?:version|model)\b|\beuropean\b"),
+    ("cn", "China", r"(?i)\b(china|chinese)\s(?:version|model|variant)\b|\bcn\b"),
+    ("india", "India", r"(?i)\bindia\b|\bindian\b|\bins\b"),
+    ("korea", "Korea", r"(?i)\bkorea\b|\bkorean\b"),
+    ("snapdragon", "Snapdragon", r"(?i)\bsnapdragon\b|\bsd\d{3}\b"),
+    ("exynos", "Exynos", r"(?i)\bexynos\b"),
+    ("mediatek", "MediaTek", r"(?i)\bmediatek\b|\bdimensity\b|\bhelio\b"),
+    ("nfc", "NFC variant", r"(?i)\bnfc\b"),
+    ("amoled", "AMOLED", r"(?i)\bamoled\b|\bsuper amoled\b"),
+    ("lcd", "LCD", r"(?i)\blcd\b|\bips\b|\btft\b|\bincell\b"),
+)
 GENERATIONS = ("3g", "4g", "5g", "lte")
 
 
-def model_numbers(text: Column, most: int = 8) -> Column:
-    """Distinct model codes in order, at most 8; codes that differ by hyphens only are one."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SKU), F.lit(0))
+def normalize_identifier(c: Column) -> Column:
+    """Capitals, digits and hyphens only."""
+    return F.regexp_replace(F.upper(F.trim(c)), "[^A-Z0-9-]", "")
+
+
+def variant_label(key: Column) -> Column:
+    out = F.upper(key)
+    for k, label, _ in VARIANTS:
+        out = F.when(key == k, label).otherwise(out)
+    return out
+
+
+def _distinct_codes(codes: Column) -> Column:
+    """The codes in order; of those that differ by hyphens only the first stays."""
     plain = lambda c: F.regexp_replace(c, "-", "")
-    first = F.filter(found, lambda x, k: F.array_position(F.transform(found, plain), plain(x)) == k + 1)
-    return F.slice(first, 1, most)
+    step = lambda held, c: F.when(F.exists(held, lambda h: plain(h) == plain(c)), held).otherwise(F.array_append(held, c))
+    return F.aggregate(codes, F.array().cast("array<string>"), step)
+
+
+def _all(text: Column, patterns) -> Column:
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+
+
+def model_numbers(text: Column, brand: Column | None = None) -> Column:
+    """Distinct model codes, by pattern and then by place; with ``brand`` (null: any) only that maker's, and codes of any maker's shape."""
+    given = F.coalesce(text, F.lit(""))
+    shaped = F.filter(F.transform(_all(given, [p for _, p in SKUS]), normalize_identifier), lambda c: F.length(c) >= 4)
+    if brand is not None:
+        own = [F.when(brand.isNull() | (brand == b), F.regexp_extract_all(given, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for b, p in SKUS]
+        shaped = F.filter(F.transform(F.concat(*own), normalize_identifier), lambda c: F.length(c) >= 4)
+    generic = F.filter(F.transform(_all(given, [ANY_SKU]), normalize_identifier), lambda c: c.rlike(ANY_SKU_PREFIX))
+    # most texts hold no code at all; one look tells
+    return F.when(given.rlike(r"[A-Za-z]{1,3}-?[A-Za-z]?\d{2}|2\d{7}|\b(?:ANE|MAR|VOG|ELE|JNY|CLT|EVA|LON|WAS|FIG|PCT|DUB|PAR|YAL|CET|NOH|ANA|LYA)[A-Z0-9-]"), _distinct_codes(F.concat(shaped, generic))).otherwise(F.array().cast("array<string>"))
 
 
 def part_numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PART_NUMBER), F.lit(0)))
+    """Distinct part numbers, by pattern and then by place, without device codes."""
+    given = F.coalesce(text, F.lit(""))
+    found = F.filter(_all(given, PART_NUMBERS), lambda c: ~c.rlike(DEVICE_PREFIX))
+    return F.when(given.rlike(r"\d"), _distinct_codes(F.transform(found, normalize_identifier))).otherwise(F.array().cast("array<string>"))
+
+
+def model_like(text: Column) -> Column:
+    """Words that look like a model: one to three letters and one to four digits, perhaps with letters after."""
+    return F.filter(F.split(normalize_match(text), " "), lambda t: t.rlike(r"^[a-z]{1,3}\d{1,4}[a-z]{0,2}$"))
 
 
 #: Part numbers as they are looked for around a claim (fixed values).
@@ -33,11 +125,15 @@ NEAR_NUMBER = r"(?i:\bGH\d{2}-\d{4,6}[A-Z]\b)|(?i:\bEB-[A-Z0-9-]{4,14}\b)|\b(?:B
 
 def placed_numbers(text: Column) -> Column:
     """Array of structs (value, at): part numbers in capitals with the place, from 1, of their first character."""
-    gaps, found = F.split(text, NEAR_NUMBER, -1), F.regexp_extract_all(text, F.lit(NEAR_NUMBER), F.lit(0))
-    lengths = lambda a: F.transform(a, lambda x: F.length(x))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
-    at = lambda k: total(F.slice(lengths(gaps), F.lit(1), k + 1)) + total(F.slice(lengths(found), F.lit(1), k)) + 1
-    return F.transform(found, lambda v, k: F.struct(F.upper(v).alias("value"), at(k).alias("at")))
+    found = F.regexp_extract_all(text, F.lit(NEAR_NUMBER), F.lit(0))
+
+    def step(held: Column, v: Column) -> Column:
+        at = F.position(v, text, held["next"])
+        return F.struct((at + F.length(v)).alias("next"), F.array_append(held["all"], F.struct(F.upper(v).alias("value"), at.alias("at"))).alias("all"))
+
+    none = F.array().cast("array<struct<value:string,at:int>>")
+    placed = F.aggregate(found, F.struct(F.lit(1).alias("next"), none.alias("all")), step, lambda held: held["all"])
+    return F.when(F.size(found) > 0, placed).otherwise(none)
 
 
 def number_near(numbers: Column, at: Column, length: Column, reach: int = 360) -> Column:
@@ -47,12 +143,11 @@ def number_near(numbers: Column, at: Column, length: Column, reach: int = 360) -
 
 
 def variant_markers(text: Column) -> Column:
-    """Markers of a text; ``pro max`` counts as one, ``max`` leaves out ``plus``."""
-    tokens = F.split(normalize_match(text), " ")
-    found = F.filter(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.array_contains(tokens, m))
-    both = F.array_contains(found, "pro") & F.array_contains(found, "max")
-    found = F.when(both, F.concat(F.array(F.lit("pro max")), F.array_except(found, F.array(F.lit("pro"), F.lit("max"))))).otherwise(found)
-    return F.when(F.exists(found, lambda m: m.isin("max", "pro max")), F.array_remove(found, "plus")).otherwise(found)
+    """Keys of the variant marks of a text; ``pro-max`` stands for ``pro`` and ``max``, and ``max`` leaves out ``plus``."""
+    given = F.coalesce(text, F.lit(""))
+    found = F.array_compact(F.array(*[F.when(given.rlike(p), key) for key, _, p in VARIANTS]))
+    both = F.array_contains(found, "pro-max")
+    return F.when(both, F.array_except(found, F.array(F.lit("pro"), F.lit("max")))).when(F.array_contains(found, "max"), F.array_remove(found, "plus")).otherwise(found)
 
 
 def same_generation(a: Column, b: Column) -> Column:

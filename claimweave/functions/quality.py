@@ -49,42 +49,60 @@ def _within(text: Column, words: Column) -> Column:
     return F.exists(words, lambda w: text.contains(w))
 
 
-def relevance(title: Column, snippet: Column, text: Column, device: Column, part: Column, models: Column, number: Column) -> Column:
+def wanted_terms(device: Column, part: Column, models: Column, number: Column) -> Column:
+    """Struct of what a question asks for: terms of the device and the part, models, number, the terms of each side of a claim, and all key terms.
+
+    It is worked out once for each question; the functions below take it as it is.
+    """
+    d, p, m, n = terms(device), terms(part), lowered(models), _number(number)
+    return F.struct(
+        d.alias("device"), p.alias("part"), m.alias("models"), n.alias("number"), F.array_distinct(F.concat(d, m)).alias("devices"), F.array_distinct(F.concat(p, n)).alias("parts"),
+        F.array_distinct(F.concat(d, p, m, n)).alias("all"),
+    )
+
+
+def relevance(title: Column, snippet: Column, text: Column, asked: Column) -> Column:
     """Share of the key terms that the page has (0.7 of them count as all), more if it has a model or part number."""
     seen = F.lower(F.concat_ws("\n", _or_empty(title), _or_empty(snippet), F.substring(_or_empty(text), 1, LOOKED_AT)))
-    wanted = key_terms(device, part, models, number)
+    wanted = asked["all"]
     share = F.least(F.lit(1.0), F.size(F.filter(wanted, lambda w: seen.contains(w))) / F.greatest(F.lit(2), F.ceil(F.size(wanted) * F.lit(0.7))))
-    model = F.least(F.lit(1.0), share + F.when(_within(seen, lowered(models)), 0.2).otherwise(0.0))
-    return F.when(F.size(wanted) == 0, 0.4).otherwise(F.least(F.lit(1.0), model + F.when(_within(seen, _number(number)), 0.1).otherwise(0.0)))
+    model = F.least(F.lit(1.0), share + F.when(_within(seen, asked["models"]), 0.2).otherwise(0.0))
+    return F.when(F.size(wanted) == 0, 0.4).otherwise(F.least(F.lit(1.0), model + F.when(_within(seen, asked["number"]), 0.1).otherwise(0.0)))
+
+
+def directness(title: Column, text: Column, asked: Column) -> Column:
+    """Struct (score, explicit, opposed): the best sentence by how closely device, part and a wording of fit meet.
 
+    Only sentences with the device or the part are looked at for wordings.
+    """
 
-def directness(title: Column, text: Column, device: Column, part: Column, models: Column, number: Column) -> Column:
-    """Struct (score, explicit, opposed): the best sentence by how closely device, part and a wording of fit meet."""
-    devices, parts = F.array_distinct(F.concat(terms(device), lowered(models))), F.array_distinct(F.concat(terms(part), _number(number)))
+    def named(sentence: Column) -> Column:
+        return F.struct(sentence.alias("s"), _within(sentence, asked["devices"]).alias("d"), _within(sentence, asked["parts"]).alias("p"))
 
-    def judge(sentence: Column) -> Column:
-        low = F.lower(sentence)
-        d, p, yes, no = _within(low, devices), _within(low, parts), low.rlike("|".join(SUPPORTS)), low.rlike("|".join(OPPOSES))
-        score = F.when(yes & d & p, 1.0).when((yes | no) & (d | p), 0.6).when(d & p, 0.45).when(d | p, 0.2).otherwise(0.0)
-        return F.struct(score.alias("score"), (yes & d & p).alias("explicit"), (no & d & p).alias("opposed"))
+    def judge(n: Column) -> Column:
+        return F.struct(n["d"].alias("d"), n["p"].alias("p"), n["s"].rlike("|".join(SUPPORTS)).alias("yes"), n["s"].rlike("|".join(OPPOSES)).alias("no"))
 
-    judged = F.transform(sentences(F.concat(_or_empty(title), F.lit(". "), _or_empty(text))), judge)
-    best = F.coalesce(F.array_max(F.transform(judged, lambda j: j["score"])), F.lit(0.0))
-    return F.struct(F.when(best == 0, 0.1).otherwise(best).alias("score"), F.exists(judged, lambda j: j["explicit"]).alias("explicit"), F.exists(judged, lambda j: j["opposed"]).alias("opposed"))
+    low = F.transform(sentences(F.concat(_or_empty(title), F.lit(". "), _or_empty(text))), F.lower)
+    judged = F.transform(F.filter(F.transform(low, named), lambda n: n["d"] | n["p"]), judge)
+    score = lambda j: F.when(j["yes"] & j["d"] & j["p"], 1.0).when(j["yes"] | j["no"], 0.6).when(j["d"] & j["p"], 0.45).otherwise(0.2)
+    start = F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("explicit"), F.lit(False).alias("opposed"))
+    step = lambda h, j: F.struct(F.greatest(h["score"], score(j)).alias("score"), (h["explicit"] | (j["yes"] & j["d"] & j["p"])).alias("explicit"), (h["opposed"] | (j["no"] & j["d"] & j["p"])).alias("opposed"))
+    finish = lambda h: F.struct(F.when(h["score"] == 0, 0.1).otherwise(h["score"]).alias("score"), h["explicit"].alias("explicit"), h["opposed"].alias("opposed"))
+    return F.aggregate(judged, start, step, finish)
 
 
-def _page(title: Column, text: Column) -> Column:
+def page_of(title: Column, text: Column) -> Column:
     return F.lower(F.concat_ws(" ", _or_empty(title), _or_empty(text)))
 
 
-def model_specificity(title: Column, text: Column, device: Column, models: Column) -> Column:
-    """1 with a model number asked for, 0.65 with all words of the device's name, 0.4 with some."""
-    page, words = _page(title, text), terms(device)
-    return F.when(_within(page, lowered(models)), 1.0).when((F.size(words) > 0) & F.forall(words, lambda w: page.contains(w)), 0.65).when(_within(page, words), 0.4).otherwise(0.0)
+def model_specificity(page: Column, asked: Column) -> Column:
+    """1 with a model number asked for, 0.65 with all words of the device's name, 0.4 with some; ``page`` is that of :func:`page_of`."""
+    words = asked["device"]
+    return F.when(_within(page, asked["models"]), 1.0).when((F.size(words) > 0) & F.forall(words, lambda w: page.contains(w)), 0.65).when(_within(page, words), 0.4).otherwise(0.0)
 
 
-def part_specificity(title: Column, text: Column, part: Column, number: Column, category: Column) -> Column:
+def part_specificity(page: Column, asked: Column, category: Column) -> Column:
     """1 with the part number, 0.75 with all words of the part's name, 0.45 with some or the category, else 0.1."""
-    page, words = _page(title, text), terms(part)
+    words = asked["part"]
     some = _within(page, words) | F.coalesce(page.contains(category), F.lit(False))
-    return F.when(_within(page, _number(number)), 1.0).when((F.size(words) > 0) & F.forall(words, lambda w: page.contains(w)), 0.75).when(some, 0.45).otherwise(0.1)
+    return F.when(_within(page, asked["number"]), 1.0).when((F.size(words) > 0) & F.forall(words, lambda w: page.contains(w)), 0.75).when(some, 0.45).otherwise(0.1)

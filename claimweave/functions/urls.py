@@ -15,7 +15,7 @@ TIERS = {
     4: "scribd.com reddit.com xda-developers.com xdaforums.com gsmhosting.com gsm-forum.com repair.wiki quora.com youtube.com facebook.com pinterest.com tiktok.com",
 }
 #: Parts of a host that tell the tier where the domain is unknown, in order (fixed values).
-HINTS = ((2, "support|docs|manual"), (4, "forum|community|reddit|board"), (3, "marketplace|shop|store|buy|deal"), (2, "parts|repair|gsm|fix|mobile"))
+HINTS = ((2, r"(^|\.)(support|docs|manuals?)\."), (4, "forum|community|reddit|board"), (3, "marketplace|shop|store|buy|deal"), (2, "parts|repair|gsm|fix|mobile"))
 OTHER_TIER = 4
 AUTHORITY = {1: 1.0, 2: 0.8, 3: 0.5, 4: 0.35}
 
@@ -57,6 +57,13 @@ def authority(tier: Column) -> Column:
     return out
 
 
+def site_name(domain: Column) -> Column:
+    """A name for a site: the label before the last two of its host, or the first of two, with a capital."""
+    labels = F.split(domain, r"\.")
+    core = F.when(F.size(labels) > 2, F.get(labels, F.size(labels) - 3)).otherwise(F.get(labels, F.lit(0)))
+    return F.when(F.coalesce(domain, F.lit("")) == "", "unknown source").otherwise(F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 253)))
+
+
 def ipv4_number(host: Column) -> Column:
     """Dotted address as a long; null for anything else."""
     parts = F.transform(F.split(host, r"\."), lambda p: p.cast("long"))

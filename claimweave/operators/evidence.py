@@ -62,10 +62,20 @@ def side_totals(claims: DataFrame) -> DataFrame:
     )
 
 
-def judge(totals: DataFrame) -> DataFrame:
-    """``totals`` (of :func:`side_totals`, with coverage, n_conflicts and n_risks) with verdict, score and level."""
+def judge(totals: DataFrame, reverse: Column | None = None, found: Column | None = None, demoted: Column | None = None) -> DataFrame:
+    """``totals`` (of :func:`side_totals`, with coverage, n_conflicts and n_risks) with verdict, score and level.
+
+    Where ``reverse`` holds, the verdict follows from ``found``, the domains of the devices found. Where ``demoted`` holds, a verdict of
+    compatible becomes uncertain.
+    """
     c = F.col
-    decided = totals.withColumn("verdict", verdict(c("n_support"), c("n_oppose"), c("w_support"), c("w_oppose"), c("d_support"), c("d_oppose"), c("best_support"), c("best_oppose"), c("quality"), c("n_other"), c("n_sibling")))
+    rule = verdict(c("n_support"), c("n_oppose"), c("w_support"), c("w_oppose"), c("d_support"), c("d_oppose"), c("best_support"), c("best_oppose"), c("quality"), c("n_other"), c("n_sibling"))
+    if reverse is not None:
+        some = c("n_support") + c("n_oppose") + c("n_other") + c("n_sibling") > 0
+        rule = F.when(reverse, F.when(found >= 2, "compatible").when(found == 1, "likely_compatible").when(some, "uncertain").otherwise("insufficient_evidence")).otherwise(rule)
+    if demoted is not None:
+        rule = F.when(demoted & (rule == "compatible"), "uncertain").otherwise(rule)
+    decided = totals.withColumn("verdict", rule)
     scored = decided.withColumn("raw", confidence_score(c("quality"), c("d_support"), c("s_support"), c("s_oppose"), c("coverage"), c("number"), c("good_domains"), c("has_exact"), c("n_conflicts"), c("n_risks"), c("n_support") + c("n_oppose")))
     level = confidence_level(c("raw"), c("verdict"), c("n_support") > 0, c("n_oppose") > 0, c("d_support"), c("good_domains"), c("has_exact"))
     return scored.withColumn("_level", level).select("*", "_level.*").drop("_level", "raw")

@@ -17,14 +17,13 @@ def text_scores(sources: DataFrame, questions: DataFrame) -> DataFrame:
     null. Adds relevance, directness, explicit, opposed, model and part. A source without a question is left out.
     """
     c = F.col
-    asked = questions.select("question_id", *[c(n).alias(f"_{n}") for n in ("device", "part", "part_number", "part_category", "model_numbers")])
-    what = (c("_device"), c("_part"), c("_model_numbers"), c("_part_number"))
-    told = sources.join(asked, "question_id").withColumn("_direct", quality.directness(c("title"), c("text"), *what))
+    wanted = quality.wanted_terms(c("device"), c("part"), c("model_numbers"), c("part_number"))
+    asked = questions.select("question_id", c("part_category").alias("_category"), wanted.alias("_asked"))
+    told = sources.join(asked, "question_id").withColumn("_direct", quality.directness(c("title"), c("text"), c("_asked"))).withColumn("_page", quality.page_of(c("title"), c("text")))
     return told.select(
-        *[s for s in sources.columns], quality.relevance(c("title"), c("snippet"), c("text"), *what).alias("relevance"),
+        *[s for s in sources.columns], quality.relevance(c("title"), c("snippet"), c("text"), c("_asked")).alias("relevance"),
         c("_direct.score").alias("directness"), c("_direct.explicit").alias("explicit"), c("_direct.opposed").alias("opposed"),
-        quality.model_specificity(c("title"), c("text"), c("_device"), c("_model_numbers")).alias("model"),
-        quality.part_specificity(c("title"), c("text"), c("_part"), c("_part_number"), c("_part_category")).alias("part"),
+        quality.model_specificity(c("_page"), c("_asked")).alias("model"), quality.part_specificity(c("_page"), c("_asked"), c("_category")).alias("part"),
     )
 
 

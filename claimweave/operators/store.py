@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, for plans that read it several times.
+
+    It is a checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``; without one it is held by the executors and
+    worked out again for those that are lost.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """``old`` with the ``update`` columns of matching rows of ``new``, and the other rows of ``new`` added."""
     other = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys], F.lit(True).alias("_hit"))

@@ -24,7 +24,7 @@ def test_claims_and_carried_context(spark):
 
 
 def test_redacted_segments_and_questions_without_a_device(spark):
-    _, found = claims_of(spark, ["[redacted] this battery fits the Samsung phone.", "A phone battery that fits Samsung A155 phones."], (), ())
+    _, found = claims_of(spark, ["[REDACTED-INSTRUCTION-LIKE-TEXT] this battery fits the Samsung phone.", "A phone battery that fits Samsung A155 phones."], (), ())
     assert [(r.source_id, r.claim, r.part_raw) for r in found.collect()] == [("s1", "compatible", "phone battery")]
 
 

@@ -482,7 +482,7 @@ _FLOW_PAGES = {
     1: ("yes", "yes", "yes", "yes"), 2: ("yes", "no"), 3: ("no", "no"), 4: ("sibling", "sibling"), 5: ("yes",), 6: ("other",), 7: ("attack", "yes", "yes"),
 }
 _FLOW_TEXTS = {
-    "yes": "The EB-BA155ABY battery is compatible with Samsung Galaxy A15 4G SM-A155F phones. It has 3.85 V and 5000 mAh.",
+    "yes": "The EB-BA155ABY battery (3.85 V, 5000 mAh) is compatible with Samsung Galaxy A15 4G SM-A155F phones.",
     "no": "This battery is not compatible with Samsung Galaxy A15 4G SM-A155F phones.",
     "sibling": "The battery is compatible with Samsung Galaxy A15 5G SM-A156B phones.",
     "other": "Our shop has many garden tools and chairs for the summer.",

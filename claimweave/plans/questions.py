@@ -179,9 +179,10 @@ def search_queries(understood: DataFrame, most: int = MOST_QUERIES, proposed: Da
         fits = lambda q: (F.length(q) >= 8) & about(q) & ~normalize_match(q).rlike(r"\b(ignore|instruction|prompt|system)\b")
         extra = F.transform(F.filter(F.coalesce("_offered", F.array().cast("array<string>")), fits), lambda q: F.struct(q.alias("query"), F.lit("generic").alias("kind")))
         rows = rows.join(offered, "question_id", "left").withColumn("_queries", F.concat("_queries", extra))
-    same = lambda a, b: normalize_match(a["query"]) == normalize_match(b["query"])
-    once = F.aggregate("_queries", F.array().cast("array<struct<query:string,kind:string>>"), lambda held, q: F.when(F.exists(held, lambda h: same(h, q)), held).otherwise(F.array_append(held, q)))
-    return rows.select("question_id", F.posexplode(F.slice(once, 1, most)).alias("priority", "_q")).select("question_id", "priority", "_q.query", "_q.kind")
+    keyed = rows.withColumn("_queries", F.transform("_queries", lambda q: F.struct(q["query"].alias("query"), q["kind"].alias("kind"), normalize_match(q["query"]).alias("key"))))
+    none = F.array().cast("array<struct<query:string,kind:string,key:string>>")
+    once = F.aggregate("_queries", none, lambda held, q: F.when(F.exists(held, lambda h: h["key"] == q["key"]), held).otherwise(F.array_append(held, q)))
+    return keyed.select("question_id", F.posexplode(F.slice(once, 1, most)).alias("priority", "_q")).select("question_id", "priority", "_q.query", "_q.kind")
 
 
 def part_notes(understood: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import devices, hashing, idents, quality, safety, scores, text, urls
+from .functions import devices, display, hashing, idents, quality, safety, scores, text, urls
 from .operators import dedupe, evidence, extraction, metrics, research, sourcing, store, usage
 from .plans import questions
+from .sources import readers
 from .sources.search import table
 from .streaming import limits
 
@@ -595,3 +596,87 @@ def admin_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = usage.session_totals(sessions).select(F.inline(F.array(entry("no_result", F.col("no_result")), entry("average_ms", F.col("average_ms")))))
     rate = usage.cache_rate(sessions, part.select(F.col("p_size").cast("long").alias("hits"))).select(F.inline(F.array(entry("hits", F.col("hits")), entry("permille", F.floor(F.col("hit_rate") * 1000 + 0.5)))))
     return usage.table_counts(orders=orders, part=part).unionByName(totals).unionByName(rate)
+
+
+@query("""
+SELECT event_id, a AS address, CASE event_id % 9 WHEN 0 THEN event_id % 200 NOT IN (0, 10, 127) WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN false WHEN 6 THEN event_id % 256 NOT IN (0, 10, 127) AND event_id % 256 < 224 WHEN 7 THEN false ELSE false END AS is_public
+FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN (event_id % 200) || '.8.4.4' WHEN 1 THEN '2a00:' || (event_id % 999) || '::1' WHEN 2 THEN '2606:4700:0:0:0:0:0:' || (event_id % 999) WHEN 3 THEN 'FE80::' || (event_id % 999) WHEN 4 THEN 'fd12:' || (event_id % 999) || '::'
+  WHEN 5 THEN '2001:db8::' || (event_id % 999) WHEN 6 THEN '::ffff:' || (event_id % 256) || '.1.1.1' WHEN 7 THEN '1:2:3:4:5:6:7:8::' || (event_id % 999) ELSE 'host' || (event_id % 999) END AS a FROM events)""")
+def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds made of event ids, and whether they are public."""
+    k = F.col("event_id")
+    some = lambda lead, tail="", m=999: F.concat(F.lit(lead), (k % m).cast("string"), F.lit(tail))
+    kinds = [some("", ".8.4.4", 200), some("2a00:", "::1"), some("2606:4700:0:0:0:0:0:"), some("FE80::"), some("fd12:", "::"), some("2001:db8::"), some("::ffff:", ".1.1.1", 256), some("1:2:3:4:5:6:7:8::"), some("host")]
+    return table(spark, sf_dir, "events").select("event_id", F.get(F.array(*kinds), (k % 9).cast("int")).alias("address")).withColumn("is_public", urls.is_public_ip(F.col("address")))
+
+
+@query("""
+SELECT c_custkey, 'research:' || CASE c_custkey % 4 WHEN 0 THEN 'a' || c_nationkey WHEN 1 THEN 'r' || c_nationkey WHEN 2 THEN 'unknown' ELSE 'v' || c_nationkey END AS limit_key FROM customer""")
+def client_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests with headers, and the keys of their rate limits."""
+    n, kind = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 4
+    listed = F.when(kind == 0, F.concat(F.lit(" a"), n, F.lit(" , b"))).when(kind == 1, F.lit(" , b"))
+    real, other = F.when(kind == 1, F.concat(F.lit("r"), n)).otherwise(F.lit("")), F.when(kind.isin(1, 3), F.concat(F.lit("v"), n))
+    headers = F.create_map(F.lit("x-forwarded-for"), listed, F.lit("x-real-ip"), real, F.lit("x-vercel-forwarded-for"), other)
+    return table(spark, sf_dir, "customer").select("c_custkey", display.limit_key(F.lit("research"), display.client_address(headers)).alias("limit_key"))
+
+
+@query("""
+SELECT event_id, strftime(ts, '%b %-d, %Y, %I:%M %p') AS at, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN h < 24 THEN h || ' h ago' WHEN d < 30 THEN d || ' d ago' ELSE strftime(ts, '%b %-d, %Y') END AS ago
+FROM (SELECT *, floor(h / 24.0 + 0.5)::BIGINT AS d FROM (SELECT *, floor(m / 60.0 + 0.5)::BIGINT AS h FROM (SELECT event_id, ts, floor((epoch_ms(TIMESTAMP '2024-02-05 00:00:00') - epoch_ms(ts)) / 60000.0 + 0.5)::BIGINT AS m FROM events)))""")
+def event_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, now = F.col("ts"), F.to_timestamp(F.lit("2024-02-05 00:00:00"))
+    return table(spark, sf_dir, "events").select("event_id", display.format_date_time(at).alias("at"), display.format_relative(at, now).alias("ago"))
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as deployments with settings."""
+    k = F.col("s_suppkey")
+    pick = lambda n, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
+    rows = {
+        "MAX_QUERIES_PER_RESEARCH": F.when(k % 5 == 0, F.lit("many")).otherwise((k % 20).cast("string")), "MAX_RESEARCHES_PER_HOUR_PER_IP": pick(3, " 1e3 ", "-5", ""), "SEARCH_PROVIDER": pick(4, "tavily", " Exa", "bing", ""),
+        "SEARCH_FALLBACK_PROVIDER": pick(3, "exa", "", "tavily"), "TAVILY_API_KEY": pick(2, "k", ""), "EXA_API_KEY": pick(3, "k", "k", ""), "AI_PROVIDER": pick(2, "openai", "none"), "OPENAI_API_KEY": pick(4, "k", "", "", ""), "DATABASE_URL": pick(5, "", "d", "d", "d", "d"),
+    }
+    return table(spark, sf_dir, "supplier").select(k.alias("deployment"), F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in rows.items()])))
+
+
+@query("""
+SELECT s_suppkey AS deployment, (CASE WHEN s_suppkey % 5 = 0 THEN 6 ELSE least(s_suppkey % 20, 10) END)::DOUBLE AS queries, 8::DOUBLE AS results, (CASE s_suppkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN -5 ELSE 20 END)::DOUBLE AS hourly FROM supplier""")
+def configured_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.limits(_settings(spark, sf_dir))
+    return found.select("deployment", F.col("max_queries_per_research").alias("queries"), F.col("max_results_per_query").alias("results"), F.col("max_researches_per_hour_per_ip").alias("hourly"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 1 THEN 'exa' WHEN 2 THEN NULL ELSE 'tavily' END AS r, CASE s_suppkey % 3 WHEN 0 THEN 'exa' WHEN 2 THEN 'tavily' END AS f, s_suppkey % 2 = 0 AS t, s_suppkey % 3 < 2 AS e FROM supplier),
+u AS (SELECT *, coalesce(CASE r WHEN 'exa' THEN e WHEN 'tavily' THEN t END, false) AS first, coalesce(CASE f WHEN 'exa' THEN e WHEN 'tavily' THEN t END AND f <> r, false) AS second FROM s)
+SELECT k AS deployment, CASE WHEN first THEN r || CASE WHEN second THEN ',' || f ELSE '' END ELSE '' END AS readers, k % 4 = 0 AS model_ready,
+  concat_ws(',', CASE WHEN r IS NULL THEN 'SEARCH_PROVIDER' WHEN NOT first THEN 'reader key' END, CASE WHEN k % 4 = 2 THEN 'model key' END, CASE WHEN k % 5 = 0 THEN 'DATABASE_URL' END) AS issues FROM u""")
+def capability_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = readers.capabilities(_settings(spark, sf_dir))
+    return found.select("deployment", F.array_join("readers", ",").alias("readers"), "model_ready", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""
+SELECT page_id, page_id % 5 > 0 AND page_id % 3 = 0 AND page_id % 2 = 0 AS cached, CASE WHEN page_id % 5 > 0 AND page_id % 3 = 0 AND page_id % 2 = 0 THEN 'kept ' || page_id WHEN page_id % 5 = 0 THEN 'inline' ELSE 'read ' || page_id END AS text FROM pages""")
+def cached_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as results; a third is in a cache, and half of that has expired."""
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("ordinal"), F.lit("").alias("snippet"), F.when(k % 5 == 0, "inline").alias("raw_content"))
+    kept = pages.where(k % 3 == 0).select("page_id", F.lit("t").alias("title"), F.concat(F.lit("kept "), k.cast("string")).alias("text"), F.lit(True).alias("fetched"), F.lit(100).alias("n_words"), F.make_date(F.lit(2024), F.lit(1) + (k % 2 == 0).cast("int"), F.lit(1)).alias("expires_at"))
+    read = lambda rest: rest.withColumns({"title": F.lit("t"), "text": F.coalesce("raw_content", F.concat(F.lit("read "), k.cast("string"))), "fetched": F.lit(True), "n_words": F.lit(2)})
+    return store.cache_first(pages, kept, "page_id", F.lit("2024-01-15").cast("date"), read).select("page_id", "cached", "text")
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS q, o_orderkey % 7 AS a, 0 AS p, o_orderkey AS o, (o_orderkey % 10) / 10.0 AS s FROM orders UNION ALL SELECT o_custkey, o_orderkey % 5, 1, o_orderkey, (o_orderkey % 9) / 10.0 FROM orders),
+f AS (SELECT q, a, p, min(o) AS o FROM r GROUP BY q, a, p)
+SELECT r.q AS question_id, 'https://e.com/' || r.a AS canonical, max(s)::DOUBLE AS score FROM r JOIN f USING (q, a, p, o) GROUP BY r.q, r.a""")
+def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the results of two readers; of a reader and address the first counts, of both readers the best score."""
+    k = F.col("o_orderkey")
+    result = lambda name, m, n: table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("question_id"), F.lit("q").alias("query"), F.lit(name).alias("provider"), k.alias("ordinal"), F.concat(F.lit("http://www.e.com/"), (k % m).cast("string")).alias("url"), F.lit("t").alias("title"),
+        F.lit("").alias("snippet"), F.lit(None).cast("string").alias("raw_content"), ((k % n) / 10.0).alias("score"),
+    )
+    return readers.search_all([result("one", 7, 10), result("two", 5, 9)], 20).select("question_id", "canonical", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -75,45 +76,77 @@ def clean_page_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\n", " "), "\u0001", "\n\n"))
 
 
-#: Elements without visible text, and elements that end a paragraph (fixed values).
-HIDDEN = frozenset("script style noscript template svg iframe form button nav header footer aside select option canvas object embed".split())
-BLOCK = frozenset("p div section article li ul ol table tr h1 h2 h3 h4 h5 h6 br blockquote pre main".split())
+#: What is left out of a page, what may hold its content (the first that has enough counts), and elements that begin a paragraph:
+#: tags, ``.class``, ``#id`` and ``attribute=value`` (fixed values).
+HIDDEN = (
+    "script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "embed", "form", "nav", "aside", "footer", "header",
+    "role=navigation", "role=banner", "role=contentinfo", "aria-hidden=true",
+    ".cookie", ".cookies", "#cookie", ".cookie-banner", ".newsletter", ".breadcrumb", ".social", ".advertisement", ".ads", ".sidebar", ".menu",
+)
+CONTENT = (
+    "main", "article", "role=main", "#content", "#main", ".product-description", ".product-details", ".product__description", ".specifications",
+    ".features", ".entry-content", ".post-content", ".rte",
+)
+BLOCK = frozenset("p div li tr h1 h2 h3 h4 h5 h6 br section article ul ol table td th dd dt".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+ENOUGH = 400
+
+
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+    """What selectors say that an element meets."""
+    of = dict(attrs)
+    marks = {tag, *(f".{c}" for c in (of.get("class") or "").split())}
+    marks |= {f"{name}={of[name]}" for name in ("role", "aria-hidden") if of.get(name)}
+    return marks | {f"#{of['id']}"} if of.get("id") else marks
 
 
 class _TextOf(HTMLParser):
+    """Pieces of visible text, and where among them the body and the parts that may hold the content begin and end."""
+
+    WANTED = frozenset((*CONTENT, "body"))
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hidden, self.main, self.all, self.best = 0, 0, [], []
+        self.pieces, self.open, self.names, self.hidden, self.spans = [], [], Counter(), 0, {}
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN and tag not in VOID:
-            self.hidden += 1
-        if tag in ("article", "main"):
-            self.main += 1
-        if tag in BLOCK:
-            self.handle_data("\n\n")
+        marks = _marks(tag, attrs)
+        hides = not marks.isdisjoint(HIDDEN)
+        if tag in BLOCK and not self.hidden and not hides:
+            self.pieces.append("\n\n")
+        if tag not in VOID:
+            seen = not self.hidden and not hides
+            begun = [m for m in self.WANTED & marks if m not in self.spans] if seen else []
+            self.spans.update((m, [len(self.pieces), None]) for m in begun)
+            self.open.append((tag, hides, begun))
+            self.names[tag] += 1
+            self.hidden += hides
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag in ("article", "main") and self.main:
-            self.main -= 1
+        name = None
+        while self.names[tag] and name != tag:
+            name, hides, begun = self.open.pop()
+            self.names[name] -= 1
+            self.hidden -= hides
+            for mark in begun:
+                self.spans[mark][1] = len(self.pieces)
 
     def handle_data(self, data):
         if not self.hidden:
-            self.all.append(data)
-            if self.main:
-                self.best.append(data)
+            self.pieces.append(data)
+
+    def between(self, mark: str) -> str:
+        first, last = self.spans.get(mark, (0, 0))
+        return "".join(self.pieces[first:last])
 
 
 def html_text(html: str | None) -> str:
-    """Visible text: of the article or main element if that has over 400 characters, else of the page."""
+    """Visible text of the first part that may hold the content and has over 400 characters, else of the body or the page."""
     parser = _TextOf()
     parser.feed(html or "")
     parser.close()
-    best = "".join(parser.best)
-    text = best if len(best.strip()) > 400 else "".join(parser.all)
+    body = parser.between("body")
+    text = next((t for t in map(parser.between, CONTENT) if len(t.strip()) > ENOUGH), body if body.strip() else "".join(parser.pieces))
     return re.sub(r"\s*\n\s*\n\s*", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", text)).strip()
 
 

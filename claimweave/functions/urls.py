@@ -86,13 +86,38 @@ def is_private_ipv4(host: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: Beginnings of IPv6 addresses that are not public: local links, local networks, multicast, documentation, NAT64 (fixed values).
+PRIVATE_V6 = ("fe80", "fc", "fd", "ff", "2001:db8", "64:ff9b")
+
+
+def is_ipv6(host: Column) -> Column:
+    """Eight groups of hexadecimal digits, or fewer around one ``::``; the last two may be a dotted IPv4 address."""
+    groups = F.regexp_replace(F.lower(host), r"(?<=:)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$", "0:0")
+    run = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+    n = F.size(F.filter(F.split(groups, ":"), lambda g: g != ""))
+    return F.coalesce((groups.rlike(f"^{run}$") & (n == 8)) | (groups.rlike(f"^(?:{run})?::(?:{run})?$") & (n <= 7)), F.lit(False))
+
+
+def is_public_ip(host: Column) -> Column:
+    """An address of either kind that is public; false for anything else. Mapped IPv4 addresses count as what they map."""
+    low = F.lower(host)
+    mapped = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    v4 = F.when(mapped != "", mapped).otherwise(host)
+    local = low.isin("::", "::1")
+    for start in PRIVATE_V6:
+        local = local | low.startswith(start)
+    return F.coalesce(F.when(ipv4_number(v4).isNotNull(), ~is_private_ipv4(v4)).otherwise(is_ipv6(host) & ~local), F.lit(False))
+
+
 def url_fault(url: Column) -> Column:
     """Why an address must not be fetched: protocol, credentials, host or private; null if nothing speaks against it."""
     host = domain_of(url)
+    address = F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?\[([^\]]*)\]", 1), F.lit(""))
     internal = r"^localhost$|\.(?:local|internal|localhost|lan|home|corp)$"
     return (
         F.when(~F.coalesce(url, F.lit("")).rlike(r"^(?i:https?)://"), F.lit("protocol"))
         .when(url.rlike(r"^[A-Za-z]+://[^/?#]*@"), F.lit("credentials"))
+        .when(address.isNotNull() & ~is_public_ip(address), F.lit("private"))
         .when((host == "") | host.rlike(internal) | host.rlike(r"^\d+$|^0x"), F.lit("host"))
         .when(is_private_ipv4(host), F.lit("private"))
     )

@@ -31,9 +31,9 @@ def better_result(held: Column, new: Column) -> Column:
     return (has(new) & ~has(held)) | higher | longer
 
 
-def dedupe_results(results: DataFrame) -> DataFrame:
-    """Search results (question_id, canonical, ordinal, score, snippet, content): the best of each address, with the best score."""
-    best = fold_best(results, ["question_id", "canonical"], "ordinal", ["score", "snippet", "content"], better_result)
+def dedupe_results(results: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Search results (question_id, canonical, ordinal, score, snippet, content and ``more``): the best of each address, with the best score."""
+    best = fold_best(results, ["question_id", "canonical"], "ordinal", ["score", "snippet", "content", *more], better_result)
     top = results.groupBy("question_id", "canonical").agg(F.max("score").alias("_top"))
     return best.join(top, ["question_id", "canonical"]).withColumn("score", F.nullif(F.col("_top"), F.lit(0.0))).drop("_top")
 

@@ -49,6 +49,27 @@ def split_by_cache(results: DataFrame, cache: DataFrame, key: str, as_of: Column
     return results.join(live, key, "left_semi"), results.join(live, key, "left_anti")
 
 
+def cache_first(results: DataFrame, cache: DataFrame, key: str, as_of: Column, read) -> DataFrame:
+    """Sources of results: from live cache rows where there are such, else what ``read`` makes of the results.
+
+    ``results`` have ``key``, ordinal, snippet and raw_content; those with contents bypass the cache. ``cache`` has ``key``, title, text, fetched,
+    n_words and expires_at; of several rows for a key the one that expires last counts. ``read`` takes results and gives
+    title, text, fetched and n_words besides their columns. Adds ``cached``.
+    """
+    page = ["title", "text", "fetched", "n_words"]
+    live = latest_by_key(cache.where(F.col("expires_at") >= as_of).select(key, *page, "expires_at"), [key], "expires_at", "text")
+    inline = F.coalesce(F.col("raw_content"), F.lit("")) != ""
+    bare = results.drop(*page)
+    held = bare.where(~inline).join(live.drop("expires_at"), key).withColumn("cached", F.lit(True))
+    rest = results.where(inline).unionByName(results.where(~inline).join(live.select(key), key, "left_anti"))
+    return held.unionByName(read(rest).withColumn("cached", F.lit(False)).select(*held.columns))
+
+
+def worth_caching(sources: DataFrame) -> DataFrame:
+    """Sources that a cache should keep: pages that were fetched and have more than 80 words."""
+    return sources.where(F.col("fetched") & (F.col("n_words") > 80))
+
+
 def bounded(df: DataFrame, first_insert: str, tie: str, size: int = 300) -> DataFrame:
     """The ``size`` entries first inserted last (first in, first out)."""
     return df.orderBy(F.desc(first_insert), F.desc(tie)).limit(size)

@@ -177,3 +177,38 @@ def test_composed_questions(spark):
         questions.compose_question(F.lit(None).cast("string"), F.lit(" A15 "), F.lit(""), F.lit("battery"), F.lit("BN5A")).alias("a"), questions.compose_question(*[F.lit("")] * 5).alias("b"), questions.normalize_question(F.lit("  Does It  fit?! ")).alias("c"),
     ).first()
     assert row.a == "Is A15 (battery, BN5A) compatible and which devices does it fit?" and row.b == "" and row.c == "does it fit"
+
+
+def test_html_content_and_hidden_parts():
+    long = "word " * 100
+    page = lambda inside: f"<html><head><title>T</title></head><body><div class='ads x'>a</div>{inside}<p>rest</p><div role=banner>b</div></body></html>"
+    assert text.html_text(page(f"<div id=content><p>{long}</p><div class=menu>m</div><p>two</p></div>")) == long.strip() + "\n\ntwo"
+    assert text.html_text(page("<div id=content>short</div>")) == "short\n\nrest"
+    assert text.html_text(page(f"<div class=rte>{long}</div><main>{long} main</main>")).endswith(" main")
+    assert text.html_text(page(f"<main>short</main><main>{long}</main>")).startswith("short")  # only the first of a kind counts
+    assert text.html_text("<p>A<br>B<li>C</nav>D") == "A\n\nB\n\nCD" and text.html_text("<aside><p>x</aside>y") == "y"
+    assert text.html_text("<p>" * 200_000 + "</div>" * 200_000 + "z") == "z"
+
+
+def test_addresses_and_headers(spark):
+    from claimweave.functions import display
+
+    public = {"8.8.8.8": True, "10.0.0.1": False, "255.255.255.255": False, "2a00::1": True, "::": False, "::1": False, "1:2:3:4:5:6:7::": True, "1:2:3:4:5:6:7:8::": False, "1::2::3": False, "2a00::8.8.8.8": True, "::ffff:10.0.0.1": False, "64:ff9b::1": False, "x": False, "": False}
+    asked = spark.createDataFrame([(a, w) for a, w in public.items()], "a string, w boolean")
+    assert asked.where(urls.is_public_ip(F.col("a")) != F.col("w")).count() == 0
+    faults = spark.createDataFrame([("http://[::1]/x",), ("http://[2a00::1]:80/",), ("http://e.com/",)], "u string").select(urls.url_fault(F.col("u"))).collect()
+    assert [r[0] for r in faults] == ["private", None, None]
+    row = spark.sql("select cast(null as map<string,string>) m, timestamp'2025-01-05 15:07:00' t").select(display.client_address(F.col("m")), display.format_date_time(F.col("t")), display.format_date(F.lit(None).cast("date")), display.format_relative(F.col("t"), F.lit("2025-01-05 15:36:31").cast("timestamp"))).first()
+    assert tuple(row) == ("unknown", "Jan 5, 2025, 03:07 PM", "unknown date", "30 min ago")
+
+
+def test_cache_and_stage_stream(spark, tmp_path):
+    from claimweave.operators import reporting, store
+
+    rows = spark.createDataFrame([("a", True, 81), ("b", True, 80), ("c", False, 90)], "u string, fetched boolean, n_words int")
+    assert [r.u for r in store.worth_caching(rows).collect()] == ["a"]
+    spark.createDataFrame([(1, "s"), (1, "s"), (2, "s")], "question_id int, stage string").selectExpr("*", "timestamp'2025-01-01' at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("question_id int, stage string, at timestamp").parquet(str(tmp_path / "in"))
+    job = reporting.first_of_stage(stream, "at").writeStream.format("memory").queryName("stages_once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert spark.table("stages_once").count() == 2

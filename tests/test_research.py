@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave import catalogue
-from claimweave.operators import research, usage
+from claimweave.operators import reporting, research, usage
 
 RESULT = "question_id int, ordinal int, url string, title string, snippet string, published_at date, raw_content string, fetched boolean"
 
@@ -18,9 +18,22 @@ def run(spark):
     snippet = spark.createDataFrame([(8, 0, "https://parts.example.com/b", "t", catalogue._FLOW_TEXTS["yes"], None, None, False)], RESULT)
     eighth = spark.createDataFrame([(8, catalogue._FLOW_QUESTION)], questions.schema)
     tables = research.research(questions.unionByName(reverse).unionByName(eighth), results.unionByName(more).unionByName(snippet), checklist, F.lit("2025-01-01").cast("date"))
+    tables["events"] = reporting.stage_events(tables["understood"], tables["sources"], tables["claims"], tables["reports"])
+    tables["notes"] = reporting.source_notes(tables["sources"])
+    tables["evidence"] = reporting.evidence_list(tables["claims"], 3)
     return {name: df.collect() for name, df in tables.items()}
 
 
+def test_stages_notes_and_references(run):
+    events = {(e.question_id, e.stage): e.detail for e in run["events"]}
+    assert len(events) == len(run["events"]) == 5 * len(run["understood"]) and all(events.values())
+    assert events[0, "reading"] == "0 sources, 0 of them fetched" and events[1, "claims"] == "4 claims of 4 sites" and events[3, "verdict"].startswith("not_compatible")
+    notes = {(s.question_id, s.domain): s.notes for s in run["notes"]}
+    assert notes[1, "samsung.com"][0].startswith("Tier 1") and "Only the snippet was read." in notes[8, "parts.example.com"] and any("neutralised" in n for n in notes[7, "samsung.com"])
+    shown = [e for e in run["evidence"] if e.question_id == 1]
+    assert sorted(e.nth for e in shown) == [1, 2, 3] and {e.ref for e in shown} == {1, 2, 3} and all(e.source_url and e.evidence for e in shown)
+
+
 def test_verdicts_of_scenarios(run):
     found = {r.question_id: r for r in run["reports"]}
     assert [found[k].verdict for k in range(9)] == ["insufficient_evidence", "compatible", "uncertain", "not_compatible", "uncertain", "likely_compatible", "insufficient_evidence", "compatible", "likely_compatible"]

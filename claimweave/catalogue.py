@@ -8,24 +8,11 @@ from pyspark.sql import functions as F
 from .functions import devices, display, hashing, idents, quality, safety, scores, text, urls
 from .operators import dedupe, evidence, extraction, metrics, research, sourcing, store, usage
 from .plans import questions
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .sources import readers
 from .sources.search import table
 from .streaming import limits
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _in(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
@@ -456,27 +443,6 @@ def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _document_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as the pages of one question, and the claims they make on it."""
-    pages = table(spark, sf_dir, "documents").select(F.lit(1).alias("question_id"), F.col("doc_id").cast("string").alias("source_id"), "text")
-    words = lambda w: F.array(*[F.lit(x) for x in w])
-    targets = _asked(spark).select("question_id", words(_DEVICE).alias("device_terms"), words(["x12"]).alias("device_cores"), words(_PART).alias("part_terms"), "part", "part_number", F.col("part_category").alias("category"), "model_numbers")
-    return pages, extraction.extract_claims(pages, targets)
-
-
-@query()
-def claim_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of all documents; each document's segments are folded in order within its row."""
-    return _document_claims(spark, sf_dir)[1].select("source_id", "ordinal", "claim", "part_raw", "inherited", scores.half_up(F.col("strength"), 4).alias("strength"))
-
-
-@query()
-def checklist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, claims = _document_claims(spark, sf_dir)
-    items = spark.createDataFrame([("thre", "connector", ["that", "v"]), ("thre", "voltage", ["no such words"]), ("thre", "device_model", [])], "category string, check_id string, indicators array<string>")
-    return extraction.run_checklists(_asked(spark).select("question_id", F.col("part_category").alias("category")), items, extraction.claim_context(claims, pages))
-
-
 # Scenarios of a whole run: the suppliers ask about one battery, and what pages say goes by the supplier's number
 
 _FLOW_PAGES = {
@@ -680,3 +646,7 @@ def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("snippet"), F.lit(None).cast("string").alias("raw_content"), ((k % n) / 10.0).alias("score"),
     )
     return readers.search_all([result("one", 7, 10), result("two", 5, 9)], 20).select("question_id", "canonical", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+# queries on whole evidence, stores and streams register themselves
+from . import evidence_queries  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import parts
+from .text import collapse_whitespace
 
 #: Wordings by which pages state that a part fits: (kind, weight, pattern) (fixed values).
 CLAIM_PATTERNS = (
@@ -59,7 +60,9 @@ PART_NAMES = (
     (r"(?i)\bwireless charging\b|\bqi coil\b|\bcharging coil\b", "wireless charging coil", "wireless_charging"),
 )
 #: Names that show that a text is about a device (fixed values).
-BRAND_MENTION = r"(?i)\b(?:samsung|apple|iphone|galaxy|redmi|xiaomi|poco|huawei|honor|oppo|vivo|oneplus|realme|motorola|moto|nokia|sony|google|pixel|tecno|infinix|itel|tcl|asus|lenovo|nothing phone)"
+BRAND_MENTION = (
+    r"(?i)\b(samsung|galaxy|iphone|apple|redmi|xiaomi|poco|huawei|honor|oppo|vivo|oneplus|realme|motorola|moto|nokia|sony|pixel|tecno|infinix|itel|tcl|asus|lenovo|nothing phone)\b"
+)
 
 
 def claim_match(segment: Column) -> Column:
@@ -73,7 +76,8 @@ def claim_match(segment: Column) -> Column:
 
 def attributes(segment: Column) -> Column:
     """Map of the attributes that the segment states."""
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_extract(segment, p, 1).alias("value")) for k, p in ATTRIBUTES])
+    value = lambda p: F.substring(collapse_whitespace(F.regexp_extract(segment, p, 1)), 1, 60)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), value(p).alias("value")) for k, p in ATTRIBUTES])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))
 
 

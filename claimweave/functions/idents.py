@@ -114,9 +114,30 @@ def part_numbers(text: Column) -> Column:
     return F.when(given.rlike(r"\d"), _distinct_codes(F.transform(found, normalize_identifier))).otherwise(F.array().cast("array<string>"))
 
 
-def model_like(text: Column) -> Column:
-    """Words that look like a model: one to three letters and one to four digits, perhaps with letters after."""
-    return F.filter(F.split(normalize_match(text), " "), lambda t: t.rlike(r"^[a-z]{1,3}\d{1,4}[a-z]{0,2}$"))
+#: Model codes as segments of pages write them, and codes that are none (fixed values).
+SEGMENT_MODELS = r"(?i)\b(sm-[a-z]\d{2,4}[a-z0-9]*|gt-[a-z0-9]{4,10}|rmx\d{4,6}|cph\d{3,5}|xt\d{4,5}|ta-\d{3,4}|a\d{4}|m\d{4}[a-z0-9]{2,5}|[a-z]{2}\d{3,4}[a-z]?)\b"
+NO_MODEL = r"(?i)^(PS|GB|MB|MS|PDF|VID|IMG|HTTP|WWW)\d*$"
+NO_MODEL_NUMBER, MODEL_NUMBER = r"^M\d{6,}$", r"^M2\d"
+MOST_MODELS = 8
+
+
+def segment_models(segment: Column) -> Column:
+    """The first eight distinct model codes of a segment: those of :func:`model_numbers`, then looser ones by place."""
+    plain = F.regexp_replace(segment, "<[^>]+>", " ")
+    looser = F.transform(F.when(segment.rlike(r"\d{3}"), F.regexp_extract_all(plain, F.lit(SEGMENT_MODELS), F.lit(0))).otherwise(F.array().cast("array<string>")), normalize_identifier)
+    real = lambda m: (F.length(m) >= 4) & ~m.rlike(NO_MODEL) & ~(m.rlike(NO_MODEL_NUMBER) & ~m.rlike(MODEL_NUMBER))
+    return F.slice(_distinct_codes(F.filter(F.concat(model_numbers(segment), looser), real)), 1, MOST_MODELS)
+
+
+#: Part numbers of which a segment's own is the first shape that it has (fixed values).
+OWN_NUMBERS = (r"(?i)\bGH\d{2}-\d{4,6}[A-Z]\b", r"(?i)\bEB-[A-Z0-9-]{4,14}\b", r"\bBN\d{2}[A-Z]?\b", r"(?i)\b821-\d{4,5}-[A-Z0-9]{1,3}\b")
+#: What shows that a text has a part number (fixed value).
+HAS_NUMBER = r"(?i)gh\d{2}-|eb-|bn\d{2}[a-z]?|821-"
+
+
+def own_number(segment: Column) -> Column:
+    """The part number of a segment; null if it has none."""
+    return F.coalesce(*[F.when(segment.rlike(p), normalize_identifier(F.regexp_extract(segment, p, 0))) for p in OWN_NUMBERS])
 
 
 #: Part numbers as they are looked for around a claim (fixed values).

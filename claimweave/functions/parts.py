@@ -55,3 +55,21 @@ def part_mention(text: Column) -> Column:
     named = sorted(((a, c) for c, _, aliases, _ in CATEGORIES for a in aliases), key=lambda n: -len(n[0]))
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("category")) for a, c in named])
     return F.get(F.filter(known, lambda n: padded.contains(F.concat(F.lit(" "), n["alias"]))), F.lit(0))
+
+
+def aliases(category: Column) -> Column:
+    """The names of a category, longest first; empty for unknown ones."""
+    out = F.array().cast("array<string>")
+    for name, _, names, _ in CATEGORIES:
+        if names:
+            out = F.when(category == name, F.array(*[F.lit(a) for a in sorted(names, key=len, reverse=True)])).otherwise(out)
+    return out
+
+
+def category_within(norm: Column) -> Column:
+    """The category of the longest name of four letters or more that stands anywhere in a normalised text (of equal ones the first); else null."""
+    named = sorted(((a, c) for c, _, names, _ in CATEGORIES for a in names if len(a) >= 4), key=lambda n: -len(n[0]))
+    out = F.lit(None).cast("string")
+    for name, category in reversed(named):
+        out = F.when(norm.contains(name), category).otherwise(out)
+    return out

@@ -25,17 +25,23 @@ def fold_best(df: DataFrame, keys: list[str], ordinal: str, fields: list[str], r
 
 def better_result(held: Column, new: Column) -> Column:
     """A result with content beats one without; else the higher score, or a longer snippet than a short one."""
-    has = lambda r: F.coalesce(F.length(r["content"]), F.lit(0)) > 0
-    higher = (F.coalesce(new["score"], F.lit(0.0)) > F.coalesce(held["score"], F.lit(0.0))) & (has(new) == has(held))
-    longer = (F.length(held["snippet"]) < 60) & (F.length(new["snippet"]) > F.length(held["snippet"]))
-    return (has(new) & ~has(held)) | higher | longer
+    higher = (F.coalesce(new["score"], F.lit(0.0)) > F.coalesce(held["score"], F.lit(0.0))) & (new["full"] == held["full"])
+    longer = (held["said"] < 60) & (new["said"] > held["said"])
+    return (new["full"] & ~held["full"]) | higher | longer
 
 
 def dedupe_results(results: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
-    """Search results (question_id, canonical, ordinal, score, snippet, content and ``more``): the best of each address, with the best score."""
-    best = fold_best(results, ["question_id", "canonical"], "ordinal", ["score", "snippet", "content", *more], better_result)
-    top = results.groupBy("question_id", "canonical").agg(F.max("score").alias("_top"))
-    return best.join(top, ["question_id", "canonical"]).withColumn("score", F.nullif(F.col("_top"), F.lit(0.0))).drop("_top")
+    """Search results (question_id, canonical, ordinal, score, snippet, content and ``more``): the best of each address, with the best score.
+
+    The fold sees lengths only; the winner's contents are joined to it, so an address never gathers the contents of all its results. Ordinals
+    are different within a question and address.
+    """
+    key = ["question_id", "canonical"]
+    small = results.select(*key, "ordinal", "score", F.length("snippet").alias("said"), (F.coalesce(F.length("content"), F.lit(0)) > 0).alias("full"))
+    best = fold_best(small, key, "ordinal", ["score", "said", "full"], better_result).select(*key, "ordinal")
+    top = results.groupBy(*key).agg(F.max("score").alias("_top"))
+    won = results.select(*key, "ordinal", "snippet", "content", *more).join(best.join(top, key), [*key, "ordinal"])
+    return won.withColumn("score", F.nullif(F.col("_top"), F.lit(0.0))).select(*key, "ordinal", "score", "snippet", "content", *more)
 
 
 def dedupe_claims(claims: DataFrame) -> DataFrame:

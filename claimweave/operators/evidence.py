@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.devices import base_key
 from ..functions.idents import same_generation
-from ..functions.scores import confidence_level, confidence_score, half_up, verdict
+from ..functions.scores import confidence_level, confidence_score, verdict
 
 
 def with_quality(claims: DataFrame, sources: DataFrame, default: float = 0.4) -> DataFrame:
@@ -16,16 +17,26 @@ def with_quality(claims: DataFrame, sources: DataFrame, default: float = 0.4) ->
 
 
 def clusters(claims: DataFrame) -> DataFrame:
-    """Claims by variant, else family, else part: counts by kind, domains, quality and the label of the first claim."""
+    """Claims by variant, else family, else part: counts by kind, domains, quality, the label of the first claim and ``nth``.
+
+    Clusters go by mean quality times domains (of equals by key). ``base`` is the family without generations, null without a family. Codes and marks are
+    exploded and counted as sets of different values, so a cluster of many claims is partial aggregates and never a list of all their lists.
+    """
+    c = F.col
     key = F.coalesce("variant_key", "device_family_key", F.concat(F.lit("target|"), F.coalesce("part_category", F.lit("other"))))
-    kind = lambda k: F.count_if(F.col("claim") == k)
-    return claims.groupBy("question_id", key.alias("cluster_key")).agg(
+    kind = lambda k: F.count_if(c("claim") == k)
+    keyed = claims.withColumn("cluster_key", key)
+    by = ["question_id", "cluster_key"]
+    totals = keyed.groupBy(*by).agg(
         kind("compatible").alias("n_support"), kind("not_compatible").alias("n_oppose"), kind("unclear").alias("n_unclear"), kind("spec_only").alias("n_spec"),
-        F.count_distinct("source_domain").alias("n_domains"), F.avg("source_quality").alias("avg_quality"), F.max("strength").alias("max_strength"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("model_numbers")))).alias("model_numbers"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("variant_markers")))).alias("variant_markers"),
-        F.min_by("device_canonical", "ordinal").alias("label"),
+        F.count_distinct("source_domain").alias("n_domains"), F.avg("source_quality").alias("avg_quality"), F.max("strength").alias("max_strength"), F.min_by("device_canonical", "ordinal").alias("label"), F.first("device_family_key", ignorenulls=True).alias("_family"),
     )
+    named = keyed.select(*by, F.explode(F.concat(F.transform("model_numbers", lambda m: F.struct(F.lit(True).alias("code"), m.alias("x"))), F.transform("variant_markers", lambda m: F.struct(F.lit(False).alias("code"), m.alias("x"))))).alias("n"))
+    sets = named.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(c("n.code"), c("n.x")))).alias("model_numbers"), F.array_sort(F.collect_set(F.when(~c("n.code"), c("n.x")))).alias("variant_markers"))
+    none = F.array().cast("array<string>")
+    both = totals.join(sets, by, "left").withColumn("model_numbers", F.coalesce("model_numbers", none)).withColumn("variant_markers", F.coalesce("variant_markers", none))
+    order = Window.partitionBy("question_id").orderBy(F.desc(c("avg_quality") * c("n_domains")), "cluster_key")
+    return both.withColumn("base", F.nullif(base_key(c("_family")), F.lit(""))).drop("_family").withColumn("nth", F.row_number().over(order))
 
 
 def conflicts(clusters: DataFrame) -> DataFrame:
@@ -33,15 +44,37 @@ def conflicts(clusters: DataFrame) -> DataFrame:
     return clusters.where("n_support > 0 and n_oppose > 0")
 
 
-def variant_risks(clusters: DataFrame, targets: DataFrame) -> DataFrame:
-    """Clusters whose named generations and those of the question's device (question_id, markers) have none in common."""
-    return clusters.join(targets, "question_id").where(~same_generation(F.col("variant_markers"), F.col("markers")))
+MOST_RISKS = 3
+
+
+def shared_base(a: Column, b: Column) -> Column:
+    """Do two base keys name one family: one contains the other?"""
+    return a.contains(b) | b.contains(a)
+
 
+def siblings(clusters: DataFrame, targets: DataFrame, reverse: Column | None = None) -> DataFrame:
+    """``clusters`` with ``side``: target, sibling or other, by the base key of the device that is asked for (question_id, target_base).
 
-def part_findings(claims: DataFrame) -> DataFrame:
-    """Supporting claims by part number, else by part name: domains and mean quality."""
-    key = F.when(F.coalesce("part_number", F.lit("")) != "", F.concat(F.lit("pn:"), F.col("part_number"))).otherwise(F.concat(F.lit("name:"), F.coalesce("part_canonical", F.lit(""))))
-    return claims.where("claim = 'compatible'").groupBy("question_id", key.alias("part_key")).agg(F.count_distinct("source_domain").alias("n_domains"), half_up(F.avg("source_quality"), 3).alias("avg_quality"))
+    A cluster of that very base is on target, one whose base contains it or is contained in it is a sibling. Without a device, or where
+    ``reverse`` holds, each cluster with a family (each at all, with ``reverse``) is on target.
+    """
+    c = F.col
+    joined = clusters.join(targets, "question_id")
+    asked = c("target_base")
+    target = F.when(asked.isNull(), c("base").isNotNull()).otherwise(F.coalesce(c("base") == asked, F.lit(False)))
+    target = target if reverse is None else reverse | target
+    return joined.withColumn("side", F.when(target, "target").when(F.coalesce(shared_base(c("base"), asked), F.lit(False)), "sibling").otherwise("other"))
+
+
+def variant_risks(clusters: DataFrame, targets: DataFrame) -> DataFrame:
+    """The first three clusters of the family asked for (question_id, target_base, markers) that name other generations than the question does.
+
+    There is no risk without a device, nor where the cluster or the question names no generation.
+    """
+    joined = clusters.join(targets, "question_id").where(F.coalesce(shared_base(F.col("base"), F.col("target_base")), F.lit(False)))
+    order = Window.partitionBy("question_id").orderBy("nth")
+    apart = joined.where(~same_generation(F.col("variant_markers"), F.col("markers")))
+    return apart.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MOST_RISKS)
 
 
 def side_totals(claims: DataFrame) -> DataFrame:

@@ -2,117 +2,162 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.claims import BRAND_MENTION, any_in, attributes, canonical_part, claim_match
-from ..functions.idents import model_numbers, number_near, part_numbers, placed_numbers, variant_markers
-from ..functions.safety import MARKER
-from ..functions.scores import claim_strength, strength_level
-from ..functions.text import admissible, normalize_match, split_segments
-
-_CLAIM = "array<struct<ordinal:int,segment:string,claim:string,weight:double,category:string,part_raw:string,inherited:boolean,named:boolean,nearby:string>>"
+from ..functions.claims import BRAND_MENTION, any_in, attributes, claim_match
+from ..functions.devices import device_phrase
+from ..functions.idents import HAS_NUMBER, number_near, own_number, placed_numbers, segment_models, variant_markers
+from ..functions.parts import category_within
+from ..functions.safety import MARKER, TAG_MARKER
+from ..functions.scores import claim_strength, half_up, strength_level
+from ..functions.text import admissible, normalize_match, split_segments, truncate
+
+#: Attributes by the checks that they speak for (fixed values).
+ATTRIBUTE_CHECKS = (
+    ("connector", ("connector", "charging_port", "connector_type")),
+    ("pin_count", ("connector", "charging_port")),
+    ("revision", ("board_design", "display_revision", "battery_revision", "revision")),
+    ("voltage", ("voltage",)),
+    ("capacity", ("capacity",)),
+    ("dimensions", ("dimensions", "device_dimensions")),
+    ("size", ("size",)),
+    ("resolution", ("resolution",)),
+    ("panel", ("panel_technology",)),
+    ("frame", ("frame",)),
+    ("megapixels", ("sensor",)),
+)
 
 
 def _places(text: Column, segments: Column) -> Column:
-    """Array of structs (segment, norm, models, nearby): segments, normalised, with their models and the part number around.
-
-    Each is looked for after the one before. A segment that cleaning changed has no place. The numbers of a text are the fold's start, so they are found once.
-    """
+    """Where each segment begins in its text, from 1, looked for after the one before; 0 for one that cleaning changed."""
 
     def step(held: Column, segment: Column) -> Column:
         at = F.position(segment, text, held["next"])
-        place = F.array(F.struct(segment.alias("segment"), normalize_match(segment).alias("norm"), model_numbers(segment).alias("models"), number_near(held["numbers"], at, F.length(segment)).alias("nearby")))
-        return F.struct(F.when(at > 0, at + F.length(segment)).otherwise(held["next"]).alias("next"), held["numbers"].alias("numbers"), F.concat(held["places"], place).alias("places"))
+        return F.struct(F.when(at > 0, at + F.length(segment)).otherwise(held["next"]).alias("next"), F.array_append(held["places"], at).alias("places"))
 
-    start = F.struct(F.lit(1).alias("next"), placed_numbers(text).alias("numbers"), F.array().cast("array<struct<segment:string,norm:string,models:array<string>,nearby:string>>").alias("places"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("places"))
     return F.aggregate(segments, start, step, lambda held: held["places"])
 
 
-def _about(place: Column) -> Column:
-    """What a segment says, before the context of earlier segments counts."""
-    segment, norm, models = place["segment"], place["norm"], place["models"]
-    families = F.exists(models, lambda m: any_in(F.lower(m), F.col("device_cores")))
-    device = any_in(norm, F.col("device_terms"))
-    unasked = (F.size("device_terms") == 0) & ((F.size(models) > 0) | segment.rlike(BRAND_MENTION))
-    number = F.coalesce(norm.contains(normalize_match(F.col("part_number"))), F.lit(False))
-    listed = (F.size(models) > 0) & (F.length(F.regexp_replace(norm, "[a-z0-9-]", "")) < F.length(segment) * 0.35)
-    return F.struct(
-        segment.alias("segment"), claim_match(segment).alias("said"), device.alias("device"), (device | families | unasked).alias("device_side"),
-        any_in(norm, F.col("part_terms")).alias("part"), number.alias("number"), listed.alias("listed"), canonical_part(segment)["category"].alias("category"),
-        place["nearby"].alias("nearby"),
-        F.get(F.filter(F.array_sort(F.transform("part_terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: norm.contains(s["t"]))["t"], F.lit(0)).alias("phrase"),
-    )
+def segments_of(pages: DataFrame) -> DataFrame:
+    """Rows (question_id, source_id, page, pos, segment, nearby) of pages (question_id, source_id, text): the segments that can be evidence.
+
+    ``nearby`` is the first part number of the page within 360 characters. ``page`` tells rows of equal keys apart. Segments with text that the defence against
+    instructions has changed are left out. Places are worked out only for pages that have a part number at all. Pages are dealt out first, so that one
+    file of them is not one task.
+    """
+    c = F.col
+    dealt = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).repartition("question_id", "source_id")
+    told = dealt.select("question_id", "source_id", "text", F.filter(split_segments(c("text")), lambda s: admissible(s) & ~s.contains(MARKER) & ~s.contains(TAG_MARKER)).alias("_segments"), placed_numbers(c("text")).alias("_numbers"))
+    places = F.when(F.size("_numbers") > 0, _places(c("text"), c("_segments")))
+    held = told.select("question_id", "source_id", F.monotonically_increasing_id().alias("page"), "_segments", "_numbers", places.alias("_places"))
+    rows = held.select("question_id", "source_id", "page", "_numbers", "_places", F.posexplode("_segments").alias("pos", "segment"))
+    near = F.when(c("_places").isNotNull(), number_near(c("_numbers"), F.get("_places", c("pos")), F.length("segment")))
+    return rows.select("question_id", "source_id", "page", "pos", "segment", near.alias("nearby"))
 
 
 def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Claims of pages (question_id, source_id, text) on what questions ask for.
 
-    ``targets``: question_id, device_terms, device_cores, part_terms (arrays, normalised), part, part_number,
-    category, model_numbers. A segment with the device, the part (or one carried over from an earlier claim of
-    the page) and a wording or the part itself is a claim; a bare list of models after a claim repeats it. What
-    is carried over depends on what was carried before, so each page's segments are folded in order, within
-    its row and without a shuffle. Null and empty texts give no claims.
+    ``targets``: question_id, device_terms, device_cores, part_terms, aliases (arrays, normalised; aliases of the category longest first), part, part_number,
+    category, model_numbers. A segment with the device and the part (or a part carried over from an earlier claim of the page) and a wording or the
+    part itself is a claim; a bare list of models after a claim repeats it. What is carried over is the last of earlier claims' values, so the segments that
+    name a device or a model are sorted by page and read by windows; all others are left out before. Null and empty texts give no claims.
     """
-    joined = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).join(targets, "question_id")
-    segments = F.filter(split_segments(F.col("text")), lambda s: admissible(s) & ~s.contains(MARKER))
-    told = joined.withColumn("_about", F.transform(_places(F.col("text"), segments), _about))
-
-    def step(held: Column, x: Column) -> Column:
-        has_part = x["part"] | x["number"]
-        own = x["device_side"] & (has_part | (F.coalesce(held["part_raw"], F.lit("")) != "")) & (x["said"].isNotNull() | has_part)
-        follows = ~own & held["kind"].isNotNull() & x["listed"] & x["said"].isNull()
-        kind = F.when(follows, held["kind"]).otherwise(F.coalesce(x["said"]["kind"], F.when(x["device"] & x["part"], "unclear").otherwise("spec_only")))
-        category = F.when(follows, held["category"]).otherwise(F.coalesce(x["category"], held["category"], F.col("category")))
-        part = F.when(follows, held["part_raw"]).otherwise(F.coalesce(x["phrase"], held["part_raw"], F.col("part")))
-        weight = F.when(follows, F.lit(0.7)).otherwise(F.coalesce(x["said"]["weight"], F.lit(0.35)))
-        claim = F.struct(F.size(held["claims"]).alias("ordinal"), x["segment"].alias("segment"), kind.alias("claim"), weight.alias("weight"), category.alias("category"), part.alias("part_raw"), follows.alias("inherited"), (has_part | follows).alias("named"), x["nearby"].alias("nearby"))
-        return F.struct(
-            F.when(own, kind).otherwise(held["kind"]).alias("kind"), F.when(own, category).otherwise(held["category"]).alias("category"), F.when(own, part).otherwise(held["part_raw"]).alias("part_raw"),
-            F.when(own | follows, F.concat(held["claims"], F.array(claim).cast(_CLAIM))).otherwise(held["claims"]).alias("claims"),
-        )
-
-    text = F.lit(None).cast("string")
-    start = F.struct(text.alias("kind"), text.alias("category"), text.alias("part_raw"), F.array().cast(_CLAIM).alias("claims"))
-    asked = F.transform("model_numbers", lambda m: F.regexp_replace(F.upper(m), "-", ""))
-    rows = told.select("question_id", "source_id", "part_number", asked.alias("_asked"), F.inline(F.aggregate("_about", start, step, lambda held: held["claims"])))
-    found = rows.withColumn("model_numbers", model_numbers(F.col("segment"))).withColumn("variant_markers", variant_markers(F.col("segment"))).withColumn("attributes", attributes(F.col("segment")))
-    exact = F.col("inherited") | F.arrays_overlap(F.transform("model_numbers", lambda m: F.regexp_replace(F.upper(m), "-", "")), "_asked")
-    numbers = part_numbers(F.col("segment"))
-    strength = claim_strength(F.col("weight"), F.coalesce(exact, F.lit(False)), F.size("model_numbers") > 0, ~F.col("inherited") & (F.size(numbers) > 0), F.lit(True), F.col("named"), ~F.col("inherited") & (F.size("attributes") > 0), F.col("claim"))
-    return found.select(
-        "question_id", "source_id", "ordinal", "claim", F.substring("segment", 1, 320).alias("evidence_text"), "category", "part_raw", "model_numbers", "variant_markers", "attributes", "inherited",
-        F.coalesce(F.get(numbers, F.lit(0)), "nearby", "part_number").alias("part_number"), strength.alias("strength"), strength_level(strength).alias("evidence_strength"),
+    c = F.col
+    rows = segments_of(pages).join(targets, "question_id")
+    rows = rows.withColumn("_norm", normalize_match(c("segment"))).withColumn("_models", segment_models(c("segment")))
+    device = any_in(c("_norm"), c("device_terms"))
+    family = F.exists("_models", lambda m: any_in(F.lower(m), c("device_cores")))
+    unasked = (F.size("device_terms") == 0) & ((F.size("_models") > 0) | c("segment").rlike(BRAND_MENTION))
+    sided = rows.withColumn("_device", device).withColumn("_side", c("_device") | family | unasked).where(c("_side") | (F.size("_models") > 0))
+    number = F.coalesce(c("_norm").contains(normalize_match(c("part_number"))), F.lit(False))
+    part = F.nullif(c("part"), F.lit(""))
+    told = sided.select(
+        "*", (any_in(c("_norm"), c("part_terms")) & c("_side")).alias("_part"), (number & c("_side")).alias("_number"), claim_match(c("segment")).alias("_said"),
+        F.when(c("_side"), F.get(F.filter("aliases", lambda a: c("_norm").contains(a)), F.lit(0))).alias("_phrase"), F.when(c("_side"), category_within(c("_norm"))).alias("_category"),
+        ((F.size("_models") > 0) & (F.length(F.regexp_replace("_norm", "[a-z0-9-]", "")) < F.length("segment") * 0.35)).alias("_listed"),
+    ).withColumn("_named", c("_part") | c("_number"))
+    page = Window.partitionBy("question_id", "source_id", "page").orderBy("pos")
+    before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
+    # a part is carried from the first segment on that names one: the question's part stands in for a segment's own
+    opens = c("_side") & F.when(part.isNotNull(), c("_named")).otherwise(c("_phrase").isNotNull())
+    carried = told.repartition("question_id", "source_id").withColumn("_carried", F.coalesce(F.max(opens).over(before), F.lit(False)))
+    own = c("_side") & (c("_named") | c("_carried")) & (c("_said").isNotNull() | c("_named"))
+    kind = F.coalesce(c("_said.kind"), F.when(c("_device") & c("_part"), "unclear").otherwise("spec_only"))
+    phrase = device_phrase(c("segment"))
+    context = F.struct(kind.alias("kind"), F.when(phrase.rlike(r"\d") | (F.size("_models") > 0), phrase).alias("device_raw"))
+    marked = carried.withColumn("_own", own).withColumn("_context", F.when(c("_own"), context))
+    read = marked.select(
+        "*", F.last("_context", ignorenulls=True).over(so_far).alias("_last"),
+        F.coalesce(F.last(F.when(c("_own"), c("_category")), ignorenulls=True).over(so_far), c("category")).alias("_category_raw"), F.coalesce(F.last(F.when(c("_own"), c("_phrase")), ignorenulls=True).over(so_far), part).alias("part_raw"),
+    )
+    follows = ~c("_own") & c("_last").isNotNull() & c("_listed") & c("_said").isNull()
+    found = read.withColumn("inherited", follows).where(c("_own") | c("inherited"))
+    found = found.withColumn("ordinal", F.row_number().over(page) - 1).withColumn("claim", c("_last.kind")).withColumn("attributes", F.when(c("inherited"), F.create_map().cast("map<string,string>")).otherwise(attributes(c("segment"))))
+    asked = F.transform("model_numbers", normalize_match)
+    exact = c("inherited") | F.exists("_models", lambda m: F.array_contains(asked, normalize_match(m)))
+    weight = F.when(c("inherited"), 0.7).otherwise(F.coalesce(c("_said.weight"), F.lit(0.35)))
+    strength = claim_strength(weight, F.coalesce(exact, F.lit(False)), F.size("_models") > 0, ~c("inherited") & c("segment").rlike(HAS_NUMBER), F.lit(True), c("inherited") | c("_named"), F.size("attributes") > 0, c("claim"))
+    return found.withColumn("_strength", strength).select(
+        "question_id", "source_id", "ordinal", "claim", truncate(c("segment"), 320).alias("evidence_text"), c("_category_raw").alias("category"), "part_raw", c("_last.device_raw").alias("device_raw"), c("_models").alias("model_numbers"),
+        variant_markers(c("segment")).alias("variant_markers"), "attributes", "inherited", F.coalesce(own_number(c("segment")), "nearby", "part_number").alias("part_number"),
+        half_up(c("_strength"), 3).alias("strength"), strength_level(c("_strength")).alias("evidence_strength"),
     )
 
 
 def claim_context(claims: DataFrame, sources: DataFrame, before: int = 400, after: int = 800) -> DataFrame:
-    """``claims`` with ``context``: normalised text around the claim in its source, the claim and its attributes."""
-    texts = sources.select("question_id", "source_id", F.col("text").alias("_text"))
-    at = F.expr("locate(substring(evidence_text, 1, 60), _text)")
-    near = F.when(at > 0, F.substring(F.col("_text"), F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + after)).otherwise(F.lit(""))
-    joined = claims.join(texts, ["question_id", "source_id"], "left")
-    return joined.withColumn("context", normalize_match(F.concat_ws(" ", near, "evidence_text", F.array_join(F.map_keys("attributes"), " "), F.array_join(F.map_values("attributes"), " ")))).drop("_text")
+    """``claims`` with ``context``: normalised text around the claim in its source, the claim and its attributes.
+
+    Claims are gathered by page (a page has no more claims than segments), so a page's text is read once however many claims it has.
+    """
+    key = ["question_id", "source_id"]
+    texts = sources.select(*key, F.col("text").alias("_text"))
+    heads = claims.select(*key, F.substring("evidence_text", 1, 60).alias("_head")).distinct().groupBy(*key).agg(F.collect_list("_head").alias("_heads"))
+
+    def around(head: Column) -> Column:
+        at = F.position(head, F.col("_text"))
+        first = F.greatest(F.lit(1), at - before)
+        return F.when(at > 0, F.substring(F.col("_text"), first, at - first + after)).otherwise(F.lit(""))
+
+    near = heads.join(texts, key).select(*key, F.inline(F.transform("_heads", lambda h: F.struct(h.alias("_head"), around(h).alias("_near")))))
+    joined = claims.withColumn("_head", F.substring("evidence_text", 1, 60)).join(near, [*key, "_head"], "left")
+    words = F.concat_ws(" ", F.coalesce("_near", F.lit("")), "evidence_text", F.array_join(F.map_keys("attributes"), " "), F.array_join(F.map_values("attributes"), " "))
+    return joined.withColumn("context", normalize_match(words)).select(*claims.columns, "context")
+
+
+def attribute_checks(claims: DataFrame) -> DataFrame:
+    """Rows (question_id, check_id, attribute) of the checks that some claim's attributes speak for."""
+    table = F.map_from_arrays(F.array(*[F.lit(a) for a, _ in ATTRIBUTE_CHECKS]), F.array(*[F.array(*[F.lit(x) for x in checks]) for _, checks in ATTRIBUTE_CHECKS]))
+    stated = claims.select("question_id", F.explode(F.map_keys("attributes")).alias("attribute")).distinct()
+    return stated.select("question_id", "attribute", F.explode(F.try_element_at(table, F.col("attribute"))).alias("check_id"))
 
 
 def run_checklists(questions: DataFrame, items: DataFrame, claims: DataFrame) -> DataFrame:
-    """Rows (question_id, check_id, status, n_claims) for each item of the checklist of a question's category.
+    """Rows (question_id, check_id, status, n_claims, n_domains, n_attributes) for each item of the checklist of a question's category.
 
     ``questions``: question_id, category. ``items``: category, check_id, indicators; a check is mentioned where a
-    claim's context has an indicator of three letters or more. ``device_model`` is supported as soon as a claim
-    names a model. Questions without claims have each item once, as unknown.
+    claim's context has an indicator of three letters or more. Checks that are mentioned are decided by the kinds of the claims; one that only attributes
+    speak for (``n_attributes``) or that is mentioned without a side is unknown like one that nothing speaks for, but not unmentioned.
+    ``device_model`` is supported as soon as a claim names a model. Questions without claims have each item once, as unknown.
     """
     wanted = questions.select("question_id", "category").join(items, "category")
     asked = wanted.withColumn("_in", F.filter(F.transform("indicators", normalize_match), lambda i: F.length(i) >= 3))
-    own = claims.select("question_id", "claim", "context", (F.size("model_numbers") > 0).alias("_models"))
+    domain = F.col("source_domain") if "source_domain" in claims.columns else F.col("source_id")
+    own = claims.select("question_id", "claim", "context", domain.alias("_domain"), (F.size("model_numbers") > 0).alias("_models"))
     joined = asked.join(own, "question_id", "left")
     model = F.col("check_id") == "device_model"
     hit = F.coalesce(F.when(model, F.col("_models")).otherwise(any_in(F.col("context"), F.col("_in"))), F.lit(False))
     marked = joined.withColumn("_hit", hit)
     side = lambda kind: F.bool_or(F.col("_hit") & ~model & F.coalesce(F.col("claim") == kind, F.lit(False)))
-    totals = marked.groupBy("question_id", "check_id").agg(side("compatible").alias("_for"), side("not_compatible").alias("_against"), F.bool_or(F.col("_hit") & model).alias("_named"), F.count_if("_hit").alias("n_claims"))
+    totals = marked.groupBy("question_id", "check_id").agg(
+        side("compatible").alias("_for"), side("not_compatible").alias("_against"), F.bool_or(F.col("_hit") & model).alias("_named"), F.count_if("_hit").alias("n_claims"), F.count_distinct(F.when(F.col("_hit"), F.col("_domain"))).alias("n_domains")
+    )
+    stated = attribute_checks(claims).groupBy("question_id", "check_id").agg(F.count("*").alias("n_attributes"))
     status = F.when(F.col("_named"), "supported").when(F.col("_for") & F.col("_against"), "conflicting").when(F.col("_against"), "contradicted").when(F.col("_for"), "supported").otherwise("unknown")
-    return totals.select("question_id", "check_id", status.alias("status"), "n_claims")
+    both = totals.join(stated, ["question_id", "check_id"], "left")
+    return both.select("question_id", "check_id", status.alias("status"), "n_claims", "n_domains", F.coalesce("n_attributes", F.lit(0).cast("long")).alias("n_attributes"))
 
 
 def fetch_priority(domain: Column, url: Column, score: Column, snippet: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import devices, urls
+from ..functions import devices, parts, urls
 from ..functions.claims import canonical_part
 from ..functions.hashing import source_key, stable_hash
 from ..functions.idents import normalize_identifier
@@ -23,11 +23,6 @@ from .sourcing import score_sources
 
 #: Characters of a page that count (fixed value).
 MOST_TEXT = 14_000
-#: Attributes by the checks that they speak for (fixed values).
-ATTRIBUTE_CHECKS = {
-    "connector": ("connector", "charging_port", "connector_type"), "pin_count": ("connector", "charging_port"), "revision": ("board_design", "display_revision", "battery_revision", "revision"), "voltage": ("voltage",),
-    "capacity": ("capacity",), "dimensions": ("dimensions", "device_dimensions"), "size": ("size",), "resolution": ("resolution",), "panel": ("panel_technology",), "frame": ("frame",), "megapixels": ("sensor",),
-}
 
 
 def build_sources(results: DataFrame) -> DataFrame:
@@ -69,28 +64,31 @@ def target_keys(understood: DataFrame) -> DataFrame:
 
 def targets(understood: DataFrame) -> DataFrame:
     """What claims are looked for, in the form that ``extract_claims`` takes."""
-    words = lambda *c: F.filter(F.array_distinct(F.array(*c)), lambda w: F.coalesce(w, F.lit("")) != "")
-    device = normalize_match(F.coalesce("device", F.lit("")))
-    bare = F.trim(F.regexp_replace(device, r"\b(samsung|galaxy|4g|5g|3g|lte)\b *", ""))
+    c = F.col
+    none = F.array().cast("array<string>")
+    terms = lambda least, *given: F.array_distinct(F.filter(F.transform(F.concat(*given), lambda w: normalize_match(F.coalesce(w, F.lit("")))), lambda w: F.length(w) >= least))
+    numbered = F.when(c("device").isNotNull(), F.filter(F.split(normalize_match(c("device")), " "), lambda w: w.rlike(r"\d"))).otherwise(none)
+    device = terms(2, F.array("device", "device_brand"), c("model_numbers"), numbered)
+    names = parts.aliases(c("part_category"))
     return understood.select(
-        "question_id", F.filter(F.concat(words(device, bare), devices.core_tokens(F.col("device"))), lambda w: w != "").alias("device_terms"), devices.core_tokens(F.col("device")).alias("device_cores"),
-        words(normalize_match(F.col("part")), normalize_match(F.col("part_alias"))).alias("part_terms"), "part", "part_number", F.col("part_category").alias("category"), "model_numbers",
+        "question_id", device.alias("device_terms"), F.filter(device, lambda w: w.rlike(r"\d")).alias("device_cores"), terms(3, names, F.array("part", "part_number")).alias("part_terms"), F.transform(names, normalize_match).alias("aliases"),
+        "part", "part_number", c("part_category").alias("category"), "model_numbers",
     )
 
 
 def normalise_claims(claims: DataFrame, sources: DataFrame, understood: DataFrame) -> DataFrame:
     """Claims of ``extract_claims`` with their source, device, keys and quality, so that they can be compared.
 
-    A device that a segment does not name is found by the shape of the model codes beside it. Adds claim_id, source_url, source_domain, snippet_only,
+    A device that a segment does not name is found by the shape of the model codes beside it; ``device_raw`` is the one that it names, or a list's claim before it. Adds claim_id, source_url, source_domain, snippet_only,
     device_raw, device_canonical, part_canonical, device_family_key, variant_key, source_quality and ordinal over all sources.
     """
     c = F.col
     held = sources.select("question_id", "source_id", F.col("canonical").alias("source_url"), F.col("domain").alias("source_domain"), F.col("title").alias("source_title"), "snippet_only", F.col("quality").alias("source_quality"), F.col("ordinal").alias("_source"))
     asked = understood.select("question_id", F.col("device").alias("_device"), F.lower("device_brand").alias("_brand"))
-    joined = claims.join(held, ["question_id", "source_id"]).join(asked, "question_id").withColumn("device_raw", devices.device_phrase(c("evidence_text")))
+    joined = claims.join(held, ["question_id", "source_id"]).join(asked, "question_id")
     maker = F.coalesce(devices.brand_of(c("device_raw"))["brand"], devices.brand_of_models(c("model_numbers")), c("_brand"))
     family = F.when(c("device_raw").isNotNull(), devices.family_key(c("device_raw"), maker)).otherwise(devices.family_key(c("_device"), F.coalesce(devices.brand_of_models(c("model_numbers")), c("_brand"))))
-    keyed = joined.withColumn("device_canonical", F.coalesce("device_raw", "_device")).withColumn("device_family_key", F.nullif(family, F.lit("")))
+    keyed = joined.withColumn("device_canonical", F.coalesce("device_raw", "_device", F.get("model_numbers", F.lit(0)))).withColumn("device_family_key", F.nullif(family, F.lit("")))
     ordered = F.row_number().over(Window.partitionBy("question_id").orderBy("_source", "ordinal"))
     return keyed.select(
         "question_id", stable_hash(source=c("source_id"), text=c("evidence_text"), claim=c("claim")).alias("claim_id"), "source_id", "source_url", "source_title", "source_domain", "snippet_only", "claim", "evidence_text",
@@ -108,9 +106,9 @@ def _overlap(a: Column, b: Column) -> Column:
 def place_claims(claims: DataFrame, understood: DataFrame) -> DataFrame:
     """Normalised claims about what is asked for, with ``exact`` (the very configuration) and ``part_number_matched``.
 
-    A reverse lookup takes claims on the part: its number, category or name; all of them are exact. Else a claim must be on the device's
-    family: a base key that contains the other, the same model code, or a code with the number of the device. It is exact with the same model code, or unless both
-    sides name generations and share none.
+    A reverse lookup takes claims on the part: its number, category or name. Else a claim must be on the device's
+    family: a base key that contains the other, the same model code, or a code with the number of the device. It is exact with the same model code. Else, where no
+    device is asked for, if it names none; where one is, if it names none, or one of the family unless both sides name generations and share none.
     """
     c = F.col
     asked = target_keys(understood).select("question_id", "intent", F.col("device").alias("_device"), F.col("part").alias("_part"), F.col("part_category").alias("_category"), F.col("part_number").alias("_number"), F.col("model_numbers").alias("_models"), F.col("markers").alias("_markers"), "target_base", "target_variant")
@@ -123,7 +121,8 @@ def place_claims(claims: DataFrame, understood: DataFrame) -> DataFrame:
     cores = F.exists("model_numbers", lambda m: F.exists(devices.core_tokens(c("_device")), lambda k: normalize_match(m).contains(k)))
     same = family | model | F.coalesce(cores, F.lit(False))
     about = F.when(c("intent") == "part_to_phones", on_part).when(c("target_base").isNull(), F.coalesce(c("part_category") == c("_category"), F.lit(False))).otherwise(same)
-    exact = c("_device").isNull() | model | c("variant_key").isNull() | evidence.same_generation(c("variant_markers"), c("_markers"))
+    like = c("variant_key").isNull() | (family & evidence.same_generation(c("variant_markers"), c("_markers")))
+    exact = model | F.when(c("target_variant").isNull(), c("variant_key").isNull()).otherwise(like)
     kept = rows.withColumn("exact", exact).withColumn("part_number_matched", number).where(about)
     return kept.select(*claims.columns, "exact", "part_number_matched", "intent", "_device", "_part")
 
@@ -175,7 +174,8 @@ def judge_questions(understood: DataFrame, placed: DataFrame, checks: DataFrame,
     clusters = evidence.clusters(placed)
     split = evidence.conflicts(clusters).groupBy("question_id").agg(F.count("*").alias("n_conflicts"))
     asked = target_keys(understood)
-    risks = evidence.variant_risks(clusters, asked.select("question_id", "markers")).groupBy("question_id").agg(F.least(F.count("*"), F.lit(3)).alias("n_risks"), F.slice(F.array_sort(F.collect_set(F.concat(F.lit("Evidence on "), F.coalesce("label", F.lit("another device")), F.lit(" is on another variant.")))), 1, 3).alias("risks"))
+    found = evidence.variant_risks(clusters, asked.select("question_id", "target_base", "markers"))
+    risks = found.groupBy("question_id").agg(F.count("*").alias("n_risks"), F.sort_array(F.collect_list(F.struct("nth", F.concat(F.lit("Evidence on "), F.coalesce("label", F.lit("another device")), F.lit(" is on another variant.")).alias("said"))))["said"].alias("risks"))
     sibling = placed.groupBy("question_id").agg(
         F.count_distinct(F.when(c("claim") == "compatible", c("source_domain"))).alias("_found"), F.count_if(~c("exact") & (c("claim") == "not_compatible")).alias("_against"), F.count_if(c("snippet_only") & c("exact") & (c("claim") == "compatible")).alias("n_snippet_only"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("model_numbers")))).alias("_codes"), F.array_sort(F.collect_set("part_number")).alias("_numbers"),

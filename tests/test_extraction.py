@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 from claimweave.functions import claims as wording
 from claimweave.operators import extraction
 
-TARGET = "question_id int, device_terms array<string>, device_cores array<string>, part_terms array<string>, part string, part_number string, category string, model_numbers array<string>"
+TARGET = "question_id int, device_terms array<string>, device_cores array<string>, part_terms array<string>, aliases array<string>, part string, part_number string, category string, model_numbers array<string>"
 
 
 def claims_of(spark, texts, devices=("samsung galaxy a15", "a15"), cores=("a15",)):
     pages = spark.createDataFrame([(1, f"s{k}", t) for k, t in enumerate(texts)], "question_id int, source_id string, text string")
-    targets = spark.createDataFrame([(1, list(devices), list(cores), ["battery", "phone battery"], "battery", None, "battery", ["SM-A155F"])], TARGET)
+    targets = spark.createDataFrame([(1, list(devices), list(cores), ["battery", "phone battery"], ["phone battery", "battery"], "battery", None, "battery", ["SM-A155F"])], TARGET)
     return pages, extraction.extract_claims(pages, targets).orderBy("source_id", "ordinal")
 
 

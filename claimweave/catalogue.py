@@ -352,7 +352,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("body")).select("page_id", F.sha2("body", 256).alias("text_sha256"), text.word_count(F.col("body")).alias("n_words"))
 
 
-@query(f"SELECT page_id, sha256('{{\"kind\":\"source\",\"url\":\"' || {_CANONICAL} || '\"}}') AS source_key FROM pages")
+@query(f"SELECT page_id, sha256('{{\"url\":\"' || {_CANONICAL} || '\"}}') AS source_key FROM pages")
 def source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", hashing.source_key(F.col("canonical")).alias("source_key"))
 
@@ -649,4 +649,4 @@ def merged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # queries on whole evidence, stores and streams register themselves
-from . import evidence_queries  # noqa: E402, F401
+from . import evidence_queries, model_queries, store_queries  # noqa: E402, F401

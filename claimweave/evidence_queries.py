@@ -199,3 +199,44 @@ def checklist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.createDataFrame([("battery", check, list(words)) for check, words in CHECKS], "category string, check_id string, indicators array<string>")
     questions = pages.select("question_id").distinct().select("question_id", F.lit("battery").alias("category"))
     return extraction.run_checklists(questions, items, extraction.claim_context(found, pages))
+
+
+# --- families of clusters ------------------------------------------------------------------------
+
+_NAMED = sorted(((a.strip(), b, len(a)) for b, _, names in devices.BRANDS for a in names), key=lambda n: -n[2])
+_KEYS_SQL = rf"""{CLAIMS_SQL},
+lead AS (
+  SELECT *, coalesce(device_raw, 'Galaxy A15 4G') AS device, CASE {" ".join(f"WHEN regexp_matches(upper(m[1]), '{shape}') THEN '{b}'" for b, shape in devices.MODEL_BRANDS)} END AS first_brand FROM claims),
+branded AS (
+  SELECT *, CASE WHEN device_raw IS NOT NULL THEN coalesce(list_filter([{", ".join(f"{{'a': '{a}', 'b': '{b}'}}" for a, b, _ in _NAMED)}], lambda n: contains(' ' || {norm("device_raw")}, ' ' || n.a))[1].b, first_brand, 'samsung') ELSE coalesce(first_brand, 'samsung') END AS maker,
+    trim(regexp_replace(regexp_replace({norm("device")}, '\b(galaxy|phone|smartphone|mobile)\b', ' ', 'g'), ' +', ' ', 'g')) AS name FROM lead),
+families AS (SELECT *, CASE WHEN name <> '' AND NOT starts_with(name, maker) THEN maker || ' ' || name ELSE name END AS family FROM branded),
+keyed AS (
+  SELECT *, array_to_string(list_filter(string_split(family, ' '), lambda t: t <> '' AND NOT list_contains({_words([*devices.GENERATIONS, *devices.REGIONS])}, t)), ' ') AS base,
+    [{", ".join(f"CASE WHEN regexp_matches(seg, {lit(p)}) THEN '{g}' END" for g, _, p in idents.VARIANTS if g in devices.GENERATIONS)}] AS gens FROM families),
+marked AS (SELECT *, list_sort(list_filter(gens, lambda g: g IS NOT NULL)) AS gen FROM keyed),
+clusters AS (
+  SELECT k // {PAGES} AS q, base || '|' || array_to_string(gen, ',') AS cluster_key, any_value(base) AS base, any_value(gen) AS gen, count(*) FILTER (claim = 'compatible') AS n_support, count(*) FILTER (claim = 'not_compatible') AS n_oppose, count(DISTINCT k) AS n_domains,
+    list_sort(list_distinct(flatten(list(m)))) AS models
+  FROM marked GROUP BY 1, 2)
+"""
+
+
+@query(f"""{_KEYS_SQL}
+SELECT q AS question_id, cluster_key, n_support, n_oppose, n_domains, array_to_string(models, ',') AS models,
+  CASE WHEN base = 'samsung a15' THEN 'target' WHEN base <> '' AND (contains(base, 'samsung a15') OR contains('samsung a15', base)) THEN 'sibling' ELSE 'other' END AS side,
+  coalesce(base <> '' AND (contains(base, 'samsung a15') OR contains('samsung a15', base)) AND len(gen) > 0 AND NOT list_contains(gen, '4g'), false) AS risk
+FROM clusters""")
+def sibling_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the claims of customers' pages, by what is asked for: on target, of a sibling or another family, and whether they are a risk."""
+    from .operators import evidence, research
+
+    pages, found = customer_claims(spark, sf_dir)
+    understood = pages.select("question_id").distinct().select("question_id", F.lit("Galaxy A15 4G").alias("device"), F.lit("Samsung").alias("device_brand"), F.array(F.lit("4g")).alias("markers"))
+    k = F.col("source_id")
+    sources = pages.select("question_id", "source_id", F.concat(F.lit("https://c"), k, F.lit(".com/")).alias("canonical"), F.concat(F.lit("c"), k, F.lit(".com")).alias("domain"), F.lit("t").alias("title"), F.lit(False).alias("snippet_only"), F.lit(0.5).alias("quality"), k.cast("int").alias("ordinal"))
+    clusters = evidence.clusters(research.normalise_claims(found, sources, understood))
+    asked = research.target_keys(understood).select("question_id", "target_base", "markers")
+    risks = evidence.variant_risks(clusters, asked, most=None).select("question_id", "cluster_key", F.lit(True).alias("_risk"))
+    sided = evidence.siblings(clusters, asked.select("question_id", "target_base")).join(risks, ["question_id", "cluster_key"], "left")
+    return sided.select("question_id", "cluster_key", "n_support", "n_oppose", "n_domains", F.array_join("model_numbers", ",").alias("models"), "side", F.coalesce("_risk", F.lit(False)).alias("risk"))

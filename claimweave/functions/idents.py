@@ -140,6 +140,15 @@ def own_number(segment: Column) -> Column:
     return F.coalesce(*[F.when(segment.rlike(p), normalize_identifier(F.regexp_extract(segment, p, 0))) for p in OWN_NUMBERS])
 
 
+#: Model codes and names as prose writes them (fixed value).
+MODELS_IN_PROSE = r"(?i)\b(sm-[a-z]\d{2,4}[a-z0-9]*|gt-[a-z0-9]{4,10}|rmx\d{4,6}|cph\d{3,5}|xt\d{4,5}|ta-\d{3,4}|a\d{4}|iphone\s?\d{1,2}[a-z ]{0,8})\b"
+
+
+def model_like(text: Column) -> Column:
+    """Different words of a text that look like models, in order of first appearance."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MODELS_IN_PROSE), F.lit(0)), F.trim))
+
+
 #: Part numbers as they are looked for around a claim (fixed values).
 NEAR_NUMBER = r"(?i:\bGH\d{2}-\d{4,6}[A-Z]\b)|(?i:\bEB-[A-Z0-9-]{4,14}\b)|\b(?:BN|BP|BM)\d{1,2}[A-Z0-9]?\b|(?i:\b821-\d{4,5}-[A-Z0-9]{1,3}\b)"
 

@@ -57,15 +57,20 @@ def part_mention(text: Column) -> Column:
     return F.get(F.filter(known, lambda n: padded.contains(F.concat(F.lit(" "), n["alias"]))), F.lit(0))
 
 
-def aliases(category: Column) -> Column:
-    """The names of a category, longest first; empty for unknown ones."""
+def named(category: Column, by_length: bool = False) -> Column:
+    """The names of a category, as they are listed or longest first; empty for unknown ones."""
     out = F.array().cast("array<string>")
     for name, _, names, _ in CATEGORIES:
         if names:
-            out = F.when(category == name, F.array(*[F.lit(a) for a in sorted(names, key=len, reverse=True)])).otherwise(out)
+            out = F.when(category == name, F.array(*[F.lit(a) for a in (sorted(names, key=len, reverse=True) if by_length else names)])).otherwise(out)
     return out
 
 
+def aliases(category: Column) -> Column:
+    """The names of a category, longest first; empty for unknown ones."""
+    return named(category, by_length=True)
+
+
 def category_within(norm: Column) -> Column:
     """The category of the longest name of four letters or more that stands anywhere in a normalised text (of equal ones the first); else null."""
     named = sorted(((a, c) for c, _, names, _ in CATEGORIES for a in names if len(a) >= 4), key=lambda n: -len(n[0]))

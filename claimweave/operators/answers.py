@@ -133,7 +133,7 @@ def error_envelope(code: Column, message: Column) -> Column:
 def merge_reports(stored: tuple[DataFrame, DataFrame, DataFrame], run: tuple[DataFrame, DataFrame, DataFrame], max_sources: int = 25, max_claims: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored (sessions, sources, claims) with those of a run merged in.
 
-    Sessions are keyed by cache_key: verdict, score, level, report and user_id are renewed, expires_at only set with
+    Sessions are keyed by cache_key: verdict, score, level, report, user_id, duration and cost are renewed, expires_at only set with
     a new one. Sources are keyed by cache_key and url (the first ``max_sources`` by ordinal); only their quality is
     renewed. Claims (the first ``max_claims``) are added only to sessions that have none. Rows with a null key
     match no stored row.
@@ -141,7 +141,7 @@ def merge_reports(stored: tuple[DataFrame, DataFrame, DataFrame], run: tuple[Dat
     sessions, sources, claims = stored
     new_sessions, new_sources, new_claims = run
     first = lambda df, most: store.nth_of(df, ["cache_key"], F.asc("ordinal")).where(F.col("nth") <= most).drop("nth")
-    renewed = [name for name in ("verdict", "score", "level", "report", "user_id") if name in sessions.columns]
+    renewed = [name for name in ("verdict", "score", "level", "report", "user_id", "duration_ms", "cost_usd") if name in sessions.columns]
     return (
         store.upsert(sessions, new_sessions, ["cache_key"], renewed),
         store.upsert(sources, first(new_sources, max_sources), ["cache_key", "url"], ["quality"]),

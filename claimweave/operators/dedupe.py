@@ -71,3 +71,20 @@ def with_neighbours(df: DataFrame, by: list[str], ordinal: str, hit: Column, rea
 def top_per_group(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def ordered_distinct(df: DataFrame, by: list[str], value: str, *ordinal: str) -> DataFrame:
+    """The different values of each group in order of first appearance, as an array named like the column; null and empty ones do not count.
+
+    Equal values are one row before anything is gathered, so an array has no more entries than the group has different values.
+    """
+    some = df.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "")
+    firsts = some.groupBy(*by, value).agg(F.min(F.struct(*ordinal)).alias("_first"))
+    gathered = firsts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_first", value))).alias("_all"))
+    return gathered.select(*by, F.col("_all")[value].alias(value))
+
+
+def with_queries(sources: DataFrame, results: DataFrame) -> DataFrame:
+    """``sources`` (question_id, canonical) with ``queries``: those that gave the address, as ``results`` (question_id, canonical, query, ordinal) have them."""
+    found = ordered_distinct(results, ["question_id", "canonical"], "query", "ordinal").withColumnRenamed("query", "queries")
+    return sources.join(found, ["question_id", "canonical"], "left").withColumn("queries", F.coalesce("queries", F.array().cast("array<string>")))

@@ -66,15 +66,16 @@ def siblings(clusters: DataFrame, targets: DataFrame, reverse: Column | None = N
     return joined.withColumn("side", F.when(target, "target").when(F.coalesce(shared_base(c("base"), asked), F.lit(False)), "sibling").otherwise("other"))
 
 
-def variant_risks(clusters: DataFrame, targets: DataFrame) -> DataFrame:
-    """The first three clusters of the family asked for (question_id, target_base, markers) that name other generations than the question does.
+def variant_risks(clusters: DataFrame, targets: DataFrame, most: int | None = MOST_RISKS) -> DataFrame:
+    """The first ``most`` clusters (all with None) of the family asked for (question_id, target_base, markers) that name other generations than the question does.
 
     There is no risk without a device, nor where the cluster or the question names no generation.
     """
     joined = clusters.join(targets, "question_id").where(F.coalesce(shared_base(F.col("base"), F.col("target_base")), F.lit(False)))
     order = Window.partitionBy("question_id").orderBy("nth")
     apart = joined.where(~same_generation(F.col("variant_markers"), F.col("markers")))
-    return apart.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MOST_RISKS)
+    ranked = apart.withColumn("nth", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("nth") <= most)
 
 
 def side_totals(claims: DataFrame) -> DataFrame:

@@ -81,3 +81,46 @@ def count_hits(df: DataFrame, by: str, hit: str) -> DataFrame:
 
 def nth_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+# --- a cache whose values answer several keys ----------------------------------------------------
+
+
+def put_aliased(values: DataFrame, index: DataFrame, new: DataFrame, now: Column, ttl: str) -> tuple[DataFrame, DataFrame]:
+    """``values`` (key, value, hits, expires_at) and ``index`` (alias, key) with the rows of ``new`` (key, report_id, value) put in.
+
+    A value is stored once under its key; the index has the key itself and ``id:<report_id>``, so either finds it. A value that is
+    put again renews value and expiry, keeps its hits, and gives up the ids of the report before.
+    """
+    fresh = new.select("key", "value", F.lit(0).cast("long").alias("hits"), (now.cast("timestamp") + F.expr(f"INTERVAL {ttl}")).alias("expires_at"))
+    names = F.explode(F.array(F.col("key"), F.concat(F.lit("id:"), F.col("report_id"))))
+    kept = index.join(new.select("key"), "key", "left_anti").select("alias", "key")
+    return upsert(values, fresh, ["key"], ["value", "expires_at"]), latest_alias(kept, new.select(names.alias("alias"), "key"))
+
+
+def latest_alias(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases of both; one that ``new`` has leads to the key it has there."""
+    return old.join(new, "alias", "left_anti").unionByName(new.distinct())
+
+
+def get_aliased(asked: DataFrame, values: DataFrame, index: DataFrame, as_of: Column) -> DataFrame:
+    """``asked`` (alias) with key and value; both null where nothing live is stored under the alias."""
+    live = values.where(F.col("expires_at") >= as_of).select("key", "value")
+    return asked.join(index.join(live, "key"), "alias", "left")
+
+
+def drop_aliased(values: DataFrame, index: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without what the aliases of ``gone`` (alias) lead to: the values and all their aliases."""
+    keys = index.join(gone, "alias", "left_semi").select("key").distinct()
+    return delete_by_key(values, keys, ["key"]), delete_by_key(index, keys, ["key"])
+
+
+def prune_aliased(values: DataFrame, index: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Both tables without expired values and aliases that lead nowhere."""
+    live = prune(values, "expires_at", as_of)
+    return live, index.join(live.select("key"), "key", "left_semi")
+
+
+def cache_stats(values: DataFrame, most: int = 1_000) -> DataFrame:
+    """One row (entries, hits) of the first ``most`` rows by key."""
+    return values.orderBy("key").limit(most).agg(F.count("*").alias("entries"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import devices, parts
 from ..functions.claims import canonical_part
+from ..functions.hashing import research_key
 from ..functions.idents import model_numbers, part_numbers, variant_label, variant_markers
 from ..functions.text import collapse_whitespace, normalize_match
 
@@ -47,9 +48,15 @@ NUMBER_CATEGORIES = (("battery", r"(?i)^(EB-|BN\d)"), ("screen", r"(?i)^GH\d{2}-
 MOST_QUERIES, SHORTEST_QUERY = 6, 6
 
 
+#: Phrases, and then words, that do not tell questions apart (fixed values).
+FILLER_PHRASES = r"\b(can i|can you|please|pls|hi|hello|hey|do i need|is it possible to|i want to|i need to|help me)\b"
+FILLER_WORDS = r"\b(what|which|does|do|is|are|will|would|the|a|an)\b"
+
+
 def normalize_question(c: Column) -> Column:
-    """The form under which equal questions are one: collapsed, in lower case, without marks of the end."""
-    return F.regexp_replace(F.lower(collapse_whitespace(F.coalesce(c, F.lit("")))), r"[?!. ]+$", "")
+    """The form under which equal questions are one: normalised, without filler phrases and words."""
+    bare = F.regexp_replace(F.regexp_replace(normalize_match(F.coalesce(c, F.lit(""))), FILLER_PHRASES, " "), FILLER_WORDS, " ")
+    return collapse_whitespace(bare)
 
 
 def compose_question(free_text: Column, device: Column, model: Column, part: Column, number: Column) -> Column:
@@ -114,6 +121,16 @@ def understand(questions: DataFrame) -> DataFrame:
     )
 
 
+#: Changes of the rules change the keys under which reports are cached.
+RULES_VERSION = "3"
+
+
+def with_cache_keys(understood: DataFrame, readers: Column, version: str = RULES_VERSION) -> DataFrame:
+    """``understood`` with ``cache_key``, which questions share that differ in filler words only and ask for the same with the same readers (an array)."""
+    mode = F.col("mode") if "mode" in understood.columns else F.lit(None).cast("string")
+    return understood.withColumn("cache_key", research_key(normalize_question(F.col("question")), F.col("intent"), F.lit(version), readers, mode))
+
+
 def merge_enrichment(understood: DataFrame, proposed: DataFrame) -> DataFrame:
     """``understood`` with what a model proposes (question_id, intent, device, part, part_category, manufacturer, region) where the question leaves it open.
 

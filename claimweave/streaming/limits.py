@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 DAY_MS = 86_400_000
 
@@ -68,30 +70,61 @@ def cache_hits(df: DataFrame, key: str, ts: str, tie: str, ttl_ms: int) -> DataF
     return _scan(df, key, ts, tie, "hit", cache_step(ttl_ms))
 
 
-def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int, window_ms: int, evict: bool = False) -> DataFrame:
-    """Streaming twin of :func:`rate_limited`: state is the allowed times of a key.
+class _Limiter(StatefulProcessor):
+    """Allowed times of a key, which go when the last of them leaves the window."""
 
-    With ``evict`` a key's state goes after a silent window of processing time; such a query always has work
-    to do, so it suits continuous running only.
-    """
+    def __init__(self, limit: int, window_ms: int):
+        self.limit, self.window_ms = limit, window_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.times = handle, handle.getValueState("times", "times array<bigint>, timer bigint")
 
-    def update(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, step = deque(state.get[0]) if state.exists else deque(), rate_limit_step(limit, window_ms)
-        rows = pd.concat(list(batches)).sort_values(["ms", "id"])
-        flags = []
-        for ms in rows["ms"].tolist():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.times.get() if self.times.exists() else None
+        times, timer = (deque(held[0]), held[1]) if held else (deque(), None)
+        step = rate_limit_step(self.limit, self.window_ms)
+        ordered, flags = pd.concat(list(rows)).sort_values(["ms", "id"]), []
+        for ms in ordered["ms"].tolist():
             times, flag = step(times, ms)
             flags.append(flag)
-        state.update((list(times),))
-        if evict:
-            state.setTimeoutDuration(window_ms)
-        yield pd.DataFrame({"id": rows["id"], "allowed": flags})
-
-    rows = events.select(F.col(key).cast("string").alias("k"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(tie).cast("long").alias("id"))
-    return rows.groupBy("k").applyInPandasWithState(update, "id long, allowed boolean", "times array<long>", "append", "ProcessingTimeTimeout" if evict else "NoTimeout")
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if times:
+            timer = int(times[-1]) + self.window_ms
+            self.times.update(([int(t) for t in times], timer))
+            self.handle.registerTimer(timer)
+        else:
+            self.times.clear()
+        yield pd.DataFrame({"id": ordered["id"], "allowed": flags})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "allowed": pd.Series([], dtype=bool)})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocks_states(spark: SparkSession):
+    """Streams started within the block hold their states in RocksDB, which timers need; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int, window_ms: int, late: str = "0 seconds") -> DataFrame:
+    """Streaming twin of :func:`rate_limited`: state is the allowed times of a key, until the watermark has passed the last one's window.
+
+    So no key that still counts is ever lost, and the keys that are held are those of one window (and ``late``, by which events may come out of order). Events that are later
+    than that are left out. Start it within :func:`rocks_states`.
+    """
+    timed = events.select(F.col(key).cast("string").alias("k"), F.col(ts).cast("timestamp").alias("at"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(tie).cast("long").alias("id"))
+    return timed.withWatermark("at", late).groupBy("k").transformWithStateInPandas(_Limiter(limit, window_ms), "id long, allowed boolean", "append", "EventTime")
 
 
 def tumbling_counts(events: DataFrame, ts: str, by: str, width: str, late: str | None = None) -> DataFrame:

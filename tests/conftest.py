@@ -25,21 +25,26 @@ def spark():
 
 @pytest.fixture(scope="session")
 def oracle():
-    """Rows of a SQL text over the tables of SF, as a sorted list of their values by column name."""
+    """Columns and rows of a SQL text over the tables of SF, both sorted."""
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    return lambda sql: as_rows(con.sql(sql).df())
 
+    def run(sql):
+        found = con.sql(sql)
+        return as_rows(found.columns, found.fetchall())
 
-def as_rows(pdf):
-    columns = sorted(pdf.columns)
-    return columns, sorted(map(repr, pdf[columns].astype(object).itertuples(index=False, name=None)))
+    return run
+
+
+def as_rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return [columns[k] for k in order], sorted(repr(tuple(row[k] for k in order)) for row in rows)
 
 
 @pytest.fixture(scope="session")
 def rows_of():
-    return lambda df: as_rows(df.toPandas())
+    return lambda df: as_rows(df.columns, df.collect())
 
 
 @pytest.fixture(scope="session")

@@ -112,13 +112,13 @@ def get_aliased(asked: DataFrame, values: DataFrame, index: DataFrame, as_of: Co
 def drop_aliased(values: DataFrame, index: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without what the aliases of ``gone`` (alias) lead to: the values and all their aliases."""
     keys = index.join(gone, "alias", "left_semi").select("key").distinct()
-    return delete_by_key(values, keys, ["key"]), delete_by_key(index, keys, ["key"])
+    return delete_by_key(values, keys, ["key"]), delete_by_key(index, keys, ["key"]).select("alias", "key")
 
 
 def prune_aliased(values: DataFrame, index: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Both tables without expired values and aliases that lead nowhere."""
     live = prune(values, "expires_at", as_of)
-    return live, index.join(live.select("key"), "key", "left_semi")
+    return live, index.join(live.select("key"), "key", "left_semi").select("alias", "key")
 
 
 def cache_stats(values: DataFrame, most: int = 1_000) -> DataFrame:

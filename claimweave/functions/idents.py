@@ -86,7 +86,7 @@ def variant_label(key: Column) -> Column:
 
 def _distinct_codes(codes: Column) -> Column:
     """The codes in order; of those that differ by hyphens only the first stays."""
-    plain = lambda c: F.regexp_replace(c, "-", "")
+    plain = lambda c: F.translate(c, "-", "")
     step = lambda held, c: F.when(F.exists(held, lambda h: plain(h) == plain(c)), held).otherwise(F.array_append(held, c))
     return F.aggregate(codes, F.array().cast("array<string>"), step)
 

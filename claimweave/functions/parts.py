@@ -54,7 +54,8 @@ def part_mention(text: Column) -> Column:
     padded = F.concat(F.lit(" "), normalize_match(text), F.lit(" "))
     named = sorted(((a, c) for c, _, aliases, _ in CATEGORIES for a in aliases), key=lambda n: -len(n[0]))
     known = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("category")) for a, c in named])
-    return F.get(F.filter(known, lambda n: padded.contains(F.concat(F.lit(" "), n["alias"]))), F.lit(0))
+    # the text is normalised before the names are looked for, not once for each of them
+    return F.get(F.transform(F.array(padded), lambda t: F.get(F.filter(known, lambda n: t.contains(F.concat(F.lit(" "), n["alias"]))), F.lit(0))), F.lit(0))
 
 
 def named(category: Column, by_length: bool = False) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.claims import BRAND_MENTION, any_in, attributes, claim_match
 from ..functions.devices import device_phrase
 from ..functions.idents import HAS_NUMBER, number_near, own_number, placed_numbers, segment_models, variant_markers
+from ..functions.once import with_once
 from ..functions.parts import category_within
 from ..functions.safety import MARKER, TAG_MARKER
 from ..functions.scores import claim_strength, half_up, strength_level
@@ -49,7 +50,7 @@ def segments_of(pages: DataFrame) -> DataFrame:
     """
     c = F.col
     dealt = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).repartition("question_id", "source_id")
-    told = dealt.select("question_id", "source_id", "text", F.filter(split_segments(c("text")), lambda s: admissible(s) & ~s.contains(MARKER) & ~s.contains(TAG_MARKER)).alias("_segments"), placed_numbers(c("text")).alias("_numbers"))
+    told = with_once(dealt, _segments=F.filter(split_segments(c("text")), lambda s: admissible(s) & ~s.contains(MARKER) & ~s.contains(TAG_MARKER)), _numbers=placed_numbers(c("text")))
     places = F.when(F.size("_numbers") > 0, _places(c("text"), c("_segments")))
     held = told.select("question_id", "source_id", F.monotonically_increasing_id().alias("page"), "_segments", "_numbers", places.alias("_places"))
     rows = held.select("question_id", "source_id", "page", "_numbers", "_places", F.posexplode("_segments").alias("pos", "segment"))
@@ -67,17 +68,17 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = segments_of(pages).join(targets, "question_id")
-    rows = rows.withColumn("_norm", normalize_match(c("segment"))).withColumn("_models", segment_models(c("segment")))
+    rows = with_once(rows, _norm=normalize_match(c("segment")), _models=segment_models(c("segment")))
     device = any_in(c("_norm"), c("device_terms"))
     family = F.exists("_models", lambda m: any_in(F.lower(m), c("device_cores")))
     unasked = (F.size("device_terms") == 0) & ((F.size("_models") > 0) | c("segment").rlike(BRAND_MENTION))
-    sided = rows.withColumn("_device", device).withColumn("_side", c("_device") | family | unasked).where(c("_side") | (F.size("_models") > 0))
+    sided = with_once(rows, _device=device, _side=device | family | unasked).where(c("_side") | (F.size("_models") > 0))
     number = F.coalesce(c("_norm").contains(normalize_match(c("part_number"))), F.lit(False))
     part = F.nullif(c("part"), F.lit(""))
-    told = sided.select(
-        "*", (any_in(c("_norm"), c("part_terms")) & c("_side")).alias("_part"), (number & c("_side")).alias("_number"), claim_match(c("segment")).alias("_said"),
-        F.when(c("_side"), F.get(F.filter("aliases", lambda a: c("_norm").contains(a)), F.lit(0))).alias("_phrase"), F.when(c("_side"), category_within(c("_norm"))).alias("_category"),
-        ((F.size("_models") > 0) & (F.length(F.regexp_replace("_norm", "[a-z0-9-]", "")) < F.length("segment") * 0.35)).alias("_listed"),
+    told = with_once(
+        sided, _part=any_in(c("_norm"), c("part_terms")) & c("_side"), _number=number & c("_side"), _said=claim_match(c("segment")),
+        _phrase=F.when(c("_side"), F.get(F.filter("aliases", lambda a: c("_norm").contains(a)), F.lit(0))), _category=F.when(c("_side"), category_within(c("_norm"))),
+        _listed=(F.size("_models") > 0) & (F.length(F.regexp_replace("_norm", "[a-z0-9-]", "")) < F.length("segment") * 0.35),
     ).withColumn("_named", c("_part") | c("_number"))
     page = Window.partitionBy("question_id", "source_id", "page").orderBy("pos")
     before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
@@ -86,23 +87,24 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     carried = told.repartition("question_id", "source_id").withColumn("_carried", F.coalesce(F.max(opens).over(before), F.lit(False)))
     own = c("_side") & (c("_named") | c("_carried")) & (c("_said").isNotNull() | c("_named"))
     kind = F.coalesce(c("_said.kind"), F.when(c("_device") & c("_part"), "unclear").otherwise("spec_only"))
-    phrase = device_phrase(c("segment"))
-    context = F.struct(kind.alias("kind"), F.when(phrase.rlike(r"\d") | (F.size("_models") > 0), phrase).alias("device_raw"))
-    marked = carried.withColumn("_own", own).withColumn("_context", F.when(c("_own"), context))
+    marked = with_once(carried.withColumn("_own", own), _phrase_raw=F.when(c("_own"), device_phrase(c("segment"))))
+    context = F.struct(kind.alias("kind"), F.when(c("_phrase_raw").rlike(r"\d") | (F.size("_models") > 0), c("_phrase_raw")).alias("device_raw"))
+    marked = marked.withColumn("_context", F.when(c("_own"), context))
     read = marked.select(
         "*", F.last("_context", ignorenulls=True).over(so_far).alias("_last"),
         F.coalesce(F.last(F.when(c("_own"), c("_category")), ignorenulls=True).over(so_far), c("category")).alias("_category_raw"), F.coalesce(F.last(F.when(c("_own"), c("_phrase")), ignorenulls=True).over(so_far), part).alias("part_raw"),
     )
     follows = ~c("_own") & c("_last").isNotNull() & c("_listed") & c("_said").isNull()
     found = read.withColumn("inherited", follows).where(c("_own") | c("inherited"))
-    found = found.withColumn("ordinal", F.row_number().over(page) - 1).withColumn("claim", c("_last.kind")).withColumn("attributes", F.when(c("inherited"), F.create_map().cast("map<string,string>")).otherwise(attributes(c("segment"))))
+    found = found.withColumn("ordinal", F.row_number().over(page) - 1).withColumn("claim", c("_last.kind"))
+    found = with_once(found, attributes=F.when(c("inherited"), F.create_map().cast("map<string,string>")).otherwise(attributes(c("segment"))), _own_number=own_number(c("segment")))
     asked = F.transform("model_numbers", normalize_match)
     exact = c("inherited") | F.exists("_models", lambda m: F.array_contains(asked, normalize_match(m)))
     weight = F.when(c("inherited"), 0.7).otherwise(F.coalesce(c("_said.weight"), F.lit(0.35)))
     strength = claim_strength(weight, F.coalesce(exact, F.lit(False)), F.size("_models") > 0, ~c("inherited") & c("segment").rlike(HAS_NUMBER), F.lit(True), c("inherited") | c("_named"), F.size("attributes") > 0, c("claim"))
-    return found.withColumn("_strength", strength).select(
+    return with_once(found, _strength=strength).select(
         "question_id", "source_id", "ordinal", "claim", truncate(c("segment"), 320).alias("evidence_text"), c("_category_raw").alias("category"), "part_raw", c("_last.device_raw").alias("device_raw"), c("_models").alias("model_numbers"),
-        variant_markers(c("segment")).alias("variant_markers"), "attributes", "inherited", F.coalesce(own_number(c("segment")), "nearby", "part_number").alias("part_number"),
+        variant_markers(c("segment")).alias("variant_markers"), "attributes", "inherited", F.coalesce("_own_number", "nearby", "part_number").alias("part_number"),
         half_up(c("_strength"), 3).alias("strength"), strength_level(c("_strength")).alias("evidence_strength"),
     )
 

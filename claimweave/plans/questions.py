@@ -9,6 +9,7 @@ from ..functions import devices, parts
 from ..functions.claims import canonical_part
 from ..functions.hashing import research_key
 from ..functions.idents import model_numbers, part_numbers, variant_label, variant_markers
+from ..functions.once import with_once
 from ..functions.text import collapse_whitespace, normalize_match
 
 #: (intent, weight, pattern) on the question; of equal sums the intent whose pattern fits first wins (fixed values).
@@ -102,14 +103,14 @@ def understand(questions: DataFrame) -> DataFrame:
     then what is named: a device and a part ask for a check, a device for parts, a part for phones.
     """
     c = F.col
-    asked = questions.withColumn("_q", F.trim(F.coalesce("question", F.lit("")))).withColumn("normalized", normalize_match(c("_q")))
-    asked = asked.withColumn("_brand", devices.brand_of(c("_q")))
-    read = asked.withColumn("model_numbers", model_numbers(c("_q"), c("_brand.brand"))).withColumn("part_numbers", part_numbers(c("_q"))).withColumn("markers", variant_markers(c("_q")))
-    read = read.withColumn("_device", devices.device_mention(c("_q"), c("model_numbers"), c("normalized"), c("_brand"))).withColumn("_part", parts.part_mention(c("_q")))
+    asked = with_once(questions, _q=F.trim(F.coalesce("question", F.lit(""))))
+    asked = with_once(asked, normalized=normalize_match(c("_q")), _brand=devices.brand_of(c("_q")))
+    read = with_once(asked, model_numbers=model_numbers(c("_q"), c("_brand.brand")), part_numbers=part_numbers(c("_q")), markers=variant_markers(c("_q")))
+    read = with_once(read, _device=devices.device_mention(c("_q"), c("model_numbers"), c("normalized"), c("_brand")), _part=parts.part_mention(c("_q")), _scored=scored_intent(c("_q")))
     read = read.withColumn("bare", c("_part").isNull() & (F.size(F.split("_q", r"\s+")) <= 3) & ((F.size("part_numbers") > 0) | (F.size("model_numbers") > 0)))
     device, part, number = c("_device.family").isNotNull(), c("_part").isNotNull(), F.size("part_numbers") > 0
     named = F.when(device & part, "compatibility_check").when(device, "phone_to_parts").when(part | number, "part_to_phones").when(c("bare"), "identify").otherwise("unknown")
-    guess = F.coalesce(scored_intent(c("_q")), named)
+    guess = F.coalesce(c("_scored"), named)
     guess = F.when(c("bare") & number, "identify").when((guess == "compatibility_check") & part & ~device & ~number, "part_to_phones").otherwise(guess)
     intent_ = F.coalesce(requested_intent(c("mode")), guess) if "mode" in questions.columns else guess
     by_number = F.array_compact(F.transform("part_numbers", lambda n: _first_that(NUMBER_CATEGORIES, n)))

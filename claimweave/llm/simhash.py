@@ -369,7 +369,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_W
 
     Of rows of this doc_id it is the one of the least MD5 of the text. Rows are told apart by doc_id and text, so
     different texts under one doc_id or without any are documents of their own; only of rows with equal doc_id and equal
-    text an arbitrary one stays. All columns are kept.
+    text the least one, by the JSON of all columns, stays. All columns are kept.
     """
     key, tie = unused(docs, "_cw_key"), unused(docs, "_cw_tie")
     found = materialize(near_copies(docs, radius, n, similarity), "kept")
@@ -378,7 +378,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = COPY_RADIUS, n: int = COPY_W
     repeated = found.where("keeper").groupBy(F.col("key").alias(key), F.col("tie").alias(tie)).agg(F.count("*").alias("n")).where("n > 1").select(key, tie)
     if not repeated.isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        one = rest.join(repeated, [key, tie], "left_semi").groupBy(key, tie).agg(F.first(row).alias("_row")).select("_row.*")
+        one = rest.join(repeated, [key, tie], "left_semi").groupBy(key, tie).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_row")).select("_row.*")
         return rest.join(repeated, [key, tie], "left_anti").drop(key, tie).unionByName(one)
     return rest.drop(key, tie)
 

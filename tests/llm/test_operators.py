@@ -351,10 +351,38 @@ def test_near_copies_of_a_large_group(spark, monkeypatch):
     rng = random.Random(13)
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base[: 60 - rng.randint(0, 5)] + [f"x{k}"]) for k in range(90)]
-    monkeypatch.setattr(nearcopies, "SLICE", 16)
+    monkeypatch.setattr(nearcopies, "SLICE", 400)
     assert {r.component for r in simhash.near_copies(docs_of(spark, texts)).collect()} == {0}
 
 
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """One bucket of sets at all distances from its leader, cut into slices: the components of brute force over all pairs."""
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(160):
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice((0, 1, 2, 3, 4, 6, 9, 14, 20))):
+            text[at] = f"x{rng.randint(0, 40)}-{at}"
+        texts.append(" ".join(text))
+    sets = nearcopies.shingle_sets(texts)
+    up = list(range(len(texts)))
+    for _ in range(6):
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    up[a] = up[b] = min(up[a], up[b])
+    groups = spark.createDataFrame([(7, k, len(s), 0) for k, s in enumerate(sets)], "bucket long, id long, n long, leader long")
+    found = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for slices in (1, 5):
+        monkeypatch.setattr(nearcopies, "SLICE", 2_000)
+        edges = nearcopies.link_groups(groups.withColumn("slices", F.lit(slices)), found, 0.8)
+        component = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
+        assert [component.get(k, k) for k in range(len(texts))] == up
+    assert len(set(up)) > 5 and Counter(up).most_common(1)[0][1] > 20
+
+
 def test_pii(spark):
     text = 'Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, +1 (017) 555-7713; card 4111 1111 1111 1111, 4111111111111111; 10.0.0.1; token = "ab12cd34ef56ab12cd34". Frau Meier met Herr Otto Klein; Г-н Иванов.'
     other = "bob@mail.example.com and +1 (017) 555-7713"

@@ -469,7 +469,8 @@ def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
                 clean.append("".join(out) + (text or "")[at:] if seen else text), n.append(len(seen)), kinds.append(",".join(sorted(set(seen))))
             yield pd.DataFrame({"key": pdf["key"], "clean": pd.Series(clean, dtype=object), "n_entities": pd.Series(n, dtype="int64"), "kinds": pd.Series(kinds, dtype=object)})
 
-    return _texts(docs).join(own, ["key", "tie"], "left").mapInPandas(swap, "key long, clean string, n_entities long, kinds string")
+    # the table of swaps grows with the corpus: it is dealt out like the texts at every size, never broadcast
+    return _texts(docs).join(own.hint("merge"), ["key", "tie"], "left").mapInPandas(swap, "key long, clean string, n_entities long, kinds string")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def _in(values) -> str:
 _DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
 _TIER = (
     "CASE "
-    + " ".join(f"WHEN {' OR '.join(f"d = '{n}' OR ends_with(d, '.{n}')" for n in names.split())} THEN {t}" for t, names in urls.TIERS.items())
+    + " ".join(f"WHEN d = '{n}' OR ends_with(d, '.{n}') THEN {t}" for n, t in urls.TIERS)
     + " "
     + " ".join(f"WHEN regexp_matches(d, '{h}') THEN {t}" for t, h in urls.HINTS)
     + f" ELSE {urls.OTHER_TIER} END"

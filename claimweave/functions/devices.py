@@ -38,26 +38,32 @@ BRANDS = (
 #: Shapes of model numbers that tell the brand (fixed values).
 MODEL_BRANDS = (("samsung", "^SM-|^GT-"), ("realme", "^RMX"), ("oppo", "^CPH"), ("motorola", r"^XT\d"), ("nokia", "^TA-"), ("xiaomi", r"^M\d{4}[A-Z]|^\d{8,9}[A-Z]{2,4}$"), ("apple", r"^A[123]\d{3}$"))
 #: Words that end a device's name in a question (fixed values).
-NAME_ENDS = tuple(
-    (
-        "can could will would does do is are the a an my this that these those screen screens display battery flex cable camera speaker microphone housing cover glass button buttons sensor "
-        "antenna nfc charging charge port board lcd oled replacement compatible compatibility work works working fit fits use used using phone phones model models number part parts for with "
-        "on in from and or what which where how why when find need looking another other other's same new old original oem aftermarket bought buy sell please help tell me about version variant "
-        "edition series gen 4g 5g 3g lte ds duos"
-    ).split()
-)
+NAME_ENDS = (
+    "can", "could", "will", "would", "does", "do", "is", "are", "the", "a", "an", "my", "this", "that", "these", "those", "screen", "screens",
+    "display", "battery", "flex", "cable", "camera", "speaker", "microphone", "housing", "cover", "glass", "button", "buttons", "sensor", "antenna",
+    "nfc", "charging", "charge", "port", "board", "lcd", "oled", "replacement", "compatible", "compatibility", "work", "works", "working", "fit",
+    "fits", "use", "used", "using", "phone", "phones", "model", "models", "number", "part", "parts", "for", "with", "on", "in", "from", "and", "or",
+    "what", "which", "where", "how", "why", "when", "find", "need", "looking", "another", "other", "other's", "same", "new", "old", "original", "oem",
+    "aftermarket", "bought", "buy", "sell", "please", "help", "tell", "me", "about", "version", "variant", "edition", "series", "gen", "4g", "5g",
+    "3g", "lte", "ds", "duos",
+)
 #: Words that end a device's name on a page (fixed values).
-PHRASE_ENDS = tuple(
-    (
-        "models model modelnumbers fits fit fitsfor compatible compatibility replacement for and or the with is are also only works work used use screen display battery flex cable camera speaker "
-        "housing cover glass button sensor antenna charging port board lcd oled assembly part parts series edition"
-    ).split()
-)
+PHRASE_ENDS = (
+    "models", "model", "modelnumbers", "fits", "fit", "fitsfor", "compatible", "compatibility", "replacement", "for", "and", "or", "the", "with",
+    "is", "are", "also", "only", "works", "work", "used", "use", "screen", "display", "battery", "flex", "cable", "camera", "speaker", "housing",
+    "cover", "glass", "button", "sensor", "antenna", "charging", "port", "board", "lcd", "oled", "assembly", "part", "parts", "series", "edition",
+)
 #: Words before a bare number that make it a device's name (fixed values).
-PREFIXES = tuple("galaxy note redmi poco pixel xperia zenfone mate nova mi oneplus iphone ipad moto realme camon spark hot blade axon aquos rog find reno f".split())
+PREFIXES = (
+    "galaxy", "note", "redmi", "poco", "pixel", "xperia", "zenfone", "mate", "nova", "mi", "oneplus", "iphone", "ipad", "moto", "realme", "camon",
+    "spark", "hot", "blade", "axon", "aquos", "rog", "find", "reno", "f",
+)
 GENERATIONS = ("3g", "4g", "5g", "lte")
 #: Marks of regions and configurations, which do not change the device (fixed values).
-REGIONS = tuple("us eu cn india korea global international dual-sim single-sim ds duos snapdragon exynos mediatek nfc japan brazil latam middle-east africa".split())
+REGIONS = (
+    "us", "eu", "cn", "india", "korea", "global", "international", "dual-sim", "single-sim", "ds", "duos", "snapdragon", "exynos", "mediatek", "nfc",
+    "japan", "brazil", "latam", "middle-east", "africa",
+)
 _MAKERS = "samsung|apple|iphone|galaxy|redmi|xiaomi|poco|huawei|honor|oppo|vivo|oneplus|realme|motorola|moto|nokia|sony|google|pixel|tecno|infinix|itel|tcl|asus|lenovo|nothing"
 LONGEST_NAME = 5
 

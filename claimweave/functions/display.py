@@ -36,3 +36,21 @@ def format_relative(at: Column, now: Column) -> Column:
     days = F.floor(hours / 24 + 0.5)
     ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
     return F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "min")).when(hours < 24, ago(hours, "h")).when(days < 30, ago(days, "d")).otherwise(format_date(at))
+
+
+def make_id(prefix: Column) -> Column:
+    """A new id; every evaluation gives another, so it belongs into a table that is written once."""
+    return F.concat(prefix, F.lit("_"), F.regexp_replace(F.uuid(), "-", ""))
+
+
+#: Plans: runs a day and most queries of a run (fixed values).
+PLANS = {"FREE": (10, 5), "PRO": (150, 8), "TECHNICIAN": (600, 10)}
+
+
+def plan_of(name: Column) -> Column:
+    """Struct (plan, daily_runs, max_queries) of a plan's name; unknown ones and null have the first one's."""
+    struct = lambda n: F.struct(F.lit(n).alias("plan"), F.lit(PLANS[n][0]).alias("daily_runs"), F.lit(PLANS[n][1]).alias("max_queries"))
+    out = struct("FREE")
+    for plan in PLANS:
+        out = F.when(name == plan, struct(plan)).otherwise(out)
+    return out

@@ -7,13 +7,76 @@ from pyspark.sql import functions as F
 
 #: Parameters whose names begin so say where a visitor came from (fixed values).
 TRACKING = ("utm_", "gclid", "fbclid", "mc_", "_ga", "ref", "aff", "affiliate")
-#: Source tiers by domain (fixed values); the first entry that a host ends with counts.
-TIERS = {
-    1: "samsung.com apple.com selfservicerepair.com google.com motorola.com mi.com xiaomi.com consumer.huawei.com huawei.com oppo.com vivo.com oneplus.com realme.com nokia.com sony.com lg.com nothing.tech asus.com lenevo.com lenovo.com fairphone.com tecno-mobile.com infinixmobility.com itel-mobile.com honor.com htc.com blackberry.com micromaxinfo.com lava.in",
-    2: "ifixit.com samsungparts.com parts4gsm.com mobilesentrix.com injuredgadgets.com gsmarena.com phonearena.com kimovil.com devicespecifications.com gsmchoice.com manualslib.com manualzz.com",
-    3: "ebay.com amazon.com aliexpress.com alibaba.com walmart.com temu.com wish.com etsy.com flipkart.com lazada.com shopee.com daraz.pk jumia.com.ng konga.com",
-    4: "scribd.com reddit.com xda-developers.com xdaforums.com gsmhosting.com gsm-forum.com repair.wiki quora.com youtube.com facebook.com pinterest.com tiktok.com",
-}
+#: Source tiers by domain, in order of precedence: the first entry that a host is or ends with counts (fixed values).
+TIERS = (
+    ("samsung.com", 1),
+    ("apple.com", 1),
+    ("selfservicerepair.com", 1),
+    ("google.com", 1),
+    ("motorola.com", 1),
+    ("mi.com", 1),
+    ("xiaomi.com", 1),
+    ("consumer.huawei.com", 1),
+    ("huawei.com", 1),
+    ("oppo.com", 1),
+    ("vivo.com", 1),
+    ("oneplus.com", 1),
+    ("realme.com", 1),
+    ("nokia.com", 1),
+    ("sony.com", 1),
+    ("lg.com", 1),
+    ("nothing.tech", 1),
+    ("asus.com", 1),
+    ("lenevo.com", 1),
+    ("lenovo.com", 1),
+    ("fairphone.com", 1),
+    ("tecno-mobile.com", 1),
+    ("infinixmobility.com", 1),
+    ("itel-mobile.com", 1),
+    ("honor.com", 1),
+    ("htc.com", 1),
+    ("blackberry.com", 1),
+    ("micromaxinfo.com", 1),
+    ("lava.in", 1),
+    ("ifixit.com", 2),
+    ("samsungparts.com", 2),
+    ("parts4gsm.com", 2),
+    ("mobilesentrix.com", 2),
+    ("injuredgadgets.com", 2),
+    ("gsmarena.com", 2),
+    ("phonearena.com", 2),
+    ("kimovil.com", 2),
+    ("devicespecifications.com", 2),
+    ("gsmchoice.com", 2),
+    ("manualslib.com", 2),
+    ("manualzz.com", 2),
+    ("scribd.com", 4),
+    ("reddit.com", 4),
+    ("xda-developers.com", 4),
+    ("xdaforums.com", 4),
+    ("gsmhosting.com", 4),
+    ("gsm-forum.com", 4),
+    ("repair.wiki", 4),
+    ("ebay.com", 3),
+    ("amazon.com", 3),
+    ("aliexpress.com", 3),
+    ("alibaba.com", 3),
+    ("walmart.com", 3),
+    ("temu.com", 3),
+    ("wish.com", 3),
+    ("etsy.com", 3),
+    ("flipkart.com", 3),
+    ("lazada.com", 3),
+    ("shopee.com", 3),
+    ("daraz.pk", 3),
+    ("jumia.com.ng", 3),
+    ("konga.com", 3),
+    ("quora.com", 4),
+    ("youtube.com", 4),
+    ("facebook.com", 4),
+    ("pinterest.com", 4),
+    ("tiktok.com", 4),
+)
 #: Parts of a host that tell the tier where the domain is unknown, in order (fixed values).
 HINTS = ((2, r"(^|\.)(support|docs|manuals?)\."), (4, "forum|community|reddit|board"), (3, "marketplace|shop|store|buy|deal"), (2, "parts|repair|gsm|fix|mobile"))
 OTHER_TIER = 4
@@ -37,17 +100,13 @@ def canonical_url(url: Column) -> Column:
 
 
 def domain_tier(host: Column) -> Column:
-    """Tier 1 to 4: by a known domain the host is or ends with, else by a hint, else 4."""
-    out = None
-    for tier, names in TIERS.items():
-        fits = None
-        for name in names.split():
-            one = (host == name) | host.endswith("." + name)
-            fits = one if fits is None else fits | one
-        out = F.when(fits, F.lit(tier)) if out is None else out.when(fits, F.lit(tier))
-    for tier, hint in HINTS:
-        out = out.when(host.rlike(hint), F.lit(tier))
-    return out.otherwise(F.lit(OTHER_TIER))
+    """Tier 1 to 4: by the first known domain that the host is or ends with, else by a hint, else 4."""
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(tier).alias("tier")) for name, tier in TIERS])
+    fits = F.filter(known, lambda k: (host == k["name"]) | host.endswith(F.concat(F.lit("."), k["name"])))
+    out = F.lit(OTHER_TIER)
+    for tier, hint in reversed(HINTS):
+        out = F.when(host.rlike(hint), F.lit(tier)).otherwise(out)
+    return F.coalesce(F.get(fits, F.lit(0))["tier"], out)
 
 
 def authority(tier: Column) -> Column:

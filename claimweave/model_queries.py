@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from .evidence_queries import code, lit, norm, segments
 from .functions import idents
+from .functions.urls import canonical_url
 from .operators import modelling
 from .plans import questions
 from .registry import query
 from .sources import fixtures
-from .sources.search import table
+from .sources.search import read_results, table
 
 # --- claims of a model ---------------------------------------------------------------------------
 
@@ -107,6 +108,32 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("cache_key").agg(F.count("*").alias("n"), F.min("question_id").alias("first"))
 
 
+# --- which pages are read ------------------------------------------------------------------------
+
+
+def _reading_sql() -> str:
+    from .catalogue import _CANONICAL, _DOMAIN
+
+    return f"""
+WITH r AS (SELECT page_id, page_id % 15 AS q, url, {_DOMAIN} AS d, page_id % 10 / 10.0 AS score, page_id * 37 % 240 AS said, page_id % 7 = 0 AS inline, bool_or(page_id % 3 > 0) OVER (PARTITION BY {_CANONICAL}) AS held FROM pages),
+p AS (
+  SELECT *, score * 10 + CASE WHEN regexp_matches(d, '(?i)manufacturer|samsung|apple|support\\.') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(d, '(?i)repair|parts|supplier|spare|mobile|gsm|fix') THEN 3 ELSE 0 END
+    + CASE WHEN regexp_matches(d, '(?i)forum|reddit|stackexchange|quora') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(url, '(?i)\\.(pdf|zip|jpg|png)$') THEN 5 ELSE 0 END + CASE WHEN said > 120 THEN 1 ELSE 0 END AS priority FROM r),
+n AS (SELECT *, greatest(0, 6 - count(*) FILTER (inline) OVER (PARTITION BY q)) AS budget, row_number() OVER (PARTITION BY q, inline ORDER BY priority DESC, page_id) AS nth FROM p),
+h AS (SELECT *, CASE WHEN inline THEN 'inline' WHEN nth <= budget THEN 'fetch' ELSE 'snippet' END AS how FROM n)
+SELECT page_id, how, how = 'fetch' AND held AS fetched, CASE WHEN how = 'snippet' THEN 'beyond the budget of pages' WHEN how = 'fetch' AND NOT held THEN 'status 404' END AS failure FROM h"""
+
+
+@query(_reading_sql())
+def reading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as results of 15 questions: which are read, within a budget of six, and why the others are not."""
+    k = F.col("page_id")
+    results = table(spark, sf_dir, "pages").select(k.alias("ordinal"), (k % 15).alias("question_id"), "url", F.expr("repeat('x', cast(page_id * 37 % 240 as int))").alias("snippet"), F.when(k % 7 == 0, "inline").alias("raw_content"), (k % 10 / 10.0).alias("score"))
+    pages = results.select(canonical_url(F.col("url")).alias("canonical"), F.when(F.col("ordinal") % 3 > 0, "text").alias("content"), F.when(F.col("ordinal") % 3 == 0, "status 404").alias("failure"))
+    read = read_results(results, pages, 6)
+    return read.select(F.col("ordinal").alias("page_id"), "how", "fetched", "failure")
+
+
 # --- the written pages ---------------------------------------------------------------------------
 
 _ASKS = ("battery of the Galaxy A15", "A15 SCREEN", "bn5a", "a15 side key", "dock of an a15", "a155f battery", "ps-fixture:none a15 battery", "galaxy s9 battery", "a15 nfc")

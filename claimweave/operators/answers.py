@@ -23,8 +23,20 @@ ADVICE = {
     "battery": ("Compare voltage, capacity and connector with the old battery.", "Measure the cell: a thicker one can be damaged by the cover."),
     "charging_flex": ("Compare the board revision and the microphone's place.", "See whether connector and routing suit the frame."),
     "charging_board": ("Compare revision and mounting points.", "Count the connectors and compare their places."),
+    "power_flex": ("See whether it has the volume keys as well.", "Compare the distance between the keys with the frame."),
+    "volume_flex": ("Count the keys and compare their distance.", "See which way the connector points."),
     "back_cover": ("Compare the camera cutout and the openings for buttons.", "See whether the variant is the right one."),
+    "back_glass": ("Compare the camera cutout and the adhesive.", "See whether variant and finish are right."),
+    "housing": ("Compare the cutouts and the places of the buttons.", "See which small parts are included."),
     "camera": ("Compare the height of the module and its connector.", "It may have to be calibrated after the exchange."),
+    "speaker": ("Compare impedance and contacts.", "See whether the chamber seals."),
+    "microphone": ("Compare the place and the contacts.", "Compare the connector."),
+    "fingerprint": ("It may have to be paired with the board.", "Compare the connector and the mounting."),
+    "buttons": ("Compare material and travel with the old ones.", "See whether the gasket is included."),
+    "sensors": ("They may have to be calibrated or paired.", "Compare the connector and the mounting."),
+    "antenna": ("Compare contacts and routing.", "See where the connector is."),
+    "nfc": ("Compare the coil's place and the connector.", "See whether the variant has it at all."),
+    "wireless_charging": ("Compare the coil's place and the connector.", "See whether the variant charges without a cable."),
     "other": ("Compare connector and mounting with the old part.",),
 }
 LAST_ADVICE = "Read the exact model number that is printed on the device."
@@ -147,3 +159,31 @@ def merge_reports(stored: tuple[DataFrame, DataFrame, DataFrame], run: tuple[Dat
         store.upsert(sources, first(new_sources, max_sources), ["cache_key", "url"], ["quality"]),
         claims.unionByName(first(new_claims, max_claims).join(claims.select("cache_key").distinct(), "cache_key", "left_anti")),
     )
+
+
+#: What to do about runs that could not be made, by the code of their failure.
+REMEDIES = {
+    "provider_not_configured": ("Set SEARCH_PROVIDER to a reader.", "Set the key that the reader needs.", "Start again with the new settings."),
+    "no_results": ("Name the device and the part.", "Give the number that is printed on the part."),
+    "no_evidence": ("Ask for the exact model number.", "Look for the number of the part.", "Compare the old part by hand."),
+    "timeout": ("Try again later.", "Ask for less at once."),
+}
+
+
+def empty_reports(runs: DataFrame) -> DataFrame:
+    """Reports on runs without a conclusion: question_id, n_sources and ``failure``, a code of REMEDIES or another error's.
+
+    Without a reader the verdict is not_configured, where nothing speaks for or against a fit insufficient_evidence, else research_failed. Score 0, level UNKNOWN; no claims,
+    findings or checks.
+    """
+    c = F.col
+    verdict = F.when(c("failure") == "provider_not_configured", "not_configured").when(c("failure").isin("no_results", "no_evidence"), "insufficient_evidence").otherwise("research_failed")
+    read = F.coalesce("n_sources", F.lit(0))
+    answer = (
+        F.when(verdict == "not_configured", "No search is configured, so nothing was looked for.")
+        .when(read > 0, F.concat(_counted(read, "page was", "pages were"), F.lit(" read, and none says which devices the part fits.")))
+        .otherwise("No page could be read, so there is no conclusion.")
+    )
+    none = F.array().cast("array<string>")
+    advice = F.coalesce(_table(REMEDIES, c("failure"), none), none)
+    return runs.select(*runs.columns, verdict.alias("verdict"), F.lit(0).alias("score"), F.lit("UNKNOWN").alias("level"), _table(HEADLINES, verdict, F.lit(HEADLINES["research_failed"])).alias("headline"), answer.alias("answer"), F.slice(advice, 1, 3).alias("bullets"), advice.alias("verify"))

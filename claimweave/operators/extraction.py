@@ -160,12 +160,3 @@ def run_checklists(questions: DataFrame, items: DataFrame, claims: DataFrame) ->
     status = F.when(F.col("_named"), "supported").when(F.col("_for") & F.col("_against"), "conflicting").when(F.col("_against"), "contradicted").when(F.col("_for"), "supported").otherwise("unknown")
     both = totals.join(stated, ["question_id", "check_id"], "left")
     return both.select("question_id", "check_id", status.alias("status"), "n_claims", "n_domains", F.coalesce("n_attributes", F.lit(0).cast("long")).alias("n_attributes"))
-
-
-def fetch_priority(domain: Column, url: Column, score: Column, snippet: Column) -> Column:
-    """How early a page is worth reading, from its address, score and snippet."""
-    flag = lambda c, v: F.when(c, F.lit(float(v))).otherwise(F.lit(0.0))
-    return (
-        F.coalesce(score, F.lit(0.0)) * 10 + flag(domain.rlike(r"(?i)manufacturer|samsung|apple|support\."), 4) + flag(domain.rlike("(?i)repair|parts|supplier|spare|mobile|gsm|fix"), 3)
-        + flag(domain.rlike("(?i)forum|reddit|stackexchange|quora"), 1) + flag(url.rlike(r"(?i)\.(pdf|zip|jpg|png)$"), -5) + flag(F.length(snippet) > 120, 1)
-    )

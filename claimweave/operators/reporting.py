@@ -66,3 +66,48 @@ def evidence_list(placed: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
     order = Window.partitionBy("question_id").orderBy(F.desc("strength"), F.asc("ordinal"))
     kept = placed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     return citation_numbers(kept, ["question_id"], "source_url", "nth").select("question_id", "nth", "ref", "claim", "source_url", truncate(F.col("evidence_text"), 300).alias("evidence"))
+
+
+#: Most sources and claims of a report, and most claims of a side of a conflict (fixed values).
+MOST_SOURCES, MOST_CLAIMS, MOST_OF_SIDE = 40, 60, 4
+
+
+def report_sources(scored: DataFrame, placed: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    """The best ``most`` sources of each question by quality (of equals by place), with ``nth`` and ``n_claims``."""
+    counts = placed.groupBy("question_id", "source_id").agg(F.count("*").alias("n_claims"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("quality"), "ordinal")
+    joined = scored.join(counts, ["question_id", "source_id"], "left").withColumn("n_claims", F.coalesce("n_claims", F.lit(0).cast("long")))
+    return joined.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def report_claims(placed: DataFrame, most: int = MOST_CLAIMS, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The strongest ``most`` claims of each question, of some kinds only where ``kinds`` are given, with ``nth``."""
+    some = placed.where(F.col("claim").isin(*kinds)) if kinds else placed
+    order = Window.partitionBy("question_id").orderBy(F.desc("strength"), "ordinal")
+    return some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def sources_of_authority(scored: DataFrame, high: bool) -> DataFrame:
+    """The sources of tiers 1 and 2, or the others."""
+    return scored.where(F.col("tier") <= 2 if high else F.col("tier") >= 3)
+
+
+def conflict_sides(conflicts: DataFrame, placed: DataFrame, most: int = MOST_OF_SIDE) -> DataFrame:
+    """Rows (question_id, cluster_key, n_support, n_oppose, supporting, opposing, causes) of clusters with claims on both sides.
+
+    Each side is an array of structs (nth, claim_id, domain, text) of its first ``most`` claims, cut before they are gathered.
+    """
+    c = F.col
+    key = F.coalesce("variant_key", "device_family_key", F.concat(F.lit("target|"), F.coalesce("part_category", F.lit("other"))))
+    sided = placed.withColumn("cluster_key", key).where(c("claim").isin("compatible", "not_compatible")).join(conflicts.select("question_id", "cluster_key"), ["question_id", "cluster_key"], "left_semi")
+    order = Window.partitionBy("question_id", "cluster_key", "claim").orderBy("ordinal")
+    first = sided.withColumn("nth", F.row_number().over(order)).where(c("nth") <= most)
+    item = F.struct("nth", "claim_id", c("source_domain").alias("domain"), c("evidence_text").alias("text"))
+    side = lambda kind: F.sort_array(F.collect_list(F.when(c("claim") == kind, item)))
+    gathered = first.groupBy("question_id", "cluster_key").agg(side("compatible").alias("supporting"), side("not_compatible").alias("opposing"))
+    listed = lambda lead, name: F.concat(F.lit(lead), F.array_join(name, ", "), F.lit("."))
+    causes = F.array_compact(F.array(
+        F.lit("Sources may mean other regions or revisions of the model."), F.lit("Sellers may offer different assemblies under one name."),
+        F.when(F.size("model_numbers") > 1, listed("Several codes are named: ", "model_numbers")), F.when(F.size("variant_markers") > 0, listed("Variants are named: ", "variant_markers")),
+    ))
+    return conflicts.select("question_id", "cluster_key", "n_support", "n_oppose", causes.alias("causes")).join(gathered, ["question_id", "cluster_key"])

@@ -13,13 +13,15 @@ from ..functions.safety import neutralise
 from ..functions.scores import half_up
 from ..functions.text import collapse_whitespace, normalize_match, truncate, word_count
 from ..plans.questions import understand
-from ..sources.search import page_text
+from ..sources.search import page_text, read_results
 from . import evidence
 from .answers import with_answers
 from .dedupe import dedupe_claims, first_by
 from .extraction import claim_context, extract_claims, run_checklists
-from .store import cut
+from .modelling import Model, propose_claims
+from .reporting import conflict_sides
 from .sourcing import score_sources
+from .store import cut
 
 #: Characters of a page that count (fixed value).
 MOST_TEXT = 14_000
@@ -29,7 +31,7 @@ def build_sources(results: DataFrame) -> DataFrame:
     """Sources of search results (question_id, ordinal, url, title, snippet, published_at, raw_content, fetched).
 
     With content the text is that of the page, neutralised and cut; without, the snippet stands for it. ``fetched`` tells if the
-    page itself was read. Adds source_id, canonical, domain, site, text, n_words, n_findings and snippet_only.
+    page itself was read, ``failure`` (if there is one) why it was not. Adds source_id, canonical, domain, site, text, n_words, n_findings and snippet_only.
     """
     c = F.col
     has = F.coalesce(c("raw_content"), F.lit("")) != ""
@@ -41,7 +43,7 @@ def build_sources(results: DataFrame) -> DataFrame:
     return rows.select(
         "question_id", "ordinal", F.substring(source_key(c("canonical")), 1, 16).alias("source_id"), "url", "canonical", "domain", urls.site_name(c("domain")).alias("site"),
         F.when(title == "", c("domain")).otherwise(title).alias("title"), collapse_whitespace(F.coalesce("snippet", F.lit(""))).alias("snippet"), "published_at", "text", "fetched", word_count(c("text")).alias("n_words"),
-        F.coalesce(F.size("_scan.findings"), F.lit(0)).alias("n_findings"), (~has & ~c("fetched")).alias("snippet_only"),
+        F.coalesce(F.size("_scan.findings"), F.lit(0)).alias("n_findings"), (~has & ~c("fetched")).alias("snippet_only"), (c("failure") if "failure" in results.columns else F.lit(None).cast("string")).alias("failure"),
     )
 
 
@@ -190,23 +192,43 @@ def judge_questions(understood: DataFrame, placed: DataFrame, checks: DataFrame,
     return evidence.judge(filled, reverse=(c("intent") == "part_to_phones"), found=c("_found"), demoted=c("device").isNotNull() & ~c("has_exact") & (c("_against") > 0)).withColumn("model_numbers", c("_codes")).withColumn("part_numbers", c("_numbers")).drop("_found", "_against", "_codes", "_numbers")
 
 
-def research(questions: DataFrame, results: DataFrame, checklist: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """The whole run over a batch of questions: tables ``understood``, ``sources``, ``claims``, ``models``, ``parts``, ``checks`` and ``reports``.
+def as_extracted(accepted: DataFrame) -> DataFrame:
+    """Accepted claims of a model (of ``accept_claims``) in the form of ``extract_claims``, after those of the page itself."""
+    order = Window.partitionBy("question_id", "source_id").orderBy("claim_id")
+    return accepted.select(
+        "question_id", "source_id", (F.row_number().over(order) + AFTER_PAGE).alias("ordinal"), "claim", "evidence_text", F.col("part_category").alias("category"), "part_raw", F.col("device_canonical").alias("device_raw"), "model_numbers",
+        "variant_markers", "attributes", F.lit(False).alias("inherited"), "part_number", "strength", "evidence_strength",
+    )
+
+
+#: Places of a model's claims come after all segments of a page.
+AFTER_PAGE, MOST_PAGES = 1_000_000, 10
+
 
-    ``questions``: question_id, question (and mode). ``results``: what searches gave, as :func:`build_sources` takes them. ``checklist``:
-    category, check_id, indicators. Every table carries question_id, so a batch of any size is joins and groups by it. Tables that
-    several others read are worked out once.
+def research(questions: DataFrame, results: DataFrame, checklist: DataFrame, as_of: Column, pages: DataFrame | None = None, max_pages: int = MOST_PAGES, model: Model | None = None) -> dict[str, DataFrame]:
+    """The whole run over a batch of questions: tables ``understood``, ``sources``, ``claims``, ``models``, ``parts``, ``checks``, ``clusters``, ``conflicts`` and ``reports``.
+
+    ``questions``: question_id, question (and mode). ``results``: what searches gave, as :func:`build_sources` takes them; with ``pages`` (canonical, content, failure) the
+    most promising ``max_pages`` of each question are read from there, as ``read_results`` does. ``checklist``:
+    category, check_id, indicators. A ``model`` adds claims on good pages without any, and ``refused`` has its replies that did not hold. Every table carries
+    question_id, so a batch of any size is joins and groups by it. Tables that several others read are worked out once.
     """
     understood = cut(understand(questions))
-    sources = cut(dedupe_sources(build_sources(results)))
+    found = results if pages is None else read_results(results, pages, max_pages)
+    sources = cut(dedupe_sources(build_sources(found)))
     scored = cut(score_sources(sources, understood.select("question_id", "device", "part", "part_number", "part_category", "model_numbers"), as_of))
-    raw = extract_claims(scored.select("question_id", "source_id", "text"), targets(understood))
-    claims = dedupe_claims(normalise_claims(cut(raw), scored, understood))
+    raw = cut(extract_claims(scored.select("question_id", "source_id", "text"), targets(understood)))
+    out = {}
+    if model is not None:
+        accepted, out["refused"] = propose_claims(model, scored.select("question_id", "source_id", "text", "quality"), raw, understood)
+        raw = cut(raw.unionByName(as_extracted(accepted)))
+    claims = dedupe_claims(normalise_claims(raw, scored, understood))
     placed = cut(place_claims(claims, understood))
     context = claim_context(placed, scored)
     checks = cut(run_checklists(understood.select("question_id", F.col("part_category").alias("category")), checklist, context))
     judged = judge_questions(understood, placed, checks, scored)
-    return {
+    clusters = evidence.clusters(placed)
+    return out | {
         "understood": understood, "sources": scored, "claims": placed, "models": model_findings(placed, understood), "against": model_findings(placed, understood, "not_compatible"), "parts": part_findings(placed, understood), "checks": checks,
-        "reports": with_answers(judged),
+        "clusters": clusters, "conflicts": conflict_sides(evidence.conflicts(clusters), placed), "reports": with_answers(judged),
     }

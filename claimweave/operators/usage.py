@@ -121,8 +121,9 @@ def top_reasons(feedback: DataFrame, k: int = 6) -> DataFrame:
 
 
 def session_totals(sessions: DataFrame) -> DataFrame:
-    """One row: sessions, those without a result, and the mean duration in whole milliseconds."""
-    return sessions.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "insufficient_evidence").alias("no_result"), F.floor(F.coalesce(F.avg("duration_ms"), F.lit(0.0)) + 0.5).cast("long").alias("average_ms"))
+    """One row: sessions, those without a result, those that failed, the mean duration in whole milliseconds, and the cost, where sessions have one."""
+    cost = half_up(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4) if "cost_usd" in sessions.columns else F.lit(0.0)
+    return sessions.agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "insufficient_evidence").alias("no_result"), F.count_if(F.col("verdict") == "research_failed").alias("failed"), cost.alias("cost_usd"), F.floor(F.coalesce(F.avg("duration_ms"), F.lit(0.0)) + 0.5).cast("long").alias("average_ms"))
 
 
 def cache_rate(sessions: DataFrame, cache: DataFrame) -> DataFrame:

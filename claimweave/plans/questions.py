@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import devices, parts
-from ..functions.claims import canonical_part
 from ..functions.hashing import research_key
 from ..functions.idents import model_numbers, part_numbers, variant_label, variant_markers
 from ..functions.once import with_once
@@ -153,7 +152,7 @@ def merge_enrichment(understood: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def _queries() -> Column:
-    """Array of structs (query, kind) by facet: the identifier, the reverse lookup, or device and part."""
+    """Array of structs (query, kind) by facet: the identifier, the reverse lookup, or device and part. The words of the queries are fixed values."""
     c, quoted = F.col, lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     label = F.lower(parts.label(c("part_category")))
     model, second, number = F.get("model_numbers", F.lit(0)), F.get("model_numbers", F.lit(1)), c("part_number")
@@ -201,8 +200,3 @@ def search_queries(understood: DataFrame, most: int = MOST_QUERIES, proposed: Da
     none = F.array().cast("array<struct<query:string,kind:string,key:string>>")
     once = F.aggregate("_queries", none, lambda held, q: F.when(F.exists(held, lambda h: h["key"] == q["key"]), held).otherwise(F.array_append(held, q)))
     return keyed.select("question_id", F.posexplode(F.slice(once, 1, most)).alias("priority", "_q")).select("question_id", "priority", "_q.query", "_q.kind")
-
-
-def part_notes(understood: DataFrame) -> DataFrame:
-    """``understood`` with ``part_canonical``, the name of the part that is asked for, as claims name it."""
-    return understood.withColumn("part_canonical", F.when(F.col("part_alias").isNotNull(), canonical_part(F.col("part_alias"))["canonical"]))

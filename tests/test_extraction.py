@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import claims as wording
 from claimweave.operators import extraction
+from claimweave.sources import search
 
 TARGET = "question_id int, device_terms array<string>, device_cores array<string>, part_terms array<string>, aliases array<string>, part string, part_number string, category string, model_numbers array<string>"
 
@@ -47,5 +48,5 @@ def test_wordings(spark):
     rows = df.select(wording.claim_match(F.col("x")).alias("m"), wording.attributes(F.col("x")).alias("a"), wording.canonical_part(F.col("x")).alias("p")).collect()
     assert rows[0].m == ("not_compatible", 0.95) and rows[2].m is None and rows[2].a == {} and rows[2].p == ("plain", None)
     assert rows[1].a == {"voltage": "3.85V", "capacity": "3000 mAh", "pin_count": "10", "panel": "LCD"} and rows[1].p == ("LCD display assembly", "screen")
-    row = spark.range(1).select(extraction.fetch_priority(F.lit("fixit.com"), F.lit("https://fixit.com/a.pdf"), F.lit(0.5), F.lit("x" * 121)).alias("y")).first()
+    row = spark.range(1).select(search.fetch_priority(F.lit("fixit.com"), F.lit("https://fixit.com/a.pdf"), F.lit(0.5), F.lit("x" * 121)).alias("y")).first()
     assert row.y == 4.0

@@ -34,7 +34,7 @@ SENTENCES = (
 )
 N_SENTENCES = 7
 #: So many customers' pages answer one question.
-PAGES = 10
+PAGES = 2
 
 
 def _picked(k: str) -> list[str]:
@@ -43,7 +43,7 @@ def _picked(k: str) -> list[str]:
 
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (question_id, source_id, text): pages of customers, ten on a question."""
+    """Rows (question_id, source_id, text): pages of customers, two on a question."""
     said = F.array(*[F.lit(s) for s in SENTENCES])
     picked = [F.get(said, F.expr(p.replace("//", "div")).cast("int")) for p in _picked("c_custkey")]
     gap = F.when(F.col("c_custkey") % 3 == 0, "\n").otherwise(" ")
@@ -240,3 +240,65 @@ def sibling_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     risks = evidence.variant_risks(clusters, asked, most=None).select("question_id", "cluster_key", F.lit(True).alias("_risk"))
     sided = evidence.siblings(clusters, asked.select("question_id", "target_base")).join(risks, ["question_id", "cluster_key"], "left")
     return sided.select("question_id", "cluster_key", "n_support", "n_oppose", "n_domains", F.array_join("model_numbers", ",").alias("models"), "side", F.coalesce("_risk", F.lit(False)).alias("risk"))
+
+
+# --- judged questions ----------------------------------------------------------------------------
+
+_ASKED = {"intent": "compatibility_check", "device": "Galaxy A15 4G", "device_brand": "Samsung", "part": "Battery", "part_category": "battery", "part_number": "EB-BA155ABY"}
+_JUDGED_SQL = f"""{_KEYS_SQL},
+normal AS (
+  SELECT *, k // {PAGES} AS q, k % 11 / 10.0 AS quality, row_number() OVER (PARTITION BY k // {PAGES} ORDER BY k, ordinal) AS nth, list_sort(m) AS skus, list_contains(m, 'SM-A155F') AS model,
+    base <> '' AND (contains(base, 'samsung a15') OR contains('samsung a15', base)) AS shared, {code("part_number")} = 'EB-BA155ABY' AS numbered FROM marked),
+once AS (SELECT * FROM normal QUALIFY row_number() OVER (PARTITION BY q, k, claim, device, skus ORDER BY strength DESC, nth) = 1),
+placed AS (
+  SELECT *, model OR CASE WHEN family = '' THEN true ELSE shared AND (len(gen) = 0 OR list_contains(gen, '4g')) END AS exact, floor(strength * 1000 + 0.5) / 1000 AS st FROM once
+  WHERE shared OR model OR list_bool_or(list_transform(m, lambda x: contains({norm("x")}, 'a15') OR contains({norm("x")}, '4g')))),
+totals AS (
+  SELECT q, count(*) FILTER (exact AND claim = 'compatible') AS s, count(*) FILTER (exact AND claim = 'not_compatible') AS o, count(*) FILTER (exact AND claim IN ('unclear', 'spec_only')) AS other, count(*) FILTER (NOT exact AND claim = 'compatible') AS sib,
+    count(*) FILTER (NOT exact AND claim = 'not_compatible') AS against, coalesce(sum(st * (0.5 + 0.5 * quality)) FILTER (exact AND claim = 'compatible'), 0) AS ws, coalesce(sum(st * (0.5 + 0.5 * quality)) FILTER (exact AND claim = 'not_compatible'), 0) AS wo,
+    coalesce(sum(st) FILTER (exact AND claim = 'compatible'), 0) AS ss, coalesce(sum(st) FILTER (exact AND claim = 'not_compatible'), 0) AS so, count(DISTINCT k) FILTER (exact AND claim = 'compatible') AS ds, count(DISTINCT k) FILTER (exact AND claim = 'not_compatible') AS d_o,
+    coalesce(max(st) FILTER (exact AND claim = 'compatible'), 0) AS bs, coalesce(max(st) FILTER (exact AND claim = 'not_compatible'), 0) AS bo, coalesce(avg(quality) FILTER (exact AND claim = 'compatible'), 0) AS qual,
+    count(DISTINCT k) FILTER (quality >= 0.6) AS good, bool_or(numbered) AS num, bool_or(exact) AS ex
+  FROM placed GROUP BY q),
+groups AS (SELECT q, base || '|' || array_to_string(gen, ',') AS key, any_value(base) AS base, any_value(gen) AS gen, count(*) FILTER (claim = 'compatible') AS s, count(*) FILTER (claim = 'not_compatible') AS o, bool_or(shared) AS shared FROM placed GROUP BY ALL),
+split AS (SELECT q, count(*) FILTER (s > 0 AND o > 0) AS conflicts, least(3, count(*) FILTER (shared AND len(gen) > 0 AND NOT list_contains(gen, '4g'))) AS risks FROM (SELECT q, key, base, gen, sum(s) AS s, sum(o) AS o, bool_or(shared) AS shared FROM groups GROUP BY ALL) GROUP BY q),
+filled AS (
+  SELECT a.q, coalesce(s, 0) AS s, coalesce(o, 0) AS o, coalesce(other, 0) AS other, coalesce(sib, 0) AS sib, coalesce(against, 0) AS against, coalesce(ws, 0) AS ws, coalesce(wo, 0) AS wo, coalesce(ss, 0) AS ss, coalesce(so, 0) AS so, coalesce(ds, 0) AS ds, coalesce(d_o, 0) AS d_o,
+    coalesce(bs, 0) AS bs, coalesce(bo, 0) AS bo, coalesce(qual, 0) AS qual, coalesce(good, 0) AS good, coalesce(num, false) AS num, coalesce(ex, false) AS ex, coalesce(conflicts, 0) AS conflicts, coalesce(risks, 0) AS risks, a.q % 5 / 4.0 AS coverage
+  FROM (SELECT DISTINCT c_custkey // {PAGES} AS q FROM customer) a LEFT JOIN totals t ON a.q = t.q LEFT JOIN split p ON a.q = p.q),
+ruled AS (
+  SELECT *, CASE WHEN s + o + other + sib = 0 THEN 'insufficient_evidence' WHEN wo > 1.15 * ws AND d_o >= 1 AND bo >= 0.55 AND ds = 0 THEN 'not_compatible' WHEN s > 0 AND o > 0 THEN 'uncertain' WHEN o > 0 THEN CASE WHEN bo >= 0.55 THEN 'not_compatible' ELSE 'uncertain' END
+    WHEN s = 0 AND sib > 0 THEN 'uncertain' WHEN s = 0 THEN CASE WHEN other > 0 THEN 'uncertain' ELSE 'insufficient_evidence' END WHEN ds >= 3 AND qual >= 0.6 AND bs >= 0.6 THEN 'compatible' WHEN ds >= 2 AND qual >= 0.5 THEN 'likely_compatible' WHEN bs >= 0.6 THEN 'likely_compatible' ELSE 'uncertain' END AS rule,
+    least(1, greatest(0, qual)) * 0.24 + least(1, ds / 3.0) * 0.22 + CASE WHEN ss + so > 0 THEN ss / (ss + so) ELSE 0 END * 0.2 + least(1, coverage * 0.8 + CASE WHEN num THEN 0.2 ELSE 0 END) * 0.12 + CASE WHEN num THEN 0.12 ELSE 0 END + CASE WHEN good >= 2 THEN 0.06 ELSE 0 END + CASE WHEN ex THEN 0.04 ELSE 0 END
+    - (least(0.25, conflicts * 0.12) + least(0.12, risks * 0.06) + CASE s + o WHEN 0 THEN 0.35 WHEN 1 THEN 0.12 ELSE 0 END + CASE WHEN ds = 1 THEN 0.08 ELSE 0 END + CASE WHEN NOT ex AND s + o > 0 THEN 0.12 ELSE 0 END) AS share
+  FROM filled),
+scored AS (SELECT *, CASE WHEN rule = 'compatible' AND NOT ex AND against > 0 THEN 'uncertain' ELSE rule END AS verdict, floor(least(1, greatest(0, share)) * 100 + 0.5)::INT AS raw FROM ruled),
+levels AS (
+  SELECT *, verdict IN ('compatible', 'likely_compatible') AS strong, verdict IN ('insufficient_evidence', 'research_failed', 'not_configured') AS none,
+    CASE WHEN verdict = 'not_compatible' THEN greatest(raw, 60) WHEN verdict = 'insufficient_evidence' THEN least(raw, 18) WHEN s > 0 AND o > 0 THEN least(raw, 58) WHEN s = 0 THEN least(raw, 40) ELSE raw END AS held FROM scored),
+named AS (
+  SELECT *, CASE WHEN verdict = 'not_compatible' THEN 'NOT_COMPATIBLE' WHEN none THEN 'UNKNOWN' WHEN s > 0 AND o > 0 THEN CASE WHEN raw >= 55 THEN 'POSSIBLE' ELSE 'UNKNOWN' END WHEN s = 0 THEN CASE WHEN raw >= 35 THEN 'POSSIBLE' ELSE 'UNKNOWN' END
+    WHEN strong AND ds >= 4 AND raw >= 85 AND good >= 2 AND o = 0 THEN 'CONFIRMED' WHEN strong AND ds >= 3 AND raw >= 72 THEN 'HIGH_CONFIDENCE' WHEN raw >= 55 THEN 'LIKELY' WHEN raw >= 35 THEN 'POSSIBLE' ELSE 'UNKNOWN' END AS first_level FROM levels),
+rails AS (SELECT *, CASE WHEN strong AND s > 0 AND o = 0 AND first_level = 'UNKNOWN' THEN 'POSSIBLE' ELSE first_level END AS rail FROM named)
+"""
+
+
+@query(_JUDGED_SQL.replace("named AS (\n  SELECT *, dev OR", "named_segments AS (\n  SELECT *, dev OR").replace("AS device FROM named)", "AS device FROM named_segments)") + """
+SELECT q AS question_id, verdict, CASE WHEN strong AND s > 0 AND o = 0 AND rail = 'LIKELY' THEN greatest(held, 55) WHEN strong AND s > 0 AND o = 0 AND rail = 'POSSIBLE' THEN greatest(held, 35) ELSE held END AS score,
+  CASE WHEN rail IN ('CONFIRMED', 'HIGH_CONFIDENCE') AND NOT ex THEN 'LIKELY' ELSE rail END AS level, s AS n_support, o AS n_oppose, sib AS n_sibling, ds AS d_support, conflicts AS n_conflicts, risks AS n_risks FROM rails""")
+def judged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions judged by the claims of their two customers' pages: verdict, score and level, with what they follow from."""
+    from .operators import research
+    from .operators.dedupe import dedupe_claims
+    from .operators.store import cut
+
+    pages, found = customer_claims(spark, sf_dir)
+    k, q = F.col("source_id").cast("long"), F.col("question_id")
+    asked = pages.select("question_id").distinct()
+    understood = asked.select("question_id", *[F.lit(v).alias(n) for n, v in _ASKED.items()], F.array(F.lit("SM-A155F")).alias("model_numbers"), F.array(F.lit("4g")).alias("markers"))
+    domain = F.concat(F.lit("c"), "source_id", F.lit(".com"))
+    sources = pages.select("question_id", "source_id", F.concat(F.lit("https://"), domain, F.lit("/")).alias("canonical"), domain.alias("domain"), F.lit("t").alias("title"), F.lit(False).alias("snippet_only"), (k % 11 / 10.0).alias("quality"), k.cast("int").alias("ordinal"), F.lit(0).alias("n_findings"))
+    checks = asked.select("question_id", F.posexplode(F.sequence(F.lit(1), F.lit(4))).alias("n", "x")).select("question_id", F.col("n").cast("string").alias("check_id"), F.when(F.col("n") < q % 5, "supported").otherwise("unknown").alias("status"))
+    placed = cut(research.place_claims(dedupe_claims(research.normalise_claims(found, sources, understood)), understood))
+    judged = research.judge_questions(understood, placed, checks, sources)
+    return judged.select("question_id", "verdict", "score", "level", "n_support", "n_oppose", "n_sibling", "d_support", "n_conflicts", "n_risks")

@@ -153,3 +153,24 @@ def fixture_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     asked = table(spark, sf_dir, "customer").select(key.alias("question_id"), F.get(F.array(*[F.lit(a) for a in _ASKS]), (key % 9).cast("int")).alias("query"))
     return fixtures.search(asked, allowed=True).select("question_id", "query", "url", "rank", F.length("raw_content").alias("n_chars"))
+
+
+# --- searches of all intents ---------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS form, 'GH82-' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') || 'A' AS n, 'BN' || p_partkey % 10 || 'A' AS m, 'Samsung Galaxy A' || p_size AS d, 'SM-A' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || 'B' AS t FROM part),
+q AS (
+  SELECT k, CASE form WHEN 0 THEN ['Battery ' || n || ' compatible phones', 'Battery ' || n || ' compatible models list', '"' || n || '" compatible devices', '"' || n || '" replacement battery', 'which phones use Battery ' || n, 'Battery ' || n || ' cross reference']
+    WHEN 1 THEN ['"' || m || '" compatible phones', '"' || m || '" replacement battery', '"' || m || '" battery compatibility', '"' || m || '" specifications']
+    WHEN 2 THEN [d || ' phone part compatibility', d || ' phone part replacement', d || ' phone part compatible models list', d || ' phone part forum technician', d || ' phone part part number OEM']
+    ELSE [d || ' 5G screen compatibility', '"' || t || '" screen compatible', t || ' LCD replacement compatible models', d || ' screen compatible models list', d || ' 5G screen forum technician', d || ' screen part number OEM'] END AS qs,
+    CASE form WHEN 0 THEN 'part_to_phones' WHEN 1 THEN 'identify' WHEN 2 THEN 'phone_to_parts' ELSE 'compatibility_check' END AS intent FROM p)
+SELECT k AS p_partkey, intent, unnest(qs) AS query, (generate_subscripts(qs, 1) - 1)::INT AS priority FROM q""")
+def query_plan_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of four intents, made of the parts' numbers, with their search queries."""
+    k = F.col("p_partkey")
+    forms = F.array(F.format_string("Which phones use the GH82-%05dA battery?", k % 100000), F.format_string("BN%dA", k % 10), F.format_string("Samsung Galaxy A%d", "p_size"), F.format_string("Is the screen compatible with Samsung Galaxy A%d 5G (SM-A%03dB)?", "p_size", k % 1000))
+    understood = questions.understand(table(spark, sf_dir, "part").select(k.alias("question_id"), F.get(forms, (k % 4).cast("int")).alias("question")))
+    found = questions.search_queries(understood).join(understood.select("question_id", "intent"), "question_id")
+    return found.select(F.col("question_id").alias("p_partkey"), "intent", "query", "priority")

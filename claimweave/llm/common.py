@@ -11,9 +11,10 @@ Rules that hold for every operator of this subpackage unless its docstring says
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back, which cuts the lineage.
 
     Later reads survive the loss of any executor, and non-deterministic row orders are fixed. The table stays
-    until :func:`release`, or the end of a :func:`scratch` block around it.
+    until :func:`release`, the end of a :func:`scratch` block around it, or the end of the session.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -68,6 +69,14 @@ def release(df: DataFrame) -> None:
         _written[:] = [t for t in _written if t is not df]
 
 
+@atexit.register
+def _release_all() -> None:
+    """What a session's queries have left behind goes with the session."""
+    for table in list(_written):
+        with suppress(Exception):  # the session or its store may be gone already
+            release(table)
+
+
 @contextmanager
 def scratch(*keep: DataFrame):
     """Delete the tables written within the block at its end, but those put into the list that it yields."""

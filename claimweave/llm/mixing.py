@@ -23,9 +23,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_hash(doc_id: Column) -> Column:
-    """60 bits that depend on the doc_id alone (null: the text ``null``)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
+def mix_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits that depend on the doc_id alone; without one on the text, so rows without ids are not taken or left all together."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> dict:
@@ -135,7 +136,7 @@ def _with_plan(rows: DataFrame, source: str, plan: DataFrame) -> DataFrame:
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -143,7 +144,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     Each document of a source is taken floor(target / source size) times, and those with the smallest hashes
     once more, as :func:`plan_mix` tells: a document that is too large for what is left is passed over.
-    Texts without words have size 0. Rows that repeat a doc_id share a hash and are taken alike. Reruns agree,
+    Texts without words have size 0. Rows that repeat a doc_id share a hash and are taken alike, and so do rows without one of equal texts. Reruns agree,
     whatever the order or partitioning of the rows.
     """
     base = materialize(_with_hash(docs), "mix")
@@ -157,8 +158,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     base = materialize(_with_hash(docs), "mix")
     plan = plan_mix(base, weights, most).select(F.col("source").alias("_cw_source"), "repeats", "steps")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("_cw_row"), F.col("source").alias("_cw_from"), "doc_id", word_count(F.col("text")).alias("_cw_size"))
-    times = times_taken(mix_hash(F.col("doc_id")), F.col("_cw_size"), F.col("repeats"), F.col("steps"))
+    rows = docs.select(row.alias("_cw_row"), F.col("source").alias("_cw_from"), mix_hash(F.col("doc_id"), F.col("text")).alias("_cw_hash"), word_count(F.col("text")).alias("_cw_size"))
+    times = times_taken(F.col("_cw_hash"), F.col("_cw_size"), F.col("repeats"), F.col("steps"))
     joined = _with_plan(rows, "_cw_from", plan).select("_cw_row", times.alias("times")).where("times > 0")
     return joined.select("_cw_row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth")).select("_cw_row.*")
 
@@ -170,7 +171,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents),
 src AS (
   SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS nth

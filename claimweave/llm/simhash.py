@@ -20,7 +20,7 @@ SHARD_ROWS = 65_536
 #: Depth of the distributed tree, at least: one shard for small tables, and 32 from SPREAD_FROM fingerprints on.
 SPREAD_FROM, SPREAD_DEPTH = 8_192, 5
 #: The distributed tree is fitted on a bounded sample (never more than SAMPLE fingerprints); all are indexed.
-SAMPLE, SAMPLE_PER_SHARD = 65_536, 256
+SAMPLE, SAMPLE_PER_SHARD = 1 << 20, 256
 LEAF = 256
 #: Sketches of the check that can follow: one byte for each of BINS bins of the hashes of CHECK_WORDS-word shingles.
 BINS, CHECK_WORDS = 256, 5

@@ -557,6 +557,105 @@ def test_licenses_equal_brute_force(spark, sf):
         licenses.TemplateIndex({"short": "three words only"})
 
 
+def test_registered_simhash_equals_brute_force(spark):
+    """The query end to end on all of sf0.01: fingerprints by definition, components over all pairs."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(texts)
+    prints = np.array([simhash.simhash64(texts[k])[0] for k in ids], dtype=np.uint64)
+    up = list(range(len(ids)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in np.flatnonzero(np.bitwise_count(prints[:a] ^ prints[a]) <= simhash.RADIUS).tolist():
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    rows = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op9_simhash"](spark, sf).collect()}
+    assert rows == {k: (f"{int(prints[n]):016x}", ids[root(n)]) for n, k in enumerate(ids)} and len({c for _, c in rows.values()}) < len(ids)
+
+
+def test_scores_by_definition(spark, sf):
+    """The registered scores from the trained weights and the n-grams of each text, one string at a time."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    grams, weights, intercept = toxicity.train(docs, labels)
+    weight = dict(zip(grams.tolist(), weights.tolist()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def bucket(gram):
+        h = 0
+        for n, c in enumerate(gram):
+            h = ((h * 0x100000001B3 if n else 0) + ord(c) + 1) % 2**64
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> 33) * factor % 2**64
+        return (h ^ h >> 33) >> (64 - toxicity.BITS)
+
+    rows = queries.QUERIES["op4_toxicity"](spark, sf).collect()
+    assert len(rows) == len(texts) and len(weight) > 20
+    for r in rows[:60]:
+        text = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in f" {(texts[r.doc_id] or '').lower()} ")
+        z = intercept + sum(weight.get(b, 0.0) for b in {bucket(text[k : k + n]) for n in toxicity.GRAMS for k in range(len(text) - n + 1)})
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_linked_pages_equal_brute_force(spark):
+    """Pages with absolute, relative and rooted targets, in chains, stars and circles, against a union-find over joined urls."""
+    from urllib.parse import urljoin, urlsplit
+
+    rng = random.Random(6)
+    hosts = ["a.com", "www.b.org", "example.com", "c.net", "sub.example.net", "d.io"]
+    urls = [f"https://{rng.choice(hosts)}/{rng.choice(['en/', 'fr/', 'de/', ''])}{k % 23}{rng.choice(['', '?x=' + str(k % 5)])}" for k in range(120)]
+    pages, links = [], []
+    for k, url in enumerate(urls):
+        target = rng.choice([None, None, rng.choice(urls), f"/fr/{k % 23}", f"{k % 23}", "../de/7", f"?x={k % 5}", "//www.b.org/fr/1", "mailto:x@y.z"])
+        html = "" if target is None else rng.choice([f'<link rel="canonical" href="{target}">', f'<meta http-equiv="refresh" content="0; url={target}">'])
+        pages.append((k, url, html))
+        if target and not target.startswith("mailto:"):
+            links.append((url, urljoin(url, target)))
+    alias = lambda u: urlsplit(u).netloc.lower() + urlsplit(u).path + ("?" + urlsplit(u).query if urlsplit(u).query else "")
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = root(alias(a)), root(alias(b))
+        up[max(x, y)] = min(x, y)
+
+    def ruled(a):
+        host, _, path = a.partition("?")[0].partition("/")
+        fits = [(h + p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits, key=lambda f: len(f[0]), default=(None, None))
+
+    spread = {}
+    for a in list(up):
+        spread.setdefault(root(a), set()).add(ruled(a)[1])
+    rows = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    decided = 0
+    for k, url, _ in pages:
+        rule, verdict = ruled(alias(url))
+        if rule is None:
+            seen = spread.get(root(alias(url)), set())
+            verdict = "allow" if "allow" in seen or "block" not in seen else "block"
+            decided += "block" in seen
+        assert rows[k] == (rule, verdict), (url, rows[k], rule, verdict)
+    assert decided > 5
+
+
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    docs = docs_of(spark, [f"word{k} " * 10 for k in range(400)] + ["other " * 10] * 50, [None] * 400 + list(range(50)), ["a"] * 400 + ["b"] * 50)
+    rows = mixing.mix_sources(docs).collect()
+    for source_size in {r.source_size for r in rows}:
+        own = [r for r in rows if r.source_size == source_size]
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.03, (source_size, own[0].target)
+
+
 def test_mix_is_near_its_targets(spark):
     rows = mixing.mix_sources(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r.taken / r.target - 1) < 0.03 for r in rows)

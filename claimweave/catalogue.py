@@ -146,7 +146,9 @@ def left_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    sources = table(spark, sf_dir, "documents").select(F.lit(1).alias("question_id"), F.col("doc_id").alias("source_id"), "source")
+    claims = table(spark, sf_dir, "labels").select(F.lit(1).alias("question_id"), F.col("doc_id").alias("source_id"))
+    return evidence.uncovered(sources, claims).select(F.col("source_id").alias("doc_id"), "source")
 
 
 @query("""
@@ -347,7 +349,25 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.page(table(spark, sf_dir, "orders"), ["o_custkey"], 5, 3, F.desc("o_orderdate"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "nth")
 
 
-@query()
+def _page_sql() -> str:
+    """SQL of ``text.html_to_text`` for pages whose hidden elements do not nest: these go, blocks part paragraphs, other tags vanish."""
+    hidden = "|".join(h for h in text.HIDDEN if h.isalpha())
+    gone = "'(?si)<!--.*?-->' || " + " || ".join(f"'|<{h}\\b[^>]*>.*?</{h}>'" for h in hidden.split("|"))
+    blocks = "|".join(sorted(text.BLOCK))
+    bare = f"regexp_replace(regexp_replace(regexp_replace(PART, {gone}, '', 'g'), '(?i)<({blocks})\\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+    plain = bare
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0"), ("amp", "&")):
+        plain = f"replace({plain}, '&{name};', '{sign}')"
+    lines = f"regexp_replace(regexp_replace({plain}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g')"
+    trimmed = f"regexp_replace({lines}, '^\\s+|\\s+$', '', 'g')"
+    article, body = (f"regexp_extract(coalesce(html, ''), '(?si)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)" for tag in ("article", "body"))
+    return f"""
+WITH t AS (SELECT page_id, {trimmed.replace("PART", article)} AS article, {trimmed.replace("PART", body)} AS body FROM pages),
+c AS (SELECT page_id, CASE WHEN length(article) > {text.ENOUGH} THEN article ELSE body END AS body FROM t)
+SELECT page_id, sha256(body) AS text_sha256, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> ''))::INT AS n_words FROM c"""
+
+
+@query(_page_sql())
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("body")).select("page_id", F.sha2("body", 256).alias("text_sha256"), text.word_count(F.col("body")).alias("n_words"))
 
@@ -522,12 +542,17 @@ def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "search_calls", "pages_fetched", "ai_calls", "prompt_tokens", "completion_tokens", F.round(F.col("cost_usd") * 1_000_000).cast("long").alias("micro_usd"))
 
 
-@query(f"""{_CALLS}, r AS (SELECT run_id, count(*) FILTER (a = 0) AS s, count(*) FILTER (a = 1) AS f FROM c GROUP BY run_id)
-SELECT run_id, 'search' AS area, 1::BIGINT AS n FROM r WHERE s > 0 UNION ALL SELECT run_id, 'fetch', 1 FROM r WHERE f > 0
-UNION ALL SELECT user_id, 'ai', count(*) FROM events WHERE event_id % 3 = 2 AND event_id <= 20 GROUP BY user_id""")
+@query(f"""{_CALLS}, n AS (SELECT *, (['tavily', 'brave', 'unknown'])[1 + p] AS provider, (['gpt-5-mini-x', 'GPT-5', 'other'])[1 + m] AS model FROM c),
+r AS (
+  SELECT run_id, count(*) FILTER (a = 0) AS s, count(*) FILTER (a = 1) AS f, array_to_string(list_sort(list_distinct(list(provider) FILTER (a = 0))), ',') AS providers,
+    round(1e6 * sum(CASE WHEN a = 0 THEN CASE p WHEN 0 THEN 0.008 WHEN 1 THEN 0.005 ELSE 0 END WHEN a = 2 THEN CASE m WHEN 0 THEN i * 0.25 / 1e6 + o * 2 / 1e6 WHEN 1 THEN i * 1.25 / 1e6 + o * 10 / 1e6 ELSE 0 END ELSE 0 END))::BIGINT AS micro FROM n GROUP BY run_id)
+SELECT run_id, 'search' AS area, providers AS provider, 'search_queries' AS label, NULL AS model, 0::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens, micro AS micro_usd FROM r WHERE s > 0
+UNION ALL SELECT run_id, 'fetch', 'page-fetch', 'page_fetches', NULL, 0, 0, 0 FROM r WHERE f > 0
+UNION ALL SELECT user_id, 'ai', (['tavily', 'brave', 'unknown'])[1 + event_id % 7 % 3], 'call', (['gpt-5-mini-x', 'GPT-5', 'other'])[1 + event_id % 5 % 3], event_id % 1000 * 4, event_id % 100, 0 FROM events WHERE event_id % 3 = 2 AND event_id <= 20""")
 def usage_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir)
-    return usage.usage_records(usage.run_usage(calls), calls).groupBy("run_id", "area").agg(F.count("*").alias("n"))
+    records = usage.usage_records(usage.run_usage(calls), calls)
+    return records.select("run_id", "area", "provider", "label", "model", "prompt_tokens", "completion_tokens", F.round(F.col("cost_usd") * 1_000_000).cast("long").alias("micro_usd"))
 
 
 @query("""

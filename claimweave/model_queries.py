@@ -51,7 +51,7 @@ budget AS (
 quotes AS (
   SELECT d.*, regexp_replace(string_split(digest, chr(10))[1], '', '') AS quote FROM digests d JOIN budget b ON d.q = b.q WHERE list_contains(taken, nth) AND len(taken) <> 3)
 SELECT q AS question_id, doc_id, CASE WHEN length(quote) % 2 = 1 THEN 'compatible' ELSE 'not_compatible' END AS claim, (CASE WHEN length(quote) > 320 THEN length(rtrim(quote[1:319])) + 1 ELSE length(quote) END)::INT AS n_chars,
-  (CASE WHEN contains(upper(text), 'SM-A155F') THEN 1 ELSE 0 END + CASE WHEN length(regexp_replace(upper(trim(string_split(quote, ' ')[1])), '[^A-Z0-9-]', '', 'g')) >= 3 AND contains(upper(trim(regexp_replace(text, '\s+', ' ', 'g'))), regexp_replace(upper(trim(string_split(quote, ' ')[1])), '[^A-Z0-9-]', '', 'g')) THEN 1 ELSE 0 END)::INT AS n_models
+  (CASE WHEN contains(upper(text), 'SM-A155F') THEN 1 ELSE 0 END + CASE WHEN length(regexp_replace(upper(replace(trim(string_split(quote, ' ')[1]), 'ß', 'ss')), '[^A-Z0-9-]', '', 'g')) >= 3 AND contains(upper(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), 'ß', 'ss')), regexp_replace(upper(replace(trim(string_split(quote, ' ')[1]), 'ß', 'ss')), '[^A-Z0-9-]', '', 'g')) THEN 1 ELSE 0 END)::INT AS n_models
 FROM quotes WHERE length(quote) >= 15""")
 def model_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims that a stand-in for a model finds on documents without claims, within a question's budget."""

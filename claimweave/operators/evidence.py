@@ -16,6 +16,11 @@ def with_quality(claims: DataFrame, sources: DataFrame, default: float = 0.4) ->
     return claims.join(known, ["question_id", "source_id"], "left").withColumn("source_quality", F.coalesce("_q", F.lit(default))).drop("_q")
 
 
+def uncovered(sources: DataFrame, claims: DataFrame) -> DataFrame:
+    """The sources (question_id, source_id) that no claim comes from."""
+    return sources.join(claims.select("question_id", "source_id").distinct(), ["question_id", "source_id"], "left_anti")
+
+
 def clusters(claims: DataFrame) -> DataFrame:
     """Claims by variant, else family, else part: counts by kind, domains, quality, the label of the first claim and ``nth``.
 

@@ -15,6 +15,7 @@ from ..functions import parts
 from ..functions.idents import model_like, normalize_identifier
 from ..functions.safety import evidence_block
 from ..functions.text import collapse_whitespace, normalize_match, split_segments, truncate
+from .evidence import uncovered
 from .proposals import PROPOSAL, accept_claims, loose_json
 
 #: Pages that a model reads: how many of a question, least quality and length, and most characters of a page and of a question (fixed values).
@@ -34,8 +35,7 @@ def candidates(sources: DataFrame, claims: DataFrame) -> DataFrame:
 
     They are of quality 0.45 or more, longer than 220 characters, and the best six of a question (of equals by source_id).
     """
-    rest = sources.join(claims.select("question_id", "source_id").distinct(), ["question_id", "source_id"], "left_anti")
-    worth = rest.where((F.col("quality") >= LEAST_QUALITY) & (F.length("text") > LEAST_TEXT))
+    worth = uncovered(sources, claims).where((F.col("quality") >= LEAST_QUALITY) & (F.length("text") > LEAST_TEXT))
     order = Window.partitionBy("question_id").orderBy(F.desc("quality"), "source_id")
     return worth.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MOST_PAGES)
 

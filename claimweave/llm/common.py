@@ -187,6 +187,19 @@ def text_blocks(texts: list[bytes], limit: int = WordTable.BLOCK):
         yield first, len(texts)
 
 
+def char_blocks(texts: list[str | None], limit: int = WordTable.BLOCK):
+    """Yield (first, last) so that texts[first:last] have at most ``limit`` code points, or are one text."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > first and held + n > limit:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Hash of each run of n word hashes; fewer words give one of all."""
     if not len(words):

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, WordTable, materialize, mix64, shingle_hashes, text_blocks
+from .common import UNSPACED, WordTable, char_blocks, materialize, mix64, shingle_hashes, text_blocks
 
 SHINGLE = 5
 #: Two sets of Jaccard similarity J share a band of ROWS minima with probability J^ROWS, whatever the edit is, so
@@ -15,7 +15,7 @@ SHINGLE = 5
 BANDS, ROWS = 12, 3
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 #: A task holds about so many shingles of one slice of a bucket, and twice as many of two slices or of one very long text.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -47,10 +47,15 @@ def set_column(text: Column) -> Column:
 
     @F.pandas_udf("print long, n long, bands array<long>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        sets = shingle_sets(texts.tolist())
-        with np.errstate(over="ignore"):
-            marks = [int(mix64(np.array([mix64(h).sum(dtype=np.uint64) ^ np.uint64(len(h))]))[0]) for h in sets]
-        return pd.DataFrame({"print": np.array(marks, dtype=np.uint64).view(np.int64), "n": [len(h) for h in sets], "bands": [band_hashes(h) for h in sets]})
+        listed, marks, sizes, bands = texts.tolist(), [], [], []
+        # sets are made and forgotten by blocks of texts
+        for a, b in char_blocks(listed):
+            for h in shingle_sets(listed[a:b]):
+                with np.errstate(over="ignore"):
+                    marks.append(int(mix64(np.array([mix64(h).sum(dtype=np.uint64) ^ np.uint64(len(h))]))[0]))
+                sizes.append(len(h))
+                bands.append(band_hashes(h))
+        return pd.DataFrame({"print": np.array(marks, dtype=np.uint64).view(np.int64), "n": sizes, "bands": bands})
 
     return prints(text)
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, WordTable, distinct_texts, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, text_tie, unused
+from .common import UNSPACED, WordTable, char_blocks, distinct_texts, doc_key, key_to_id, materialize, mix64, shingle_hashes, text_blocks, text_tie, unused
 from .components import connected_components
 from .nearcopies import banded, link_groups, set_column, verified_pairs
 
@@ -85,7 +85,8 @@ def sketch_texts(texts: list[str | None], n: int = CHECK_WORDS) -> np.ndarray:
 def sketch_column(text: Column) -> Column:
     @F.pandas_udf("binary")
     def sketches(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.tobytes() for s in sketch_texts(texts.tolist())], dtype=object)
+        listed = texts.tolist()
+        return pd.Series([s.tobytes() for a, b in char_blocks(listed) for s in sketch_texts(listed[a:b])], dtype=object)
 
     return sketches(text)
 

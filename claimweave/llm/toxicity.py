@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, text_blocks, unused
+from .common import char_blocks, mix64, unused
 
 #: Lengths of the n-grams, in code points of the lower-cased text; their hashes have BITS bits.
 GRAMS, BITS = (3, 4, 5), 20
@@ -28,14 +28,17 @@ _SPACED[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def _present(texts: list[str | None], of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (text number, hashed n-gram) without repeats, of whole texts; only n-grams marked in ``of``."""
-    encoded = [f" {(t or '').lower()} ".encode("utf-32-le") for t in texts]
-    pairs = []
-    for first, last in text_blocks(encoded, 4 * BLOCK):
-        raw = np.frombuffer(b"".join(encoded[first:last]), dtype=np.uint32)
+    """Pairs (text number, hashed n-gram) without repeats, of whole texts; only n-grams marked in ``of``.
+
+    Texts are encoded and read in blocks, so that memory is that of the pairs and of one block.
+    """
+    owners, grams = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    for first, last in char_blocks(texts, BLOCK):
+        encoded = [f" {(t or '').lower()} ".encode("utf-32-le") for t in texts[first:last]]
+        raw = np.frombuffer(b"".join(encoded), dtype=np.uint32)
         raw = np.where(raw < 128, _SPACED[np.minimum(raw, 127)], raw).astype(np.uint64)
-        limits = np.cumsum([len(t) // 4 for t in encoded[first:last]])
-        gram = raw + np.uint64(1)
+        limits = np.cumsum([len(t) // 4 for t in encoded])
+        gram, pairs = raw + np.uint64(1), []
         for n in range(2, max(GRAMS) + 1):
             with np.errstate(over="ignore"):
                 gram = gram[: len(raw) - n + 1] * np.uint64(0x100000001B3) + raw[n - 1 :] + np.uint64(1)
@@ -44,9 +47,11 @@ def _present(texts: list[str | None], of: np.ndarray | None = None) -> tuple[np.
                 at = np.arange(len(bucket)) if of is None else np.flatnonzero(of[bucket])
                 owner = np.searchsorted(limits, at, side="right")
                 whole = at + n <= limits[owner]
-                pairs.append(np.unique(((owner[whole] + first) << BITS) | bucket[at[whole]]))
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
-    return found >> BITS, found & ((1 << BITS) - 1)
+                pairs.append((owner[whole] << BITS) | bucket[at[whole]])
+        found = np.unique(np.concatenate(pairs))
+        owners.append(((found >> BITS) + first).astype(np.int32))
+        grams.append((found & ((1 << BITS) - 1)).astype(np.int32))
+    return np.concatenate(owners), np.concatenate(grams)
 
 
 def fit_classifier(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -60,7 +65,7 @@ def fit_classifier(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarr
     if not n_pos or not n_neg:
         return np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     owner, gram = _present(texts)
-    pos = np.bincount(gram, weights=toxic[owner], minlength=1 << BITS)
+    pos = np.bincount(gram[(toxic > 0)[owner]], minlength=1 << BITS).astype(np.float64)
     both = np.bincount(gram, minlength=1 << BITS)
     neg = both - pos
     ratio = np.log((pos + 0.5) / (n_pos + 1.0)) - np.log((neg + 0.5) / (n_neg + 1.0))
@@ -68,7 +73,7 @@ def fit_classifier(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarr
     evidence[both < min(MIN_DF, len(texts))] = 0
     chosen = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
     chosen = chosen[evidence[chosen] > 0]
-    column = np.full(1 << BITS, -1, dtype=np.int64)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
     kept = column[gram] >= 0
     owner, col = owner[kept], column[gram[kept]]

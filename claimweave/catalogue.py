@@ -357,13 +357,14 @@ def _page_sql() -> str:
     bare = f"regexp_replace(regexp_replace(regexp_replace(PART, {gone}, '', 'g'), '(?i)<({blocks})\\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
     plain = bare
     for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0"), ("amp", "&")):
-        plain = f"replace({plain}, '&{name};', '{sign}')"
-    lines = f"regexp_replace(regexp_replace({plain}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g')"
+        plain = f"regexp_replace({plain}, '&{name};?', '{sign}', 'g')"
+    lines = f"regexp_replace(regexp_replace(body, '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\s*\\n\\s*\\n\\s*', chr(10) || chr(10), 'g')"
     trimmed = f"regexp_replace({lines}, '^\\s+|\\s+$', '', 'g')"
-    article, body = (f"regexp_extract(coalesce(html, ''), '(?si)<{tag}\\b[^>]*>(.*?)</{tag}>', 1)" for tag in ("article", "body"))
+    article, body = (f"regexp_extract(coalesce(html, ''), '(?si)<{tag}\\b[^>]*>(.*?)(?:</{tag}>|$)', 1)" for tag in ("article", "body"))
     return f"""
-WITH t AS (SELECT page_id, {trimmed.replace("PART", article)} AS article, {trimmed.replace("PART", body)} AS body FROM pages),
-c AS (SELECT page_id, CASE WHEN length(article) > {text.ENOUGH} THEN article ELSE body END AS body FROM t)
+WITH t AS (SELECT page_id, {plain.replace("PART", article)} AS article, {plain.replace("PART", body)} AS body FROM pages),
+p AS (SELECT page_id, CASE WHEN length(regexp_replace(article, '^\\s+|\\s+$', '', 'g')) > {text.ENOUGH} THEN article ELSE body END AS body FROM t),
+c AS (SELECT page_id, {trimmed} AS body FROM p)
 SELECT page_id, sha256(body) AS text_sha256, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> ''))::INT AS n_words FROM c"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import claims, devices, idents, parts, scores, text
 from .operators import extraction
+from .operators.store import cut
 from .registry import query
 from .sources.search import table
 
@@ -198,7 +199,7 @@ def checklist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, found = customer_claims(spark, sf_dir)
     items = spark.createDataFrame([("battery", check, list(words)) for check, words in CHECKS], "category string, check_id string, indicators array<string>")
     questions = pages.select("question_id").distinct().select("question_id", F.lit("battery").alias("category"))
-    return extraction.run_checklists(questions, items, extraction.claim_context(found, pages))
+    return extraction.run_checklists(questions, items, extraction.claim_context(cut(found), pages))
 
 
 # --- families of clusters ------------------------------------------------------------------------
@@ -235,7 +236,7 @@ def sibling_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     understood = pages.select("question_id").distinct().select("question_id", F.lit("Galaxy A15 4G").alias("device"), F.lit("Samsung").alias("device_brand"), F.array(F.lit("4g")).alias("markers"))
     k = F.col("source_id")
     sources = pages.select("question_id", "source_id", F.concat(F.lit("https://c"), k, F.lit(".com/")).alias("canonical"), F.concat(F.lit("c"), k, F.lit(".com")).alias("domain"), F.lit("t").alias("title"), F.lit(False).alias("snippet_only"), F.lit(0.5).alias("quality"), k.cast("int").alias("ordinal"))
-    clusters = evidence.clusters(research.normalise_claims(found, sources, understood))
+    clusters = evidence.clusters(cut(research.normalise_claims(found, sources, understood)))
     asked = research.target_keys(understood).select("question_id", "target_base", "markers")
     risks = evidence.variant_risks(clusters, asked, most=None).select("question_id", "cluster_key", F.lit(True).alias("_risk"))
     sided = evidence.siblings(clusters, asked.select("question_id", "target_base")).join(risks, ["question_id", "cluster_key"], "left")
@@ -290,7 +291,6 @@ def judged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions judged by the claims of their two customers' pages: verdict, score and level, with what they follow from."""
     from .operators import research
     from .operators.dedupe import dedupe_claims
-    from .operators.store import cut
 
     pages, found = customer_claims(spark, sf_dir)
     k, q = F.col("source_id").cast("long"), F.col("question_id")

@@ -649,6 +649,15 @@ def capability_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("deployment", F.array_join("readers", ",").alias("readers"), "model_ready", F.array_join("issues", ",").alias("issues"))
 
 
+@query(f"""
+WITH r(reader, setting, returns_content, max_results) AS (VALUES {", ".join(f"('{n}', '{s}', {str(c).lower()}, {m})" for n, s, c, m in readers.READERS)}),
+d AS (SELECT s_suppkey AS deployment, reader, returns_content, max_results, setting, CASE reader WHEN 'tavily' THEN s_suppkey % 2 = 0 WHEN 'exa' THEN s_suppkey % 3 < 2 ELSE false END AS ready FROM supplier, r)
+SELECT deployment, reader, ready, returns_content, max_results::INT AS max_results, CASE WHEN NOT ready THEN setting END AS missing FROM d""")
+def reader_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readers of each deployment: which are ready, and what the others need."""
+    return readers.reader_setup(_settings(spark, sf_dir))
+
+
 @query("""
 SELECT page_id, page_id % 5 > 0 AND page_id % 3 = 0 AND page_id % 2 = 0 AS cached, CASE WHEN page_id % 5 > 0 AND page_id % 3 = 0 AND page_id % 2 = 0 THEN 'kept ' || page_id WHEN page_id % 5 = 0 THEN 'inline' ELSE 'read ' || page_id END AS text FROM pages""")
 def cached_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

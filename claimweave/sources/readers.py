@@ -57,6 +57,15 @@ def limits(settings: DataFrame) -> DataFrame:
     return settings.groupBy("deployment").agg(*[number_of(_setting(k), *v).alias(k.lower()) for k, v in LIMITS.items()])
 
 
+def reader_setup(settings: DataFrame) -> DataFrame:
+    """Rows (deployment, reader, ready, returns_content, max_results, missing): the catalogue of readers for each deployment, and the setting that one still needs."""
+    c = F.col
+    held = settings.groupBy("deployment").agg(*[F.coalesce(_setting(s), F.lit("")).alias(s) for s in dict.fromkeys(r[1] for r in READERS)])
+    row = lambda reader, setting, content, most: F.struct(F.lit(reader).alias("reader"), (flag_of(c(setting)) if reader == "fixture" else c(setting) != "").alias("ready"), F.lit(content).alias("returns_content"), F.lit(most).alias("max_results"), F.lit(setting).alias("_setting"))
+    rows = held.select("deployment", F.inline(F.array(*[row(*r) for r in READERS])))
+    return rows.select("deployment", "reader", "ready", "returns_content", "max_results", F.when(~c("ready"), c("_setting")).alias("missing"))
+
+
 def capabilities(settings: DataFrame) -> DataFrame:
     """What each deployment can do: readers in use, search_ready, model_ready, store_ready, and the settings that have to be mended.
 

@@ -104,7 +104,7 @@ def model_numbers(text: Column, brand: Column | None = None) -> Column:
         shaped = F.filter(F.transform(F.concat(*own), normalize_identifier), lambda c: F.length(c) >= 4)
     generic = F.filter(F.transform(_all(given, [ANY_SKU]), normalize_identifier), lambda c: c.rlike(ANY_SKU_PREFIX))
     # most texts hold no code at all; one look tells
-    return F.when(given.rlike(r"[A-Za-z]{1,3}-?[A-Za-z]?\d{2}|2\d{7}|\b(?:ANE|MAR|VOG|ELE|JNY|CLT|EVA|LON|WAS|FIG|PCT|DUB|PAR|YAL|CET|NOH|ANA|LYA)[A-Z0-9-]"), _distinct_codes(F.concat(shaped, generic))).otherwise(F.array().cast("array<string>"))
+    return F.when(given.rlike(r"[A-Za-z]-[A-Za-z]\d{2}|[A-Za-z]-?\d{3}|2\d{7}|\b(?:ANE|MAR|VOG|ELE|JNY|CLT|EVA|LON|WAS|FIG|PCT|DUB|PAR|YAL|CET|NOH|ANA|LYA)[A-Z0-9-]"), _distinct_codes(F.concat(shaped, generic))).otherwise(F.array().cast("array<string>"))
 
 
 def part_numbers(text: Column) -> Column:

@@ -456,7 +456,8 @@ def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices, keys and part numbers near a claim, read from sentences made of the part table."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("Samsung Galaxy A%d display for sale.", "p_size").alias("said"), F.format_string("samsung galaxy a%d 5g", "p_size").alias("name"), "p_size")
     far = F.when(F.col("p_size") % 2 == 0, 100).otherwise(400)
-    page = F.concat("said", F.substring(F.lit(" " * 400), F.lit(1), far), F.format_string(" gh82-%06da", "p_partkey"))
+    # a number has six digits at most: of a longer key the first six stand for it
+    page = F.concat("said", F.substring(F.lit(" " * 400), F.lit(1), far), F.lit(" gh82-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("a"))
     key = devices.family_key(F.col("name"), F.lit("samsung"))
     return p.select(
         "p_partkey", devices.device_phrase(F.col("said")).alias("phrase"), key.alias("family_key"), devices.variant_key(key, idents.variant_markers(F.col("name"))).alias("variant_key"),

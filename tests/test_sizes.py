@@ -1,9 +1,13 @@
 """Faults that only larger tables show, on small ones."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from claimweave import catalogue
 from claimweave.operators import modelling
 
+from conftest import as_rows
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -12,3 +16,10 @@ def plan_of(df):
 def test_lists_of_answers_are_not_broadcast(spark):
     reports = spark.range(9).select(F.col("id").alias("question_id"), *[F.lit("x").alias(n) for n in ("verdict", "answer")], *[F.array(F.lit("x")).alias(n) for n in ("bullets", "verify", "codes")])
     assert "Broadcast" not in plan_of(modelling.accept_answers(reports.select("question_id", "answer", "bullets", "verify"), reports))
+
+
+def test_device_names_of_keys_with_seven_digits(spark, rows_of, tmp_path):
+    rows = [(k, k % 4 + 1) for k in (0, 17, 999_998, 999_999, 1_000_000, 1_000_001, 1_199_999)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = duckdb.sql(catalogue.SQL["device_names"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
+    assert rows_of(catalogue.device_names(spark, str(tmp_path))) == as_rows(found.columns, found.fetchall())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import bind
 from .text import collapse_whitespace, normalize_match
 
 #: Brands with the names they go by, in order of precedence (fixed values).
@@ -68,22 +69,17 @@ _MAKERS = "samsung|apple|iphone|galaxy|redmi|xiaomi|poco|huawei|honor|oppo|vivo|
 LONGEST_NAME = 5
 
 
-def bind(x: Column, f) -> Column:
-    """``f(x)`` with x worked out once, however often f reads it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def _names() -> list[tuple[str, str, str]]:
     """(name, brand, label): longer names first (a space at the end counts), of equal ones the first brand's."""
     named = [(a, b, label) for b, label, aliases in BRANDS for a in aliases]
     return [(a.strip(), b, label) for a, b, label in sorted(named, key=lambda n: -len(n[0]))]
 
 
-def brand_of(text: Column) -> Column:
-    """Struct (brand, label) of the longest brand name that a word of the text begins with; else null."""
-    padded = F.concat(F.lit(" "), normalize_match(text))
-    known = F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("brand"), F.lit(label).alias("label")) for a, b, label in _names()])
-    hit = bind(padded, lambda t: F.get(F.filter(known, lambda n: t.contains(F.concat(F.lit(" "), n["name"]))), F.lit(0)))
+def brand_of(text: Column, norm: Column | None = None) -> Column:
+    """Struct (brand, label) of the longest brand name that a word of the text (``norm``: its normalised form, where it is a column already) begins with; else null."""
+    padded = F.concat(F.lit(" "), normalize_match(text) if norm is None else norm)
+    known = F.array(*[F.struct(F.lit(f" {a}").alias("name"), F.lit(b).alias("brand"), F.lit(label).alias("label")) for a, b, label in _names()])
+    hit = bind(padded, lambda t: F.get(F.filter(known, lambda n: t.contains(n["name"])), F.lit(0)))
     return bind(hit, lambda h: F.when(h.isNotNull(), F.struct(h["brand"].alias("brand"), h["label"].alias("label"))))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import bind
 from .text import normalize_match
 
 #: Model codes (SKU) as makers write them: (brand, pattern), most specific first (fixed values).
@@ -69,6 +73,11 @@ VARIANTS = (
     ("amoled", "AMOLED", r"(?i)\bamoled\b|\bsuper amoled\b"),
     ("lcd", "LCD", r"(?i)\blcd\b|\bips\b|\btft\b|\bincell\b"),
 )
+#: Letters of which a text has some (in lower case) wherever a mark's pattern fits; a look for them costs a fraction of the pattern.
+VARIANT_LETTERS = {
+    "5g": ("5",), "4g": ("4", "lte"), "3g": ("3", "hspa"), "pro-max": ("pro",), "plus": ("plus", "+"), "dual-sim": ("dual", "ds"), "single-sim": ("single", "ss"), "global": ("global", "int"), "cn": ("chin", "cn"), "india": ("ind", "ins"),
+    "snapdragon": ("snapdragon", "sd"), "mediatek": ("mediatek", "dimensity", "helio"), "lcd": ("lcd", "ips", "tft", "incell"),
+}
 GENERATIONS = ("3g", "4g", "5g", "lte")
 
 
@@ -175,9 +184,10 @@ def number_near(numbers: Column, at: Column, length: Column, reach: int = 360) -
 def variant_markers(text: Column) -> Column:
     """Keys of the variant marks of a text; ``pro-max`` stands for ``pro`` and ``max``, and ``max`` leaves out ``plus``."""
     given = F.coalesce(text, F.lit(""))
-    found = F.array_compact(F.array(*[F.when(given.rlike(p), key) for key, _, p in VARIANTS]))
-    both = F.array_contains(found, "pro-max")
-    return F.when(both, F.array_except(found, F.array(F.lit("pro"), F.lit("max")))).when(F.array_contains(found, "max"), F.array_remove(found, "plus")).otherwise(found)
+    looks = lambda low, key: reduce(or_, [low.contains(x) for x in VARIANT_LETTERS.get(key, (key,))])
+    marks = bind(F.struct(given.alias("s"), F.lower(given).alias("low")), lambda t: F.array_compact(F.array(*[F.when(looks(t["low"], key) & t["s"].rlike(p), key) for key, _, p in VARIANTS])))
+    both = lambda found: F.array_contains(found, "pro-max")
+    return bind(marks, lambda found: F.when(both(found), F.array_except(found, F.array(F.lit("pro"), F.lit("max")))).when(F.array_contains(found, "max"), F.array_remove(found, "plus")).otherwise(found))
 
 
 def same_generation(a: Column, b: Column) -> Column:

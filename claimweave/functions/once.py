@@ -1,4 +1,4 @@
-"""Columns that are worked out once for each row."""
+"""Columns that are worked out once for each row, and rows that are dealt out before work on each."""
 
 from __future__ import annotations
 
@@ -13,3 +13,13 @@ def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     Nothing is pushed below a generator, and a generator of one row costs next to nothing.
     """
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def bind(x: Column, f) -> Column:
+    """``f(x)`` with x worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys for work on each row: rows of one file would else be one task, and small rows that cost much time would be put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -11,13 +11,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .once import bind
+
 #: Latin letters with marks and what they are without (fixed values).
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
+#: ASCII characters, without capitals, that matching does not tell from spaces.
+OTHER_ASCII = "".join(c for c in map(chr, range(128)) if not re.match(r"[a-zA-Z0-9+\-.'/ ]", c))
+
 
 def collapse_whitespace(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    # a single space is what it becomes, so it is passed over
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0]{2,}|[\t\n\u000b\f\r\u00a0]", " "))
 
 
 def strip_marks(c: Column) -> Column:
@@ -26,8 +32,11 @@ def strip_marks(c: Column) -> Column:
 
 def normalize_match(c: Column) -> Column:
     """Lower case without marks; only a-z, digits and ``+ - . ' /`` stay, other runs become one space."""
-    plain = F.translate(F.lower(strip_marks(c)), "‘’", "''")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9+\-.'/ ]", " "), " +", " "))
+    # plain ASCII needs neither marks nor a pattern, which costs several times as much as a look at each character
+    ascii_ = lambda t: F.translate(F.lower(t), OTHER_ASCII, " " * len(OTHER_ASCII))
+    other = lambda t: F.regexp_replace(F.translate(F.lower(strip_marks(t)), "‘’", "''"), r"[^a-z0-9+\-.'/ ]", " ")
+    plain = bind(c, lambda t: F.when(F.octet_length(t) == F.length(t), ascii_(t)).otherwise(other(t)))
+    return F.trim(F.regexp_replace(plain, "  +", " "))
 
 
 def split_segments(c: Column) -> Column:

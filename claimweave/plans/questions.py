@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import devices, parts
 from ..functions.hashing import research_key
 from ..functions.idents import model_numbers, part_numbers, variant_label, variant_markers
-from ..functions.once import with_once
+from ..functions.once import bind, dealt, with_once
 from ..functions.text import collapse_whitespace, normalize_match
 
 #: (intent, weight, pattern) on the question; of equal sums the intent whose pattern fits first wins (fixed values).
@@ -77,14 +77,18 @@ def requested_intent(mode: Column) -> Column:
 
 def scored_intent(question: Column) -> Column:
     """The intent of the largest sum of weights of the patterns that fit; null if none fits."""
-    hits = [F.when(question.rlike(p), w).otherwise(0) for _, w, p in INTENTS]
-    entries = []
-    for name in dict.fromkeys(i for i, _, _ in INTENTS):
-        own = [k for k, (i, _, _) in enumerate(INTENTS) if i == name]
-        first = F.least(*[F.when(hits[k] > 0, k).otherwise(99) for k in own], F.lit(99))
-        entries.append(F.struct((-sum((hits[k] for k in own), F.lit(0))).alias("minus"), first.alias("first"), F.lit(name).alias("intent")))
-    best = F.array_min(F.array(*entries))
-    return F.when(best["minus"] < 0, best["intent"])
+
+
+    def best(hits: Column) -> Column:
+        entries = []
+        for name in dict.fromkeys(i for i, _, _ in INTENTS):
+            own = [k for k, (i, _, _) in enumerate(INTENTS) if i == name]
+            first = F.least(*[F.when(F.get(hits, F.lit(k)) > 0, k).otherwise(99) for k in own], F.lit(99))
+            entries.append(F.struct((-sum((F.get(hits, F.lit(k)) for k in own), F.lit(0))).alias("minus"), first.alias("first"), F.lit(name).alias("intent")))
+        return F.array_min(F.array(*entries))
+
+    hits = F.array(*[F.when(question.rlike(p), w).otherwise(0) for _, w, p in INTENTS])
+    return bind(bind(hits, best), lambda b: F.when(b["minus"] < 0, b["intent"]))
 
 
 def _first_that(pairs, text: Column) -> Column:
@@ -102,10 +106,11 @@ def understand(questions: DataFrame) -> DataFrame:
     then what is named: a device and a part ask for a check, a device for parts, a part for phones.
     """
     c = F.col
-    asked = with_once(questions, _q=F.trim(F.coalesce("question", F.lit(""))))
-    asked = with_once(asked, normalized=normalize_match(c("_q")), _brand=devices.brand_of(c("_q")))
+    asked = with_once(dealt(questions, "question_id"), _q=F.trim(F.coalesce("question", F.lit(""))))
+    asked = with_once(asked, normalized=normalize_match(c("_q")))
+    asked = with_once(asked, _brand=devices.brand_of(c("_q"), c("normalized")))
     read = with_once(asked, model_numbers=model_numbers(c("_q"), c("_brand.brand")), part_numbers=part_numbers(c("_q")), markers=variant_markers(c("_q")))
-    read = with_once(read, _device=devices.device_mention(c("_q"), c("model_numbers"), c("normalized"), c("_brand")), _part=parts.part_mention(c("_q")), _scored=scored_intent(c("_q")))
+    read = with_once(read, _device=devices.device_mention(c("_q"), c("model_numbers"), c("normalized"), c("_brand")), _part=parts.part_mention(c("_q"), c("normalized")), _scored=scored_intent(c("_q")))
     read = read.withColumn("bare", c("_part").isNull() & (F.size(F.split("_q", r"\s+")) <= 3) & ((F.size("part_numbers") > 0) | (F.size("model_numbers") > 0)))
     device, part, number = c("_device.family").isNotNull(), c("_part").isNotNull(), F.size("part_numbers") > 0
     named = F.when(device & part, "compatibility_check").when(device, "phone_to_parts").when(part | number, "part_to_phones").when(c("bare"), "identify").otherwise("unknown")
@@ -113,7 +118,7 @@ def understand(questions: DataFrame) -> DataFrame:
     guess = F.when(c("bare") & number, "identify").when((guess == "compatibility_check") & part & ~device & ~number, "part_to_phones").otherwise(guess)
     intent_ = F.coalesce(requested_intent(c("mode")), guess) if "mode" in questions.columns else guess
     by_number = F.array_compact(F.transform("part_numbers", lambda n: _first_that(NUMBER_CATEGORIES, n)))
-    maker = F.get(F.filter(F.array(*[F.lit(m) for m in MAKERS]), lambda m: F.lower("_q").contains(m)), F.lit(0))
+    maker = bind(F.lower("_q"), lambda q: F.get(F.filter(F.array(*[F.lit(m) for m in MAKERS]), lambda m: q.contains(m)), F.lit(0)))
     return read.select(
         *questions.columns, "normalized", intent_.alias("intent"), c("_device.family").alias("device"), F.coalesce("_device.label", "_brand.label").alias("device_brand"), c("_device.family_key").alias("family_key"),
         "model_numbers", "markers", F.when(part, parts.label(c("_part.category"))).alias("part"), F.coalesce("_part.category", F.get(by_number, F.lit(0)), F.lit("other")).alias("part_category"),
@@ -151,20 +156,24 @@ def merge_enrichment(understood: DataFrame, proposed: DataFrame) -> DataFrame:
     return joined.withColumns(merged).drop(*[f"_{n}" for n in ("intent", "part_category", *fields)])
 
 
+def _words() -> Column:
+    """Struct of what many queries of a question say: label, the two angles, device, and device with marks (full)."""
+    category, variant = F.col("part_category"), F.array_join(F.transform("markers", variant_label), " ")
+    device = F.nullif(F.trim(F.coalesce("device", F.lit(""))), F.lit(""))
+    full = F.nullif(F.trim(F.concat_ws(" ", device, variant)), F.lit(""))
+    return F.struct(F.lower(parts.label(category)).alias("label"), parts.angle(category, 0).alias("first"), parts.angle(category, 1).alias("second"), device.alias("device"), full.alias("full"))
+
+
 def _queries() -> Column:
-    """Array of structs (query, kind) by facet: the identifier, the reverse lookup, or device and part. The words of the queries are fixed values."""
+    """Array of structs (query, kind) by facet: the identifier, the reverse lookup, or device and part; reads ``_words``. The words of the queries are fixed values."""
     c, quoted = F.col, lambda x: F.concat(F.lit('"'), x, F.lit('"'))
-    label = F.lower(parts.label(c("part_category")))
+    label, device, full, lead = c("_words.label"), c("_words.device"), c("_words.full"), F.coalesce("_words.full", "_words.device")
     model, second, number = F.get("model_numbers", F.lit(0)), F.get("model_numbers", F.lit(1)), c("part_number")
-    variant = F.array_join(F.transform("markers", variant_label), " ")
-    device = F.nullif(F.trim(F.coalesce("device", F.lit(""))), F.lit(""))
-    full = F.nullif(F.trim(F.concat_ws(" ", device, variant)), F.lit(""))
-    lead = F.coalesce(full, device)
     some = lambda *rows: F.array(*[F.struct(collapse_whitespace(q).alias("query"), F.lit(kind).alias("kind")) for q, kind in rows])
     say = lambda *bits: F.concat(*[b if isinstance(b, Column) else F.lit(b) for b in bits])
     mark = quoted(F.coalesce(number, F.trim("question")))
     identify = some(
-        (say(mark, " compatible phones"), "part_number"), (say(mark, " replacement ", label), "part_number"), (say(mark, " ", F.coalesce(parts.angle(c("part_category"), 0), F.lit("compatible models"))), "part_number"), (say(mark, " specifications"), "spec"),
+        (say(mark, " compatible phones"), "part_number"), (say(mark, " replacement ", label), "part_number"), (say(mark, " ", F.coalesce("_words.first", F.lit("compatible models"))), "part_number"), (say(mark, " specifications"), "spec"),
     )
     phrase = F.concat_ws(" ", F.coalesce(F.col("part"), label), number)
     reverse = some(
@@ -173,8 +182,8 @@ def _queries() -> Column:
     )
     fallback = say(label, " replacement")
     check = some(
-        (say(lead, " ", label, " compatibility"), "device_part_compat"), (say(lead, " ", F.coalesce(parts.angle(c("part_category"), 0), fallback)), "device_part_compat"),
-        (say(quoted(model), " ", label, " compatible"), "model_number"), (say(model, " ", F.coalesce(parts.angle(c("part_category"), 1), fallback)), "model_number"),
+        (say(lead, " ", label, " compatibility"), "device_part_compat"), (say(lead, " ", F.coalesce(c("_words.first"), fallback)), "device_part_compat"),
+        (say(quoted(model), " ", label, " compatible"), "model_number"), (say(model, " ", F.coalesce(c("_words.second"), fallback)), "model_number"),
         (say(quoted(number), " compatible models"), "part_number"), (say(F.coalesce(device, full), " ", label, " compatible models list"), "device_part_compat"),
         (say(quoted(second), " ", label, " replacement"), "model_number"), (say(lead, " ", label, " forum technician"), "forum"), (say(F.coalesce(device, F.lit("")), " ", label, " part number OEM"), "spec"),
     )
@@ -188,7 +197,7 @@ def search_queries(understood: DataFrame, most: int = MOST_QUERIES, proposed: Da
     the device, the part or a number asked for, and no words of instructions.
     """
     c = F.col
-    rows = understood.withColumn("_queries", F.filter(_queries(), lambda q: F.length(F.coalesce(q["query"], F.lit(""))) >= SHORTEST_QUERY))
+    rows = with_once(understood, _words=_words()).withColumn("_queries", F.filter(_queries(), lambda q: F.length(F.coalesce(q["query"], F.lit(""))) >= SHORTEST_QUERY))
     if proposed is not None:
         offered = proposed.groupBy("question_id").agg(F.array_sort(F.collect_set(F.substring(collapse_whitespace(c("query")), 1, 160))).alias("_offered"))
         wanted = F.transform(F.filter(F.concat(F.array("device", "part", "part_number"), "model_numbers"), lambda w: F.coalesce(w, F.lit("")) != ""), normalize_match)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from claimweave import catalogue
 from claimweave.operators import modelling
+from claimweave.plans import questions
 
 from conftest import as_rows
 
@@ -23,3 +24,8 @@ def test_device_names_of_keys_with_seven_digits(spark, rows_of, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     found = duckdb.sql(catalogue.SQL["device_names"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
     assert rows_of(catalogue.device_names(spark, str(tmp_path))) == as_rows(found.columns, found.fetchall())
+
+
+def test_questions_of_one_file_are_dealt_out(spark):
+    asked = spark.range(20).coalesce(1).select(F.col("id").alias("question_id"), F.lit("Which phones use the GH82-12345A battery?").alias("question"))
+    assert questions.search_queries(questions.understand(asked)).rdd.getNumPartitions() == 4

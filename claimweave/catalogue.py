@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import devices, display, hashing, idents, quality, safety, scores, text, urls
+from .functions.once import dealt
 from .operators import dedupe, evidence, extraction, metrics, research, sourcing, store, usage
 from .plans import questions
 from .registry import QUERIES, SQL, query  # noqa: F401
@@ -454,7 +455,7 @@ SELECT p_partkey, 'Samsung Galaxy A' || p_size AS phrase, 'samsung a' || p_size
   CASE WHEN p_size % 2 = 0 THEN 'GH82-' || lpad(p_partkey::VARCHAR, 6, '0') || 'A' END AS nearby FROM part""")
 def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices, keys and part numbers near a claim, read from sentences made of the part table."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.format_string("Samsung Galaxy A%d display for sale.", "p_size").alias("said"), F.format_string("samsung galaxy a%d 5g", "p_size").alias("name"), "p_size")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.format_string("Samsung Galaxy A%d display for sale.", "p_size").alias("said"), F.format_string("samsung galaxy a%d 5g", "p_size").alias("name"), "p_size")
     far = F.when(F.col("p_size") % 2 == 0, 100).otherwise(400)
     # a number has six digits at most: of a longer key the first six stand for it
     page = F.concat("said", F.substring(F.lit(" " * 400), F.lit(1), far), F.lit(" gh82-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("a"))
@@ -522,7 +523,7 @@ def identifier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model codes, part numbers and variant marks of sentences made of the part table."""
     k = F.col("p_partkey")
     said = F.concat(F.format_string("rmx%04d and sm-a%03df, SMA%03dF, with gh82-%05da ", k % 10000, k % 1000, k % 1000, k % 100000), F.when(F.col("p_size") % 2 == 0, "5G Pro Max").otherwise("LTE Lite Dual SIM"))
-    told = table(spark, sf_dir, "part").select("p_partkey", said.alias("s"))
+    told = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", said.alias("s"))
     return told.select("p_partkey", F.array_join(idents.model_numbers(F.col("s")), ",").alias("codes"), F.array_join(idents.part_numbers(F.col("s")), ",").alias("numbers"), F.array_join(idents.variant_markers(F.col("s")), ",").alias("markers"))
 
 

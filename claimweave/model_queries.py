@@ -12,6 +12,7 @@ from .evidence_queries import code, lit, norm, segments
 from .functions import idents
 from .functions.urls import canonical_url
 from .operators import modelling
+from .operators.store import cut
 from .plans import questions
 from .registry import query
 from .sources import fixtures
@@ -171,6 +172,7 @@ def query_plan_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of four intents, made of the parts' numbers, with their search queries."""
     k = F.col("p_partkey")
     forms = F.array(F.format_string("Which phones use the GH82-%05dA battery?", k % 100000), F.format_string("BN%dA", k % 10), F.format_string("Samsung Galaxy A%d", "p_size"), F.format_string("Is the screen compatible with Samsung Galaxy A%d 5G (SM-A%03dB)?", "p_size", k % 1000))
-    understood = questions.understand(table(spark, sf_dir, "part").select(k.alias("question_id"), F.get(forms, (k % 4).cast("int")).alias("question")))
-    found = questions.search_queries(understood).join(understood.select("question_id", "intent"), "question_id")
+    # both sides of the join read what is understood, so it is worked out once; it has a row a question and is not broadcast
+    understood = cut(questions.understand(table(spark, sf_dir, "part").select(k.alias("question_id"), F.get(forms, (k % 4).cast("int")).alias("question"))))
+    found = questions.search_queries(understood).join(understood.select("question_id", "intent").hint("merge"), "question_id")
     return found.select(F.col("question_id").alias("p_partkey"), "intent", "query", "priority")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.claims import BRAND_MENTION, any_in, attributes, claim_match
 from ..functions.devices import device_phrase
 from ..functions.idents import HAS_NUMBER, number_near, own_number, placed_numbers, segment_models, variant_markers
-from ..functions.once import with_once
+from ..functions.once import dealt, with_once
 from ..functions.parts import category_within
 from ..functions.safety import MARKER, TAG_MARKER
 from ..functions.scores import claim_strength, half_up, strength_level
@@ -49,8 +49,8 @@ def segments_of(pages: DataFrame) -> DataFrame:
     file of them is not one task.
     """
     c = F.col
-    dealt = pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")).repartition("question_id", "source_id")
-    told = with_once(dealt, _segments=F.filter(split_segments(c("text")), lambda s: admissible(s) & ~s.contains(MARKER) & ~s.contains(TAG_MARKER)), _numbers=placed_numbers(c("text")))
+    rows = dealt(pages.select("question_id", "source_id", F.coalesce("text", F.lit("")).alias("text")), "question_id", "source_id")
+    told = with_once(rows, _segments=F.filter(split_segments(c("text")), lambda s: admissible(s) & ~s.contains(MARKER) & ~s.contains(TAG_MARKER)), _numbers=placed_numbers(c("text")))
     places = F.when(F.size("_numbers") > 0, _places(c("text"), c("_segments")))
     held = told.select("question_id", "source_id", F.monotonically_increasing_id().alias("page"), "_segments", "_numbers", places.alias("_places"))
     rows = held.select("question_id", "source_id", "page", "_numbers", "_places", F.posexplode("_segments").alias("pos", "segment"))
@@ -84,7 +84,7 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
     # a part is carried from the first segment on that names one: the question's part stands in for a segment's own
     opens = c("_side") & F.when(part.isNotNull(), c("_named")).otherwise(c("_phrase").isNotNull())
-    carried = told.repartition("question_id", "source_id").withColumn("_carried", F.coalesce(F.max(opens).over(before), F.lit(False)))
+    carried = dealt(told, "question_id", "source_id").withColumn("_carried", F.coalesce(F.max(opens).over(before), F.lit(False)))
     own = c("_side") & (c("_named") | c("_carried")) & (c("_said").isNotNull() | c("_named"))
     kind = F.coalesce(c("_said.kind"), F.when(c("_device") & c("_part"), "unclear").otherwise("spec_only"))
     marked = with_once(carried.withColumn("_own", own), _phrase_raw=F.when(c("_own"), device_phrase(c("segment"))))

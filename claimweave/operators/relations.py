@@ -41,7 +41,8 @@ def delete_rows(tables: dict[str, DataFrame], keys: dict[str, str], gone: dict[s
 
     ``keys`` names each table's key. Tables are taken parents first, so each is read once: its own deleted keys, and those of rows whose
     parents go, leave by one anti-join; references that are kept become null by one left join for each. Rows without a reference stay. Relations of
-    tables that are not given have no effect; tables must not refer to each other in a circle.
+    tables that are not given have no effect; tables must not refer to each other in a circle. Joins hold the deleted keys of a part of the table, each once, and
+    pass its rows by: sorted, the rows of a whole part would be held.
     """
     own = [r for r in relations if r.child in tables and r.parent in tables]
     graph = {name: {r.parent for r in own if r.child == name} for name in tables}
@@ -52,14 +53,14 @@ def delete_rows(tables: dict[str, DataFrame], keys: dict[str, str], gone: dict[s
         going = [gone[name].select(F.col(key).alias("_key"))] if name in gone else []
         for r in own:
             if r.child == name and not r.keep and r.parent in dead:
-                hit = dead[r.parent].select(F.col("_key").alias(r.column))
+                hit = dead[r.parent].select(F.col("_key").alias(r.column)).hint("shuffle_hash")
                 going.append(df.select(F.col(key).alias("_key"), r.column).join(hit, r.column, "left_semi").select("_key"))
         if going:
             all_going = going[0]
             for more in going[1:]:
                 all_going = all_going.unionByName(more)
             dead[name] = all_going.where("_key is not null").distinct()
-            df = df.join(dead[name].select(F.col("_key").alias(key)), key, "left_anti")
+            df = df.join(dead[name].select(F.col("_key").alias(key)).hint("shuffle_hash"), key, "left_anti")
         for r in own:
             if r.child == name and r.keep and r.parent in dead:
                 lost = dead[r.parent].select(F.col("_key").alias(r.column), F.lit(True).alias("_lost"))

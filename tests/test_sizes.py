@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from claimweave import catalogue
-from claimweave.operators import modelling
+from claimweave.operators import modelling, relations
 from claimweave.plans import questions
 
 from conftest import as_rows
@@ -29,3 +29,14 @@ def test_device_names_of_keys_with_seven_digits(spark, rows_of, tmp_path):
 def test_questions_of_one_file_are_dealt_out(spark):
     asked = spark.range(20).coalesce(1).select(F.col("id").alias("question_id"), F.lit("Which phones use the GH82-12345A battery?").alias("question"))
     assert questions.search_queries(questions.understand(asked)).rdd.getNumPartitions() == 4
+
+
+def test_deletes_sort_no_table(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where tables are large
+    try:
+        a, b = spark.range(9).withColumnRenamed("id", "a"), spark.range(20).select(F.col("id").alias("b"), (F.col("id") % 9).alias("of"))
+        left = relations.delete_rows({"A": a, "B": b}, {"A": "a", "B": "b"}, {"A": a.where("a < 3")}, (relations.Relation("B", "of", "A"),))
+        assert "SortMergeJoin" not in plan_of(left["A"]) + plan_of(left["B"])
+        assert left["A"].count() == 6 and sorted(r.b for r in left["B"].collect()) == [k for k in range(20) if k % 9 > 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -199,7 +199,8 @@ def checklist_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, found = customer_claims(spark, sf_dir)
     items = spark.createDataFrame([("battery", check, list(words)) for check, words in CHECKS], "category string, check_id string, indicators array<string>")
     questions = pages.select("question_id").distinct().select("question_id", F.lit("battery").alias("category"))
-    return extraction.run_checklists(questions, items, extraction.claim_context(found, pages))
+    # claims are read for their heads and their contexts, and these for checks and attributes: each is worked out once
+    return extraction.run_checklists(questions, items, cut(extraction.claim_context(cut(found), pages)))
 
 
 # --- families of clusters ------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Text functions as Column expressions; HTML to text is the one Arrow-batched UDF."""
+"""Text functions as Column expressions; HTML to text is the one UDF."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -151,14 +150,15 @@ class _TextOf(HTMLParser):
 
 def html_text(html: str | None) -> str:
     """Visible text of the first part that may hold the content and has over 400 characters, else of the body or the page."""
+    if not html:
+        return ""
     parser = _TextOf()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
     body = parser.between("body")
     text = next((t for t in map(parser.between, CONTENT) if len(t.strip()) > ENOUGH), body if body.strip() else "".join(parser.pieces))
     return re.sub(r"\s*\n\s*\n\s*", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", text)).strip()
 
 
-@F.pandas_udf(StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    return html.map(html_text, na_action=None)
+#: Pages go to Python by 100 (``spark.sql.execution.python.udf.maxRecordsPerBatch``): an Arrow batch holds 10,000, which several times over fill the memory of a worker.
+html_to_text = F.udf(html_text, StringType(), useArrow=False)

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from claimweave import catalogue
+from claimweave.functions import text
 from claimweave.operators import modelling, relations
 from claimweave.plans import questions
 
@@ -40,3 +41,9 @@ def test_deletes_sort_no_table(spark):
         assert left["A"].count() == 6 and sorted(r.b for r in left["B"].collect()) == [k for k in range(20) if k % 9 > 2]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_do_not_go_to_python_by_the_thousand(spark):
+    pages = spark.createDataFrame([(1, "<p>A<p>B"), (2, ""), (3, None)], "k int, html string").select("k", text.html_to_text("html").alias("t"))
+    assert "BatchEvalPython" in plan_of(pages) and "ArrowEvalPython" not in plan_of(pages)
+    assert sorted(map(tuple, pages.collect())) == [(1, "A\n\nB"), (2, ""), (3, "")]

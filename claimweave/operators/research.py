@@ -9,6 +9,7 @@ from ..functions import devices, parts, urls
 from ..functions.claims import canonical_part
 from ..functions.hashing import source_key, stable_hash
 from ..functions.idents import normalize_identifier
+from ..functions.once import dealt
 from ..functions.safety import neutralise
 from ..functions.scores import half_up
 from ..functions.text import collapse_whitespace, normalize_match, truncate, word_count
@@ -35,7 +36,8 @@ def build_sources(results: DataFrame) -> DataFrame:
     """
     c = F.col
     has = F.coalesce(c("raw_content"), F.lit("")) != ""
-    scanned = results.withColumn("_scan", F.when(has, neutralise(page_text(c("raw_content"), MOST_TEXT))))
+    # results of one file would be scanned by one task
+    scanned = dealt(results, "question_id", "url").withColumn("_scan", F.when(has, neutralise(page_text(c("raw_content"), MOST_TEXT))))
     text = F.when(c("_scan").isNotNull(), truncate(c("_scan.clean"), MOST_TEXT)).otherwise(collapse_whitespace(F.coalesce("snippet", F.lit(""))))
     domain = urls.domain_of(c("url"))
     title = collapse_whitespace(F.coalesce("title", F.lit("")))

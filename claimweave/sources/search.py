@@ -35,8 +35,9 @@ def normalise_results(raw: DataFrame, limit: int) -> DataFrame:
 
 
 def page_text(raw: Column, limit: int = 14_000) -> Column:
-    """Text of a page or of plain content, cleaned and cut."""
-    return truncate(clean_page_text(F.when(raw.rlike(r"(?i)<(?:html|body|p|div|article)\b"), html_to_text(raw)).otherwise(raw)), limit)
+    """Text of a page or of plain content, cleaned and cut. Python sees all rows, so it is given the pages only."""
+    html = raw.rlike(r"(?i)<(?:html|body|p|div|article)\b")
+    return truncate(clean_page_text(F.when(html, html_to_text(F.when(html, raw))).otherwise(raw)), limit)
 
 
 def fetch_priority(domain: Column, url: Column, score: Column, snippet: Column) -> Column:

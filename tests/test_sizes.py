@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from claimweave import catalogue
 from claimweave.functions import text
-from claimweave.operators import modelling, relations
+from claimweave.operators import modelling, relations, research
 from claimweave.plans import questions
 
 from conftest import as_rows
@@ -47,3 +47,8 @@ def test_pages_do_not_go_to_python_by_the_thousand(spark):
     pages = spark.createDataFrame([(1, "<p>A<p>B"), (2, ""), (3, None)], "k int, html string").select("k", text.html_to_text("html").alias("t"))
     assert "BatchEvalPython" in plan_of(pages) and "ArrowEvalPython" not in plan_of(pages)
     assert sorted(map(tuple, pages.collect())) == [(1, "A\n\nB"), (2, ""), (3, "")]
+
+
+def test_results_of_one_file_are_dealt_out(spark):
+    asked = spark.range(20).coalesce(1).select(F.col("id").alias("question_id"), F.lit(1).alias("scenario"))
+    assert research.build_sources(catalogue.flow_tables(asked)[1]).rdd.getNumPartitions() == 4

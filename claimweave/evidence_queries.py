@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import claims, devices, idents, parts, scores, text
+from .functions.once import dealt
 from .operators import extraction
 from .operators.store import cut
 from .registry import query
@@ -60,7 +61,8 @@ def customer_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     fields = [F.array(*[F.lit(m) for m in v]).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in _TARGET.items()]
     pages = customer_pages(spark, sf_dir)
-    return pages, extraction.extract_claims(pages, targets(pages.select("question_id").distinct().select("question_id", *fields)))
+    asked = dealt(pages.select("question_id"), "question_id").distinct()
+    return pages, extraction.extract_claims(pages, targets(asked.select("question_id", *fields)))
 
 
 # --- SQL of the fold, segment by segment ---------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.claims import BRAND_MENTION, any_in, attributes, claim_match
 from ..functions.devices import device_phrase
 from ..functions.idents import HAS_NUMBER, number_near, own_number, placed_numbers, segment_models, variant_markers
-from ..functions.once import dealt, with_once
+from ..functions.once import bind, dealt, with_once, with_shared
 from ..functions.parts import category_within
 from ..functions.safety import MARKER, TAG_MARKER
 from ..functions.scores import claim_strength, half_up, strength_level
@@ -64,22 +64,33 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets``: question_id, device_terms, device_cores, part_terms, aliases (arrays, normalised; aliases of the category longest first), part, part_number,
     category, model_numbers. A segment with the device and the part (or a part carried over from an earlier claim of the page) and a wording or the
     part itself is a claim; a bare list of models after a claim repeats it. What is carried over is the last of earlier claims' values, so the segments that
-    name a device or a model are sorted by page and read by windows; all others are left out before. Null and empty texts give no claims.
+    name a device or a model are sorted by page and read by windows; all others are left out before. What a segment tells by itself is worked out once for
+    those that are equal. Null and empty texts give no claims.
     """
     c = F.col
-    rows = segments_of(pages).join(targets, "question_id")
-    rows = with_once(rows, _norm=normalize_match(c("segment")), _models=segment_models(c("segment")))
+    asked = targets.withColumn("_asked", F.transform("model_numbers", normalize_match)).withColumn("_asked_number", normalize_match(c("part_number")))
+    apart = ["question_id", "source_id", "pos"]
+    segments = segments_of(pages)
+    models = segment_models(c("segment"))
+    read = with_shared(segments, "segment", apart, _norm=normalize_match(c("segment")), _told=bind(models, lambda m: F.struct(m.alias("models"), F.transform(m, normalize_match).alias("plain"))), _brand=c("segment").rlike(BRAND_MENTION))
+    # neither questions nor segments are few: by the size of their files they pass for a broadcast
+    rows = read.select(*segments.columns, "_norm", c("_told.models").alias("_models"), c("_told.plain").alias("_plain"), "_brand").join(asked.hint("merge"), "question_id")
     device = any_in(c("_norm"), c("device_terms"))
     family = F.exists("_models", lambda m: any_in(F.lower(m), c("device_cores")))
-    unasked = (F.size("device_terms") == 0) & ((F.size("_models") > 0) | c("segment").rlike(BRAND_MENTION))
+    unasked = (F.size("device_terms") == 0) & ((F.size("_models") > 0) | c("_brand"))
     sided = with_once(rows, _device=device, _side=device | family | unasked).where(c("_side") | (F.size("_models") > 0))
-    number = F.coalesce(c("_norm").contains(normalize_match(c("part_number"))), F.lit(False))
-    part = F.nullif(c("part"), F.lit(""))
-    told = with_once(
-        sided, _part=any_in(c("_norm"), c("part_terms")) & c("_side"), _number=number & c("_side"), _said=claim_match(c("segment")),
-        _phrase=F.when(c("_side"), F.get(F.filter("aliases", lambda a: c("_norm").contains(a)), F.lit(0))), _category=F.when(c("_side"), category_within(c("_norm"))),
-        _listed=(F.size("_models") > 0) & (F.length(F.regexp_replace("_norm", "[a-z0-9-]", "")) < F.length("segment") * 0.35),
+    number = F.coalesce(c("_norm").contains(c("_asked_number")), F.lit(False))
+    named = with_once(
+        sided, _part=any_in(c("_norm"), c("part_terms")) & c("_side"), _number=number & c("_side"), _phrase=F.when(c("_side"), F.get(F.filter("aliases", lambda a: c("_norm").contains(a)), F.lit(0))),
+        _exact=F.coalesce(F.arrays_overlap("_plain", "_asked"), F.lit(False)),
     ).withColumn("_named", c("_part") | c("_number"))
+    # the lists of the question have done their part, and are not carried on with each segment
+    named = named.select(*segments.columns, "_norm", "_models", "_device", "_side", "_part", "_named", "_phrase", "_exact", "part", "part_number", "category")
+    told = with_shared(
+        named, "segment", apart, _said=claim_match(c("segment")), _within=category_within(c("_norm")), _listed=(F.size("_models") > 0) & (F.length(F.regexp_replace("_norm", "[a-z0-9-]", "")) < F.length("segment") * 0.35),
+        _device_phrase=device_phrase(c("segment")), _attributes=attributes(c("segment")), _own_number=own_number(c("segment")), _numbered=c("segment").rlike(HAS_NUMBER), variant_markers=variant_markers(c("segment")),
+    ).drop("_norm").withColumn("_category", F.when(c("_side"), c("_within")))
+    part = F.nullif(c("part"), F.lit(""))
     page = Window.partitionBy("question_id", "source_id", "page").orderBy("pos")
     before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, 0)
     # a part is carried from the first segment on that names one: the question's part stands in for a segment's own
@@ -87,9 +98,8 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     carried = dealt(told, "question_id", "source_id").withColumn("_carried", F.coalesce(F.max(opens).over(before), F.lit(False)))
     own = c("_side") & (c("_named") | c("_carried")) & (c("_said").isNotNull() | c("_named"))
     kind = F.coalesce(c("_said.kind"), F.when(c("_device") & c("_part"), "unclear").otherwise("spec_only"))
-    marked = with_once(carried.withColumn("_own", own), _phrase_raw=F.when(c("_own"), device_phrase(c("segment"))))
-    context = F.struct(kind.alias("kind"), F.when(c("_phrase_raw").rlike(r"\d") | (F.size("_models") > 0), c("_phrase_raw")).alias("device_raw"))
-    marked = marked.withColumn("_context", F.when(c("_own"), context))
+    context = F.struct(kind.alias("kind"), F.when(c("_device_phrase").rlike(r"\d") | (F.size("_models") > 0), c("_device_phrase")).alias("device_raw"))
+    marked = carried.withColumn("_own", own).withColumn("_context", F.when(c("_own"), context))
     read = marked.select(
         "*", F.last("_context", ignorenulls=True).over(so_far).alias("_last"),
         F.coalesce(F.last(F.when(c("_own"), c("_category")), ignorenulls=True).over(so_far), c("category")).alias("_category_raw"), F.coalesce(F.last(F.when(c("_own"), c("_phrase")), ignorenulls=True).over(so_far), part).alias("part_raw"),
@@ -97,14 +107,13 @@ def extract_claims(pages: DataFrame, targets: DataFrame) -> DataFrame:
     follows = ~c("_own") & c("_last").isNotNull() & c("_listed") & c("_said").isNull()
     found = read.withColumn("inherited", follows).where(c("_own") | c("inherited"))
     found = found.withColumn("ordinal", F.row_number().over(page) - 1).withColumn("claim", c("_last.kind"))
-    found = with_once(found, attributes=F.when(c("inherited"), F.create_map().cast("map<string,string>")).otherwise(attributes(c("segment"))), _own_number=own_number(c("segment")))
-    asked = F.transform("model_numbers", normalize_match)
-    exact = c("inherited") | F.exists("_models", lambda m: F.array_contains(asked, normalize_match(m)))
+    found = found.withColumn("attributes", F.when(c("inherited"), F.create_map().cast("map<string,string>")).otherwise(c("_attributes")))
+    exact = c("inherited") | c("_exact")
     weight = F.when(c("inherited"), 0.7).otherwise(F.coalesce(c("_said.weight"), F.lit(0.35)))
-    strength = claim_strength(weight, F.coalesce(exact, F.lit(False)), F.size("_models") > 0, ~c("inherited") & c("segment").rlike(HAS_NUMBER), F.lit(True), c("inherited") | c("_named"), F.size("attributes") > 0, c("claim"))
+    strength = claim_strength(weight, exact, F.size("_models") > 0, ~c("inherited") & c("_numbered"), F.lit(True), c("inherited") | c("_named"), F.size("attributes") > 0, c("claim"))
     return with_once(found, _strength=strength).select(
         "question_id", "source_id", "ordinal", "claim", truncate(c("segment"), 320).alias("evidence_text"), c("_category_raw").alias("category"), "part_raw", c("_last.device_raw").alias("device_raw"), c("_models").alias("model_numbers"),
-        variant_markers(c("segment")).alias("variant_markers"), "attributes", "inherited", F.coalesce("_own_number", "nearby", "part_number").alias("part_number"),
+        "variant_markers", "attributes", "inherited", F.coalesce("_own_number", "nearby", "part_number").alias("part_number"),
         half_up(c("_strength"), 3).alias("strength"), strength_level(c("_strength")).alias("evidence_strength"),
     )
 

@@ -4,8 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from claimweave import catalogue
-from claimweave.functions import text
-from claimweave.operators import modelling, relations, research
+from claimweave.functions import once, text
+from claimweave.operators import extraction, modelling, relations, research
 from claimweave.plans import questions
 
 from conftest import as_rows
@@ -52,3 +52,19 @@ def test_pages_do_not_go_to_python_by_the_thousand(spark):
 def test_results_of_one_file_are_dealt_out(spark):
     asked = spark.range(20).coalesce(1).select(F.col("id").alias("question_id"), F.lit(1).alias("scenario"))
     assert research.build_sources(catalogue.flow_tables(asked)[1]).rdd.getNumPartitions() == 4
+
+
+def test_equal_segments_are_worked_out_once_for_each_group(spark):
+    rows = spark.range(2000).select(F.col("id").alias("n"), F.when(F.col("id") < 1990, "often").otherwise(F.concat(F.lit("k"), "id")).alias("k"))
+    found = once.with_shared(rows, "k", ["n"], size=F.length("k"), worked=F.col("n")).collect()  # ``worked`` tells the row that was worked on
+    assert len(found) == 2000 and all(r.size == len(r.k) for r in found) and len({r.n for r in found}) == 2000
+    assert 2 <= len({r.worked for r in found if r.k == "often"}) <= once.GROUPS and all(r.worked == r.n for r in found if r.k != "often")
+
+
+def test_neither_segments_nor_questions_are_broadcast(spark):
+    pages = spark.createDataFrame([(1, "s", "The battery is compatible with Samsung Galaxy A15 4G SM-A155F.")], "question_id long, source_id string, text string")
+    asked = pages.select("question_id", *[F.lit(v).alias(k) for k, v in {"device": "Galaxy A15 4G", "device_brand": "Samsung", "part": "Battery", "part_number": "EB-BA155ABY", "part_category": "battery"}.items()], F.array(F.lit("SM-A155F")).alias("model_numbers"))
+    found = extraction.extract_claims(pages, research.targets(asked))
+    plan = plan_of(found)
+    assert "Broadcast" not in plan and "[segment" in plan
+    assert [(r.claim, r.model_numbers) for r in found.collect()] == [("compatible", ["SM-A155F"])]
